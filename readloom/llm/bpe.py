@@ -35,17 +35,32 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Encoder of single pieces. ``limit`` bounds the arcs and pieces that are kept in memory."""
+    """Encoder of single pieces. ``limit`` bounds the states and pairs that are kept in memory."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 200_000):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.limit = limit
-        self.longest = max(map(len, ranks), default=1)
-        self.starts: set[bytes] = {t[:i] for t in ranks for i in range(1, len(t))}
-        self.forget()
+        #: A tree of the tokens: node and byte give the next node; root 1, none 0.
+        self.tree: dict[int, int] = {}
+        self.ends: dict[int, int] = {}
+        for token, rank in ranks.items():
+            node = 1
+            for b in token:
+                node = self.tree.setdefault(node << 8 | b, len(self.tree) + 2)
+            self.ends[node] = rank
+        self.inner = {key >> 8 for key in self.tree}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.whole: dict[bytes, bool] = {}
+        self.whole: dict[int, bool] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Start over with the first state alone. A state: the last token emitted (-1: none), and
+        per open position its node with the tokens that lead to it."""
+        start = (-1, ((1, ()),))
+        self.numbers: dict[tuple, int] = {start: 0}
+        self.states: list[tuple] = [start]
+        self.arcs: dict[int, tuple[int, tuple]] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """The merges themselves: join the adjacent pair of lowest rank until none is left. Used to
@@ -58,10 +73,10 @@ class Transducer:
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         return [self.ranks[p] for p in parts]
 
-    def reached(self, token: bytes) -> bool:
+    def reached(self, rank: int) -> bool:
         """Whether the merges build this token at all."""
-        if (known := self.whole.get(token)) is None:
-            known = self.whole[token] = self.merged(token) == [self.ranks[token]]
+        if (known := self.whole.get(rank)) is None:
+            known = self.whole[rank] = self.merged(self.bytes_of[rank]) == [rank]
         return known
 
     def stands(self, left: int, right: int) -> bool:
@@ -72,38 +87,35 @@ class Transducer:
             known = self.pairs[left, right] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
-    def forget(self) -> None:
-        """Start over with the first state alone."""
-        self.numbers: dict[tuple, int] = {self.START: 0}
-        self.states: list[tuple] = [self.START]
-        self.arcs: list[dict[int, tuple[int, tuple]]] = [{}]
-
-    #: A state: the bytes since the earliest open position, the last token before it (-1: none), and
-    #: per open position its distance from there with the tokens in between.
-    START = (b"", -1, ((0, ()),))
-
-    def _make(self, state: tuple, byte: bytes) -> tuple[tuple, tuple]:
-        tail, last, opened = state
-        tail += byte
+    def _make(self, number: int, b: int) -> tuple[int, tuple]:
+        """The arc of a state for a byte: the next state's number and the tokens emitted."""
+        last, opened = self.states[number]
         ended, still = None, []
         for at, path in opened:
-            piece = tail[at:]
-            if ended is None and (rank := self.ranks.get(piece)) is not None and self.reached(piece):
+            node = self.tree.get(at << 8 | b, 0)
+            if not node:
+                continue
+            if ended is None and (rank := self.ends.get(node)) is not None and self.reached(rank):
                 before = path[-1] if path else last
                 if before < 0 or self.stands(before, rank):
-                    ended = (len(tail), (*path, rank))
-            if piece in self.starts:
-                still.append((at, path))
+                    ended = (1, (*path, rank))
+            if node in self.inner:
+                still.append((node, path))
         if ended is None:
             raise ValueError("the ranks lack a single byte")
         still.append(ended)
-        paths = [path for _, path in still]
-        shared = 0
-        while all(len(p) > shared and p[shared] == paths[0][shared] for p in paths):
+        first, shared = still[0][1], 0
+        for token in first:
+            if not all(len(p) > shared and p[shared] == token for _, p in still):
+                break
             shared += 1
-        out = paths[0][:shared]
-        first = still[0][0]
-        return (tail[first:], out[-1] if out else last, tuple((at - first, path[shared:]) for at, path in still)), out
+        out = first[:shared]
+        target = (out[-1], tuple([(n, p[shared:]) for n, p in still])) if shared else (last, tuple(still))
+        if (known := self.numbers.get(target)) is None:
+            known = self.numbers[target] = len(self.states)
+            self.states.append(target)
+        arc = self.arcs[number << 8 | b] = (known, out)
+        return arc
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
@@ -111,19 +123,12 @@ class Transducer:
             return [rank]
         if len(self.states) > self.limit:
             self.forget()
-        state, out, arcs = 0, [], self.arcs
+        state, out, get, make = 0, [], self.arcs.get, self._make
         for b in piece:
-            if (arc := arcs[state].get(b)) is None:
-                target, emitted = self._make(self.states[state], bytes((b,)))
-                if (number := self.numbers.get(target)) is None:
-                    number = self.numbers[target] = len(self.states)
-                    self.states.append(target)
-                    arcs.append({})
-                arc = arcs[state][b] = (number, emitted)
-            state, emitted = arc
+            state, emitted = get(state << 8 | b) or make(state, b)
             if emitted:
                 out += emitted
-        return [*out, *self.states[state][2][-1][1]]
+        return [*out, *self.states[state][1][-1][1]]
 
 
 class Utf8:
@@ -164,7 +169,7 @@ class Utf8:
 class Codec:
     """Whole texts: the pattern's pieces one by one through the transducer."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 350_000):
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
         self.limit = limit
@@ -175,7 +180,8 @@ class Codec:
         """Number of ids, the ids, and the text they decode to."""
         if (entry := self.older.get(piece)) is None:
             ids = self.transducer.encode(piece.encode())
-            entry = (len(ids), ",".join(map(str, ids)), self.decode(ids))
+            back = self.decode(ids)
+            entry = (len(ids), ",".join(map(str, ids)), piece if back == piece else back)
         if len(self.memo) >= self.limit:
             self.older, self.memo = self.memo, {}
         if len(piece) <= 64:  # long ones rarely come again
@@ -183,7 +189,8 @@ class Codec:
         return entry
 
     def decode(self, ids) -> str:
-        return "".join(self.stream(ids))
+        machine, bytes_of = Utf8(), self.transducer.bytes_of
+        return machine.feed(b"".join([bytes_of[i] for i in ids])) + machine.close()
 
     def stream(self, ids) -> Iterator[str]:
         """Text as it becomes complete, id by id."""
