@@ -109,7 +109,7 @@ def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     spans of that doc_id, so keys should be unique. An empty table gives an empty table; further
     columns are ignored.
     """
-    scanned = scan(docs)
+    scanned = common.materialize(scan(docs), "secrets")  # spans only: each text is scanned once
     base = F.array_sort(F.concat("assigns", "accesses", "hexes"))
     return scanned.join(linked(scanned, scope), "doc_id", "left").select("doc_id", F.size("assigns").cast("long").alias("n_assign"), F.size("accesses").cast("long").alias("n_access"), F.size("hexes").cast("long").alias("n_hex"), base.alias("base"), F.array_sort(F.concat("assigns", "accesses", "hexes", F.coalesce("added", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")))).alias("spans"))
 
