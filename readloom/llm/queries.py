@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, html, jaccard, secrets
+from . import bpe, html, jaccard, leaks, secrets
 
 QUERIES = {
     "op1_html_extraction": html.op1_html_extraction,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_benchmark_decontamination": leaks.op9_benchmark_decontamination,
     "op10_secret_scans": secrets.op10_secret_scans,
 }
 
