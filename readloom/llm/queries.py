@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, html, jaccard, leaks, secrets
+from . import bpe, html, jaccard, language, leaks, secrets, substring
 
 QUERIES = {
     "op1_html_extraction": html.op1_html_extraction,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
+    "op5_language_id": language.op5_language_id,
+    "op6_substring_dedup": substring.op6_substring_dedup,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_benchmark_decontamination": leaks.op9_benchmark_decontamination,
     "op10_secret_scans": secrets.op10_secret_scans,
