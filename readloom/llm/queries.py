@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, html, jaccard, language, leaks, secrets, substring
+from . import bpe, html, jaccard, language, leaks, quality, secrets, substring
 
 QUERIES = {
     "op1_html_extraction": html.op1_html_extraction,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
+    "op4_quality_rules": quality.op4_quality_rules,
     "op5_language_id": language.op5_language_id,
     "op6_substring_dedup": substring.op6_substring_dedup,
     "op8_byte_bpe": bpe.op8_byte_bpe,
