@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, html, jaccard, language, leaks, quality, secrets, substring
+from . import bpe, html, jaccard, language, leaks, quality, secrets, substring, suffix
 
 QUERIES = {
     "op1_html_extraction": html.op1_html_extraction,
+    "op2_suffix_array_dedup": suffix.op2_suffix_array_dedup,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_language_id": language.op5_language_id,
