@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 _SCRATCH: list[tuple[SparkSession, str]] = []
+_KEPT: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,21 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = True) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut and any
     executor can read the result again after another one is lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/readloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _SCRATCH.append((spark, path))
+    (_KEPT if keep else _SCRATCH).append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """A scratch table, written and read back."""
+    return written(df, name, keep=False)
+
+
+def release(paths: list | None = None) -> None:
     """Delete the scratch tables written so far. Call it only when no result still reads them;
     the pipeline does so once a stage's output is on disk."""
-    while _SCRATCH:
-        spark, path = _SCRATCH.pop()
+    paths = _SCRATCH if paths is None else paths
+    while paths:
+        spark, path = paths.pop()
         try:
             jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
@@ -52,6 +59,7 @@ def release() -> None:
 
 
 atexit.register(release)
+atexit.register(release, _KEPT)
 
 
 def with_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

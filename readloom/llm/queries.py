@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import bpe, html, jaccard, language, leaks, quality, secrets, substring, suffix
 
 QUERIES = {
@@ -14,6 +16,7 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_benchmark_decontamination": leaks.op9_benchmark_decontamination,
     "op10_secret_scans": secrets.op10_secret_scans,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
