@@ -1,0 +1 @@
+"""Mutational profiling of sequencing reads as Spark DataFrame operations."""

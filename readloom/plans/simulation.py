@@ -1,0 +1,59 @@
+"""Simulated reads from rates and end shares, by hashing seeds: the same input gives the same reads whatever
+the partitions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def uniform(*keys: Column | str) -> Column:
+    """A number in [0, 1) that depends on the keys alone."""
+    return (F.xxhash64(*keys).bitwiseAND(F.lit((1 << 52) - 1))) / float(1 << 52)
+
+
+def ends(ids: DataFrame, shares: DataFrame, seed: int) -> DataFrame:
+    """read, end5, end3: each of the reads (column read) draws from the pairs (end5, end3, p)."""
+    from pyspark.sql import Window
+
+    w = Window.orderBy("end5", "end3")
+    cum = shares.select("end5", "end3", (F.sum("p").over(w) - F.col("p")).alias("low"), F.sum("p").over(w).alias("high"))
+    drawn = ids.select("read", uniform("read", F.lit(seed)).alias("u"))
+    return drawn.join(F.broadcast(cum), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("read", "end5", "end3")
+
+
+def mutations(reads: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
+    """read, pos: positions between the ends are mutated at their rates (pos, mu)."""
+    return reads.select("read", F.explode(F.sequence("end5", "end3")).alias("pos")).join(F.broadcast(rates), "pos").where(uniform("read", "pos", F.lit(seed)) < F.col("mu")).select("read", "pos")
+
+
+def artifacts(muts: DataFrame, offsets: dict[int, float], seed: int) -> DataFrame:
+    """Further mutations 5' of real ones: at each distance with its probability, unless there already."""
+    table = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(p).alias("p")) for d, p in offsets.items()])
+    made = muts.select("read", "pos", F.explode(table).alias("o")).where(uniform("read", "pos", F.col("o.d"), F.lit(seed)) < F.col("o.p")).select("read", (F.col("pos") - F.col("o.d")).alias("pos")).where("pos >= 1").distinct()
+    return muts.select("read", "pos").union(made.join(muts, ["read", "pos"], "left_anti"))
+
+
+def random_sequence(ids: DataFrame, length: int, shares: dict[str, float], seed: int) -> DataFrame:
+    """ref, seq of random bases."""
+    def base(i):
+        u, out, low = uniform("ref", i, F.lit(seed)), F.lit("T"), 0.0
+        rule = None
+        for b, p in shares.items():
+            low += p
+            rule = F.when(u < low, b) if rule is None else rule.when(u < low, b)
+        return rule.otherwise(out)
+
+    return ids.select("ref", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(length)), base), "").alias("seq"))
+
+
+def stochastic_round(x: Column, *keys: Column | str) -> Column:
+    return F.floor(x + uniform(*keys))
+
+
+def pattern_rate(rates: DataFrame, pat: tuple) -> DataFrame:
+    """pos, base, mu: total rate of the codes (pos, base, rel, p) that fit a pattern, of those that decide it."""
+    from ..functions.codes import informative
+
+    info, fit = informative(F.col("base"), F.col("rel"), pat)
+    return rates.groupBy("pos", "base").agg((F.sum(F.when(fit, F.col("p")).otherwise(0.0)) / F.sum(F.when(info, F.col("p")).otherwise(0.0))).alias("mu"))
