@@ -37,7 +37,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encoder of single pieces. ``limit`` bounds the states and pairs that are kept in memory."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 400_000):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.limit = limit
@@ -55,12 +55,15 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
-        """Start over with the first state alone. A state: the last token emitted (-1: none), and
-        per open position its node with the tokens that lead to it."""
-        start = (-1, ((1, ()),))
+        """Start over with the first state alone. A state, flat: the last token emitted (-1: none), then
+        for every open position, the one at the end of what was read first, the number of tokens that
+        lead to it, these, and its node."""
+        start = (-1, 0, 1)
         self.numbers: dict[tuple, int] = {start: 0}
         self.states: list[tuple] = [start]
-        self.arcs: dict[int, tuple[int, tuple]] = {}
+        #: By state and byte: twice the next state's number, and one more if tokens are emitted.
+        self.arcs: dict[int, int] = {}
+        self.emitted: dict[int, tuple] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """The merges themselves: join the adjacent pair of lowest rank until none is left. Used to
@@ -87,34 +90,45 @@ class Transducer:
             known = self.pairs[left, right] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
-    def _make(self, number: int, b: int) -> tuple[int, tuple]:
-        """The arc of a state for a byte: the next state's number and the tokens emitted."""
-        last, opened = self.states[number]
+    def _make(self, number: int, b: int) -> int:
+        """The arc of a state for a byte."""
+        state, tree, ends, inner = self.states[number], self.tree, self.ends, self.inner
+        last, at, n = state[0], 1, len(state)
         ended, still = None, []
-        for at, path in opened:
-            node = self.tree.get(at << 8 | b, 0)
-            if not node:
-                continue
-            if ended is None and (rank := self.ends.get(node)) is not None and self.reached(rank):
-                before = path[-1] if path else last
-                if before < 0 or self.stands(before, rank):
-                    ended = (1, (*path, rank))
-            if node in self.inner:
-                still.append((node, path))
+        while at < n:
+            stop = at + 1 + state[at]
+            node = tree.get(state[stop] << 8 | b)
+            if node is not None:
+                if ended is None and (rank := ends.get(node)) is not None and self.reached(rank):
+                    before = state[stop - 1] if stop > at + 1 else last
+                    if before < 0 or self.stands(before, rank):
+                        ended = (*state[at + 1 : stop], rank)
+                if node in inner:
+                    still.append((state[at + 1 : stop], node))
+            at = stop + 1
         if ended is None:
             raise ValueError("the ranks lack a single byte")
-        still.append(ended)
-        first, shared = still[0][1], 0
-        for token in first:
-            if not all(len(p) > shared and p[shared] == token for _, p in still):
-                break
-            shared += 1
-        out = first[:shared]
-        target = (out[-1], tuple([(n, p[shared:]) for n, p in still])) if shared else (last, tuple(still))
+        shared = 0
+        while shared < len(ended):
+            token = ended[shared]
+            for path, _ in still:
+                if len(path) <= shared or path[shared] != token:
+                    break
+            else:
+                shared += 1
+                continue
+            break
+        flat = [ended[shared - 1] if shared else last, len(ended) - shared, *ended[shared:], 1]
+        for path, node in still:
+            flat += (len(path) - shared, *path[shared:], node)
+        target = tuple(flat)
         if (known := self.numbers.get(target)) is None:
             known = self.numbers[target] = len(self.states)
             self.states.append(target)
-        arc = self.arcs[number << 8 | b] = (known, out)
+        key = number << 8 | b
+        arc = self.arcs[key] = known << 1 | (shared > 0)
+        if shared:
+            self.emitted[key] = ended[:shared]
         return arc
 
     def encode(self, piece: bytes) -> list[int]:
@@ -125,10 +139,14 @@ class Transducer:
             self.forget()
         state, out, get, make = 0, [], self.arcs.get, self._make
         for b in piece:
-            state, emitted = get(state << 8 | b) or make(state, b)
-            if emitted:
-                out += emitted
-        return [*out, *self.states[state][1][-1][1]]
+            arc = get(state << 8 | b)
+            if arc is None:
+                arc = make(state, b)
+            if arc & 1:
+                out += self.emitted[state << 8 | b]
+            state = arc >> 1
+        left = self.states[state]
+        return [*out, *left[2 : 2 + left[1]]]
 
 
 class Utf8:
@@ -173,20 +191,24 @@ class Codec:
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
         self.limit = limit
-        self.memo: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
-
-    def piece(self, piece: str) -> tuple[int, str, str]:
-        """Number of ids, the ids, and the text they decode to."""
-        if (entry := self.older.get(piece)) is None:
-            ids = self.transducer.encode(piece.encode())
-            back = self.decode(ids)
-            entry = (len(ids), ",".join(map(str, ids)), piece if back == piece else back)
+        self.memo: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        #: Pieces whose ids decode to something else; with sound ranks there are none.
+        self.odd: dict[str, str] = {}
+
+    def piece(self, piece: str) -> str:
+        """The ids of a piece, joined by commas; what they decode to is compared with the piece."""
+        if (ids := self.older.get(piece)) is None:
+            made = self.transducer.encode(piece.encode())
+            ids = ",".join(map(str, made))
+            if (back := self.decode(made)) != piece:
+                self.odd[piece] = back
+            if len(piece) > 64:
+                return ids  # long ones rarely come again
         if len(self.memo) >= self.limit:
             self.older, self.memo = self.memo, {}
-        if len(piece) <= 64:  # long ones rarely come again
-            self.memo[piece] = entry
-        return entry
+        self.memo[piece] = ids
+        return ids
 
     def decode(self, ids) -> str:
         machine, bytes_of = Utf8(), self.transducer.bytes_of
@@ -199,12 +221,17 @@ class Codec:
             yield machine.feed(self.transducer.bytes_of[i])
         yield machine.close()
 
-    def entries(self, text: str) -> list[tuple[int, str, str]]:
-        get, make = self.memo.get, self.piece
-        return [get(p) or make(p) for p in self.pieces(text)]
+    def entries(self, text: str) -> tuple[list[str], list[str]]:
+        """Pieces, and the ids of each."""
+        get, make, pieces = self.memo.get, self.piece, self.pieces(text)
+        return pieces, [get(p) or make(p) for p in pieces]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.entries(text) for i in ids.split(",")]
+        return [int(i) for ids in self.entries(text)[1] for i in ids.split(",")]
+
+    def decoded(self, pieces: list[str]) -> str:
+        """What the ids of these pieces decode to."""
+        return "".join([self.odd.get(p, p) for p in pieces] if self.odd else pieces)
 
 
 @functools.lru_cache(maxsize=4)
@@ -226,10 +253,11 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: bool = True
         for frame in frames:
             rows = []
             for text in frame["text"]:
-                entries = made.entries(text)
-                ids = ",".join([e[1] for e in entries])
-                back = "".join([e[2] for e in entries])
-                rows.append((sum([e[0] for e in entries]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), [int(i) for i in ids.split(",") if i] if keep_ids else None))
+                pieces, ids = made.entries(text)
+                back = made.decoded(pieces)
+                joined = ",".join(ids)
+                n = joined.count(",") + 1 if joined else 0
+                rows.append((n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), [int(i) for i in joined.split(",") if i] if keep_ids else None))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
             out.insert(0, "doc_id", frame["doc_id"].to_numpy())
             yield out[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]]
