@@ -61,10 +61,12 @@ def codes_per_position(segments: DataFrame, muts: DataFrame, positions: DataFram
 def codes_per_read(segments: DataFrame, muts: DataFrame, positions: DataFrame) -> DataFrame:
     """read, base, rel, n with matches derived. Covered bases come from running counts per base at the
     ends of each island, so rows are per island, not per position."""
-    w = Window.orderBy("pos")
     bases = "ACGTN"
-    cum = positions.select("pos", *[F.sum(F.when(F.col("base") == b, 1).otherwise(0)).over(w).alias(f"c{b}") for b in bases])
-    high = islands(segments).join(F.broadcast(cum).withColumnRenamed("pos", "end3"), "end3")
+    span = positions.agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    grid = span.select(F.explode(F.sequence(F.col("first") - 1, F.col("last"))).alias("pos")).join(positions, "pos", "left")  # masked positions too
+    cum = grid.select("pos", *[F.sum(F.when(F.col("base") == b, 1).otherwise(0)).over(Window.orderBy("pos")).alias(f"c{b}") for b in bases])
+    cut = islands(segments).join(F.broadcast(span)).select("read", F.greatest("end5", "first").alias("end5"), F.least("end3", "last").alias("end3")).where("end5 <= end3")
+    high = cut.join(F.broadcast(cum).withColumnRenamed("pos", "end3"), "end3")
     low = F.broadcast(cum.select((F.col("pos") + 1).alias("end5"), *[F.col(f"c{b}").alias(f"l{b}") for b in bases]))
     both = high.join(low, "end5", "left").groupBy("read").agg(*[F.sum(F.col(f"c{b}") - F.coalesce(f"l{b}", F.lit(0))).alias(b) for b in bases])
     covered = both.select("read", F.explode(F.array(*[F.struct(F.lit(b).alias("base"), F.col(b).alias("cov")) for b in bases])).alias("x")).select("read", "x.*").where("cov > 0")
