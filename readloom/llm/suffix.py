@@ -29,7 +29,7 @@ from .common import U64, mix
 
 GRAM, LENGTH = 32, 400
 #: Windows in a run; runs in a bucket; runs of a file that one task sorts; bytes sorted at once.
-RUN, ENTRIES, FILE, CHUNK = 1024, 500_000, 2000, 1 << 21
+RUN, ENTRIES, FILE, CHUNK = 1024, 500_000, 1000, 1 << 20
 HOT_SAMPLE, HOT_LEAST = 4000, 30
 
 _BASE = 0x9E3779B97F4A7C15
@@ -98,41 +98,39 @@ def runs(data: bytes, length: int = LENGTH):
     return least[change], mix(rolling(change, size + length - 1) + size.astype(U64)), change, size, own
 
 
-def smaller(a: np.ndarray) -> np.ndarray:
-    """Index of the nearest smaller value to the left of each, -1 if none, by pointer jumping."""
+def smaller(a: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Index of the nearest smaller value to the left of each, by pointer jumping; -1 or one of another
+    group (of neighbours) if there is none in its own."""
     p = np.arange(len(a)) - 1
-    while len(bad := np.flatnonzero((p >= 0) & (a[p] > a))):
+    bad = np.arange(len(a))
+    while len(bad):
+        q = p[bad]
+        bad = bad[(q >= 0) & (group[q] == group[bad]) & (a[q] > a[bad])]
         p[bad] = p[p[bad]]
     return p
 
 
-def suffix_classes(text: np.ndarray, length: int) -> np.ndarray:
-    """Rank of each position by its first ``length`` bytes (fewer at the end), by prefix doubling."""
-    padded = np.r_[text, np.zeros(8, np.uint8)]
-    key = np.zeros(len(text), U64)
-    size = 1
-    while size * 2 <= min(8, length):
-        size *= 2
-    for i in range(size):
-        key = key << U64(8) | padded[i : i + len(text)]
-    while True:
-        order = np.argsort(key)
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(np.r_[1, key[order][1:] != key[order][:-1]])
-        if size >= length:
-            return rank
-        step = min(size, length - size)
-        key = (rank.astype(U64) << U64(32)) | np.r_[rank[step:], np.zeros(min(step, len(rank)), np.int64)].astype(U64)
-        size += step
-
-
-def longest_previous(classes: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of suffixes with these ranks and corpus positions: which have a longest previous factor of the
-    ranked length or more, and which are such an earlier match."""
-    order = np.lexsort((position, classes))
-    at, cls = position[order], classes[order]
-    before = smaller(at)
-    after = len(at) - 1 - smaller(at[::-1])[::-1]
+def suffix_classes(text: np.ndarray, print_: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Ranks of the suffixes at these places by their first bytes: by the first eight, and where these are
+    the same by a fingerprint of all the bytes compared (``print_``). That is all the order that is needed
+    for suffixes with the same beginning to be neighbours."""
+    value, first, inverse = np.unique(print_, return_index=True, return_inverse=True)
+    head = np.zeros(len(value), U64)
+    for i in range(8):
+        head = head << U64(8) | text[np.minimum(at[first] + i, len(text) - 1)]
+    rank = np.empty(len(value), np.int64)
+    rank[np.lexsort((value, head))] = np.arange(len(value))
+    return rank[inverse]
+
+
+def longest_previous(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of suffixes in corpus order with these ranks: which have a longest previous factor as long as what
+    was ranked, and which are such an earlier match. The earlier candidates are the nearest smaller
+    positions before and after in suffix order."""
+    at = np.argsort(classes, kind="stable")
+    cls = classes[at]
+    before = smaller(at, cls)
+    after = len(at) - 1 - smaller(at[::-1], cls[::-1])[::-1]
     later, source = np.zeros(len(at), bool), np.zeros(len(at), bool)
     for other in (before, after):
         ok = (other >= 0) & (other < len(at))
@@ -140,7 +138,7 @@ def longest_previous(classes: np.ndarray, position: np.ndarray) -> tuple[np.ndar
         later |= ok
         source[other[ok]] = True
     out = np.zeros((2, len(at)), bool)
-    out[0, order], out[1, order] = later, source
+    out[0, at], out[1, at] = later, source
     return out[0], out[1]
 
 
@@ -220,27 +218,31 @@ def _contexts(frames, length: int):
 
 
 def _found(doc: np.ndarray, start: np.ndarray, gone: np.ndarray) -> list[tuple]:
+    """Window starts as runs, by document."""
     doc, start = doc[gone], start[gone]
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
-    return [(doc[a], start[a:b].astype(np.int32).tobytes(), np.ones(b - a, np.int32).tobytes()) for a, b in _cuts(doc)]
+    first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)]) if len(doc) else np.empty(0, np.int64)
+    size = start[np.r_[first[1:], len(doc)] - 1] - start[first] + 1 if len(doc) else first
+    doc, start = doc[first], start[first]
+    return [(doc[a], start[a:b].astype(np.int32).tobytes(), size[a:b].astype(np.int32).tobytes()) for a, b in _cuts(doc)]
 
 
 def _sort(frames, length: int):
     """Rows come sorted by file; whole files are gathered up to a chunk and their suffixes sorted."""
 
     def done(rows: list[tuple]) -> list[tuple]:
-        text = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-        size = np.array([r[2] for r in rows])
-        begin = np.cumsum([0, *(len(r[4]) for r in rows)])[:-1]
-        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        at = np.repeat(begin, size) + inner
-        doc = np.repeat(np.array([r[0] for r in rows]), size)
-        start = np.repeat(np.array([r[1] for r in rows]), size) + inner
-        rank = np.empty(len(doc), np.int64)
-        rank[np.lexsort((start, doc))] = np.arange(len(doc))
-        later, source = longest_previous(suffix_classes(text, length)[at], rank)
-        return _found(doc, start, (later | source) & np.repeat(np.array([r[3] for r in rows]) == 0, size))
+        data = b"".join([r[4] for r in rows])
+        doc, start, size, flag = (np.array([r[i] for r in rows]) for i in range(4))
+        begin = np.cumsum(size + length - 1) - (size + length - 1)
+        shift = np.cumsum(size) - size
+        at = np.arange(size.sum()) + np.repeat(begin - shift, size)  # in corpus order within each file
+        prints = Rolling(data)(at, length)
+        slot = (prints & U64((1 << 20) - 1)).astype(np.int64)
+        twice = np.flatnonzero(np.bincount(slot)[slot] > 1)  # others cannot have an equal
+        later, source = longest_previous(suffix_classes(np.frombuffer(data, np.uint8), prints[twice], at[twice]))
+        row = np.repeat(np.arange(len(rows)), size)[twice]
+        return _found(doc[row], at[twice] - begin[row] + start[row], (later | source) & (flag[row] == 0))
 
     held, total, last = [], 0, None
     for frame in frames:
