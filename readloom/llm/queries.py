@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, html, jaccard, language, leaks, quality, secrets, substring, suffix
+from . import bpe, html, jaccard, katz, language, leaks, quality, secrets, substring, suffix
 
 QUERIES = {
     "op1_html_extraction": html.op1_html_extraction,
@@ -13,6 +13,7 @@ QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_language_id": language.op5_language_id,
     "op6_substring_dedup": substring.op6_substring_dedup,
+    "op7_lm_scoring": katz.op7_lm_scoring,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_benchmark_decontamination": leaks.op9_benchmark_decontamination,
     "op10_secret_scans": secrets.op10_secret_scans,
