@@ -18,9 +18,7 @@ LEAST_SCORE = 0.3
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told go on; those without letters, null texts and guesses go."""
     common.release()
-    model = language.train(docs)
-    told = language.predict(docs, model).where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return docs.join(told.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    return language.keep(docs, language.train(docs), LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

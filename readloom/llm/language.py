@@ -13,6 +13,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,6 +178,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
 
 
+def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The same columns, of the rows whose language can be told with this probability or more. Rows are
+    filtered where they are; nothing is shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            told = [model.predict(text) for text in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in told], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out():
     """The documents that nothing is learnt from."""
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
