@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,20 @@ from .common import U64, mix
 BATCH, ENTRIES, K = 8_000_000, 1_500_000, 5
 END, START = U64(0x5BD1E995A3C59AC3), U64(0x2545F4914F6CDD1D)
 OWNER = np.uint32(1 << 31)
+_Z = zstandard.ZstdCompressor(level=3)
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Compressed, bytes of like weight together; sorted hashes as differences."""
+    if a.dtype == U64 and len(a):
+        a = np.r_[a[:1], np.diff(a)]
+    return _Z.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes())
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    a = np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
+    return np.cumsum(a, dtype=U64) if kind is U64 else a
 
 
 def _batches(frames):
@@ -36,7 +51,7 @@ def _batches(frames):
         hashes = [np.r_[hasher(common.words(t)), END] for _, t, _ in held]
         vocabulary, tokens = np.unique(np.concatenate([[START], *hashes]), return_inverse=True)
         docs = np.array([d for d, _, _ in held], np.int64)
-        return pd.DataFrame([((part << 32) + number, docs.tobytes(), np.array([t for _, _, t in held], bool).tobytes(), np.array([len(h) for h in hashes], np.int32).tobytes(), tokens[1:].astype(np.int32).tobytes(), vocabulary.tobytes())], columns=["batch", "docs", "train", "lengths", "tokens", "words"])
+        return pd.DataFrame([((part << 32) + number, pack(docs), pack(np.array([t for _, _, t in held], np.uint8)), pack(np.array([len(h) for h in hashes], np.int32)), pack(tokens[1:].astype(np.int32)), pack(vocabulary), len(tokens) - 1, len(vocabulary))], columns=["batch", "docs", "train", "lengths", "tokens", "words", "n_tokens", "n_words"])
 
     for frame in frames:
         for row in zip(frame["doc_id"], frame["text"], frame["train"], strict=True):
@@ -53,8 +68,8 @@ class Batch:
     """A batch's tokens with the pairs they make."""
 
     def __init__(self, docs, train, lengths, tokens, words):
-        self.docs, self.train = np.frombuffer(docs, np.int64), np.frombuffer(train, bool)
-        self.lengths, self.tokens, self.words = np.frombuffer(lengths, np.int32), np.frombuffer(tokens, np.int32), np.frombuffer(words, U64)
+        self.docs, self.train = unpack(docs, np.int64), unpack(train, np.uint8) > 0
+        self.lengths, self.tokens, self.words = unpack(lengths, np.int32), unpack(tokens, np.int32), unpack(words, U64)
         self.doc = np.repeat(np.arange(len(self.docs)), self.lengths)
         first = np.cumsum(self.lengths) - self.lengths
         self.before = np.r_[np.int32(0), self.tokens[:-1]].astype(np.int64)
@@ -78,11 +93,12 @@ def _segments(keys: np.ndarray, ranges: int) -> list[tuple[int, int]]:
 
 def _ask(frames, ranges: tuple[int, int]):
     for frame in frames:
-        for batch, *columns in frame.itertuples(index=False):
+        for row in frame.itertuples(index=False):
+            batch = row.batch
             rows, first = [], 0
-            for (keys, counts), n in zip(Batch(*columns).asked(), ranges, strict=True):
+            for (keys, counts), n in zip(Batch(row.docs, row.train, row.lengths, row.tokens, row.words).asked(), ranges, strict=True):
                 counts = counts.astype(np.uint32)
-                rows += [(first + i, batch, keys[a:b].tobytes(), counts[a:b].tobytes()) for i, (a, b) in enumerate(_segments(keys, n))]
+                rows += [(first + i, batch, pack(keys[a:b]), pack(counts[a:b])) for i, (a, b) in enumerate(_segments(keys, n))]
                 first += n
             yield pd.DataFrame(rows, columns=["range", "batch", "keys", "counts"])
 
@@ -91,15 +107,15 @@ def _totals(frame: pd.DataFrame) -> pd.DataFrame:
     """Of one range: each batch's n-grams with their totals, and which of them the batch owns; besides, in
     a row without batch, all counts' sum and how many n-grams have each count up to K + 1, and any."""
     frame = frame.sort_values("batch")
-    keys = np.concatenate([np.frombuffer(b, U64) for b in frame["keys"]])
-    counts = np.concatenate([np.frombuffer(b, np.uint32) for b in frame["counts"]]).astype(np.int64)
+    parts = [unpack(b, U64) for b in frame["keys"]]
+    keys, sizes = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+    counts = np.concatenate([unpack(b, np.uint32) for b in frame["counts"]]).astype(np.int64)
     _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
     sums = np.bincount(inverse, counts, len(first)).astype(np.int64)
     told = sums[inverse].astype(np.uint32)
     told[first] |= OWNER
-    sizes = np.cumsum([len(b) // 8 for b in frame["keys"]])
     parts = np.split(told, sizes[:-1])
-    rows = [(frame["range"].iloc[0], batch, p.tobytes(), None) for batch, p in zip(frame["batch"], parts, strict=True)]
+    rows = [(frame["range"].iloc[0], batch, pack(p), None) for batch, p in zip(frame["batch"], parts, strict=True)]
     stats = [int(sums.sum()), int((sums > 0).sum()), *[int((sums == r).sum()) for r in range(1, K + 2)]]
     return pd.DataFrame([*rows, (frame["range"].iloc[0], -1, None, stats)], columns=["range", "batch", "told", "stats"])
 
@@ -140,30 +156,28 @@ class Model:
         return d * counts / (contexts + 0.5)
 
 
-def _score(frames, model: Model, ranges: tuple[int, int], want: str):
-    """want "sums": of the pairs that a batch owns, each first word's discounted mass and its words' mass.
-    want "docs": scores without the weights, and for which words these are missing."""
+def _score(frames, model: Model, ranges: tuple[int, int]):
+    """Two kinds of rows. By range: of the pairs that a batch owns, each first word's discounted mass and
+    its words' mass. By document (range -1): scores without the weights, and for which words these are
+    missing."""
     for frame in frames:
         out = []
         for row in frame.itertuples(index=False):
             batch = Batch(row.docs, row.train, row.lengths, row.tokens, row.words)
-            told = np.concatenate([np.frombuffer(t["told"], np.uint32) for t in sorted(row.answers, key=lambda t: t["range"])])
+            told = np.concatenate([unpack(t["told"], np.uint32) for t in sorted(row.answers, key=lambda t: t["range"])])
             owner, counts = (told & OWNER) > 0, (told & ~OWNER).astype(np.int64)
             words, pairs = counts[: len(batch.words)], counts[len(batch.words) :]
             shares = model.word(words)
             context = words.copy()
             context[np.searchsorted(batch.words, START)] = model.docs
             seen = model.pair(pairs, context[batch.left])
-            if want == "sums":
-                own = np.flatnonzero(owner[len(batch.words) :] & (pairs > 0))
-                left = batch.left[own]
-                used = np.unique(left)
-                mass, other = np.bincount(left, seen[own], len(words)), np.bincount(left, shares[batch.right[own]], len(words))
-                for i, (a, b) in enumerate(_segments(batch.words[used], ranges[0])):
-                    if b > a:
-                        at = used[a:b]
-                        out.append((i, batch.words[at].tobytes(), mass[at].tobytes(), other[at].tobytes()))
-                continue
+            own = np.flatnonzero(owner[len(batch.words) :] & (pairs > 0))
+            left = batch.left[own]
+            used = np.unique(left)
+            mass, other = np.bincount(left, seen[own], len(words)), np.bincount(left, shares[batch.right[own]], len(words))
+            for i, (a, b) in enumerate(_segments(batch.words[used], ranges[0])):
+                if b > a:
+                    out.append((i, pack(batch.words[used[a:b]]), pack(mass[used[a:b]]), pack(other[used[a:b]]), *[None] * 8))
             known = pairs > 0
             plain = np.log10(np.where(known, np.where(known, seen, 1.0), shares[batch.right]))
             score = np.bincount(batch.doc, plain[batch.pair], len(batch.docs))
@@ -176,9 +190,8 @@ def _score(frames, model: Model, ranges: tuple[int, int], want: str):
             edges = np.searchsorted(doc, np.arange(len(batch.docs) + 1))
             for i, d in enumerate(batch.docs.tolist()):
                 a, b = edges[i], edges[i + 1]
-                out.append((d, not batch.train[i], int(batch.lengths[i]), int(n_known[i]), float(base[i]), float(score[i]), batch.words[word[a:b]].tobytes(), times[a:b].astype(np.int32).tobytes()))
-        names = ["range", "keys", "mass", "other"] if want == "sums" else ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "plain", "missing", "times"]
-        yield pd.DataFrame(out, columns=names)
+                out.append((-1, None, None, None, d, not batch.train[i], int(batch.lengths[i]), int(n_known[i]), float(base[i]), float(score[i]), batch.words[word[a:b]].tobytes(), times[a:b].astype(np.int32).tobytes()))
+        yield pd.DataFrame(out, columns=["range", "keys", "mass", "other", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "plain", "missing", "times"]).astype({c: "Int64" for c in ("doc_id", "n_tokens", "n_known")} | {"held_out": "boolean"})
 
 
 def _pending(frames, ranges: int):
@@ -196,8 +209,8 @@ def _weights(key, sums: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     """Of one range: log weights of the words asked for, times how often each document needs them."""
     if not len(asked):
         return pd.DataFrame(columns=["doc", "backoff"]).astype({"doc": "int64", "backoff": "float64"})
-    value = np.concatenate([np.empty(0, U64), *[np.frombuffer(b, U64) for b in sums["keys"]]])
-    mass, other = (np.concatenate([np.empty(0), *[np.frombuffer(b, np.float64) for b in sums[c]]]) for c in ("mass", "other"))
+    value = np.concatenate([np.empty(0, U64), *[unpack(b, U64) for b in sums["keys"]]])
+    mass, other = (np.concatenate([np.empty(0), *[unpack(b, np.float64) for b in sums[c]]]) for c in ("mass", "other"))
     words, inverse = np.unique(value, return_inverse=True)
     mass, other = np.bincount(inverse, mass, len(words)), np.bincount(inverse, other, len(words))
     weight = np.log10(np.maximum(1 - mass, 1e-12) / np.maximum(1 - other, 1e-12))
@@ -217,8 +230,8 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     documents all words are unknown. An empty table gives an empty table; other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    batches = common.materialize(texts.mapInPandas(_batches, "batch long, docs binary, train binary, lengths binary, tokens binary, words binary"), "batches")
-    size = batches.agg(F.coalesce(F.sum(F.octet_length("tokens") / 4), F.lit(0)).alias("t"), F.coalesce(F.sum(F.octet_length("words") / 8), F.lit(0)).alias("w")).first()
+    batches = common.materialize(texts.mapInPandas(_batches, "batch long, docs binary, train binary, lengths binary, tokens binary, words binary, n_tokens long, n_words long"), "batches")
+    size = batches.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("w")).first()
     ranges = (4 + int(size["w"] / ENTRIES), 8 + int(size["t"] / ENTRIES))
 
     answers = common.materialize(batches.mapInPandas(lambda f: _ask(f, ranges), "range long, batch long, keys binary, counts binary").groupBy("range").applyInPandas(_totals, "range long, batch long, told binary, stats array<long>"), "counts")
@@ -228,9 +241,8 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     model = Model(word[0], word[1], n_docs, word[2:], pair[2:])
 
     told = answers.where("batch >= 0").groupBy("batch").agg(F.collect_list(F.struct("range", "told")).alias("answers"))
-    joined = common.materialize(batches.join(told, "batch"), "told")
-    sums = joined.mapInPandas(lambda f: _score(f, model, ranges, "sums"), "range long, keys binary, mass binary, other binary")
-    scored = common.materialize(joined.mapInPandas(lambda f: _score(f, model, ranges, "docs"), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, plain double, missing binary, times binary"), "scored")
+    both = common.materialize(batches.join(told, "batch").mapInPandas(lambda f: _score(f, model, ranges), "range long, keys binary, mass binary, other binary, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, plain double, missing binary, times binary"), "scored")
+    sums, scored = both.where("range >= 0").select("range", "keys", "mass", "other"), both.where("range = -1").drop("range", "keys", "mass", "other")
     asked = scored.where(F.octet_length("missing") > 0).mapInPandas(lambda f: _pending(f, ranges[0]), "range long, keys binary, docs binary, times binary")
     backoff = sums.groupBy("range").cogroup(asked.groupBy("range")).applyInPandas(_weights, "doc long, backoff double").groupBy("doc").agg(F.sum("backoff").alias("backoff"))
     return scored.join(backoff, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("plain") + F.coalesce("backoff", F.lit(0.0))).alias("score"))
