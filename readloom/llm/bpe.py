@@ -20,6 +20,7 @@ import functools
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -28,6 +29,10 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: Rows whose results are held at once.
+CHUNK = 500
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """A ``.tiktoken`` file: base64 bytes and rank on each line."""
     with open(path, "rb") as file:
@@ -37,7 +42,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encoder of single pieces. ``limit`` bounds the states and pairs that are kept in memory."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = 350_000):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.limit = limit
@@ -250,17 +255,18 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: bool = True
 
     def run(frames):
         made = codec(vocabulary, pattern)
-        for frame in frames:
-            rows = []
-            for text in frame["text"]:
-                pieces, ids = made.entries(text)
-                back = made.decoded(pieces)
-                joined = ",".join(ids)
-                n = joined.count(",") + 1 if joined else 0
-                rows.append((n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), [int(i) for i in joined.split(",") if i] if keep_ids else None))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-            out.insert(0, "doc_id", frame["doc_id"].to_numpy())
-            yield out[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]]
+        for whole in frames:
+            for at in range(0, len(whole), CHUNK):
+                frame, rows = whole[at : at + CHUNK], []
+                for text in frame["text"]:
+                    pieces, ids = made.entries(text)
+                    back = made.decoded(pieces)
+                    joined = ",".join(ids)
+                    n = joined.count(",") + 1 if joined else 0
+                    rows.append((n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), np.array(joined.split(",") if n else [], np.int32) if keep_ids else None))
+                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+                out.insert(0, "doc_id", frame["doc_id"].to_numpy())
+                yield out[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]]
 
     return common.with_text(docs).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
