@@ -10,6 +10,7 @@ from .functions import codes, sequences as sq, stats
 from .operators import alignments, clusters, demult, profiles as pf, reads, structures as st
 from .plans import bias, clustering, domains, filtering, simulation
 from .sources import text
+from .streaming import counts as stream
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -789,3 +790,33 @@ def simulate_reads(spark, sf):
 def web_export(spark, sf):
     t = rm.profiles(spark, sf).select(F.col("label").cast("string").alias("sample"), F.col("vec_id").cast("string").alias("ref"), F.lit("full").alias("reg"), F.lit("average").alias("clust"), "pos", F.round("mu", 3).alias("mu"))
     return text.export_json(t).select("sample", F.size(F.from_json("json", "map<string,string>")).cast("long").alias("refs"))
+
+
+# Streams.
+
+
+def _stream(spark, sf, name):
+    return spark.readStream.schema(rm.table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def _counted(spark, counts):
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="readloom-")
+    path = f"{base}/stream-{uuid.uuid4().hex}"
+    stream.run_available(counts, path)
+    return spark.read.schema(counts.schema).parquet(f"{path}/table")
+
+
+@query("streaming_event_windows", "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by 1, 2")
+def streaming_event_windows(spark, sf):
+    events = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = stream.windowed(events, "ts", "1 hour", "1 day", ["event_type"])
+    return _counted(spark, out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n"))
+
+
+@query("streaming_position_counts", f"with {R.split('muts as')[0].rstrip().rstrip(',')}, y as (select *, case base when 'A' then 238 when 'C' then 222 when 'G' then 190 else 126 end as yes from cod where c <> 1) select pos, base, count(*) filter ((c | yes) = yes) as Mutated_fit from y group by 1, 2")
+def streaming_position_counts(spark, sf):
+    rows = rm.coded(_stream(spark, sf, "lineitem")).where("c <> 1").select("pos", "base", F.col("c").alias("rel"))
+    return _counted(spark, stream.position_counts(rows, {"Mutated": MUT}).select("pos", "base", "Mutated_fit"))

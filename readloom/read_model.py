@@ -21,10 +21,14 @@ def positions(spark: SparkSession) -> DataFrame:
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded(table(spark, sf_dir, "lineitem"))
+
+
+def coded(lineitem: DataFrame) -> DataFrame:
     """read, pos, base, c: one code a line item."""
     r, o = F.col("l_returnflag"), F.col("l_linestatus")
     code = F.when((r == "R") & (o == "O"), 16).when(r == "R", 32).when((r == "N") & (o == "O"), 64).when(r == "N", 128).when(o == "F", 2).otherwise(8)
-    out = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("read"), (F.col("l_partkey") % LENGTH + 1).cast("int").alias("pos"), code.alias("c"))
+    out = lineitem.select(F.col("l_orderkey").alias("read"), (F.col("l_partkey") % LENGTH + 1).cast("int").alias("pos"), code.alias("c"))
     own = F.when(F.col("base") == "A", 16).when(F.col("base") == "C", 32).when(F.col("base") == "G", 64).otherwise(128)
     return out.withColumn("base", base_at(F.col("pos"))).withColumn("c", F.when(F.col("c") == own, 1).otherwise(F.col("c")))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import codes
 
@@ -27,6 +26,11 @@ def windowed(events: DataFrame, time: str, size: str, late: str, key: list[str])
     return events.withWatermark(time, late).groupBy(F.window(time, size), *key).agg(F.count("*").alias("n"))
 
 
-def start(counts: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """An in-memory table of that name, from all input that is there."""
-    return counts.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(counts: DataFrame, path: str, mode: str = "complete") -> None:
+    """Process all input that is there now; each micro-batch replaces the table at ``path``/table, so that a
+    restart from the checkpoint beside it ends in the same table."""
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table")
+
+    counts.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(replace).start().awaitTermination()
