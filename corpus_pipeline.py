@@ -13,6 +13,8 @@ from readloom.llm import bpe, common, jaccard, language, leaks, secrets
 
 #: A language is rejected as undetermined, or under this probability.
 LEAST_SCORE = 0.3
+#: What a worker of the last stage remembers: workers outlive their stage, and share memory with others.
+TOKEN_MEMORY = 100_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of what they decode to."""
     common.release()
-    return bpe.encode(docs, *bpe.public_vocabulary())
+    return bpe.encode(docs, *bpe.public_vocabulary(), limit=TOKEN_MEMORY)
 
 
 STAGES = [

@@ -31,6 +31,8 @@ from . import common
 
 #: Rows whose results are held at once.
 CHUNK = 500
+#: States, pairs and pieces that a worker remembers, each; some 450 MB in all.
+LIMIT = 350_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -42,7 +44,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encoder of single pieces. ``limit`` bounds the states and pairs that are kept in memory."""
 
-    def __init__(self, ranks: dict[bytes, int], limit: int = 350_000):
+    def __init__(self, ranks: dict[bytes, int], limit: int = LIMIT):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.limit = limit
@@ -192,8 +194,8 @@ class Utf8:
 class Codec:
     """Whole texts: the pattern's pieces one by one through the transducer."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 350_000):
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = LIMIT):
+        self.transducer = Transducer(ranks, limit)
         self.pieces = regex.compile(pattern).findall
         self.limit = limit
         self.memo: dict[str, str] = {}
@@ -239,22 +241,22 @@ class Codec:
         return "".join([self.odd.get(p, p) for p in pieces] if self.odd else pieces)
 
 
-@functools.lru_cache(maxsize=4)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(load_ranks(path), pattern)
+@functools.lru_cache(maxsize=1)
+def codec(path: str, pattern: str, limit: int = LIMIT) -> Codec:
+    return Codec(load_ranks(path), pattern, limit)
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: bool = True, limit: int = LIMIT) -> DataFrame:
     """Encode every whole text and decode it again.
 
     Returns doc_id, n_tokens, ids (array<int>, or left out), ids_sha256, decoded_sha256. A null or
     empty text has no tokens. Equal rows give equal results; other columns are ignored. Work is
     per row, so nothing is shuffled and a lost executor costs only its own splits. ``vocabulary`` is
-    a path that exists on each machine, as an installed package's file does.
+    a path that exists on each machine, as an installed package's file does; ``limit`` bounds a worker's memory.
     """
 
     def run(frames):
-        made = codec(vocabulary, pattern)
+        made = codec(vocabulary, pattern, limit)
         for whole in frames:
             for at in range(0, len(whole), CHUNK):
                 frame, rows = whole[at : at + CHUNK], []
