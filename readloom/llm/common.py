@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -35,6 +36,8 @@ def written(df: DataFrame, name: str, keep: bool = True) -> DataFrame:
     executor can read the result again after another one is lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/readloom-{name}-{uuid.uuid4().hex}"
+    gc.collect()
+    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of what was written before
     df.write.parquet(path)
     (_KEPT if keep else _SCRATCH).append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

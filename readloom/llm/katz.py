@@ -21,7 +21,7 @@ from . import common
 from .common import U64, mix
 
 #: Code points of text in a batch; n-grams that a range gets, about; counts above K are not discounted.
-BATCH, ENTRIES, K = 8_000_000, 1_500_000, 5
+BATCH, ENTRIES, K = 7_000_000, 1_500_000, 5
 END, START = U64(0x5BD1E995A3C59AC3), U64(0x2545F4914F6CDD1D)
 OWNER = np.uint32(1 << 31)
 _Z = zstandard.ZstdCompressor(level=3)
@@ -42,7 +42,7 @@ def unpack(data: bytes, kind) -> np.ndarray:
 
 def _batches(frames):
     """Texts of a split as batches: hashes of the words, local numbers of all tokens."""
-    hasher = common.WordHash()
+    hasher = common.WordHash(150_000)
     part = TaskContext.get().partitionId()
     held: list[tuple] = []
     size = number = 0
@@ -70,9 +70,9 @@ class Batch:
     def __init__(self, docs, train, lengths, tokens, words):
         self.docs, self.train = unpack(docs, np.int64), unpack(train, np.uint8) > 0
         self.lengths, self.tokens, self.words = unpack(lengths, np.int32), unpack(tokens, np.int32), unpack(words, U64)
-        self.doc = np.repeat(np.arange(len(self.docs)), self.lengths)
+        self.doc = np.repeat(np.arange(len(self.docs), dtype=np.int32), self.lengths)
         first = np.cumsum(self.lengths) - self.lengths
-        self.before = np.r_[np.int32(0), self.tokens[:-1]].astype(np.int64)
+        self.before = np.r_[np.int32(0), self.tokens[:-1]]
         self.before[first] = np.searchsorted(self.words, START)
         keys = mix(self.words[self.before] * U64(0x9E3779B97F4A7C15) + mix(self.words[self.tokens]))
         self.pairs, at, self.pair = np.unique(keys, return_index=True, return_inverse=True)
@@ -184,7 +184,7 @@ def _score(frames, model: Model, ranges: tuple[int, int]):
             base = np.bincount(batch.doc, np.log10((words[batch.tokens] + 1) / (model.tokens + model.types + 1)), len(batch.docs))
             n_known = np.bincount(batch.doc, words[batch.tokens] > 0, len(batch.docs))
             missing = ~known[batch.pair] & (context[batch.before] > 0)
-            code = batch.doc[missing].astype(np.int64) * len(words) + batch.before[missing]
+            code = batch.doc[missing].astype(np.int64) * len(words) + batch.before[missing]  # few: only texts held out
             value, times = np.unique(code, return_counts=True)
             doc, word = value // len(words), value % len(words)
             edges = np.searchsorted(doc, np.arange(len(batch.docs) + 1))
