@@ -191,23 +191,29 @@ class Index:
 
 
 def _links(classes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Spanning links among these sets. Members already connected are not searched for again; of two
-    unconnected ones at least one asks for the other, so no link between components is left out."""
+    """Spanning links among these sets. Members of one component, the home, are passed over: whoever is not
+    in it asks for them. Another component becomes home once it is twice as large (or nobody was passed
+    over yet); those passed over for the former one are then searched for, so in the end everyone outside
+    the home has asked, and no link between components is left out."""
     index = Index(sets)
     root = np.arange(len(sets))
     size = np.ones(len(sets), np.int64)
-    edges, largest = [], 0
-    for i in np.argsort(-index.sizes, kind="stable").tolist():
-        if root[i] == root[largest] and size[root[i]] > 1:
-            continue  # the others ask for it
+    edges, home, passed = [], 0, []
+    left = np.argsort(-index.sizes, kind="stable")[::-1].tolist()
+    while left:
+        i = left.pop()
+        if root[i] == root[home] and size[root[i]] > 1:
+            passed.append(i)
+            continue
         for j in index.search(sets[i], percent, skip=root == root[i]):
             a, b = sorted((int(root[i]), int(root[j])))
             if a != b:
                 edges.append((int(classes[i]), int(classes[j])))
                 root[root == b] = a
                 size[a] += size[b]
-                if size[a] > size[root[largest]] or root[largest] == a:
-                    largest = a
+                if size[a] > size[root[home]] * (2 if passed else 1):
+                    left += passed
+                    home, passed = a, []
     return edges
 
 

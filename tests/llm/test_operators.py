@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,30 @@ def test_jaccard(rows, docs, hot, monkeypatch):
     assert len(set(root.values())) < len(root)
 
 
+def test_links_between_components():
+    """Windows of one text, searched in any order: chains of links stay whole."""
+    rng = random.Random(3)
+    for n in [5] * 300 + [12] * 100 + [50] * 20:
+        starts, at = [], 0
+        for _ in range(n):
+            at += rng.randint(8, 16)
+            starts.append((at, at + rng.randint(95, 110)))
+        rng.shuffle(starts)
+        sets = [np.arange(a, b, dtype=np.uint64) for a, b in starts]
+        root = list(range(n))
+        for i, (a, b) in enumerate(starts):
+            for j, (c, d) in enumerate(starts[:i]):
+                common = max(0, min(b, d) - max(a, c))
+                if 100 * common >= 75 * (b - a + d - c - common):
+                    root = [root[j] if r == root[i] else r for r in root]
+        got = list(range(n))
+        for a, b in jaccard._links(np.arange(n), sets, 75):
+            got = [got[a] if r == got[b] else r for r in got]
+        assert len(set(zip(root, got, strict=True))) == len(set(root)) == len(set(got))
+    five = [(0, 108), (14, 120), (40, 144), (28, 131), (54, 156)]
+    assert len(jaccard._links(np.arange(5), [np.arange(a, b, dtype=np.uint64) for a, b in five], 75)) == 4
+
+
 def test_occurrences_hold():
     """The number of common leading shingles is never under T, over random pairs of linked sets."""
     rng = random.Random(1)
