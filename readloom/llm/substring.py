@@ -1,7 +1,7 @@
 """Line and paragraph hashing: repeated units are removed but for the earliest one.
 
 Units are lines and, within lines of several, sentences, so that a passage set into a running paragraph
-is found too. Digests of the normalised units are grouped over the whole corpus, packed by bucket of
+is found too; short sentences repeat together with their neighbours. Digests of the normalised units are grouped over the whole corpus, packed by bucket of
 the digest; the occurrence that ranks first (by doc_id, then offset) stays. Digests that a sample shows
 to be very common are pre-aggregated instead: each split's first occurrence goes into a small table of
 minima, and a split decides about its own occurrences, so no task gathers them.
@@ -25,27 +25,39 @@ _SENTENCE = re.compile(r"\S.*?(?:[.!?…]+[\"')\]]*(?=\s|\Z)|\Z)", re.S)
 ENTRIES, HOT_SAMPLE, HOT_LEAST = 1_000_000, 10_000, 40
 
 
-def units(text: str, min_words: int = 6, min_line_words: int = 3) -> list[tuple[int, int, int, bytes]]:
+def units(text: str, min_words: int = 6, min_line_words: int = 3, min_line_chars: int = 20) -> list[tuple[int, int, int, bytes]]:
     """(start, end, end of the unit before, digest), in code points, of lines and sentences.
 
-    Normal form: lower case, white space as one space, no outer white space. A line of one sentence is
-    one unit; sentences shorter than ``min_words`` are no units but go along if the units on both sides
-    are removed. "End of the unit before" is where the last unit ended if only such short ones lie in
-    between, and -1 else."""
+    Normal form: lower case, white space as one space, no outer white space. Sentences of ``min_words`` or
+    more are units. A run of shorter ones beside them is a unit too, but repeats only together with its
+    neighbours in the line. A line of none but short sentences is one unit if it has ``min_line_words`` or
+    ``min_line_chars``. So of a repeated line every part repeats, and nothing goes that occurs once. "End
+    of the unit before" is -1 if a shorter line lies in between."""
     out = []
     before = -1
     for line in _LINE.finditer(text):
         raw = line[0]
-        found = [(m.start(), m.end()) for m in _SENTENCE.finditer(raw)]
-        whole = len(found) < 2
-        for a, b in found:
-            words = raw[a:b].split()
-            if len(words) >= (min_line_words if whole else min_words):
-                start, end = line.start() + a, line.start() + len(raw[:b].rstrip())
-                out.append((start, end, before, xxhash.xxh3_128_digest(" ".join(words).lower().encode("utf-8", "surrogatepass"))))
-                before = end
-            elif whole:
+        found = [(m.start(), m.start() + len(m[0].rstrip()), len(m[0].split()) >= min_words) for m in _SENTENCE.finditer(raw)]
+        if not found:
+            continue
+        first, last = found[0][0], found[-1][1]
+        if not any(long for _, _, long in found):
+            if len(raw.split()) < min_line_words and last - first < min_line_chars:
                 before = -1
+                continue
+            found = [(first, last, True)]
+        k = 0
+        while k < len(found):
+            to = k + 1
+            if found[k][2]:
+                mark, a, b = "", *found[k][:2]
+            else:
+                while to < len(found) and not found[to][2]:
+                    to += 1
+                mark, a, b = "\n", found[max(0, k - 1)][0], found[min(to, len(found) - 1)][1]
+            start, end = line.start() + found[k][0], line.start() + found[to - 1][1]
+            out.append((start, end, before, xxhash.xxh3_128_digest((mark + " ".join(raw[a:b].split()).lower()).encode("utf-8", "surrogatepass"))))
+            before, k = end, to
     return out
 
 
@@ -129,7 +141,7 @@ def _hot_later(frames, least: dict):
 
 
 def _spans(frames):
-    """Removed units of each document as merged spans; short sentences between two go along."""
+    """Removed units of each document as merged spans, with the white space between neighbours."""
     for frame in frames:
         rows = []
         for doc_id, *parts in zip(frame["doc_id"], frame["start"], frame["end"], frame["before"], strict=True):

@@ -166,6 +166,24 @@ def test_substring(rows, docs, hot, monkeypatch):
         assert cut[i] == (None if t is None else left + t[at:])
 
 
+def test_substring_short_sentences(spark):
+    """Short sentences go with their line or with their neighbours, and never if they occur once."""
+    one, two = "The first of the long sentences here.", "The second of the long sentences follows."
+    texts = [
+        f"(c) X. All rights reserved.\n{one} Short tail.\nSo. {two}\n{one} Only here. {two}",
+        "New.\n(c) x.  All rights reserved. ",  # a line of short ones alone
+        f"Ahem. So it was.\n{one} Short tail.",  # a tail, with its line
+        f"{one} Nowhere else. {two}",  # between two that repeat
+        f"Some words of another running paragraph. {one} Only here. {two} And on.",  # a passage in a paragraph
+        "没有空格的文字也有重复的行所以按字符数来算",
+        "没有空格的文字也有重复的行所以按字符数来算",
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    cut = {r["doc_id"]: r["text"].strip() for r in substring.remove(docs, substring.repeats(docs)).collect()}
+    assert [" ".join(cut[i].split()) for i in range(1, 7)] == ["New.", "Ahem. So it was.", "Nowhere else.", "Some words of another running paragraph. And on.", texts[5], ""]
+    assert cut[0].endswith("Only here.") and cut[0].startswith(texts[0].rsplit("\n", 1)[0])
+
+
 def test_katz(rows, docs):
     train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
     got = {r["doc_id"]: r for r in katz.score(docs, train).collect()}
