@@ -114,8 +114,8 @@ class Model:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, orders: tuple[int, ...] = ORDERS, epochs: int = 4) -> Model:
-    """``labelled``: text, lang. Frequencies come from every row; weights from up to ``sample`` rows per
-    language, those with the smallest hash of their text (ties: equal texts), at least one for each."""
+    """``labelled``: text, lang. Frequencies come from every row; weights from up to ``sample``
+    distinct texts per language, those with the smallest hash: all of them if there are no more."""
     size = 1 << bits
     labelled = labelled.where("text is not null and lang is not null").select("text", "lang")
     df = {r["feature"]: r["n"] for r in labelled.select("text").mapInPandas(lambda f: _frequencies(f, bits, orders), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
@@ -124,16 +124,10 @@ def train(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, orders: t
     for f, count in df.items():
         idf[f] = math.log((1 + n) / (1 + count)) + 1
     keyed = labelled.withColumn("h", F.xxhash64("text"))
-    counts = {r["lang"]: r["count"] for r in keyed.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["n"] for r in keyed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((size, 1)), 1.0, bits, orders)
-    # a threshold of the hash per language keeps somewhat more than the sample, the smallest hashes of which are taken
-    rule = F.lit(False)
-    for lang in langs:
-        top = int(-(1 << 63) + (1 << 64) * min(1.0, 1.25 * sample / counts[lang] + 32 / counts[lang])) - 1
-        rule = rule | ((F.col("lang") == lang) & (F.col("h") <= F.lit(top)))
-
     def vectors(frames):
         for frame in frames:
             rows = []
@@ -143,14 +137,24 @@ def train(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, orders: t
                 rows.append((lang, h, at.astype(np.int32).tobytes(), np.minimum(c[at], 65535).astype(np.uint16).tobytes(), int(c.sum())))
             yield pd.DataFrame(rows, columns=["lang", "h", "at", "x", "n"])
 
-    rows = keyed.where(rule).dropDuplicates(["lang", "h"]).mapInPandas(vectors, "lang string, h long, at binary, x binary, n long")
+    # a threshold of the hash per language keeps somewhat more than the sample, the smallest hashes of which are
+    # taken; where it kept too few after all, it is raised
+    share = {lang: min(1.0, (1.25 * sample + 32) / max(1, counts[lang])) for lang in langs}
     kept: dict[str, list] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r["h"], r["lang"])):
-        kept.setdefault(r["lang"], [])
-        if len(kept[r["lang"]]) < sample:
-            at = np.frombuffer(r["at"], np.int32)
-            kept[r["lang"]].append((at, np.frombuffer(r["x"], np.uint16) / max(1, r["n"]) * idf[at]))
-    langs = [lang for lang in langs if kept.get(lang)]
+    low = langs
+    while low:
+        rule = F.lit(False)
+        for lang in low:
+            top = int(-(1 << 63) + (1 << 64) * share[lang]) - 1
+            rule = rule | ((F.col("lang") == lang) & (F.col("h") <= F.lit(top)))
+        rows = keyed.where(rule).dropDuplicates(["lang", "h"]).mapInPandas(vectors, "lang string, h long, at binary, x binary, n long")
+        kept |= {lang: [] for lang in low}
+        for r in sorted(rows.collect(), key=lambda r: (r["h"], r["lang"])):
+            if len(kept[r["lang"]]) < sample:
+                at = np.frombuffer(r["at"], np.int32)
+                kept[r["lang"]].append((at, np.frombuffer(r["x"], np.uint16) / max(1, r["n"]) * idf[at]))
+        low = [lang for lang in low if len(kept[lang]) < sample and share[lang] < 1]
+        share |= {lang: min(1.0, 4 * share[lang]) for lang in low}
     held, used = [], []
     for k, lang in enumerate(langs):
         for i, (at, x) in enumerate(kept[lang]):

@@ -282,6 +282,20 @@ def test_language(spark):
     assert language.train(docs.limit(0)).predict("text") == ("und", 0.0)
 
 
+def test_language_copies(spark, monkeypatch):
+    """Copies of a text do not shrink the sample of its language."""
+    rng = random.Random(4)
+    texts = [(" ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(8)), lang) for lang, letters in (("aa", "abcde"), ("bb", "vwxyz")) for _ in range(40)]
+    few = [("".join(rng.choice("klmno") for _ in range(20)), "cc") for _ in range(7)]
+    table = spark.createDataFrame(texts + few, "text string, lang string").withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("_")
+    learnt = collections.Counter()
+    learn = language.Ftrl.learn
+    monkeypatch.setattr(language.Ftrl, "learn", lambda self, at, x, label: (learnt.update([label]), learn(self, at, x, label)))
+    model = language.train(table, sample=20, epochs=1)
+    assert model.langs == ["aa", "bb", "cc"]
+    assert learnt == {0: 16, 1: 16, 2: 6}  # every fifth text is held back
+
+
 def base_spans(text):
     found = []
     for rank, (kind, pattern) in enumerate((("assign", secrets.ASSIGN), ("access", secrets.ACCESS), ("hex", "[0-9a-f]+"))):
