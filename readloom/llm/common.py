@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -23,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where none is set (tests)."""
+    """The folder named by spark.checkpoint.dir; one of our own only where none is set on a single machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="readloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -57,8 +60,8 @@ def release(paths: list | None = None) -> None:
         try:
             jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-        except Exception:  # the session may have ended already; the folder is scratch
-            return
+        except Exception:  # its session has ended; the folder is scratch, and others may still go
+            continue
 
 
 atexit.register(release)
@@ -70,6 +73,26 @@ def with_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A 64-bit key of a row from its doc_id and whole text (null as empty), the same wherever and however often it
+    is computed. Rows that agree in both are one document; a null or repeated doc_id with another text is another."""
+    return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit("|"), F.coalesce(text, F.lit("")))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def every(n: int, sample: int) -> int:
+    """One row in how many to look at, to learn what is very common: ``sample`` rows of a small table, a thousandth
+    of a large one. What is seen ``least`` times has some 1000 x ``least`` entries at most in any table, however large."""
+    return min(1000, max(1, n // sample))
+
+
 def words(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as UTF-8. bytes.lower and bytes.split
     know ASCII alone, which is just this definition."""

@@ -2,9 +2,9 @@
 
 Units are lines and, within lines of several, sentences, so that a passage set into a running paragraph
 is found too; short sentences repeat together with their neighbours. Digests of the normalised units are grouped over the whole corpus, packed by bucket of
-the digest; the occurrence that ranks first (by doc_id, then offset) stays. Digests that a sample shows
+the digest; the occurrence that ranks first (by doc_id, null last, then offset) stays. Digests that a sample shows
 to be very common are pre-aggregated instead: each split's first occurrence goes into a small table of
-minima, and a split decides about its own occurrences, so no task gathers them.
+minima, and a split decides about its own occurrences by the same rank, so no task gathers them.
 """
 
 from __future__ import annotations
@@ -21,18 +21,19 @@ from . import common
 
 _LINE = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"\S.*?(?:[.!?…]+[\"')\]]*(?=\s|\Z)|\Z)", re.S)
-#: Entries in a bucket; documents in the sample that shows very common units.
+#: Entries in a bucket; documents in the sample that shows very common units, and how many of a unit there make it so.
 ENTRIES, HOT_SAMPLE, HOT_LEAST = 1_000_000, 10_000, 40
+#: The rank of documents without a doc_id: after all others, by content.
+LAST = np.iinfo(np.int64).max
 
 
-def units(text: str, min_words: int = 6, min_line_words: int = 3, min_line_chars: int = 20) -> list[tuple[int, int, int, bytes]]:
+def units(text: str, min_words: int = 6) -> list[tuple[int, int, int, bytes]]:
     """(start, end, end of the unit before, digest), in code points, of lines and sentences.
 
     Normal form: lower case, white space as one space, no outer white space. Sentences of ``min_words`` or
     more are units. A run of shorter ones beside them is a unit too, but repeats only together with its
-    neighbours in the line. A line of none but short sentences is one unit if it has ``min_line_words`` or
-    ``min_line_chars``. So of a repeated line every part repeats, and nothing goes that occurs once. "End
-    of the unit before" is -1 if a shorter line lies in between."""
+    neighbours in the line. A line of none but short sentences is one unit, however short. So of a repeated
+    line every part repeats, and nothing goes that occurs once. "End of the unit before" is -1 for the first."""
     out = []
     before = -1
     for line in _LINE.finditer(text):
@@ -42,9 +43,6 @@ def units(text: str, min_words: int = 6, min_line_words: int = 3, min_line_chars
             continue
         first, last = found[0][0], found[-1][1]
         if not any(long for _, _, long in found):
-            if len(raw.split()) < min_line_words and last - first < min_line_chars:
-                before = -1
-                continue
             found = [(first, last, True)]
         k = 0
         while k < len(found):
@@ -61,20 +59,23 @@ def units(text: str, min_words: int = 6, min_line_words: int = 3, min_line_chars
     return out
 
 
-_COLUMNS = ["digest", "doc", "start", "end", "before"]
+_COLUMNS = ["digest", "doc", "row", "start", "end", "before"]
 
 
 def _table(frame: pd.DataFrame, min_words: int):
-    """All units of a batch as arrays: digest (two columns of uint64), doc, start, end, before."""
-    digests, docs, starts, ends, befores = [], [], [], [], []
-    for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"], strict=True):
-        for start, end, before, digest in units(text, min_words):
+    """All units of a batch as arrays: digest (two columns of uint64), doc (rank), row (key), start, end, before."""
+    digests, sizes, starts, ends, befores = [], [], [], [], []
+    for text in frame["text"]:
+        found = units(text, min_words)
+        sizes.append(len(found))
+        for start, end, before, digest in found:
             digests.append(digest)
-            docs.append(doc_id)
             starts.append(start)
             ends.append(end)
             befores.append(before)
-    return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2), np.array(docs, np.int64), np.array(starts, np.int32), np.array(ends, np.int32), np.array(befores, np.int32)
+    doc = np.repeat(frame["rank"].to_numpy("int64"), sizes)
+    row = np.repeat(frame["row"].to_numpy("int64"), sizes)
+    return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2), doc, row, np.array(starts, np.int32), np.array(ends, np.int32), np.array(befores, np.int32)
 
 
 def _pack(digest, *columns, rows: list[tuple[int, int, int]]):
@@ -88,7 +89,7 @@ def _runs(key: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _read(frame: pd.DataFrame):
-    kinds = (np.uint64, np.int64, np.int32, np.int32, np.int32)
+    kinds = (np.uint64, np.int64, np.int64, np.int32, np.int32, np.int32)
     digest, *rest = (np.concatenate([np.frombuffer(b, kind) for b in frame[c]]) for c, kind in zip(_COLUMNS, kinds, strict=True))
     return digest.reshape(-1, 2), *rest
 
@@ -103,48 +104,53 @@ def _scan(frames, buckets: int, hot: np.ndarray, min_words: int):
         yield _pack(digest[order], *(c[order] for c in columns), rows=_runs(bucket[order]))
 
 
-def _removed(doc, start, end, before, gone) -> pd.DataFrame:
-    order = np.lexsort((start[gone], doc[gone]))
-    doc, start, end, before = (x[gone][order] for x in (doc, start, end, before))
-    return pd.DataFrame([(key, start[a:b].tobytes(), end[a:b].tobytes(), before[a:b].tobytes()) for key, a, b in _runs(doc)], columns=["doc_id", "start", "end", "before"])
+def _removed(row, start, end, before, gone) -> pd.DataFrame:
+    order = np.lexsort((start[gone], row[gone]))
+    row, start, end, before = (x[gone][order] for x in (row, start, end, before))
+    return pd.DataFrame([(key, start[a:b].tobytes(), end[a:b].tobytes(), before[a:b].tobytes()) for key, a, b in _runs(row)], columns=["row", "start", "end", "before"])
 
 
-def _first(digest, doc, start):
-    """Order by digest and rank, and whether each is the first of its digest."""
-    order = np.lexsort((start, doc, digest[:, 1], digest[:, 0]))
-    sorted_digest = digest[order]
-    return order, np.r_[True, (sorted_digest[1:] != sorted_digest[:-1]).any(axis=1)] if len(order) else np.empty(0, bool)
+def _first(digest, doc, row, start):
+    """Order by digest and rank; which in it is the first of its digest; which is that one, or the same unit of an
+    equal row."""
+    order = np.lexsort((start, row, doc, digest[:, 1], digest[:, 0]))
+    if not len(order):
+        return order, np.empty(0, bool), np.empty(0, bool)
+    digest, row, start = digest[order], row[order], start[order]
+    first = np.r_[True, (digest[1:] != digest[:-1]).any(axis=1)]
+    of = np.flatnonzero(first)[np.cumsum(first) - 1]
+    return order, first, (row == row[of]) & (start == start[of])
 
 
 def _later(frame: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: all occurrences but the first of each digest."""
-    digest, doc, start, end, before = _read(frame)
-    order, first = _first(digest, doc, start)
+    digest, doc, row, start, end, before = _read(frame)
+    order, _, kept = _first(digest, doc, row, start)
     gone = np.zeros(len(order), bool)
-    gone[order[~first]] = True
-    return _removed(doc, start, end, before, gone)
+    gone[order[~kept]] = True
+    return _removed(row, start, end, before, gone)
 
 
 def _minima(frames):
     for frame in frames:
-        digest, doc, start, _, _ = _read(frame)
-        order, first = _first(digest, doc, start)
+        digest, doc, row, start, _, _ = _read(frame)
+        order, first, _ = _first(digest, doc, row, start)
         at = order[first]
-        yield pd.DataFrame({"high": digest[at, 0].view(np.int64), "low": digest[at, 1].view(np.int64), "doc": doc[at], "start": start[at]})
+        yield pd.DataFrame({"high": digest[at, 0].view(np.int64), "low": digest[at, 1].view(np.int64), "doc": doc[at], "row": row[at], "start": start[at]})
 
 
 def _hot_later(frames, least: dict):
     for frame in frames:
-        digest, doc, start, end, before = _read(frame)
-        keep = np.array([least[h, l] == (d, s) for h, l, d, s in zip(digest[:, 0].view(np.int64).tolist(), digest[:, 1].view(np.int64).tolist(), doc.tolist(), start.tolist(), strict=True)], bool)
-        yield _removed(doc, start, end, before, ~keep)
+        digest, doc, row, start, end, before = _read(frame)
+        keep = np.array([least[h, l] == (d, r, s) for h, l, d, r, s in zip(digest[:, 0].view(np.int64).tolist(), digest[:, 1].view(np.int64).tolist(), doc.tolist(), row.tolist(), start.tolist(), strict=True)], bool)
+        yield _removed(row, start, end, before, ~keep)
 
 
 def _spans(frames):
     """Removed units of each document as merged spans, with the white space between neighbours."""
     for frame in frames:
         rows = []
-        for doc_id, *parts in zip(frame["doc_id"], frame["start"], frame["end"], frame["before"], strict=True):
+        for row, *parts in zip(frame["row"], frame["start"], frame["end"], frame["before"], strict=True):
             start, end, before = (np.concatenate([np.frombuffer(b, np.int32) for b in p]) for p in parts)
             order = np.argsort(start, kind="stable")
             spans: list[list[int]] = []
@@ -153,56 +159,66 @@ def _spans(frames):
                     spans[-1][1] = max(b, spans[-1][1])
                 else:
                     spans.append([a, b])
-            rows.append((doc_id, len(order), [{"start": a, "end": b} for a, b in spans]))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_units_removed", "spans"])
+            rows.append((row, len(order), [{"start": a, "end": b} for a, b in spans]))
+        yield pd.DataFrame(rows, columns=["row", "n_units_removed", "spans"])
 
 
 SPANS = "array<struct<start:int,end:int>>"
 
 
-def repeats(docs: DataFrame, min_words: int = 6) -> DataFrame:
-    """Spans to remove: doc_id, n_units_removed, spans (code points of the original text, end exclusive).
-    Only documents that lose something are listed.
-
-    Null and empty texts have no units. Ties cannot occur: rank is (doc_id, offset), and if a doc_id comes
-    twice one of the rows counts as first at equal offsets only (give unique ids to avoid it). An empty
-    table gives an empty table; other columns are ignored.
-    """
+def _gone(docs: DataFrame, min_words: int) -> DataFrame:
+    """row (see common.row_key), n_units_removed, spans, of the documents that lose something."""
     docs = common.with_text(docs)
     n = docs.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
     buckets = 16 + int((n["chars"] or 0) / 40 / ENTRIES)
-    every = max(1, n["n"] // HOT_SAMPLE)
+    docs = docs.select(F.coalesce("doc_id", F.lit(int(LAST))).alias("rank"), common.row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
 
     def sampled(frames):
         for frame in frames:
-            digest, doc, *_ = _table(frame, min_words)
-            high, at = np.unique(digest[:, 0], return_index=True)
-            yield pd.DataFrame({"high": high.view(np.int64), "n": np.unique(digest[:, 0], return_counts=True)[1]})
+            high, count = np.unique(_table(frame, min_words)[0][:, 0], return_counts=True)
+            yield pd.DataFrame({"high": high.view(np.int64), "n": count})
 
-    seen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInPandas(sampled, "high long, n long").groupBy("high").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT_LEAST, n["n"] // every // 250))
+    seen = docs.where(F.pmod(F.col("row"), F.lit(common.every(n["n"], HOT_SAMPLE))) == 0).mapInPandas(sampled, "high long, n long").groupBy("high").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST)
     hot = np.array([r["high"] for r in seen.collect()], np.int64).view(np.uint64)
-    packed = common.materialize(docs.mapInPandas(lambda f: _scan(f, buckets, hot, min_words), "bucket long, digest binary, doc binary, start binary, end binary, before binary"), "units")
-    schema = "doc_id long, start binary, end binary, before binary"
+    packed = common.materialize(docs.mapInPandas(lambda f: _scan(f, buckets, hot, min_words), "bucket long, " + ", ".join(f"{c} binary" for c in _COLUMNS)), "units")
+    schema = "row long, start binary, end binary, before binary"
     gone = packed.where("bucket >= 0").groupBy("bucket").applyInPandas(_later, schema)
     if len(hot):
         own = packed.where("bucket < 0").drop("bucket")
-        firsts = own.mapInPandas(_minima, "high long, low long, doc long, start int").groupBy("high", "low").agg(F.min(F.struct("doc", "start")).alias("first"))
-        least = {(r["high"], r["low"]): (r["first"]["doc"], r["first"]["start"]) for r in firsts.collect()}  # no more than the very common digests
+        firsts = own.mapInPandas(_minima, "high long, low long, doc long, row long, start int").groupBy("high", "low").agg(F.min(F.struct("doc", "row", "start")).alias("first"))
+        least = {(r["high"], r["low"]): tuple(r["first"]) for r in firsts.collect()}  # no more than the very common digests
         gone = gone.unionByName(own.mapInPandas(lambda f: _hot_later(f, least), schema))
-    return gone.groupBy("doc_id").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"), F.collect_list("before").alias("before")).mapInPandas(_spans, f"doc_id long, n_units_removed long, spans {SPANS}")
+    return gone.groupBy("row").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"), F.collect_list("before").alias("before")).mapInPandas(_spans, f"row long, n_units_removed long, spans {SPANS}")
+
+
+def repeats(docs: DataFrame, min_words: int = 6) -> DataFrame:
+    """Spans to remove of every row: doc_id, n_chars_in, n_units_removed, spans (code points of the original text, end
+    exclusive; none removed: empty).
+
+    Null and empty texts have no units. Rank is (doc_id, offset); rows without a doc_id rank last, by a hash of their
+    text, and so do different texts that share one doc_id among themselves. Rows that agree in doc_id and text are one
+    document, so they get the same spans, and none of them is a repeat of the other. An empty table gives an empty
+    table; other columns, whatever their names, are ignored.
+    """
+    own = common.with_text(docs).select("doc_id", common.row_key(F.col("doc_id"), F.col("text")).alias("row"), F.length("text").cast("long").alias("n_chars_in"))
+    return own.join(_gone(docs, min_words), "row", "left").select("doc_id", "n_chars_in", F.coalesce("n_units_removed", F.lit(0)).cast("long").alias("n_units_removed"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
-def remove(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same rows and columns without the spans."""
-    held = spans.select(F.col("doc_id").alias("_key"), F.col("spans").alias("_spans"))
-    pieces = F.transform(F.sequence(F.lit(0), F.size("_spans")), lambda i: F.substring(F.col(text), F.when(i == 0, 1).otherwise(F.element_at("_spans", F.greatest(i, F.lit(1)))["end"] + 1), F.when(i == F.size("_spans"), F.length(F.col(text))).otherwise(F.element_at("_spans", F.least(i + 1, F.size("_spans")))["start"] - F.when(i == 0, 0).otherwise(F.element_at("_spans", F.greatest(i, F.lit(1)))["end"]))))
-    return docs.join(held, F.col(key) == F.col("_key"), "left").withColumn(text, F.when(F.size("_spans") > 0, F.array_join(pieces, "")).otherwise(F.col(text))).select(*docs.columns)
+def remove(docs: DataFrame, min_words: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same rows and columns, repeated rows and null keys included, without the repeated units."""
+    row, spans = common.fresh(docs, "_row"), common.fresh(docs, "_spans")
+    held = _gone(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), min_words).select(F.col("row").alias(row), F.col("spans").alias(spans))
+    keyed = docs.withColumn(row, common.row_key(F.col(key).cast("long"), F.col(text)))
+    step = F.aggregate(
+        F.col(spans),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"])).alias("out")),
+        lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))),
+    )
+    return keyed.join(held, row, "left").withColumn(text, F.when(F.size(spans) > 0, step).otherwise(F.col(text))).select(*docs.columns)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Repeated lines and sentences of all ``documents``: per document what goes, with offsets."""
-    docs = common.table(spark, sf_dir, "documents")
-    found = repeats(docs).withColumnRenamed("doc_id", "_doc")
-    none = F.array().cast(SPANS)
-    sizes = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_in"))
-    return sizes.join(found, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "n_chars_in", F.coalesce("n_units_removed", F.lit(0)).cast("long").alias("n_units_removed"), F.aggregate(F.coalesce("spans", none), F.lit(0), lambda acc, s: acc + s["end"] - s["start"]).cast("long").alias("n_chars_removed"), F.coalesce("spans", none).alias("spans"))
+    found = repeats(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars_in", "n_units_removed", F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["end"] - s["start"]).cast("long").alias("n_chars_removed"), "spans")

@@ -147,7 +147,7 @@ def test_substring(rows, docs, hot, monkeypatch):
     got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in substring.repeats(docs).collect()}
     seen, expected = set(), {}
     for i, t, *_ in rows:
-        spans = []
+        spans = expected[i] = []
         for a, b, before, digest in substring.units(t or ""):
             if digest in seen:
                 if spans and (a <= spans[-1][1] or before == spans[-1][1]):
@@ -155,17 +155,33 @@ def test_substring(rows, docs, hot, monkeypatch):
                 else:
                     spans.append((a, b))
             seen.add(digest)
-        if spans:
-            expected[i] = spans
-    assert got == expected and len(expected) > 5
-    cut = {r["doc_id"]: r["text"] for r in substring.remove(docs, substring.repeats(docs)).collect()}
+    assert got == expected and sum(map(bool, expected.values())) > 5
+    cut = {r["doc_id"]: r["text"] for r in substring.remove(docs).collect()}
     for i, t, *_ in rows:
         left, at = "", 0
-        for a, b in expected.get(i, []):
+        for a, b in expected[i]:
             left, at = left + t[at:a], b
         assert cut[i] == (None if t is None else left + t[at:])
 
 
+def test_substring_lines(spark):
+    """Brute force that does not use the operator's units: texts of lines of one sentence each."""
+    rng = random.Random(9)
+    lines = [" ".join(rng.choice("abcdef") * rng.randint(1, 4) for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    texts = ["\n".join(rng.choice([str.upper, str.lower, lambda x: f"  {x} "])(rng.choice(lines)) for _ in range(rng.randint(0, 8))) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS).repartition(5)
+    got = {r["doc_id"]: r["text"] for r in substring.remove(docs).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        left = []
+        for line in t.split("\n"):
+            key = " ".join(line.lower().split())
+            if key and key not in seen:
+                left.append(key)
+            seen.add(key)
+        assert [" ".join(x.lower().split()) for x in got[i].split("\n") if x.strip()] == left
+
+
 def test_substring_short_sentences(spark):
     """Short sentences go with their line or with their neighbours, and never if they occur once."""
     one, two = "The first of the long sentences here.", "The second of the long sentences follows."
@@ -179,11 +195,28 @@ def test_substring_short_sentences(spark):
         "没有空格的文字也有重复的行所以按字符数来算",
     ]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
-    cut = {r["doc_id"]: r["text"].strip() for r in substring.remove(docs, substring.repeats(docs)).collect()}
+    cut = {r["doc_id"]: r["text"].strip() for r in substring.remove(docs).collect()}
     assert [" ".join(cut[i].split()) for i in range(1, 7)] == ["New.", "Ahem. So it was.", "Nowhere else.", "Some words of another running paragraph. And on.", texts[5], ""]
     assert cut[0].endswith("Only here.") and cut[0].startswith(texts[0].rsplit("\n", 1)[0])
 
 
+AWKWARD = [(1, "One line of seven words stands here.\nIt has another line of words."), (1, "One line of seven words stands here.\nIt has another line of words."), (1, "Under the same id quite another text."), (None, "One line of seven words stands here.\nNo id."), (None, None), (2, "It has another line of words."), (3, "")]
+
+
+def awkward(spark):
+    """Null and repeated ids, and columns with the names that operators use inside."""
+    return spark.createDataFrame([(i, t, "k", [0], 1, "b") for i, t in AWKWARD], "doc_id long, text string, _key string, _spans array<int>, row int, bucket string").repartition(3)
+
+
+def test_substring_awkward(spark):
+    docs = awkward(spark)
+    cut = substring.remove(docs)
+    assert cut.columns == docs.columns
+    both = AWKWARD[0][1]
+    assert sorted(((r["doc_id"], r["text"]) for r in cut.collect()), key=str) == sorted([(1, both), (1, both), (1, AWKWARD[2][1]), (None, "\nNo id."), (None, None), (2, ""), (3, "")], key=str)
+    assert substring.repeats(docs).count() == len(AWKWARD)
+
+
 def test_katz(rows, docs):
     train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
     got = {r["doc_id"]: r for r in katz.score(docs, train).collect()}
@@ -318,6 +351,39 @@ def test_secrets(spark):
     assert clean[0] == "é🙂 [assign] x" and clean[4] == "[access] [key] [endpoint]" and clean[7] is None and clean[5] == key
 
 
+def test_secrets_awkward(spark):
+    """Rows that repeat a doc_id keep their own spans and their number; names clash with nothing."""
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY12"
+    rows = [(1, f"AKIA{'B' * 16} {key}"), (1, f"AKIA{'B' * 16} {key}"), (1, "x " * 4 + key), (None, f"AKIA{'B' * 16} {key * 5}"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "k", 1, 2) for i, t in rows], "doc_id long, text string, _key string, row int, _row int")
+    clean = secrets.redact(docs)
+    assert clean.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == sorted([(1, "[access] [key]")] * 2 + [(1, "x " * 4 + key), (None, "[access] [key]"), (None, None)], key=str)
+
+
+def linked_spans(text, scope):
+    """Every pair of parts, looked at one by one."""
+    base = base_spans(text)
+    weak = [(m.start(), 3 + k, m.end(), kind) for k, (kind, pattern) in enumerate((("id", secrets.WEAK_ID), ("key", secrets.WEAK_KEY), ("endpoint", secrets.ENDPOINT))) for m in re.finditer(pattern, text)]
+    role = {"access": "id", "id": "id", "endpoint": "endpoint"}
+    out = []
+    for s in weak:
+        others = [(o, role.get(o[3], "secret")) for o in base + weak if o is not s and abs(o[0] - s[0]) <= scope and (o[0] >= s[2] or o[2] <= s[0])]
+        need = {"id": {"secret"}, "key": {"id"}, "endpoint": {"id", "secret"}}[s[3]]
+        if need <= {r for _, r in others} and not any(o[0] < s[2] and o[2] > s[0] and abs(o[0] - s[0]) <= scope for o in base):
+            out.append(s)
+    return sorted(base + out)
+
+
+def test_secrets_linking(spark):
+    rng = random.Random(8)
+    parts = ["AKIA" + "Q7" * 8, "ASIA" + "Z9" * 8, "wJalrXUtnFEMIK7MDENGbPxRfiCY12", "0f" * 20, "https://s3.example.com/x", "password=abcdefgh1", "lorem ipsum", "z " * 30, "A" * 3]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 60).collect()}
+    expected = {i: linked_spans(t, 60) for i, t in enumerate(texts)}
+    assert got == expected and sum(any(s[1] >= 3 for s in v) for v in expected.values()) > 10
+
+
 def test_quality(rows, docs, spark):
     labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows] + [(3, 0, 0)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in quality.judge(docs, labels).collect()}
