@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: log2 of the number of features; n-gram lengths; labelled documents per language in the sample.
-BITS, ORDERS, SAMPLE = 15, (1, 2, 3), 600
+BITS, ORDERS, SAMPLE = 16, (1, 2, 3), 600
+#: Passes over the sample: until one lowers the mean log loss of the part held back by less than TOLERANCE; EPOCHS at most.
+EPOCHS, TOLERANCE = 40, 0.001
 #: Code points of a long text are read in pieces of this size, so memory is bounded.
 PIECE = 1 << 18
 _LETTER = re.compile(r"[^\W\d_]")
@@ -47,7 +49,7 @@ def features(text: str, bits: int = BITS, orders: tuple[int, ...] = ORDERS) -> n
 
 def _frequencies(frames, bits: int, orders: tuple[int, ...]):
     """Document frequencies of one partition: a fixed number of rows whatever it holds."""
-    df, n = np.zeros(1 << bits, np.int64), 0
+    df, n = np.zeros(1 << bits, np.int64), 0  # of one split
     for frame in frames:
         for text in frame["text"]:
             df += features(text, bits, orders) > 0
@@ -56,6 +58,13 @@ def _frequencies(frames, bits: int, orders: tuple[int, ...]):
     yield pd.DataFrame({"feature": np.r_[at, -1], "n": np.r_[df[at], n]})
 
 
+def weighted(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features that occur, and their TF-IDF values as a vector of length one."""
+    at = np.flatnonzero(counts)
+    x = counts[at] * idf[at]
+    return at, x / max(float(np.sqrt(x @ x)), 1e-12)
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -83,39 +92,42 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
+def loss(logits: np.ndarray, labels: np.ndarray, log_t: float = 0.0) -> float:
+    """Mean log loss at a temperature."""
+    return float(-np.log(softmax(logits / math.exp(log_t))[np.arange(len(labels)), labels] + 1e-12).mean())
+
+
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     """The temperature with the least log loss, by golden section over its logarithm."""
     if not len(labels):
         return 1.0
 
-    def loss(log_t: float) -> float:
-        return float(-np.log(softmax(logits / math.exp(log_t))[np.arange(len(labels)), labels] + 1e-12).mean())
-
     low, high, ratio = -3.0, 3.0, (math.sqrt(5) - 1) / 2
     for _ in range(50):
         a, b = high - ratio * (high - low), low + ratio * (high - low)
-        low, high = (low, b) if loss(a) <= loss(b) else (a, high)
+        low, high = (low, b) if loss(logits, labels, a) <= loss(logits, labels, b) else (a, high)
     return math.exp((low + high) / 2)
 
 
 class Model:
-    """Languages, weights times inverse document frequency, and temperature."""
+    """Languages, weights, inverse document frequencies and temperature."""
 
-    def __init__(self, langs: list[str], weights: np.ndarray, t: float, bits: int, orders: tuple[int, ...]):
-        self.langs, self.weights, self.t, self.bits, self.orders = langs, weights.astype(np.float32), t, bits, orders
+    def __init__(self, langs: list[str], weights: np.ndarray, idf: np.ndarray, t: float, bits: int, orders: tuple[int, ...]):
+        self.langs, self.weights, self.idf, self.t, self.bits, self.orders = langs, weights.astype(np.float32), idf.astype(np.float32), t, bits, orders
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if text is None or not self.langs or not _LETTER.search(text):
             return UNDETERMINED, 0.0
-        counts = features(text, self.bits, self.orders)
-        p = softmax((counts.astype(np.float32) @ self.weights).astype(np.float64) / counts.sum() / self.t)
+        at, x = weighted(features(text, self.bits, self.orders), self.idf)
+        p = softmax((x @ self.weights[at]).astype(np.float64) / self.t)
         best = int(p.argmax())
         return self.langs[best], float(p[best])
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, orders: tuple[int, ...] = ORDERS, epochs: int = 4) -> Model:
+def train(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, orders: tuple[int, ...] = ORDERS, epochs: int = EPOCHS) -> Model:
     """``labelled``: text, lang. Frequencies come from every row; weights from up to ``sample``
-    distinct texts per language, those with the smallest hash: all of them if there are no more."""
+    distinct texts per language, those with the smallest hash: all of them if there are no more. Rows without text or
+    lang teach nothing; repeated rows count in the frequencies and once in the sample; without rows no language is known."""
     size = 1 << bits
     labelled = labelled.where("text is not null and lang is not null").select("text", "lang")
     df = {r["feature"]: r["n"] for r in labelled.select("text").mapInPandas(lambda f: _frequencies(f, bits, orders), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
@@ -127,15 +139,15 @@ def train(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, orders: t
     counts = {r["lang"]: r["n"] for r in keyed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
-        return Model([], np.zeros((size, 1)), 1.0, bits, orders)
+        return Model([], np.zeros((size, 1)), idf, 1.0, bits, orders)
+
     def vectors(frames):
         for frame in frames:
             rows = []
             for text, lang, h in zip(frame["text"], frame["lang"], frame["h"], strict=True):
-                c = features(text, bits, orders)
-                at = np.flatnonzero(c)
-                rows.append((lang, h, at.astype(np.int32).tobytes(), np.minimum(c[at], 65535).astype(np.uint16).tobytes(), int(c.sum())))
-            yield pd.DataFrame(rows, columns=["lang", "h", "at", "x", "n"])
+                at, x = weighted(features(text, bits, orders), idf)
+                rows.append((lang, h, at.astype(np.int32).tobytes(), x.astype(np.float32).tobytes()))
+            yield pd.DataFrame(rows, columns=["lang", "h", "at", "x"])
 
     # a threshold of the hash per language keeps somewhat more than the sample, the smallest hashes of which are
     # taken; where it kept too few after all, it is raised
@@ -147,26 +159,30 @@ def train(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, orders: t
         for lang in low:
             top = int(-(1 << 63) + (1 << 64) * share[lang]) - 1
             rule = rule | ((F.col("lang") == lang) & (F.col("h") <= F.lit(top)))
-        rows = keyed.where(rule).dropDuplicates(["lang", "h"]).mapInPandas(vectors, "lang string, h long, at binary, x binary, n long")
+        rows = keyed.where(rule).dropDuplicates(["lang", "h"]).mapInPandas(vectors, "lang string, h long, at binary, x binary")
         kept |= {lang: [] for lang in low}
         for r in sorted(rows.collect(), key=lambda r: (r["h"], r["lang"])):
             if len(kept[r["lang"]]) < sample:
-                at = np.frombuffer(r["at"], np.int32)
-                kept[r["lang"]].append((at, np.frombuffer(r["x"], np.uint16) / max(1, r["n"]) * idf[at]))
+                kept[r["lang"]].append((np.frombuffer(r["at"], np.int32), np.frombuffer(r["x"], np.float32).astype(np.float64)))
         low = [lang for lang in low if len(kept[lang]) < sample and share[lang] < 1]
         share |= {lang: min(1.0, 4 * share[lang]) for lang in low}
     held, used = [], []
     for k, lang in enumerate(langs):
         for i, (at, x) in enumerate(kept[lang]):
             (held if i % 5 == 4 else used).append((at, x, k))
+    truth = np.array([k for _, _, k in held], np.int64)
     order = np.random.default_rng(7)
-    model = Ftrl(size, len(langs))
+    model, before = Ftrl(size, len(langs)), math.inf
     for _ in range(epochs):
         for i in order.permutation(len(used)):
             model.learn(*used[i])
-    w = model.weights()
-    t = temperature(np.array([x @ w[at] for at, x, _ in held]), np.array([k for _, _, k in held])) if held else 1.0
-    return Model(langs, w * idf[:, None], t, bits, orders)
+        logits = np.array([x @ model.weights(at) for at, x, _ in held or used])
+        now = loss(logits, truth if held else np.array([k for _, _, k in used], np.int64))
+        if now > before - TOLERANCE:
+            break
+        before = now
+    t = temperature(logits, truth) if held else 1.0
+    return Model(langs, model.weights(), idf, t, bits, orders)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
