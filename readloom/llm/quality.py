@@ -1,9 +1,17 @@
 """Quality rules with risk-controlled thresholds, all in DataFrame functions.
 
-A few features of each text may reject it. How far a rule may go is learnt from labelled documents: per
-stratum (a class of length), the harshest cutoff is taken whose false rejections, those of documents
-labelled good, stay under a stated rate by an exact binomial (Clopper-Pearson) bound. The error
-probability is shared between all bounds that are tried (Bonferroni), so all guarantees hold at once.
+A few features of each text may reject it. How far the rules go is learnt per stratum (a class of length) in two steps:
+
+1. a *path* of settings, each a little harsher than the one before: the next step is that cutoff, of all rules' next
+   ones, which newly rejects most documents labelled bad for each unlabelled document that it newly rejects;
+2. along the path, the documents labelled good are the holdout, as nothing of the path was learnt from them. A setting
+   holds if the exact binomial (Clopper-Pearson) bound of its false rejections, by any rule, is under a stated rate. The
+   first one that does not ends the search (fixed-sequence testing, which needs no correction along the path); the error
+   is shared between the strata (Bonferroni). So with probability 1 - DELTA no stratum loses more than ALPHA of its good
+   documents to all rules together.
+
+Of the settings that hold, that one is taken for which the share of the bad documents caught exceeds the share of the
+unlabelled ones rejected by most; the mildest of equals.
 """
 
 from __future__ import annotations
@@ -17,16 +25,24 @@ WS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Upper bounds of the strata in words; the last stratum has none.
 STRATA = (50, 200, 1000)
-#: Rules: feature, and grid of cutoffs; a text is rejected where the feature is at the cutoff or above.
+#: Cutoffs of a rule, and the mildest and the harshest; those between are spaced evenly in their logarithms. A text is
+#: rejected where the feature is at the cutoff or above.
+LEVELS = 10
 RULES = {
-    "symbol_share": [0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3],
-    "dup_line_share": [0.05, 0.1, 0.2, 0.3, 0.5, 0.7],
-    "repeat_share": [0.02, 0.05, 0.1, 0.15],
-    "upper_share": [0.1, 0.2, 0.3, 0.5, 0.7],
-    "odd_length": [1.0, 1.5, 2.0, 3.0, 5.0],
+    "symbol_share": (0.5, 0.002),
+    "dup_line_share": (0.9, 0.05),
+    "repeat_share": (0.2, 0.01),
+    "upper_share": (0.9, 0.05),
+    "odd_length": (6.0, 0.4),
 }
-#: Largest rate of false rejections of each rule and stratum, and error probability of all bounds together.
-ALPHA, DELTA = 0.02, 0.05
+#: Largest rate of false rejections in each stratum, by all rules, and error probability of all strata together.
+ALPHA, DELTA = 0.05, 0.05
+
+
+def cutoffs(rule: str) -> list[float]:
+    """The rule's cutoffs, mildest first."""
+    mild, harsh = RULES[rule]
+    return [round(mild * (harsh / mild) ** (i / (LEVELS - 1)), 6) for i in range(LEVELS)]
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -90,7 +106,8 @@ def base_failed() -> Column:
 
 def tail_at_most(k: Column, n: Column, rate: float) -> Column:
     """P(X <= k) of a binomial with n trials and this rate, summed exactly, in logarithms that are
-    rescaled on the way. The Clopper-Pearson upper bound is under ``rate`` iff this is under the error."""
+    rescaled on the way. The Clopper-Pearson upper bound is under ``rate`` iff this is under the error. From the mean
+    on, where it is about a half or more, it is given as 1."""
     odds = F.log(F.lit(rate / (1 - rate)))
     start = F.struct((n * F.log1p(F.lit(-rate))).alias("term"), (n * F.log1p(F.lit(-rate))).alias("total"))
 
@@ -99,29 +116,83 @@ def tail_at_most(k: Column, n: Column, rate: float) -> Column:
         high, low = F.greatest(term, acc["total"]), F.least(term, acc["total"])
         return F.struct(term.alias("term"), (high + F.log1p(F.exp(low - high))).alias("total"))
 
-    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(k >= n, 1.0).otherwise(F.exp(F.aggregate(steps, start, add, lambda acc: acc["total"])))
+    steps = F.when((k > 0) & (k < n * rate), F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(k >= n * rate, 1.0).otherwise(F.exp(F.aggregate(steps, start, add, lambda acc: acc["total"])))
+
+
+def path(cells: list[tuple[tuple[int, ...], int, int]]) -> list[tuple[tuple[int, ...], float]]:
+    """Settings from mild to harsh, each with its gain. A setting is, for each rule, how many of its cutoffs are in
+    force, up to the harshest of those; the gain is the share of bad texts that it rejects less that of texts without a
+    label. ``cells``: of texts with the same cutoffs that they pass (per rule how many, from the mildest), how many are
+    labelled bad and how many have no label. Ties go to the rule listed first."""
+    now, left, out = [0] * len(RULES), cells, []
+    totals = [max(1, sum(c[i] for c in cells)) for i in (1, 2)]
+    caught = [0, 0]
+    while min(now) < LEVELS:
+        best = None
+        for r in range(len(RULES)):
+            if now[r] < LEVELS:
+                hit = [c for c in left if c[0][r] <= now[r]]
+                bad, free = sum(c[1] for c in hit), sum(c[2] for c in hit)
+                value = (bad + 0.5) / (free + 1)
+                if best is None or value > best[0]:
+                    best = value, r, bad, free
+        _, r, bad, free = best
+        now[r] += 1
+        left = [c for c in left if c[0][r] >= now[r]]
+        caught = [caught[0] + bad, caught[1] + free]
+        out.append((tuple(now), caught[0] / totals[0] - caught[1] / totals[1]))
+    return out
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The cutoffs that hold: stratum, rule, cutoff, n_good, n_rejected, error (of its bound).
+def thresholds(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[int, dict]:
+    """By stratum the setting that holds: ``cutoffs`` by rule, ``n_good``, ``n_rejected`` and ``error`` (of its bound).
 
-    ``measured`` is what features() gives, ``labels`` has doc_id and quality (1 good). Of every rule and
-    stratum the harshest cutoff is taken all of whose milder ones hold as well; without good documents
-    there is none. Labels of a doc_id that comes repeatedly count once, good only if all say so.
+    ``measured`` is what features() gives, ``labels`` has doc_id and quality (1 good). Labels of a doc_id that comes
+    repeatedly count once, good only if all say so; rows of ``measured`` that share a doc_id count each. What comes to the
+    driver is a table of counts of at most (LEVELS + 1) ** len(RULES) cells a stratum, however many documents there are.
+    A stratum with too few good documents for any bound, or without bad ones, has no cutoffs.
     """
-    values = _values()
-    tests = (len(STRATA) + 1) * sum(map(len, RULES.values()))
-    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_key")).agg(F.min("quality").alias("_quality")).where("_quality = 1")
-    held = measured.where(~base_failed()).join(good, F.col("doc_id") == F.col("_key")).withColumn("stratum", stratum())
-    sums = [F.count_if(values[rule] >= cutoff).alias(f"{rule}|{i}") for rule, cutoffs in RULES.items() for i, cutoff in enumerate(cutoffs)]
-    counted = held.groupBy("stratum").agg(F.count("*").alias("n_good"), *sums)
-    cells = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(cutoff).alias("cutoff"), F.col(f"{rule}|{i}").alias("n_rejected")) for rule, cutoffs in RULES.items() for i, cutoff in enumerate(cutoffs)])
-    grid = counted.select("stratum", "n_good", F.explode(cells).alias("c")).select("stratum", "n_good", "c.*").withColumn("error", tail_at_most(F.col("n_rejected"), F.col("n_good"), alpha))
-    fails = F.max(F.when(F.col("error") > delta / tests, F.col("cutoff")))
-    worst = grid.groupBy("stratum", "rule").agg(fails.alias("failed"), F.collect_list(F.struct("cutoff", "n_good", "n_rejected", "error")).alias("tried"))
-    kept = F.array_min(F.filter("tried", lambda t: F.col("failed").isNull() | (t["cutoff"] > F.col("failed"))))
-    return worst.select("stratum", "rule", kept.alias("k")).where("k is not null").select("stratum", "rule", "k.*")
+    passed = [sum(F.when(value < c, 1).otherwise(0) for c in cutoffs(rule)).alias(f"l{r}") for r, (rule, value) in enumerate(_values().items())]
+    keys = [f"l{r}" for r in range(len(RULES))]
+    told = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_key")).agg(F.min("quality").alias("_quality"))
+    cells = (
+        measured.where(~base_failed())
+        .select("doc_id", stratum().alias("stratum"), *passed)
+        .join(told, F.col("doc_id") == F.col("_key"), "left")
+        .groupBy("stratum", *keys)
+        .agg(F.count_if(F.col("_quality") >= 1).alias("good"), F.count_if(F.col("_quality") < 1).alias("bad"), F.count_if(F.col("_quality").isNull()).alias("free"))
+    )
+    cells = common.materialize(cells, "cells")
+    by: dict[int, list] = {}
+    for c in cells.where("bad > 0 or free > 0").collect():
+        by.setdefault(c["stratum"], []).append((tuple(c[k] for k in keys), c["bad"], c["free"]))
+    paths = {s: path(by.get(s, [])) for s in range(len(STRATA) + 1)}
+    steps = len(RULES) * LEVELS
+
+    def rejected(step: int) -> Column:
+        out = F.lit(False)
+        for s, settings in paths.items():
+            hit = F.lit(False)
+            for k, level in zip(keys, settings[step][0], strict=True):
+                hit = hit | (F.col(k) < level)
+            out = out | ((F.col("stratum") == s) & hit)
+        return F.sum(F.when(out, F.col("good")).otherwise(0)).alias(f"k{step}")
+
+    counted = cells.groupBy("stratum").agg(F.sum("good").alias("n_good"), *[rejected(i) for i in range(steps)])
+    tried = F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"k{i}").alias("n_rejected")) for i in range(steps)])
+    tried = F.transform(tried, lambda t: F.struct(t["step"].alias("step"), t["n_rejected"].alias("n_rejected"), tail_at_most(t["n_rejected"], F.col("n_good"), alpha).alias("error")))
+    most = delta / (len(STRATA) + 1)
+    ends = F.coalesce(F.array_min(F.transform(F.filter("tried", lambda t: t["error"] > most), lambda t: t["step"])), F.lit(steps))
+    held = counted.where("n_good > 0").select("stratum", "n_good", tried.alias("tried")).select("stratum", "n_good", F.slice("tried", 1, ends).alias("held"))
+    out = {}
+    for r in held.collect():  # one row a stratum
+        gains = [paths[r["stratum"]][t["step"]][1] for t in r["held"]]
+        if gains and max(gains) > 0:
+            chosen = r["held"][gains.index(max(gains))]
+            setting = paths[r["stratum"]][chosen["step"]][0]
+            out[r["stratum"]] = {"cutoffs": {rule: cutoffs(rule)[level - 1] for rule, level in zip(RULES, setting, strict=True) if level}, "n_good": r["n_good"], "n_rejected": chosen["n_rejected"], "error": chosen["error"]}
+    return out
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -129,17 +200,21 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     (those that reject, comma-joined).
 
     Null or empty texts have no words and fail the base. Every row is judged by itself, so repeated rows
-    agree; empty tables give an empty table; without labels only the base decides; other columns are
-    ignored.
+    agree, whatever their doc_id, null included; empty tables give an empty table; without labels only the base decides;
+    other columns are ignored. Where a text's feature ties with a cutoff, it is rejected.
     """
     values = _values()
     measured = common.materialize(features(docs), "features")  # counts only: each text is read once
     found = thresholds(measured, labels, alpha, delta)
-    # one row, of at most (len(STRATA) + 1) * len(RULES) entries however large the tables
-    held = found.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", F.col("stratum").cast("string"), "rule"), "cutoff"))).alias("cutoffs"))
-    judged = measured.join(F.broadcast(held)).withColumn("stratum", stratum())
-    hit = [F.when(value >= F.try_element_at("cutoffs", F.concat(F.col("stratum").cast("string"), F.lit(f"|{rule}"))), rule) for rule, value in values.items()]
-    judged = judged.withColumn("rules", F.concat_ws(",", *hit)).withColumn("base_failed", base_failed())
+    judged = measured.withColumn("stratum", stratum())
+    hits = []
+    for rule, value in values.items():
+        hit = F.lit(False)
+        for s, held in found.items():
+            if rule in held["cutoffs"]:
+                hit = hit | ((F.col("stratum") == s) & (value >= held["cutoffs"][rule]))
+        hits.append(F.when(hit, rule))
+    judged = judged.withColumn("rules", F.concat_ws(",", *hits)).withColumn("base_failed", base_failed())
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("rules") == "")).alias("kept"), "rules")
 
 

@@ -400,13 +400,59 @@ def test_quality(rows, docs, spark):
     assert none == 0
 
 
+def at_most(k, n, rate):
+    return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(rate) + (n - i) * math.log(1 - rate)) for i in range(k + 1))
+
+
 def test_binomial_tail(spark):
-    cases = [(0, 10), (3, 50), (20, 5000), (7, 7), (300, 20000)]
+    cases = [(0, 10), (3, 500), (20, 5000), (7, 7), (300, 20000)]
     frame = spark.createDataFrame(cases, "k long, n long")
     got = {(r[0], r[1]): r[2] for r in frame.select("k", "n", quality.tail_at_most(F.col("k"), F.col("n"), 0.02)).collect()}
     for k, n in cases:
-        exact = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(0.02) + (n - i) * math.log(0.98)) for i in range(k + 1))
-        assert got[k, n] == pytest.approx(exact, rel=1e-6)
+        assert got[k, n] == (pytest.approx(at_most(k, n, 0.02), rel=1e-6) if k < 0.02 * n else 1.0)
+
+
+def test_quality_risk(spark):
+    """Cutoffs are chosen, hold by the exact bound for all rules together, and the next step would not."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    rows, told = [], []
+    for i in range(1200):
+        good = i % 3 > 0
+        ws = [rng.choice(words) for _ in range(rng.randint(60, 120))]
+        if not good and i % 2 or rng.random() < 0.01:
+            ws = [w + "###" for w in ws]
+        elif not good:
+            ws = [w.upper() for w in ws]
+        rows.append((i if i else None, " ".join(ws)))
+        if i % 4:
+            told.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(told, "doc_id long, quality int")
+    measured = quality.features(docs)
+    found = quality.thresholds(measured, labels)
+    assert set(found) == {1} and found[1]["error"] <= quality.DELTA / 4
+    values = {r["doc_id"]: r for r in measured.where(~quality.base_failed()).select("doc_id", *[v.alias(k) for k, v in quality._values().items()]).collect()}
+    good = [values[i] for i, q in told if q]
+    lost = sum(any(v[rule] >= cut for rule, cut in found[1]["cutoffs"].items()) for v in good)
+    assert (len(good), lost) == (found[1]["n_good"], found[1]["n_rejected"])
+    assert found[1]["error"] == pytest.approx(at_most(lost, len(good), quality.ALPHA), rel=1e-6)
+    # the path by brute force
+    grid = {r: quality.cutoffs(r) for r in quality.RULES}
+    bad, free = [values[i] for i, q in told if not q], [v for i, v in values.items() if i not in dict(told)]
+    now, held = dict.fromkeys(grid, 0), []
+    gone = lambda vs, setting: [v for v in vs if any(v[r] >= c for r, n in setting.items() for c in grid[r][:n])]
+    while any(n < quality.LEVELS for n in now.values()):
+        options = [(r, {**now, r: now[r] + 1}) for r in grid if now[r] < quality.LEVELS]
+        gain = lambda s: (len(gone(bad, s)) - len(gone(bad, now)) + 0.5) / (len(gone(free, s)) - len(gone(free, now)) + 1)
+        now = max(options, key=lambda o: gain(o[1]))[1]
+        if at_most(len(gone(good, now)), len(good), quality.ALPHA) > quality.DELTA / 4:
+            break
+        held.append(now)
+    best = max(held, key=lambda s: len(gone(bad, s)) / len(bad) - len(gone(free, s)) / len(free))
+    assert found[1]["cutoffs"] == {r: grid[r][n - 1] for r, n in best.items() if n}
+    judged = {r["doc_id"]: r for r in quality.judge(docs, labels).collect()}
+    assert sum(not judged[i]["kept"] for i, q in told if not q) > 0.4 * len(bad)
 
 
 def test_html(spark):
