@@ -281,25 +281,79 @@ def test_bpe_random():
         assert mine.encode(text) == reference.encode_ordinary(text)
 
 
-def test_leaks(spark):
-    rng = random.Random(2)
+def leaky(rng, n_items=20):
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
-    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    items = [(i, f"{text(12)}? {text(4)}") for i in range(20)] + [(20, None), (21, "")]
-    plain = [text(200) for _ in range(20)]
-    found = [(i, f"{text(90)} {items[i % 20][1]} {text(40)}" if i < 12 else plain[i - 12]) for i in range(32)] + [(40, None), (41, "")]
-    docs = spark.createDataFrame(found, "doc_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert got == {(i, i) for i in range(12)}
-    index = leaks.BlockMaxIndex(items[:20])
-    for _ in range(200):
-        terms = sorted(rng.sample(range(len(index.term)), 60))
-        scores = collections.Counter()
-        for t in terms:
-            for i, v in zip(index.lists[t].tolist(), index.impacts[t].tolist(), strict=True):
-                scores[i] += v
-        for threshold in (0.1, 0.3, 0.5):
-            assert {i for i, _ in index.search(terms, threshold)} == {i for i, v in scores.items() if v >= threshold - 1e-9}
+    text = lambda n: " ".join(rng.choice(vocabulary[: 300 if rng.random() < 0.7 else 30]) for _ in range(n))
+    items = [(i, f"{text(rng.randint(8, 16))}? {text(4)}") for i in range(n_items)]
+    items += [(n_items, None), (n_items + 1, ""), (n_items + 2, items[0][1])]
+    docs = []
+    for i in range(40):
+        words = text(rng.randint(5, 400)).split()
+        if i % 2:
+            item = items[i % n_items][1].split()
+            at = rng.randint(0, len(words))
+            words[at:at] = item if i % 4 == 1 else item[: len(item) * 2 // 3]
+        docs.append((i, " ".join(words)))
+    return items, docs + [(40, None), (41, ""), (5, docs[5][1]), (None, docs[5][1])]
+
+
+def brute_leaks(items, docs, threshold=0.5, overlap=0.5):
+    """Every passage against every item."""
+    split = {k: (t or "").encode().lower().split() for k, (_, t) in enumerate(items)}
+    df = collections.Counter(t for ws in split.values() for t in set(ws))
+    mean = max(1, sum(map(len, split.values())) / len(items))
+    grams = lambda ws, n: {tuple(ws[i : i + n]) for i in range(max(1, len(ws) - n + 1))}
+    width = max(64, 2 * max(map(len, split.values())))
+    out = []
+    for doc, text in docs:
+        ws = (text or "").encode().lower().split()
+        best = {}
+        for start in range(0, max(1, len(ws) - width // 2), width // 2):
+            window = ws[start : start + width]
+            for k, item in split.items():
+                impact = {t: math.log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5)) * n * 1.9 / (n + 0.9 * (0.6 + 0.4 * len(item) / mean)) for t, n in collections.Counter(item).items()}
+                score = sum(v for t, v in impact.items() if t in window) / sum(impact.values()) if impact else 0
+                if score >= threshold - 1e-9:
+                    shares = [len(grams(p, min(3, len(p))) & grams(window, min(3, len(p)))) / len(grams(p, min(3, len(p)))) for p in leaks.question_answer(items[k][1])]
+                    if min(shares) >= overlap and (k not in best or score > best[k][0] + 1e-12):
+                        best[k] = (score, start)
+        out += [(doc, items[k][0], round(v, 9), start) for k, (v, start) in best.items()]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("shard", [None, 300])
+def test_leaks(spark, shard, monkeypatch):
+    """As by brute force, ties and repeated rows included, in however many parts the index is."""
+    if shard:
+        monkeypatch.setattr(leaks, "SHARD_BYTES", shard)
+    monkeypatch.setattr(leaks, "CHUNK", 500)
+    items, docs = leaky(random.Random(2))
+    got = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = brute_leaks(items, docs)
+    assert sorted(((r["doc_id"], r["item_id"], round(r["score"], 9), r["passage_start"]) for r in got), key=str) == expected
+    assert len(expected) > 8 and any(d is None for d, *_ in expected)
+
+
+def test_block_max_wand():
+    """The search gives what scoring everything gives, and leaves postings unread."""
+    rng = random.Random(5)
+    items, _ = leaky(rng, 400)
+    index = leaks.BlockMaxIndex(items)
+    asked = [sorted(rng.sample(range(len(index.term)), rng.randint(1, 120))) for _ in range(100)]
+    query = np.repeat(np.arange(100), [len(a) for a in asked])
+    for threshold in (0.1, 0.3, 0.5, 0.9):
+        index.counters.clear()
+        got = {(q, i): v for q, i, v in zip(*(x.tolist() for x in index.search(query, np.concatenate(asked), threshold)), strict=True)}
+        expected = {}
+        for q, terms in enumerate(asked):
+            scores = collections.Counter()
+            for t in terms:
+                for i, v in zip(index.items[index.starts[t] : index.starts[t + 1]].tolist(), index.impacts[index.starts[t] : index.starts[t + 1]].tolist(), strict=True):
+                    scores[i] += v
+            expected |= {(q, i): v for i, v in scores.items() if v >= threshold - 1e-9}
+        assert got == pytest.approx(expected)
+        c = index.counters
+        assert c["met"] < c["postings"] and c["blocks"] < c["candidates"] and c["met"] + c["probed"] < c["postings"]
 
 
 def test_language(spark):
