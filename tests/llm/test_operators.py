@@ -353,7 +353,8 @@ def test_block_max_wand():
             expected |= {(q, i): v for i, v in scores.items() if v >= threshold - 1e-9}
         assert got == pytest.approx(expected)
         c = index.counters
-        assert c["met"] < c["postings"] and c["blocks"] < c["candidates"] and c["met"] + c["probed"] < c["postings"]
+        if threshold >= 0.3:  # lower, the largest impact of every list is half of it
+            assert c["met"] < c["postings"] and c["blocks"] < c["candidates"] and c["met"] + c["probed"] < c["postings"]
 
 
 def test_language(spark):
