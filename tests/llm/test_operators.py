@@ -354,7 +354,9 @@ def test_block_max_wand():
         assert got == pytest.approx(expected)
         c = index.counters
         if threshold >= 0.3:  # lower, the largest impact of every list is half of it
-            assert c["met"] < c["postings"] and c["blocks"] < c["candidates"] and c["met"] + c["probed"] < c["postings"]
+            assert c["met"] < c["postings"] and c["blocks"] < c["candidates"]
+        if threshold > 0.5:
+            assert c["met"] + c["probed"] < c["postings"]
 
 
 def test_language(spark):
@@ -510,17 +512,101 @@ def test_quality_risk(spark):
     assert sum(not judged[i]["kept"] for i, q in told if not q) > 0.4 * len(bad)
 
 
+PAGES = "page_id long, url string, html string"
+
+
 def test_html(spark):
     page = "<html><head><title>T</title></head><body><nav>Menu</nav>{notice}<article><h1>A &amp; B</h1><p>One<br>two  <b>three</b></p><div class='comments'><p>Nice!</p></div><p>Four</p></article><footer>F</footer></body></html>"
     bare = "<body><div>Top line</div><p>{}</p><p>{}</p><div>Bottom line</div></body>"
     rows = [(1, "http://a.com/x/1", page.format(notice="")), (2, "http://a.com/x/2", page.format(notice="<p>Seen before</p>")), (3, "http://b.com/p/1", bare.format("First own text of some length.", "More of it.")), (4, "http://b.com/p/2", bare.format("Second text, which is another.", "And its end.")), (5, None, None), (6, "::bad", ""), (7, "http://c.com/", "<p>Cut &am")]
-    got = {r["page_id"]: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    got = {r["page_id"]: r for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
     assert got[1]["text"] == got[2]["text"] == "A & B\n\nOne two three\n\nFour"
     assert got[3]["text"] == "First own text of some length.\n\nMore of it." and got[4]["text"] == "Second text, which is another.\n\nAnd its end."
     assert got[5]["text"] == "" and got[6]["n_chars"] == 0 and got[7]["text"] == "Cut &am"
 
 
-def test_lcs():
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p style='overflow: hidden'>a</p><p title='a hidden gem'>b</p><p class='search-engine-review'>c</p><p hidden>d</p><p style='display: none'>e</p>", "a b c"),
+        ("<p>a<svg viewBox='0'/>b</p><svg><text>x</text></svg><p>c</p>", "a b c"),
+        ("<div><p>a</p><svg><text>x</div><p>b</p><noscript>no", "a b"),
+        ("<p>&am<b>p;</b></p>", "&amp;"),
+        ("<p>&lt;b&gt; &#8364;&eacute;</p>", "<b> €é"),
+        ("<div class='site-footer'>x</div><div id='ad_slot_2'>y</div><div class='header-image-caption'>z</div>", "z"),
+        ("<article><header><h1>t</h1></header><p>a</p></article><header>x</header>", "t a"),
+    ],
+)
+def test_html_markup(page, text):
+    kept = html.Page(0, "", "", "", [t for t, _, _ in html.lines(page)], [c | f << 1 for _, c, f in html.lines(page)]).text([])[0]
+    assert " ".join(kept.split()) == text
+
+
+def many_pages(n=90):
+    """Pages of three hosts: templates in and outside of articles, copies, quoted lines, menus that differ."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    text = lambda: " ".join(word() for _ in range(rng.randint(6, 12)))
+    quote, rows = text(), []
+    for i in range(n):
+        host = i % 3
+        own = [text() for _ in range(rng.randint(2, 4))]
+        if i % 9 == 4:
+            own.insert(1, quote)
+        if i % 10 == 7 and i > 30:
+            own = rows[-30 + 0][3]
+        body = "".join(f"<p>{t}</p>" for t in own)
+        template = f"Subscribe to host {host} today, it is free of charge"
+        if host == 0:
+            page = f"<nav>{word()}</nav><article>{body}<p>{template}</p></article>"
+        elif host == 1:
+            page = f"<div>{template}</div>{body}<div>Imprint {host}</div>"
+        else:
+            page = f"<div>{template}</div><main>{body}</main>"
+        rows.append((i, f"http://h{host}.com/{i // 10}/{i}", page, own))
+    rows += [(1000, rows[4][1], rows[4][2], rows[4][3]), (1001, None, rows[1][2], None), (None, rows[7][1], rows[7][2], rows[7][3])]
+    return rows
+
+
+def test_html_differencing(spark):
+    """Against every page compared with its neighbours in one list; however many ranges and partitions there are."""
+    rows = many_pages()
+    pages = spark.createDataFrame([r[:3] for r in rows], PAGES)
+    found = [sorted(((r["page_id"], r["text"]) for r in html.extract(pages.repartition(p), n).collect()), key=str) for p, n in ((1, 1), (3, 4), (7, 40))]
+    assert found[0] == found[1] == found[2]
+    parsed, expected = {}, []
+    for i, url, page, _ in rows:
+        parsed.setdefault((*html.address(url), page), (html.lines(page), []))[1].append(i)
+    digests = {(r["url"], r["html"]): r["d"] for r in pages.select("url", "html", F.xxhash64(F.coalesce("url", F.lit("")), "html").alias("d")).collect()}
+    order = sorted(parsed, key=lambda k: (k[0], k[1], digests[next((u, h) for _, u, h, _ in rows if (*html.address(u), h) == k)]))
+    kept = lambda ls: [(t, c) for t, c, f in ls if not f and (c or not any(c and not f for _, c, f in ls))]
+    for at, key in enumerate(order):
+        ls, ids = parsed[key]
+        near = [(k, abs(k - at)) for k in range(len(order)) if k != at and abs(k - at) <= html.NEAR and key[0] and order[k][0] == key[0]]
+        near.sort(key=lambda x: (-len(__import__("os").path.commonprefix([order[x[0]][1], key[1]])), x[1]))
+        own = {t for t, _ in kept(ls)}
+        voters = []
+        for k, _ in near:
+            other = parsed[order[k]][0]
+            if sum(len(t) for t in own & {t for t, _ in kept(other)}) <= html.COPY * sum(map(len, own)) and len(voters) < html.VOTERS:
+                voters.append({ls[i][0] for i, _ in html.lcs([t for t, _, _ in ls], [t for t, _, _ in other])})
+        out = []
+        for t, c in kept(ls):
+            n = sum(t in v for v in voters)
+            if not voters or not (n >= max(3, len(voters) / 2) if c else t in voters[0]):
+                out.append(t)
+        expected += [(i, "\n\n".join(out)) for i in ids]
+    assert found[0] == sorted(expected, key=str)
+    texts = dict(found[0])
+    clean = [i for i, _, _, own in rows if own and i not in (None, 1000) and i % 10 != 7]
+    assert all(texts[i] == "\n\n".join(rows[i][3]) for i in clean)
+    off = {r["page_id"]: r["text"] for r in html.extract(pages, differencing=False).collect()}
+    assert sum(off[i] != texts[i] for i in texts) > 50
+
+
+@pytest.mark.parametrize("cells", [1 << 27, 20])
+def test_lcs(cells, monkeypatch):
+    monkeypatch.setattr(html, "CELLS", cells)
     rng = random.Random(6)
     for _ in range(500):
         a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 12))] for _ in range(2))
