@@ -18,7 +18,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 
 
-#: Rows whose results are held at once.
-CHUNK = 500
+#: Rows whose results are held at once; ids decoded at once.
+CHUNK, STREAM = 500, 4096
 #: States, pairs and pieces that a worker remembers, each; some 450 MB in all.
 LIMIT = 350_000
 
@@ -142,12 +143,17 @@ class Transducer:
         """Ids of one piece."""
         if (rank := self.ranks.get(piece)) is not None:
             return [rank]
-        if len(self.states) > self.limit:
-            self.forget()
         state, out, get, make = 0, [], self.arcs.get, self._make
         for b in piece:
             arc = get(state << 8 | b)
             if arc is None:
+                if len(self.states) > self.limit:  # start over, from where the piece stands
+                    here = self.states[state]
+                    self.forget()
+                    state = self.numbers.setdefault(here, len(self.states))
+                    if state == len(self.states):
+                        self.states.append(here)
+                    get = self.arcs.get
                 arc = make(state, b)
             if arc & 1:
                 out += self.emitted[state << 8 | b]
@@ -157,14 +163,13 @@ class Transducer:
 
 
 class Utf8:
-    """Incremental UTF-8 machine: ``feed`` gives the text completed so far, bad bytes as U+FFFD."""
+    """Incremental UTF-8 machine: ``feed`` gives the text completed so far, bad bytes as U+FFFD. What a chunk of bytes
+    leaves open at its end is at most three bytes; only these and bad ones are stepped through one by one."""
 
     def __init__(self):
         self.held, self.need, self.low, self.high = b"", 0, 0x80, 0xBF
 
-    def feed(self, data: bytes) -> str:
-        if not self.held and data.isascii():
-            return data.decode("ascii")
+    def _step(self, data: bytes) -> str:
         out = []
         for b in data:
             if self.need:
@@ -186,6 +191,28 @@ class Utf8:
                 out.append("�")
         return "".join(out)
 
+    def feed(self, data: bytes) -> str:
+        at = 0
+        while self.need and at < len(data) and data[at] & 0xC0 == 0x80 and at < 3:
+            at += 1  # what the last chunk left open ends here
+        start = self._step(data[:at]) if at else ""
+        if self.need:
+            return start + self._step(data[at:])
+        end = len(data)
+        for back in range(1, min(3, end - at) + 1):  # a character that this chunk begins and does not end
+            b = data[end - back]
+            if b >= 0xC0:
+                if back < 2 + (b >= 0xE0) + (b >= 0xF0):
+                    end -= back
+                break
+            if b < 0x80:
+                break
+        try:
+            middle = data[at:end].decode("utf-8")
+        except UnicodeDecodeError:
+            return start + self._step(data[at:])
+        return start + middle + self._step(data[end:])
+
     def close(self) -> str:
         left, self.held, self.need = ("�" if self.held else ""), b"", 0
         return left
@@ -200,16 +227,13 @@ class Codec:
         self.limit = limit
         self.memo: dict[str, str] = {}
         self.older: dict[str, str] = {}
-        #: Pieces whose ids decode to something else; with sound ranks there are none.
-        self.odd: dict[str, str] = {}
+        #: Bytes of each id, by the id as it is written.
+        self.bytes_of = {str(i): t for i, t in self.transducer.bytes_of.items()}
 
     def piece(self, piece: str) -> str:
-        """The ids of a piece, joined by commas; what they decode to is compared with the piece."""
+        """The ids of a piece, joined by commas."""
         if (ids := self.older.get(piece)) is None:
-            made = self.transducer.encode(piece.encode())
-            ids = ",".join(map(str, made))
-            if (back := self.decode(made)) != piece:
-                self.odd[piece] = back
+            ids = ",".join(map(str, self.transducer.encode(piece.encode("utf-8", "surrogatepass"))))
             if len(piece) > 64:
                 return ids  # long ones rarely come again
         if len(self.memo) >= self.limit:
@@ -217,28 +241,24 @@ class Codec:
         self.memo[piece] = ids
         return ids
 
-    def decode(self, ids) -> str:
-        machine, bytes_of = Utf8(), self.transducer.bytes_of
-        return machine.feed(b"".join([bytes_of[i] for i in ids])) + machine.close()
-
-    def stream(self, ids) -> Iterator[str]:
-        """Text as it becomes complete, id by id."""
-        machine = Utf8()
-        for i in ids:
-            yield machine.feed(self.transducer.bytes_of[i])
-        yield machine.close()
-
-    def entries(self, text: str) -> tuple[list[str], list[str]]:
-        """Pieces, and the ids of each."""
-        get, make, pieces = self.memo.get, self.piece, self.pieces(text)
-        return pieces, [get(p) or make(p) for p in pieces]
+    def ids(self, text: str) -> list[str]:
+        """The ids of a text, as they are written."""
+        get, make = self.memo.get, self.piece
+        joined = ",".join([get(p) or make(p) for p in self.pieces(text)])
+        return joined.split(",") if joined else []
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids in self.entries(text)[1] for i in ids.split(",")]
+        return list(map(int, self.ids(text)))
+
+    def stream(self, ids: Iterable) -> Iterator[str]:
+        """Text as it becomes complete, STREAM ids at a time."""
+        machine, bytes_of, held = Utf8(), self.bytes_of, iter(ids)
+        while chunk := list(itertools.islice(held, STREAM)):
+            yield machine.feed(b"".join([bytes_of[i] for i in chunk]))
+        yield machine.close()
 
-    def decoded(self, pieces: list[str]) -> str:
-        """What the ids of these pieces decode to."""
-        return "".join([self.odd.get(p, p) for p in pieces] if self.odd else pieces)
+    def decode(self, ids: Iterable[int]) -> str:
+        return "".join(self.stream(map(str, ids)))
 
 
 @functools.lru_cache(maxsize=1)
@@ -249,8 +269,9 @@ def codec(path: str, pattern: str, limit: int = LIMIT) -> Codec:
 def encode(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: bool = True, limit: int = LIMIT) -> DataFrame:
     """Encode every whole text and decode it again.
 
-    Returns doc_id, n_tokens, ids (array<int>, or left out), ids_sha256, decoded_sha256. A null or
-    empty text has no tokens. Equal rows give equal results; other columns are ignored. Work is
+    Returns doc_id, n_tokens, ids (array<int>, or left out), ids_sha256, decoded_sha256 (of what the ids decode to). A
+    null or empty text has no tokens. Every row gives one, null and repeated doc_ids too; an empty table gives an empty
+    table; other columns are ignored. Work is
     per row, so nothing is shuffled and a lost executor costs only its own splits. ``vocabulary`` is
     a path that exists on each machine, as an installed package's file does; ``limit`` bounds a worker's memory.
     """
@@ -261,13 +282,14 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: bool = True
             for at in range(0, len(whole), CHUNK):
                 frame, rows = whole[at : at + CHUNK], []
                 for text in frame["text"]:
-                    pieces, ids = made.entries(text)
-                    back = made.decoded(pieces)
-                    joined = ",".join(ids)
-                    n = joined.count(",") + 1 if joined else 0
-                    rows.append((n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), np.array(joined.split(",") if n else [], np.int32) if keep_ids else None))
+                    ids = made.ids(text)
+                    back = hashlib.sha256()
+                    for part in made.stream(ids):  # the document's own ids, through the streaming decoder
+                        back.update(part.encode("utf-8", "surrogatepass"))
+                    rows.append((len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), back.hexdigest(), np.array(ids, np.int32) if keep_ids else None))
                 out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-                out.insert(0, "doc_id", frame["doc_id"].to_numpy())
+                out.insert(0, "doc_id", frame["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
+                out = out.astype({"doc_id": "Int64"})
                 yield out[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids]]
 
     return common.with_text(docs).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)

@@ -266,9 +266,24 @@ def test_bpe(rows, docs):
 
 
 def test_utf8_stream():
-    data = "aé漢🙂".encode() + b"\xff\xc3" + "x".encode() + b"\xe6\xbc"
-    machine = bpe.Utf8()
-    assert "".join(machine.feed(data[i : i + 1]) for i in range(len(data))) + machine.close() == data.decode("utf-8", "replace")
+    rng = random.Random(3)
+    parts = [*"aé漢🙂", b"\xff", b"\xc3", b"\xe6\xbc", b"\xf0\x9f", b"\x80", b"\xed\xa0\x80", "plain text"]
+    for _ in range(3000):
+        data = b"".join(p.encode() if isinstance(p, str) else p for p in rng.choices(parts, k=rng.randint(0, 8)))
+        cuts = sorted(rng.choices(range(len(data) + 1), k=rng.randint(0, len(data) + 1)))
+        machine = bpe.Utf8()
+        got = [machine.feed(data[i:j]) for i, j in zip([0, *cuts], [*cuts, len(data)])]
+        assert "".join(got) + machine.close() == data.decode("utf-8", "replace")
+
+
+def test_bpe_bounded():
+    """States are dropped inside a piece, and what is encoded stays the same."""
+    path, pattern = bpe.public_vocabulary()
+    ranks = bpe.load_ranks(path)
+    small, large = bpe.Transducer(ranks, 50), bpe.Transducer(ranks)
+    rng = random.Random(4)
+    piece = "".join(rng.choice("aeinrstläöé漢") for _ in range(3000)).encode()
+    assert small.encode(piece) == large.encode(piece) and len(small.states) <= 60
 
 
 def test_bpe_random():
