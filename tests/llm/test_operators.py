@@ -217,41 +217,72 @@ def test_substring_awkward(spark):
     assert substring.repeats(docs).count() == len(AWKWARD)
 
 
-def test_katz(rows, docs):
-    train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
-    got = {r["doc_id"]: r for r in katz.score(docs, train).collect()}
-    texts = {i: [*(t or "").encode().lower().split(), None] for i, t, *_ in rows}
-    used = {i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2}
-    one, two = collections.Counter(), collections.Counter()
+def brute_katz(texts, used):
+    """Probabilities by dictionaries of tuples: prob(context, word), and the vocabulary."""
+    starts = ("<s>",) * (katz.ORDER - 1)
+    grams = [collections.Counter() for _ in range(katz.ORDER + 1)]
+    contexts = [collections.Counter() for _ in range(katz.ORDER + 1)]
     for i in used:
-        for a, b in zip(["<s>", *texts[i]], texts[i]):
-            one[b] += 1
-            two[a, b] += 1
-    n, v = sum(one.values()), len(one)
-    context = {**one, "<s>": len(used)}
-    numbers = lambda c: [sum(x == r for x in c.values()) for r in range(1, katz.K + 2)]
-    d1, d2 = katz.discounts(numbers(one)), katz.discounts(numbers(two))
-    p1 = {w: (d1[c] if c <= katz.K else 1) * c / n for w, c in one.items()}
-    unknown = 1 - sum(p1.values())
-    seen = {(a, b): (d2[c] if c <= katz.K else 1) * c / (context[a] + 0.5) for (a, b), c in two.items()}
+        whole = (*starts, *texts[i])
+        for at in range(len(starts), len(whole)):
+            for k in range(1, katz.ORDER + 1):
+                grams[k][whole[at - k + 1 : at + 1]] += 1
+                contexts[k][whole[at - k + 1 : at]] += 1
+    discount = [None] + [katz.Discount([sum(c == r for c in g.values()) for r in range(1, katz.FIT + 1)]) for g in grams[1:]]
+    seen = [None] + [{g: float(discount[k](np.array([c]))[0]) / contexts[k][g[:-1]] for g, c in grams[k].items()} for k in range(1, katz.ORDER + 1)]
+    unknown = 1 - sum(seen[1].values())
     mass, other = collections.Counter(), collections.Counter()
-    for (a, b), p in seen.items():
-        mass[a] += p
-        other[a] += p1[b]
-
-    def p(a, b):
-        if (a, b) in seen:
-            return seen[a, b]
-        weight = (1 - mass[a]) / (1 - other[a]) if context.get(a) else 1
-        return weight * p1.get(b, unknown)
-
-    for a in ("<s>", next(iter(one))):  # exactly normalised over the vocabulary and the unknown class
-        assert math.isclose(sum(p(a, b) for b in [*one, object()]), 1, rel_tol=1e-9)
-    for i, ws in texts.items():
-        r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i not in used, len(ws), sum(w in one for w in ws), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((one[w] + 1) / (n + v + 1)) for w in ws))
-        assert r["score"] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *ws], ws)))
+    for k in range(2, katz.ORDER + 1):
+        for g, p in seen[k].items():
+            mass[g[:-1]] += p
+            other[g[:-1]] += seen[k - 1][g[1:]]
+
+    def prob(context, word):
+        k = len(context) + 1
+        if (*context, word) in seen[k]:
+            return seen[k][*context, word]
+        if k == 1:
+            return unknown
+        weight = (1 - mass[context]) / (1 - other[context]) if contexts[k][context] else 1
+        return weight * prob(context[1:], word)
+
+    return prob, grams[1], contexts
+
+
+@pytest.mark.parametrize("batch", [None, 700])
+def test_katz(spark, rows, batch, monkeypatch):
+    """As by dictionaries, in one batch and range or in many; repeated and missing ids are documents of their own."""
+    if batch:
+        monkeypatch.setattr(katz, "BATCH", batch)
+        monkeypatch.setattr(katz, "ENTRIES", 300)
+    table = [*rows, (rows[3][0], rows[4][1], "en", "s", 0), (None, rows[6][1], "en", "s", 0), (rows[8][0], rows[8][1], "en", "s", 0)]
+    docs = spark.createDataFrame(table, DOCS).repartition(3)
+    train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    got = [tuple(r) for r in katz.score(docs, train).collect()]
+    texts = [[*(t or "").encode().lower().split(), None] for _, t, *_ in table]
+    used = [k for k, (i, *_) in enumerate(table) if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    prob, one, contexts = brute_katz(texts, used)
+    n, v = sum(one.values()), len(one)
+    expected = []
+    for k, ws in enumerate(texts):
+        whole = [*["<s>"] * (katz.ORDER - 1), *ws]
+        value = sum(math.log10(prob(tuple(whole[at : at + katz.ORDER - 1]), w)) for at, w in enumerate(ws))
+        expected.append((table[k][0], k not in used, len(ws), sum((w,) in one for w in ws), n, sum(math.log10((one[w,] + 1) / (n + v + 1)) for w in ws), value))
+    assert sum(r[1] for r in expected) > 5
+    order = lambda r: (str(r[0]), *r[1:4], round(r[5], 6), round(r[6], 6))
+    for a, b in zip(sorted(got, key=order), sorted(expected, key=order), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+    for k in range(2, katz.ORDER + 1):  # exactly normalised over the vocabulary and the unknown class, in each order
+        for context in [c for c in contexts[k] if None not in c][:5] + [("no", "where")[: k - 1]]:
+            assert math.isclose(sum(prob(context, w) for (w,) in [*one, (object(),)]), 1, rel_tol=1e-9)
+
+
+def test_katz_counts():
+    """Counts beyond 32 bits go through whole."""
+    keys = katz.pack(np.array([5, 9], np.uint64))
+    frame = katz.pd.DataFrame({"range": [0, 0], "batch": [1, 2], "keys": [keys, keys], "counts": [katz.pack(np.array([3 << 40, 1], np.uint64), False)] * 2, "held": [np.packbits([0, 1]).tobytes()] * 2})
+    out = katz._totals(frame, 1)
+    assert katz.unpack(out["told"][0], katz.U64, False).tolist() == [3 << 41, 2] and out["stats"].iloc[-1][:4] == [(3 << 41) + 2, 2, 0, 1]
 
 
 def test_bpe(rows, docs):
