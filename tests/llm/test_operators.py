@@ -122,22 +122,45 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("split", [False, True])
-def test_suffix(rows, docs, split, monkeypatch):
+def test_suffix(spark, rows, split, monkeypatch):
     if split:
         monkeypatch.setattr(suffix, "FILE", 2)
         monkeypatch.setattr(suffix, "HOT_LEAST", 3)
     length = 120
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.dedup(docs, length).collect()}
-    data = {i: (t or "").encode() for i, t, *_ in rows}
-    seen = collections.Counter(d[i : i + length] for d in data.values() for i in range(len(d) - length + 1))
-    for i, d in data.items():
+    table = [*rows, (0, rows[5][1], "en", "s", 0), (None, rows[10][1], "en", "s", 0), (None, None, "en", "s", 0), rows[12]]
+    docs = spark.createDataFrame(table, DOCS).repartition(3)
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.dedup(docs, length).collect()]
+    data = [(i, (t or "").encode()) for i, t, *_ in table]
+    seen = collections.Counter(d[i : i + length] for _, d in data for i in range(len(d) - length + 1))
+    expected = []
+    for i, d in data:
         gone = [False] * len(d)
         for j in range(len(d) - length + 1):
             if seen[d[j : j + length]] > 1:
                 gone[j : j + length] = [True] * length
         kept = bytes(c for c, g in zip(d, gone, strict=True) if not g)
         spans = sum(g and not (j and gone[j - 1]) for j, g in enumerate(gone))
-        assert got[i] == (len(d), sum(gone), spans, hashlib.sha256(kept).hexdigest()), i
+        expected.append((i, len(d), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_longest_previous(collide, monkeypatch):
+    """Suffix order and LPF array against all pairs, also where hashes say that different strings are equal."""
+    monkeypatch.setattr(suffix, "ROWS", 3)
+    rng = random.Random(5)
+    for _ in range(60):
+        data = bytes(rng.choice(b"ab\0") for _ in range(rng.randint(12, 70)))
+        length = rng.randint(2, 9)
+        at = np.array(sorted(rng.sample(range(len(data) - length), rng.randint(1, len(data) - length))))
+        prints = np.array([hash(data[i : i + length]) % (3 if collide else 1 << 60) for i in at], np.uint64)
+        places, lcp = suffix.suffix_order(np.frombuffer(data, np.uint8), at, prints, length)
+        lpf, source = suffix.longest_previous(places, lcp, length)
+        strings = [data[i : i + length] for i in at]
+        common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), length)
+        assert lpf.tolist() == [max((common(strings[j], strings[i]) for j in range(i)), default=0) for i in range(len(at))]
+        assert [(v >= length) | bool(s) for v, s in zip(lpf, source)] == [strings.count(s) > 1 for s in strings]
+        assert [strings[i].rstrip(b"\0") for i in places] == sorted(s.rstrip(b"\0") for s in strings)
 
 
 @pytest.mark.parametrize("hot", [False, True])
