@@ -9,10 +9,12 @@ hashes), the first ``lead`` of each set therefore have a stated number T of occu
 3. Of such a class, the T - 1 longest lists are not merged (DivideSkip): a true partner has T lists
    in common and so meets it in a shorter one too. This is what keeps common passages harmless.
 4. The short lists, each as a star around its smallest member, join classes into *neighbourhoods*:
-   connected sets that hold both ends of any link. Each neighbourhood is searched in blocks of bounded
-   size, every pair of blocks being a task of its own: short lists are merged with a heap, long
-   ones probed by binary search, and what reaches the overlap is checked on the whole sets.
-5. Links give components.
+   connected sets that hold both ends of any link. These are searched in blocks of bounded size: short lists are
+   merged with a heap, long ones probed by binary search, and what reaches the overlap is checked on the whole sets.
+5. A neighbourhood of several blocks is first compared with a few *pivots* of its own. Those that link to pivots, mostly
+   nearly all of a large group of copies, need no links among themselves any more. So only the rest meets every
+   block, and the others meet only the rest's blocks: the work is that of the rest, not the square of the group.
+6. Links give components.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -31,9 +33,9 @@ from .components import components
 
 #: Share of a set, in percent, that goes into inverted lists.
 LEAD = 40
-#: Classes in a block of a neighbourhood; entries in a bucket of lists.
-BLOCK, ENTRIES = 2000, 1_000_000
-#: Classes looked at to learn which lists are very long, and how many of them make a list so.
+#: Classes in a block of a neighbourhood, and shingles of these; pivots; entries in a bucket of lists.
+BLOCK, SHINGLES, PIVOTS, ENTRIES = 500, 1_000_000, 8, 1_000_000
+#: Documents looked at to learn which lists are very long, and how many different ones of them make a list so.
 HOT_SAMPLE, HOT_LEAST = 10_000, 50
 #: The length given to very long lists: above any other.
 HOT = 1 << 40
@@ -58,6 +60,7 @@ def _class(s: np.ndarray) -> int:
 
 
 def _sets(frames, k: int, lead: int):
+    """The shingle sets of texts: size, class and leading shingles."""
     hasher = common.WordHash()
     for frame in frames:
         rows = []
@@ -65,10 +68,18 @@ def _sets(frames, k: int, lead: int):
             s = common.shingle_set(common.words(text), hasher, k)
             rows.append((len(s), _class(s) if len(s) else 0, s[: _share(len(s), lead)].tobytes()))
         out = pd.DataFrame(rows, columns=["n_shingles", "class", "leading"])
-        out.insert(0, "doc_id", frame["doc_id"].to_numpy())
+        out.insert(0, "doc_id", frame["doc_id"].astype("Int64").array)
+        out.insert(0, "row", frame["row"].to_numpy())
         yield out
 
 
+def _frequent(frames):
+    """Lengths of the lists of a sample's classes, a batch at a time."""
+    for frame in frames:
+        shingle, n = np.unique(_entries(frame)[0], return_counts=True)
+        yield pd.DataFrame({"shingle": shingle.view(np.int64), "n": n})
+
+
 def _cuts(key: np.ndarray) -> list[tuple[int, int]]:
     """Begin and end of each run of equal keys."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
@@ -190,15 +201,19 @@ class Index:
         return members[100 * counts >= percent * union].tolist()
 
 
-def _links(classes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def _links(classes: np.ndarray, sets: list[np.ndarray], percent: int, homes: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning links among these sets. Members of one component, the home, are passed over: whoever is not
     in it asks for them. Another component becomes home once it is twice as large (or nobody was passed
     over yet); those passed over for the former one are then searched for, so in the end everyone outside
-    the home has asked, and no link between components is left out."""
+    the home has asked, and no link between components is left out. ``homes``: which members are in one component
+    from the start."""
     index = Index(sets)
     root = np.arange(len(sets))
     size = np.ones(len(sets), np.int64)
     edges, home, passed = [], 0, []
+    if homes is not None and homes.any():
+        home = int(np.flatnonzero(homes)[0])
+        root[homes], size[home] = home, int(homes.sum())
     left = np.argsort(-index.sizes, kind="stable")[::-1].tolist()
     while left:
         i = left.pop()
@@ -217,26 +232,41 @@ def _links(classes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tu
     return edges
 
 
+def _groups(frames, key: list[str], rest: list[str], done):
+    """Rows come sorted by key; ``done`` gives the links of each group's rows."""
+    last, held = None, []
+    for frame in frames:
+        out = []
+        for k, row in zip(zip(*(frame[c].tolist() for c in key), strict=True), zip(*(frame[c].tolist() for c in rest), strict=True), strict=True):
+            if k != last:
+                out += done(held)
+                last, held = k, []
+            held.append(row)
+        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    yield pd.DataFrame(done(held), columns=["a", "b"]).astype("int64")
+
+
 def _search(frames, percent: int):
-    """Rows come sorted by neighbourhood and pair of blocks; each of these is searched by itself."""
+    """Each pair of blocks of a neighbourhood by itself."""
 
-    def done(rows: list[tuple]) -> pd.DataFrame:
-        found = {cls: np.frombuffer(s, np.uint64) for cls, s in rows}
-        return pd.DataFrame(_links(np.array(list(found), np.int64), list(found.values()), percent), columns=["a", "b"]).astype("int64")
+    def done(rows: list[tuple]) -> list[tuple]:
+        found = {cls: (np.frombuffer(s, np.uint64), home) for cls, s, home in rows}
+        if len(found) < 2:
+            return []
+        return _links(np.array(list(found), np.int64), [s for s, _ in found.values()], percent, np.array([home for _, home in found.values()], bool))
 
-    key, held = None, []
-    for frame in frames:
-        out = []
-        for root, i, j, cls, shingles in zip(frame["root"], frame["i"], frame["j"], frame["class"], frame["shingles"], strict=True):
-            if (root, i, j) != key:
-                if len(held) > 1:
-                    out.append(done(held))
-                key, held = (root, i, j), []
-            held.append((cls, shingles))
-        if out:
-            yield pd.concat(out)
-    if len(held) > 1:
-        yield done(held)
+    return _groups(frames, ["root", "i", "j"], ["class", "shingles", "home"], done)
+
+
+def _pivots(frames, percent: int):
+    """Each block of a neighbourhood against the neighbourhood's pivots."""
+
+    def done(rows: list[tuple]) -> list[tuple]:
+        pivots = {cls: np.frombuffer(s, np.uint64) for cls, s, pivot in rows if pivot}
+        names, index = list(pivots), Index(list(pivots.values()))
+        return [(cls, names[j]) for cls, s, pivot in rows if not pivot for j in index.search(np.frombuffer(s, np.uint64), percent) if names[j] != cls]
+
+    return _groups(frames, ["root", "own"], ["class", "shingles", "pivot"], done)
 
 
 def _whole(frames, k: int):
@@ -244,29 +274,37 @@ def _whole(frames, k: int):
     for frame in frames:
         made = [common.shingle_set(common.words(text), hasher, k) for text in frame["text"]]
         same = [len(s) > 0 and _class(s) == cls for s, cls in zip(made, frame["class"], strict=True)]
-        out = frame.drop(columns=["text", "doc_id"])
+        out = frame.drop(columns=["text", "row"])
         out["shingles"] = [s.tobytes() for s in made]
         yield out[same]
 
 
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """root and blocks: into how many blocks the members of each neighbourhood go, by number and by shingles."""
+    return members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks"))
+
+
+def _block(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("class", F.lit("block")), F.col(blocks)).cast("int")
+
+
 def link(docs: DataFrame, similarity: int = 75, k: int = 5, lead: int = LEAD, block: int = BLOCK) -> DataFrame:
     """Near-duplicate classes: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
     ``similarity`` in percent, above 100 - lead. A null or empty text, or one of white space, has no
     shingles and links with nothing; a text of fewer than k words is one shingle. Equal texts are one
-    class. If a doc_id comes twice, each row keeps its own text's class. An empty table gives an empty
+    class. Every row gives a row, whatever its doc_id: if one comes twice, each row has its own text's class; rows without
+    one link all the same, and name no component (null if nothing in it has a doc_id). An empty table gives an empty
     table; other columns are ignored.
     """
-    spark = docs.sparkSession
-    docs = common.with_text(docs)
-    sets = common.materialize(docs.mapInPandas(lambda f: _sets(f, k, lead), "doc_id long, n_shingles long, class long, leading binary"), "sets")
+    docs = common.with_text(docs).withColumn("row", common.row_key(F.col("doc_id"), F.col("text")))
+    sets = common.materialize(docs.mapInPandas(lambda f: _sets(f, k, lead), "row long, doc_id long, n_shingles long, class long, leading binary"), "sets")
     some = sets.where("n_shingles > 0")
     size = some.agg(F.sum("n_shingles").alias("n"), F.count("*").alias("docs")).first()
     buckets = 16 + int((size["n"] or 0) * lead / 100 / ENTRIES)
-    every = max(1, size["docs"] // HOT_SAMPLE)
-    seen = some.where(F.pmod(F.col("class"), F.lit(every)) == 0).select("class", "leading").limit(2 * HOT_SAMPLE).toPandas().drop_duplicates("class")
-    counted = np.unique(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(b, np.uint64) for b in seen["leading"])]), return_counts=True)
-    hot = counted[0][counted[1] >= max(HOT_LEAST, len(seen) // 200)]
+    sample = some.where(F.pmod(F.col("class"), F.lit(common.every(size["docs"], HOT_SAMPLE))) == 0).select("class", "n_shingles", "leading").dropDuplicates(["class"])
+    seen = sample.mapInPandas(_frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST)
+    hot = np.sort(np.array([r["shingle"] for r in seen.collect()], np.int64).view(np.uint64))
 
     lists = some.select("class", "n_shingles", "leading")
     entry = "class long, n long, shingles binary, lengths binary"
@@ -277,19 +315,40 @@ def link(docs: DataFrame, similarity: int = 75, k: int = 5, lead: int = LEAD, bl
     stars = short.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
     near = components(short.join(stars, "shingle").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct(), "near")
 
-    blocks = near.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = near.join(blocks, "root").select(F.col("node").alias("class"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
-    first = some.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    wanted = docs.join(placed.join(first, "class"), "doc_id")
-    whole = wanted.mapInPandas(lambda f: _whole(f, k), "class long, root long, blocks int, own int, shingles binary")
-    dealt = whole.select("root", "class", "shingles", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "shingles")
-    links = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(lambda f: _search(f, similarity), "a long, b long")
-    roots = components(links, "links")
-
-    first = first.join(roots, F.col("class") == F.col("node"), "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
-    least = first.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = first.join(least, "root").select(F.col("class").alias("named"), "component_id")
-    return sets.join(named, (F.col("class") == F.col("named")) & (F.col("n_shingles") > 0), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = some.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n_shingles").alias("n"))
+    members = near.withColumnRenamed("node", "class").join(first.select("class", "row", "n"), "class")
+    members = members.join(_blocks(members, block), "root")
+    whole = docs.select("row", "text").join(members, "row").mapInPandas(lambda f: _whole(f, k), "class long, root long, n long, blocks int, shingles binary")
+    whole = common.materialize(whole.dropDuplicates(["class"]), "whole")
+
+    # large neighbourhoods: pivots, dealt to every block of their own
+    large = whole.where("blocks > 1")
+    chosen = large.groupBy("root").agg(F.max("blocks").alias("blocks"), F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("class"), F.col("blocks")) == 0, F.col("class")))), 1, PIVOTS).alias("classes"))
+    pivots = large.join(chosen.select(F.explode("classes").alias("class")), "class").select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), "class", "shingles", F.lit(True).alias("pivot"))
+    dealt = large.select("root", _block("blocks").alias("own"), "class", "shingles", F.lit(False).alias("pivot")).unionByName(pivots)
+    edges = "a long, b long"
+    started = common.materialize(dealt.repartition("root", "own").sortWithinPartitions("root", "own").mapInPandas(lambda f: _pivots(f, similarity), edges), "started")
+    tags = components(started, "tags").select(F.col("node").alias("class"), F.col("root").alias("tag"))
+    tagged = large.select("class", F.col("root")).join(tags, "class")
+    home = tagged.groupBy("root", "tag").agg(F.count("*").alias("size")).groupBy("root").agg(F.max_by("tag", F.struct("size", "tag")).alias("tag"))
+    homes = tagged.join(home, ["root", "tag"]).select("class", F.lit(True).alias("home"))
+
+    # the rest meets every block, the home meets the rest
+    members = common.materialize(whole.join(homes, "class", "left").withColumn("home", F.coalesce("home", F.lit(False))), "members")
+    rests = _blocks(members.where("not home"), block).withColumnRenamed("blocks", "rest")
+    inside = _blocks(members.where("home"), block).withColumnRenamed("blocks", "inside")
+    sized = members.join(rests.join(inside, "root", "left"), "root").withColumn("inside", F.coalesce("inside", F.lit(0)))
+    own = F.when(F.col("home"), F.col("rest") + _block("inside")).otherwise(_block("rest"))
+    last = F.when(F.col("home"), F.col("rest")).otherwise(F.col("rest") + F.col("inside")) - 1
+    dealt = sized.select("root", "class", "shingles", "home", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other")).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "shingles", "home")
+    links = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(lambda f: _search(f, similarity), edges)
+    roots = components(links.unionByName(started), "links")
+
+    joined = first.join(roots, F.col("class") == F.col("node"), "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
+    least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = joined.join(least, "root").select(F.col("class").alias("named"), "component_id")
+    found = sets.join(named, (F.col("class") == F.col("named")) & (F.col("n_shingles") > 0), "left")
+    return found.select("doc_id", "n_shingles", F.when(F.col("named").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -59,20 +59,47 @@ def shingles(text, k=5):
     return {tuple(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))} if ws else set()
 
 
+def brute_links(rows, percent=75):
+    """Component of each row by comparing all pairs of different texts."""
+    sets = [shingles(t) for _, t, *_ in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if v == high else v for v in root]
+    least = {r: min((rows[k][0] for k in range(len(rows)) if root[k] == r and rows[k][0] is not None), default=None) for r in set(root)}
+    return sorted(((rows[k][0], len(s), least[root[k]]) for k, s in enumerate(sets)), key=str)
+
+
 @pytest.mark.parametrize("hot", [False, True])
-def test_jaccard(rows, docs, hot, monkeypatch):
+def test_jaccard(spark, rows, hot, monkeypatch):
+    """Null and repeated doc_ids included; with blocks of two, nearly every neighbourhood is a large one."""
     if hot:
         monkeypatch.setattr(jaccard, "HOT_LEAST", 2)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link(docs, block=2 if hot else 2000).collect()}
-    sets = {i: shingles(t) for i, t, *_ in rows}
-    root = {i: i for i in sets}
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                low, high = sorted((root[a], root[b]))
-                root = {k: low if v == high else v for k, v in root.items()}
-    assert got == {i: (len(sets[i]), root[i]) for i in sets}
-    assert len(set(root.values())) < len(root)
+    table = [*rows, (None, rows[8][1], "en", "s", 0), (0, rows[9][1], "en", "s", 0), (None, None, "en", "s", 0), rows[6]]
+    docs = spark.createDataFrame(table, DOCS).repartition(3)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link(docs, block=2 if hot else 500).collect()), key=str)
+    assert got == brute_links(table)
+    assert len({r[2] for r in got}) < len(got) - 5
+
+
+def test_jaccard_large(spark):
+    """A large group of near copies with a tail of texts that only some of them link to."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for i in range(70):
+        ws = list(base)
+        if i < 50:
+            ws[rng.randrange(60)] = "x"
+        else:
+            ws[: i - 45] = [rng.choice(words) for _ in range(i - 45)]
+        rows.append((i, " ".join(ws)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link(docs, block=6).collect()), key=str)
+    assert got == brute_links(rows) and len({r[2] for r in got}) > 3
 
 
 def test_links_between_components():
