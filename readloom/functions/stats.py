@@ -27,18 +27,138 @@ def hypergeometric_tails(n, a, b, ab) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
+def log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    gamma = np.vectorize(math.lgamma, otypes=[float])
+    return gamma(a) + gamma(b) - gamma(a + b)
+
+
+def beta_cdf(x, a, b) -> np.ndarray:
+    """Regularised incomplete beta function, by its continued fraction."""
+    x, a, b = np.broadcast_arrays(np.asarray(x, float), np.asarray(a, float), np.asarray(b, float))
+    turn = x > (a + 1) / (a + b + 2)
+    z, p, q = np.where(turn, 1 - x, x), np.where(turn, b, a), np.where(turn, a, b)
+    inside = (z > 0) & (z < 1)
+    y = np.where(inside, z, 0.5)
+    tiny = 1e-300
+    c, d = np.ones_like(y), 1 - (p + q) * y / (p + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    h = d.copy()
+    for m in range(1, 400):
+        for top in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 + top * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + top / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            h = h * d * c
+        if np.all(np.abs(d * c - 1) < 1e-15):
+            break
+    value = np.exp(p * np.log(y) + q * np.log1p(-y) - log_beta(p, q)) * h / p
+    value = np.where(inside, value, np.where(z <= 0, 0.0, 1.0))
+    return np.where(turn, 1 - value, value)
+
+
+def binomial_tail(k, n, p) -> np.ndarray:
+    """P(X >= k)."""
+    k, n, p = np.broadcast_arrays(np.asarray(k, float), np.asarray(n, float), np.asarray(p, float))
+    inside = (k > 0) & (k <= n)
+    value = beta_cdf(p, np.where(inside, k, 1.0), np.where(inside, n - k + 1, 1.0))
+    return np.where(k <= 0, 1.0, np.where(inside, value, 0.0))
+
+
+def binomial_quantile(q, n, p) -> np.ndarray:
+    """The least k with P(X <= k) >= q, by halving."""
+    q, n, p = np.broadcast_arrays(np.asarray(q, float), np.asarray(n, float), np.asarray(p, float))
+    low, high = np.full(n.shape, -1.0), n.copy()
+    while np.any(high - low > 1):
+        middle = np.floor((low + high) / 2)
+        enough = 1 - binomial_tail(middle + 1, n, p) >= q
+        high, low = np.where(enough, middle, high), np.where(enough, low, middle)
+    return high
+
+
+def chi_square_tail(x: float, dof: int) -> float:
+    """P(X > x) of a chi-square distribution, by the series or the continued fraction of the incomplete gamma function."""
+    a, x = dof / 2, x / 2
+    if x <= 0 or a <= 0:
+        return 1.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        for i in range(1, 10_000):
+            term *= x / (a + i)
+            total += term
+            if term < total * 1e-16:
+                break
+        return max(0.0, 1 - front * total)
+    b = x + 1 - a
+    c, d = 1e300, 1 / b
+    h = d
+    for i in range(1, 10_000):
+        top = -i * (i - a)
+        b += 2
+        d = 1 / (top * d + b)
+        c = b + top / c
+        h *= d * c
+        if abs(d * c - 1) < 1e-16:
+            break
+    return front * h
+
+
+def student_interval(values: list[float], confidence: float) -> tuple[float, float]:
+    """Interval of the mean by Student's distribution, with the variance over n; NaN for fewer than two values."""
+    n = len(values)
+    if n < 2:
+        return math.nan, math.nan
+    goal, low, high = (1 + confidence) / 2, 0.0, 1e6
+    cdf = lambda t: float(1 - 0.5 * beta_cdf((n - 1) / (n - 1 + t * t), (n - 1) / 2, 0.5))
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if cdf(middle) < goal else (low, middle)
+    mean = sum(values) / n
+    half = low * math.sqrt(sum((v - mean) ** 2 for v in values) / n / n)
+    return mean - half, mean + half
+
+
 def binomial_interval(k: int, n: int, confidence: float) -> tuple[int, int]:
     """Central interval of a binomial with the observed rate."""
-    if not n:
-        return 0, 0
-    p = k / n
-    if p in (0.0, 1.0):
-        return k, k
-    i = np.arange(n + 1)
-    lf = log_factorial(n)
-    cdf = np.cumsum(np.exp(lf[n] - lf[i] - lf[n - i] + i * math.log(p) + (n - i) * math.log1p(-p)))
+    low, high = binomial_intervals(np.array([k]), np.array([n]), confidence)
+    return int(low[0]), int(high[0])
+
+
+def binomial_intervals(k: np.ndarray, n: np.ndarray, confidence: float) -> tuple[np.ndarray, np.ndarray]:
+    """Central intervals of binomials with the observed rates."""
+    k, n = np.asarray(k, float), np.asarray(n, float)
+    p = np.where(n > 0, k / np.maximum(n, 1), 0.0)
     tail = (1 - confidence) / 2
-    return int(np.searchsorted(cdf, tail)), int(min(n, np.searchsorted(cdf, 1 - tail)))
+    sure = (p <= 0) | (p >= 1)
+    low, high = (binomial_quantile(q, n, np.where(sure, 0.5, p)) for q in (tail, 1 - tail))
+    return np.where(sure, k, low), np.where(sure, k, high)
+
+
+def with_intervals(table, count: str, total: str, confidence: float = 0.95):
+    """A table with <count>_low and <count>_high: the interval of a count, of which there were ``total`` trials. In batches
+    of rows; nothing is shuffled."""
+
+    def run(frames):
+        for frame in frames:
+            low, high = binomial_intervals(frame[count].fillna(0).to_numpy(), frame[total].fillna(0).to_numpy(), confidence)
+            yield frame.assign(**{f"{count}_low": low, f"{count}_high": high})
+
+    return table.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in table.dtypes) + f", {count}_low double, {count}_high double")
+
+
+def resample(table, count: str, total: str, key: list[str], seed: int):
+    """A table whose counts are drawn anew, each from a binomial with the observed rate. The draw depends on the seed and
+    the row's key alone, so it is the same whatever the partitions."""
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for s, k, n in zip(frame["_seed"], frame[count], frame[total], strict=True):
+                out.append(int(np.random.default_rng(int(s) & ((1 << 63) - 1)).binomial(int(n), k / n)) if n else 0)
+            yield frame.assign(**{count: out}).drop(columns=["_seed"])
+
+    return table.withColumn("_seed", F.xxhash64(*key, F.lit(seed))).mapInPandas(run, ", ".join(f"{n} {t}" for n, t in table.dtypes))
 
 
 def phi(n: Column, a: Column, b: Column, ab: Column, least: int = 1) -> Column:
@@ -79,6 +199,42 @@ def kumaraswamy(x: Column, a: float, b: float) -> Column:
     return a * b * F.pow(x, F.lit(a - 1)) * F.pow(1 - F.pow(x, F.lit(a)), F.lit(b - 1))
 
 
+def double_kumaraswamy(x: Column, w: float, a1: float, b1: float, a2: float, b2: float) -> Column:
+    """A mixture of two, the first of weight w."""
+    return w * kumaraswamy(x, a1, b1) + (1 - w) * kumaraswamy(x, a2, b2)
+
+
+def dirichlet_params(means: Column, variances: Column) -> Column:
+    """Parameters (an array) of any number of categories from arrays of their means and variances; null if these do not
+    go together in one distribution."""
+    each = F.zip_with(means, variances, lambda m, v: m * (1 - m) / v - 1)
+    total = F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x, lambda acc: acc / F.size(each))
+    alike = F.forall(each, lambda x: F.abs(x - total) <= 1e-8 + 1e-5 * F.abs(total))
+    return F.when(alike & (total > 0), F.transform(means, lambda m: m * total))
+
+
+def dirichlet_moments(alphas: Column) -> tuple[Column, Column]:
+    """Arrays of means and variances from an array of parameters."""
+    total = F.aggregate(alphas, F.lit(0.0), lambda acc, x: acc + x)
+    means = F.transform(alphas, lambda a: a / total)
+    return means, F.transform(means, lambda m: m * (1 - m) / (total + 1))
+
+
+def semi_g_anomaly(n: Column, log_expected: Column) -> Column:
+    """Half of a read's part in the G statistic."""
+    return F.when(n > 0, n * (F.log(n) - log_expected)).otherwise(0.0)
+
+
+def jackpot_score(uniq, key: tuple[str, ...] = ()):
+    """key, score: mean log ratio of observed (n) to expected (log_exp) counts of unique reads; 0 without reads."""
+    total = F.sum("n")
+    return uniq.groupBy(*key).agg(F.when(total > 0, F.sum(semi_g_anomaly(F.col("n"), F.col("log_exp"))) / total).otherwise(0.0).alias("score"))
+
+
+def jackpot_quotient(real: Column, null: Column) -> Column:
+    return F.exp(real - null)
+
+
 def block_score(eligible: Column, bridges: Column, null_rate: float, least: float = 1e-9) -> Column:
     """Binomial log-likelihood ratio against the null rate, less half the logarithm of the pairs."""
     n, k = eligible.cast("double"), bridges.cast("double")
@@ -99,3 +255,29 @@ def triangular(n: Column) -> Column:
 def celsius(t: Column) -> Column:
     """A temperature in °C, if it was in K."""
     return F.when(t >= 200, t - 273.15).otherwise(t)
+
+
+def uniform(*keys: Column | str) -> Column:
+    """A number in [0, 1) that depends on the keys alone, whatever the partitions."""
+    return (F.xxhash64(*keys).bitwiseAND(F.lit((1 << 52) - 1))) / float(1 << 52)
+
+
+def stochastic_round(x: Column, *keys: Column | str) -> Column:
+    """Up or down at random, by the keys, so that the mean is kept."""
+    return F.floor(x + uniform(*keys))
+
+
+def round_preserving(x: Column, over, start: Column | float = 0.5) -> Column:
+    """Whole numbers with the sum (rounded) of the numbers themselves, along a window's order: the steps of the running
+    sum's whole part, which begins at ``start`` in [0, 1) (a random one, for a random rounding)."""
+    start = F.lit(start) if isinstance(start, float) else start
+    total = F.sum(x).over(over)
+    return (F.floor(total + start) - F.floor(total - x + start)).cast("long")
+
+
+def pattern_rate(rates, pat: tuple, by: tuple[str, ...] = ()):
+    """pos, base, mu: total rate of the codes (pos, base, rel, p) that fit a pattern, of those that decide it."""
+    from .codes import informative
+
+    info, fit = informative(F.col("base"), F.col("rel"), pat)
+    return rates.groupBy(*by, "pos", "base").agg((F.sum(F.when(fit, F.col("p")).otherwise(0.0)) / F.sum(F.when(info, F.col("p")).otherwise(0.0))).alias("mu"))

@@ -1,7 +1,8 @@
 """From alignments (SAM rows) to segments and mutations of reads.
 
-Reads without indels are a join of exploded CIGAR operations; with indels a read's operations depend on one
-another, so a small function walks one read, and Spark deals out the reads.
+Reads without indels are expressions over their CIGAR operations; with indels a read's operations depend on one
+another, so a small function walks one read, and Spark deals out the reads. A read that cannot be used is not an error
+of the job: it keeps its reason in the column ``error``, and all others go on.
 """
 
 from __future__ import annotations
@@ -9,112 +10,316 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.sequences import cigar
 
 _OPS = re.compile(r"(\d+)([MIDNSHP=X])")
+SEGS, MUTS = "array<struct<end5:int,end3:int>>", "array<struct<pos:int,rel:int>>"
 
 
-def walk(seq: str, qual: str, pos: int, cig: str, ref: str, min_phred: int, clip5: int = 0, clip3: int = 0, ambiguous: bool = True) -> tuple[list[tuple[int, int]], dict[int, int]]:
-    """Segments and codes other than 1 of one alignment. Insertions mark the bases on both sides."""
-    ops = [(int(n), op) for n, op in _OPS.findall(cig)]
-    solid = [op for _, op in ops if op not in "SHP"]
-    if not solid or solid[0] in "ID" or solid[-1] in "ID":
-        raise ValueError(f"an alignment begins or ends with an indel: {cig}")
+def _encode(ref: str, read: str, qual: str, least: str) -> int:
+    own = codes.SUBS.get(ref, 0)
+    if not own:
+        return codes.ANY_N
+    if qual < least or read not in codes.SUBS:
+        return codes.ANY_N ^ own
+    return codes.MATCH if read == ref else codes.SUBS[read]
+
+
+class _Pairing:
+    """A read against the reference as columns: (reference position, read index), either of them None in an indel."""
+
+    def __init__(self, seq: str, qual: str, ref: str, least: str, insert3: bool):
+        self.seq, self.qual, self.ref, self.least, self.insert3 = seq, qual, ref, least, insert3
+        self.columns: list[tuple[int | None, int | None]] = []
+        self.rels: dict[int, int] = {}
+
+    def kind(self, i: int) -> str:
+        r, q = self.columns[i]
+        return "I" if r is None else "D" if q is None else "M"
+
+    def code(self, i: int) -> int:
+        """What this pairing says of a reference position: an insertion lies on the base on one side of it."""
+        r, q = self.columns[i]
+        if q is None:
+            return codes.DELETION
+        out = _encode(self.ref[r - 1], self.seq[q], self.qual[q], self.least)
+        beside = i - 1 if self.insert3 else i + 1
+        if 0 <= beside < len(self.columns) and self.columns[beside][0] is None:
+            out = (0 if out == codes.MATCH else out) | (codes.INSERT_3 if self.insert3 else codes.INSERT_5)
+        return out
+
+    def mark(self, first: int, last: int) -> None:
+        """Add what these columns say now to what they were said to be before."""
+        for i in range(max(first, 0), min(last + 1, len(self.columns))):
+            r = self.columns[i][0]
+            if r is not None:
+                self.rels[r] = self.rels.get(r, 0) | self.code(i)
+
+    def step(self, i: int, direction: int) -> int | None:
+        """Move the indel in column i past the next aligned base, through others of its kind; the column it is in then, or
+        None if it stays: at an end, beside an indel of the other kind, or where the read would fit otherwise."""
+        kind, j = self.kind(i), i + direction
+        while 0 <= j < len(self.columns) and self.kind(j) == kind:
+            j += direction
+        if not (0 < j < len(self.columns) - 1) or self.kind(j) != "M":
+            return None
+        beyond = j + direction
+        while 0 <= beyond < len(self.columns) and self.kind(beyond) == kind:
+            beyond += direction
+        if 0 <= beyond < len(self.columns) and self.kind(beyond) not in ("M", kind):
+            return None
+        r, q = self.columns[j]
+        if kind == "D":  # the base goes opposite the position that was deleted
+            now, then = (self.ref[self.columns[i][0] - 1], q), (self.ref[r - 1], q)
+        else:  # the base that was inserted goes opposite the position
+            now, then = (self.ref[r - 1], self.columns[i][1]), (self.ref[r - 1], q)
+        a, b = (_encode(x, self.seq[y], self.qual[y], self.least) for x, y in (now, then))
+        subs = codes.ANY_N ^ codes.MATCH
+        if not (a & b or (a & subs and b & subs)):
+            return None
+        low, high = min(i, j), max(i, j)
+        part = self.columns[low : high + 1]
+        if kind == "D":  # positions keep their order; the column of the base moves
+            bases = [q if k == i else None for k in range(low, high + 1)]
+            self.columns[low : high + 1] = [(c[0], b) for c, b in zip(part, bases, strict=True)]
+        else:
+            places = [r if k == i else None for k in range(low, high + 1)]
+            self.columns[low : high + 1] = [(p, c[1]) for c, p in zip(part, places, strict=True)]
+        self.mark(low - 1, high + 1)
+        return j
+
+    def pods(self) -> list[list[int]]:
+        """Columns of the indels, those of one kind together that have none of the other kind between them."""
+        out: list[list[int]] = []
+        for i in range(len(self.columns)):
+            if (kind := self.kind(i)) != "M":
+                if out and self.kind(out[-1][-1]) == kind:
+                    out[-1].append(i)
+                else:
+                    out.append([i])
+        return out
+
+    def slide(self) -> None:
+        """Mark every place that each indel could have as well: all as far to the 5' side as they go, then one after
+        the other all the way to the 3' side. Indels of one kind are alike, so one that has passed others is known by its
+        rank among them."""
+        n = len(self.pods())
+        for direction, order in ((-1, range(n)), (1, range(n - 1, -1, -1))):
+            for p in order:
+                k = len(self.pods()[p]) - 1
+                while k >= 0:
+                    at = self.step(self.pods()[p][k], direction)
+                    if at is None:
+                        k -= 1
+                    elif direction > 0:
+                        k = self.pods()[p].index(at)
+
+
+def walk(seq: str, qual: str, pos: int, cig: str, ref: str, min_phred: int, clip5: int = 0, clip3: int = 0, ambiguous: bool = True, insert3: bool = True) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """Segments and codes other than 1 of one sound alignment. An insertion marks the base on its 3' side, or on its 5'
+    side. With ``ambiguous``, a position gets the codes of all alignments that only place indels differently."""
     segments, rels, r, q, start = [], {}, pos, 0, pos
-    gaps, inserts = [], []  # (first, last) reference positions deleted; (position before, inserted bases)
-    for n, op in ops:
+    least = chr(33 + min_phred)
+    pairing = _Pairing(seq, qual, ref, least, insert3)
+
+    def done() -> None:
+        segments.append((start, r - 1))
+        pairing.mark(0, len(pairing.columns) - 1)
+        if ambiguous and any(None in c for c in pairing.columns):
+            pairing.slide()
+        pairing.columns.clear()
+
+    for n, op in ((int(n), op) for n, op in _OPS.findall(cig)):
         if op in "M=X":
-            for i in range(n):
-                base, read, sure = ref[r + i - 1], seq[q + i], ord(qual[q + i]) - 33 >= min_phred
-                own = codes.SUBS.get(base, 0)
-                code = codes.ANY_N if not own else codes.ANY_N ^ own if not sure or read not in codes.SUBS else codes.MATCH if read == base else codes.SUBS[read]
-                if code != codes.MATCH:
-                    rels[r + i] = code
+            pairing.columns += [(r + i, q + i) for i in range(n)]
             r, q = r + n, q + n
         elif op == "D":
-            gaps.append((r, r + n - 1))
-            for i in range(n):
-                rels[r + i] = codes.DELETION
+            pairing.columns += [(r + i, None) for i in range(n)]
             r += n
         elif op == "I":
-            inserts.append((r - 1, seq[q : q + n]))
+            pairing.columns += [(None, q + i) for i in range(n)]
             q += n
         elif op == "N":
-            segments.append((start, r - 1))
+            done()
             r += n
             start = r
         elif op == "S":
             q += n
-    segments.append((start, r - 1))
-    for before, _ in inserts:
-        rels[before] = rels.get(before, codes.MATCH if before not in rels else 0) | codes.INSERT_5
-        rels[before + 1] = rels.get(before + 1, codes.MATCH) | codes.INSERT_3
-    if ambiguous:
-        _slide(ref, pos, r - 1, gaps, inserts, rels)
+    done()
+    rels = {p: c for p, c in pairing.rels.items() if c != codes.MATCH}
     first, last = segments[0][0] + clip5, segments[-1][1] - clip3
     cut = [(max(a, first), min(b, last)) for a, b in segments]
     return [(a, b) for a, b in cut if a <= b], {p: c for p, c in rels.items() if first <= p <= last}
 
 
-def _slide(ref: str, end5: int, end3: int, gaps, inserts, rels: dict[int, int]) -> None:
-    """Mark every place to which one indel could move without changing the read: a deletion where the base
-    that enters equals the one that leaves, an insertion likewise. Indels do not move past each other."""
-    taken = sorted([x for a, b in gaps for x in (a, b)] + [x for p, _ in inserts for x in (p, p + 1)])
-    for a, b in gaps:
-        for step in (-1, 1):
-            x, y = a, b
-            while True:
-                leave, enter = (x - 1, y) if step < 0 else (y + 1, x)
-                if not end5 < leave < end3 or leave in taken or ref[leave - 1] != ref[enter - 1] or rels.get(leave, 1) & ~(codes.MATCH | codes.DELETION):
-                    break
-                rels[leave] = rels.get(leave, codes.MATCH) | codes.DELETION
-                rels[enter] = rels.get(enter, codes.DELETION) | codes.MATCH
-                x, y = x + step, y + step
-    for before, bases in inserts:
-        for step in (-1, 1):
-            at, held = before, bases
-            while True:
-                moved = at if step < 0 else at + 1
-                if not end5 < moved < end3 or (moved in taken and moved not in (before, before + 1)) or ref[moved - 1] != (held[-1] if step < 0 else held[0]) or rels.get(moved, 1) & ~(codes.MATCH | codes.INSERTION):
-                    break
-                held = ref[moved - 1] + held[:-1] if step < 0 else held[1:] + ref[moved - 1]
-                at += step
-                rels[at] = rels.get(at, codes.MATCH) | codes.INSERT_5
-                rels[at + 1] = rels.get(at + 1, codes.MATCH) | codes.INSERT_3
-
-
-def identify(sam: DataFrame, refs: DataFrame, min_mapq: int = 25, min_phred: int = 25, clip5: int = 0, clip3: int = 0, ambiguous: bool = True) -> DataFrame:
-    """name, ref, mate, segs (array of end5, end3), muts (array of pos, rel) of every alignment that passes.
-    The references, one row each, meet the alignments by name."""
-    schema = "name string, ref string, mate int, segs array<struct<end5:int,end3:int>>, muts array<struct<pos:int,rel:int>>"
+def _total(ops: str) -> Column:
+    return F.aggregate(F.regexp_extract_all("cigar", F.lit(rf"(\d+)[{ops}]"), F.lit(1)), F.lit(0), lambda acc, n: acc + n.cast("int"))
+
+
+def problem() -> Column:
+    """Why an alignment (columns of a SAM row, and ``refseq``) cannot be used; null if it can."""
+    c = F.col("cigar")
+    solid = F.regexp_replace(c, r"\d+[HP]", "")
+    inner = F.regexp_replace(F.regexp_replace(solid, r"^\d+S", ""), r"\d+S$", "")
+    return (
+        F.when(F.col("refseq").isNull(), "no such reference")
+        .when(c.isNull() | ~c.rlike(r"^(\d+[MIDNSHP=X])+$"), "the CIGAR string is invalid")
+        .when(c.rlike(r"(^|\D)0+[MIDNSHP=X]"), "a CIGAR operation has no length")
+        .when(c.rlike(r"([MIDNSHP=X])\d+\1"), "a CIGAR operation comes twice in a row")
+        .when(c.rlike(r"D\d+[IN]|[IN]\d+D"), "an indel or intron lies beside a deletion")
+        .when(inner.contains("S"), "a soft clip lies in the middle")
+        .when(~inner.rlike(r"^\d+[M=X]"), "the first operation is no aligned base")
+        .when(~inner.rlike(r"\d+[M=X]$"), "the last operation is no aligned base")
+        .when(_total("MIS=X") != F.length("seq"), "the CIGAR string and the read differ in length")
+        .when(F.length("seq") != F.length("qual"), "the read and its qualities differ in length")
+        .when((F.col("pos") < 1) | (F.col("pos") + _total("MDN=X") - 1 > F.length("refseq")), "the alignment leaves the reference")
+    )
+
+
+def _plain(sound: DataFrame, min_phred: int, clip5: int, clip3: int) -> DataFrame:
+    """segs and muts of alignments without indels, by expressions alone: nothing is shuffled, and no Python runs."""
+    ops = F.regexp_extract_all("cigar", F.lit(r"\d+[MNS=X]"), F.lit(0))
+    kind, n = lambda t: F.substring(t, -1, 1), lambda t: F.regexp_extract(t, r"\d+", 0).cast("int")
+    block = "struct<ref:int,read:int,n:int>"
+    walked = F.aggregate(
+        ops,
+        F.struct(F.col("pos").cast("int").alias("ref"), F.lit(1).alias("read"), F.array().cast(f"array<{block}>").alias("out")),
+        lambda acc, t: F.struct(
+            (acc["ref"] + F.when(kind(t) == "S", 0).otherwise(n(t))).alias("ref"),
+            (acc["read"] + F.when(kind(t) == "N", 0).otherwise(n(t))).alias("read"),
+            F.when(kind(t).isin("N", "S"), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(acc["ref"].alias("ref"), acc["read"].alias("read"), n(t).alias("n")))).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    low = "[" + "".join(re.escape(chr(c)) for c in range(33, 33 + min_phred)) + "]"
+    row = sound.withColumn("_blocks", walked)
+
+    def mutated(b: Column) -> Column:
+        refs, bases, quals = (F.substring(F.col(c), b[k], b["n"]) for c, k in (("refseq", "ref"), ("seq", "read"), ("qual", "read")))
+        even = (refs == bases) & ~refs.contains("N")
+        even = even & ~quals.rlike(low) if min_phred > 0 else even
+        each = F.transform(
+            F.arrays_zip(F.split(refs, "").alias("r"), F.split(bases, "").alias("b"), F.split(quals, "").alias("q")),
+            lambda x, i: F.struct((b["ref"] + i).cast("int").alias("pos"), codes.encode(x["r"], x["b"], F.ascii(x["q"]) - 33, min_phred).cast("int").alias("rel")),
+        )
+        return F.when(even, F.array().cast(MUTS)).otherwise(F.filter(each, lambda m: m["rel"] != codes.MATCH))
+
+    # neighbouring blocks (runs of =, X and M) are one segment; introns part them
+    def join(acc: Column, b: Column) -> Column:
+        one = F.struct(b["ref"].alias("end5"), (b["ref"] + b["n"] - 1).alias("end3"))
+        last = F.get(acc, F.size(acc) - 1)
+        grown = F.struct(last["end5"].alias("end5"), one["end3"].alias("end3"))
+        return F.when((F.size(acc) > 0) & (last["end3"] + 1 == one["end5"]), F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(F.array_append(acc, one))
+
+    segs = F.aggregate("_blocks", F.array().cast(SEGS), join)
+    muts = F.flatten(F.transform("_blocks", mutated))
+    row = row.withColumn("_segs", segs).withColumn("_muts", muts)
+    first, last = F.get("_segs", F.lit(0))["end5"] + clip5, F.get("_segs", F.size("_segs") - 1)["end3"] - clip3
+    cut = F.filter(F.transform("_segs", lambda s: F.struct(F.greatest(s["end5"], first).alias("end5"), F.least(s["end3"], last).alias("end3"))), lambda s: s["end5"] <= s["end3"])
+    return row.select("name", "ref", "flag", cut.cast(SEGS).alias("segs"), F.filter("_muts", lambda m: m["pos"].between(first, last)).cast(MUTS).alias("muts"), F.lit(None).cast("string").alias("error"))
+
+
+def identify(sam: DataFrame, refs: DataFrame, min_mapq: int = 25, min_phred: int = 25, clip5: int = 0, clip3: int = 0, ambiguous: bool = True, insert3: bool = True) -> DataFrame:
+    """name, ref, flag, segs (array of end5, end3), muts (array of pos, rel), error of every alignment that is mapped well
+    enough. Those with an error have neither segments nor mutations. The references, one row each, meet the alignments
+    by name."""
 
     def run(frames):
         for frame in frames:
             rows = []
             for name, ref, flag, pos, cig, seq, qual, refseq in zip(*(frame[c] for c in ("name", "ref", "flag", "pos", "cigar", "seq", "qual", "refseq")), strict=True):
-                segs, rels = walk(seq, qual, pos, cig, refseq, min_phred, clip5, clip3, ambiguous)
-                rows.append((name, ref, 2 if flag & 128 else 1, [{"end5": a, "end3": b} for a, b in segs], [{"pos": p, "rel": c} for p, c in sorted(rels.items())]))
-            yield pd.DataFrame(rows, columns=["name", "ref", "mate", "segs", "muts"])
-
-    held = sam.where((F.col("mapq") >= min_mapq) & (F.col("flag").bitwiseAND(F.lit(4)) == 0)).join(refs.select("ref", F.col("seq").alias("refseq")), "ref")
-    return held.select("name", "ref", "flag", "pos", "cigar", "seq", "qual", "refseq").mapInPandas(run, schema)
-
-
-def tables(identified: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """segments and muts of identified alignments, mates merged by AND of their codes where both cover."""
-    read = F.concat_ws("/", "ref", "name")
-    segments = identified.select(read.alias("read"), "ref", F.posexplode("segs").alias("i", "s"), "mate").select("read", "ref", (F.col("mate") * 1000 + F.col("i")).alias("seg"), "mate", "s.*")
-    muts = identified.select(read.alias("read"), "ref", "mate", F.explode("muts").alias("m")).select("read", "ref", "mate", "m.*")
-    spans = segments.groupBy("read", "mate").agg(F.min("end5").alias("a"), F.max("end3").alias("b"))
-    every = muts.select("read", "ref", "pos").distinct().join(spans, "read").join(muts.select("read", "mate", "pos", "rel"), ["read", "mate", "pos"], "left")
-    said = F.coalesce("rel", F.when(F.col("pos").between(F.col("a"), F.col("b")), codes.MATCH).otherwise(codes.NO_COVERAGE))
-    merged = every.groupBy("read", "ref", "pos").agg(F.bit_and(said).cast("int").alias("rel")).where(F.col("rel") != codes.MATCH)
+                segs, rels = walk(seq, qual, pos, cig, refseq, min_phred, clip5, clip3, ambiguous, insert3)
+                rows.append((name, ref, flag, [{"end5": a, "end3": b} for a, b in segs], [{"pos": p, "rel": c} for p, c in sorted(rels.items())], None))
+            yield pd.DataFrame(rows, columns=["name", "ref", "flag", "segs", "muts", "error"])
+
+    mapped = sam.where((F.col("mapq") >= min_mapq) & (F.col("flag").bitwiseAND(F.lit(4)) == 0)).select(F.col("name").cast("string").alias("name"), "ref", "flag", "pos", "cigar", "seq", "qual")
+    held = mapped.join(refs.select("ref", F.col("seq").alias("refseq")), "ref", "left").withColumn("error", problem())
+    bad = held.where("error is not null").select("name", "ref", "flag", F.array().cast(SEGS).alias("segs"), F.array().cast(MUTS).alias("muts"), "error")
+    indel = F.col("cigar").rlike("[ID]")
+    sound = held.where("error is null").drop("error")
+    ref_type = dict(refs.dtypes)["ref"]
+    walked = sound.where(indel).mapInPandas(run, f"name string, ref {ref_type}, flag int, segs {SEGS}, muts {MUTS}, error string")
+    return _plain(sound.where(~indel), min_phred, clip5, clip3).unionByName(walked).unionByName(bad)
+
+
+def pair(identified: DataFrame, overhangs: bool = True) -> DataFrame:
+    """One row a read: read, ref, segs, muts, error. Mates marked as a proper pair are one read, their codes met by AND:
+    where a mate says nothing it is a match if one of its segments covers the position, else not covered. Improper mates and
+    single reads are reads of their own. Of a proper pair whose mates do not fit together both go. Without ``overhangs``
+    the forward mate ends where the reverse one does, and the reverse one begins where the forward one does."""
+    bit = lambda b: F.col("flag").bitwiseAND(F.lit(b)) != 0
+    proper = bit(1) & bit(2)
+    mate = F.when(bit(1) & bit(128), 2).otherwise(1)
+    read = F.concat_ws("/", F.col("ref").cast("string"), "name", F.when(bit(1) & ~bit(2), mate.cast("string")))
+    row = F.struct(mate.alias("mate"), bit(64).alias("first"), bit(128).alias("second"), bit(16).alias("reverse"), "segs", "muts", "error")
+    grouped = identified.select(read.alias("read"), "ref", proper.alias("proper"), row.alias("x")).groupBy("read", "ref", "proper").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    a, b, n = F.col("xs")[0], F.col("xs")[F.size("xs") - 1], F.size("xs")
+    reason = (
+        F.when(F.coalesce(a["error"], b["error"]).isNotNull(), F.coalesce(a["error"], b["error"]))
+        .when(F.col("proper") & (n != 2), "a mate of a proper pair is missing or comes again")
+        .when(~F.col("proper") & (n > 1), "a read comes again")
+        .when(F.col("proper") & ~(a["first"] & ~a["second"] & b["second"] & ~b["first"]), "the mates are not a first and a second one")
+        .when(F.col("proper") & (a["reverse"] == b["reverse"]), "the mates have the same direction")
+    )
+    out = grouped.select("read", "ref", "proper", reason.alias("error"), F.when(a["reverse"] & F.col("proper"), b).otherwise(a).alias("f"), F.when(a["reverse"] & F.col("proper"), a).otherwise(b).alias("r"))
+    f_segs, r_segs = F.col("f.segs"), F.col("r.segs")
+    if not overhangs:
+        end3, end5 = F.array_max(F.transform(r_segs, lambda s: s["end3"])), F.array_min(F.transform(f_segs, lambda s: s["end5"]))
+        whole = lambda s: s["end5"] <= s["end3"]
+        f_segs, r_segs = (
+            F.filter(F.transform(f_segs, lambda s: F.struct(s["end5"].alias("end5"), F.least(s["end3"], end3).alias("end3"))), whole),
+            F.filter(F.transform(r_segs, lambda s: F.struct(F.greatest(s["end5"], end5).alias("end5"), s["end3"].alias("end3"))), whole),
+        )
+    out = out.select("read", "ref", "proper", "error", f_segs.alias("fs"), r_segs.alias("rs"), F.col("f.muts").alias("fm"), F.col("r.muts").alias("rm"))
+
+    def inside(segs: str, p: Column) -> Column:
+        return F.exists(segs, lambda s: p.between(s["end5"], s["end3"]))
+
+    def said(segs: str, muts: str, p: Column) -> Column:
+        own = F.get(F.filter(muts, lambda m: m["pos"] == p), F.lit(0))["rel"]
+        return F.when(inside(segs, p), F.coalesce(own, F.lit(codes.MATCH))).otherwise(codes.NO_COVERAGE)
+
+    def held(segs: str, muts: str) -> Column:
+        return F.filter(F.transform(muts, lambda m: m["pos"]), lambda p: inside(segs, p))
+
+    places = F.array_sort(F.array_union(held("fs", "fm"), held("rs", "rm")))
+    met = F.filter(F.transform(places, lambda p: F.struct(p.alias("pos"), said("fs", "fm", p).bitwiseAND(said("rs", "rm", p)).alias("rel"))), lambda m: m["rel"] != codes.MATCH)
+    none = F.col("error").isNotNull()
+    return out.select(
+        "read",
+        "ref",
+        F.when(none, F.array().cast(SEGS)).when(F.col("proper"), F.concat("fs", "rs")).otherwise(F.col("fs")).cast(SEGS).alias("segs"),
+        F.when(none, F.array().cast(MUTS)).when(F.col("proper"), met).otherwise(F.col("fm")).cast(MUTS).alias("muts"),
+        "error",
+    )
+
+
+def tables(paired: DataFrame, refs: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """segments (read, ref, seg, end5, end3) and muts (read, ref, pos, base, rel) of the reads without an error. With a
+    ``path`` the reads are written there first and both tables read them from it, so alignments are walked once."""
+    if path is not None:
+        paired.write.mode("overwrite").parquet(path)
+        paired = paired.sparkSession.read.schema(paired.schema).parquet(path)
+    sound = paired.where("error is null")
+    segments = sound.select("read", "ref", F.posexplode("segs").alias("seg", "s")).select("read", "ref", "seg", "s.*")
+    muts = sound.select("read", "ref", F.explode("muts").alias("m")).select("read", "ref", "m.*")
     bases = refs.select("ref", F.posexplode(F.split("seq", ""))).select("ref", (F.col("pos") + 1).alias("pos"), F.col("col").alias("base"))
-    return segments.drop("mate"), merged.join(bases, ["ref", "pos"])
+    return segments, muts.join(bases, ["ref", "pos"]).select("read", "ref", "pos", "base", "rel")
+
+
+def rejected(paired: DataFrame) -> DataFrame:
+    """error, n: why reads were left out, and how many."""
+    return paired.where("error is not null").groupBy("error").agg(F.count("*").alias("n"))
+
+
+def batches(segments: DataFrame, size: int = 65_536) -> DataFrame:
+    """read, batch: reads numbered on by reference and then dealt to batches of a size, where outputs need them."""
+    w = Window.partitionBy("ref").orderBy("read")
+    return segments.select("ref", "read").distinct().select("ref", "read", F.floor((F.row_number().over(w) - 1) / size).cast("int").alias("batch"))
 
 
 def aligned_bases(sam: DataFrame) -> DataFrame:

@@ -144,3 +144,90 @@ def pool_check(profiles: DataFrame, sample: str, min_pearson: float, max_marcd:
     both = a.join(b, "pos").where("sample_a < sample_b and x is not null and y is not null")
     out = both.groupBy("sample_a", "sample_b").agg(F.corr("x", "y").alias("pearson"), METRICS["marcd"]().alias("marcd"))
     return out.withColumn("ok", F.coalesce((F.col("pearson") >= min_pearson) & (F.col("marcd") <= max_marcd), F.lit(False)))
+
+
+def complete(profiles: DataFrame, on: Sequence[str], profile: str, every: bool = True) -> DataFrame:
+    """Rows at positions where all profiles have a rate (or, not ``every``, where any has)."""
+    n = profiles.agg(F.count_distinct(profile).alias("_all"))
+    held = profiles.groupBy(*on).agg(F.count_distinct(F.when(F.col("mu").isNotNull(), F.col(profile))).alias("_n"))
+    kept = held.join(F.broadcast(n)).where("_n = _all" if every else "_n > 0").select(*on)
+    return profiles.join(kept, list(on), "left_semi")
+
+
+def with_structure(profiles: DataFrame, pairs: DataFrame, on: Sequence[str] = ()) -> DataFrame:
+    """The profiles with struct and paired, for each structure (of the same ``on``)."""
+    named = pairs.select(*on, "struct").distinct()
+    each = profiles.join(named, list(on)) if on else profiles.crossJoin(F.broadcast(named))
+    return each.join(pairs.select(*on, "struct", "pos", F.lit(True).alias("paired")), [*on, "struct", "pos"], "left").withColumn("paired", F.coalesce("paired", F.lit(False)))
+
+
+def best_structure(rows: DataFrame, key: Sequence[str], struct: str = "struct") -> DataFrame:
+    """key, struct, auc of the structure that fits a profile best; of equal ones the first."""
+    scored = auc(roc(rows, [*key, struct]), [*key, struct]).where("auc is not null")
+    return scored.groupBy(*key).agg(F.max_by(F.struct(struct, "auc"), F.struct("auc", -F.col(struct))).alias("b")).select(*key, "b.*")
+
+
+def first_structure(structs: DataFrame, key: Sequence[str], energy: str = "energy", struct: str = "struct") -> DataFrame:
+    """key, struct, energy of the structure of least free energy; of equal ones the first."""
+    return structs.groupBy(*key).agg(F.min_by(F.struct(struct, energy), F.struct(energy, struct)).alias("b")).select(*key, "b.*")
+
+
+#: Parameters of mutation: name, and the counts whose ratio it is. Fixed values.
+PARAMETERS = {"m": ("Mutated", "Informative"), "a": ("Subbed_A", "Mutated"), "c": ("Subbed_C", "Mutated"), "g": ("Subbed_G", "Mutated"), "t": ("Subbed_T", "Mutated")}
+
+
+def abstract(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, paired, name, mean, fvar: ratios of a position table with a column ``paired``, over positions. Names are a base
+    and a parameter (``am``: mutated A, ``ac``: of these, to C), and ``loq``, the share of bases of low quality. Means are kept
+    a millionth away from 0 and 1; fvar is the variance as a share of mean (1 - mean)."""
+    cells = [F.struct(F.lit("loq").alias("name"), (1 - ratio(F.col("Informative"), F.col("Covered"))).alias("x"))]
+    for b in "ACGT":
+        for p, (a, c) in PARAMETERS.items():
+            if p != b.lower():
+                cells.append(F.struct(F.lit(f"{b.lower()}{p}").alias("name"), F.when(F.col("base") == b, ratio(F.col(a), F.col(c))).alias("x")))
+    each = table.select(*by, "paired", F.explode(F.array(*cells)).alias("c")).select(*by, "paired", "c.*").where("x is not null")
+    mean = F.least(F.greatest(F.avg("x"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    return each.groupBy(*by, "paired", "name").agg(mean.alias("mean"), (F.var_pop("x") / (mean * (1 - mean))).alias("fvar"))
+
+
+def parameter_tokens(params: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, tokens: the parameters as words for a command, means and (of mutated bases) variances."""
+    side = F.when(F.col("paired"), "paired").otherwise("unpaired")
+    mean = F.concat_ws(" ", F.concat(F.lit("--pmut-"), side), "name", F.round("mean", 6).cast("string"))
+    fvar = F.when(F.col("name").rlike("^[acgt]m$"), F.concat_ws(" ", F.concat(F.lit("--vmut-"), side), F.substring("name", 1, 1), F.round("fvar", 6).cast("string")))
+    words = F.array_sort(F.flatten(F.collect_list(F.array_compact(F.array(mean, fvar)))))
+    return params.groupBy(*by).agg(F.array_join(words, " ").alias("tokens"))
+
+
+def equal_share(rows: DataFrame, key: Sequence[str], tolerance: float = 1e-8) -> DataFrame:
+    """key, share of the positions at which two profiles (x, y) are equal."""
+    same = F.abs(F.col("x") - F.col("y")) <= tolerance + 1e-5 * F.abs(F.col("y"))
+    return rows.groupBy(*key).agg(F.avg(same.cast("double")).alias("share"))
+
+
+def g_test(counts: DataFrame, key: Sequence[str]) -> DataFrame:
+    """key, g, dof of observed against expected counts; cells without either add nothing."""
+    term = F.when((F.col("observed") > 0) & (F.col("expected") > 0), F.col("observed") * F.log(F.col("observed") / F.col("expected"))).otherwise(0.0)
+    return counts.groupBy(*key).agg((2 * F.sum(term)).alias("g"), (F.count("*") - 1).alias("dof"))
+
+
+def fold_inputs(profile: DataFrame, key: Sequence[str], q: float = 0.95) -> DataFrame:
+    """key, lines of a reactivity file: positions and rates, normalised by a quantile and cut to [0, 1]; nulls are left out."""
+    held = normalize(profile, key, q).where("mu is not null")
+    line = F.concat_ws("\t", F.col("pos").cast("string"), F.format_number("mu", 6))
+    return held.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
+
+
+def substitution_histogram(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, n_subs, n: reads by their number of substitutions, from 0 to the most; ``table``: by, read, Subbed."""
+    found = table.groupBy(*by, F.col("Subbed").alias("n_subs")).agg(F.count("*").alias("n"))
+    every = found.groupBy(*by).agg(F.max("n_subs").alias("_m")).select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m"))).alias("n_subs"))
+    return every.join(found, [*by, "n_subs"], "left").select(*by, "n_subs", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def table_pairs(tables: DataFrame, key: Sequence[str], sample: str) -> DataFrame:
+    """key, sample_a, sample_b: unordered pairs of samples with the same key. Samples of a key are gathered, as there are
+    few, and paired in place."""
+    held = tables.groupBy(*key).agg(F.array_sort(F.collect_set(sample)).alias("_s"))
+    each = held.select(*key, F.posexplode("_s").alias("_i", "sample_a"), "_s")
+    return each.select(*key, "sample_a", F.explode(F.slice("_s", F.col("_i") + 2, F.size("_s"))).alias("sample_b"))

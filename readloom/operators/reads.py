@@ -1,7 +1,8 @@
 """Reads: counting, distances between mutations, unique reads, mates, filters by read and position.
 
 Tables: ``segments`` (read, seg, end5, end3), ``muts`` (read, pos, base, rel; codes other than 1),
-``positions`` (pos, base). Every operator also takes further key columns in ``by``, such as sample or ref.
+``positions`` (pos, base). Every operator also takes further key columns in ``by``, such as sample or ref, which then
+all its tables have; reads are told apart by (by, read).
 """
 
 from __future__ import annotations
@@ -15,6 +16,14 @@ from ..functions import codes
 from ..functions.stats import ratio
 
 
+def _steps(spans: DataFrame, by: Sequence[str], weight: Column, first: Column | str = "end5", after: Column | None = None) -> DataFrame:
+    """by, pos, d: what a running sum over positions turns into coverage by these spans."""
+    start = F.col(first) if isinstance(first, str) else first
+    after = F.col("end3") + 1 if after is None else after
+    both = F.array(F.struct(start.alias("pos"), weight.alias("d")), F.struct(after.alias("pos"), (-weight).alias("d")))
+    return spans.select(*by, F.explode(both).alias("s")).groupBy(*by, "s.pos").agg(F.sum("s.d").alias("d"))
+
+
 def islands(segments: DataFrame, by: Sequence[str] = ("read",)) -> DataFrame:
     """Segments of a read merged where they touch or overlap: by, end5, end3. Empty ones go."""
     w = Window.partitionBy(*by).orderBy("end5", "end3")
@@ -23,56 +32,85 @@ def islands(segments: DataFrame, by: Sequence[str] = ("read",)) -> DataFrame:
     return marked.groupBy(*by, "_island").agg(F.min("end5").alias("end5"), F.max("end3").alias("end3")).drop("_island")
 
 
-def discontiguous(segments: DataFrame) -> DataFrame:
+def discontiguous(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Reads whose covered positions have a gap."""
-    return islands(segments).groupBy("read").count().where("count > 1").select("read")
+    return islands(segments, [*by, "read"]).groupBy(*by, "read").count().where("count > 1").select(*by, "read")
+
+
+def read_ends(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, read, end5, end3 over its segments."""
+    return segments.where("end5 <= end3").groupBy(*by, "read").agg(F.min("end5").alias("end5"), F.max("end3").alias("end3"))
+
+
+def read_lengths(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, read, length from the first to the last position."""
+    return read_ends(segments, by).select(*by, "read", (F.col("end3") - F.col("end5") + 1).alias("length"))
+
 
+def median_length(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, median of the reads' lengths."""
+    return read_lengths(segments, by).groupBy(*by).agg(F.percentile("length", F.lit(0.5)).alias("median"))
 
-def read_ends(segments: DataFrame) -> DataFrame:
-    """read, end5, end3 over its segments."""
-    return segments.where("end5 <= end3").groupBy("read").agg(F.min("end5").alias("end5"), F.max("end3").alias("end3"))
 
+def end_counts(segments: DataFrame, weights: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """by, end5, end3, n: reads by their ends, or the sums of their ``weights`` (by, read, weight)."""
+    ends = read_ends(segments, by)
+    if weights is None:
+        return ends.groupBy(*by, "end5", "end3").agg(F.count("*").alias("n"))
+    return ends.join(weights, [*by, "read"]).groupBy(*by, "end5", "end3").agg(F.sum("weight").alias("n"))
 
-def end_counts(segments: DataFrame, weight: Column | None = None) -> DataFrame:
-    return read_ends(segments).groupBy("end5", "end3").agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
 
+def coverage(segments: DataFrame, positions: DataFrame, by: Sequence[str] = (), weights: DataFrame | None = None) -> DataFrame:
+    """by, pos, base, n: reads that cover each position, overlapping mates once (or the sum of their weights). A difference
+    array: two rows an island are summed per position before one running sum over the (few) positions."""
+    spans = islands(segments, [*by, "read"])
+    spans = spans.withColumn("weight", F.lit(1)) if weights is None else spans.join(weights, [*by, "read"])
+    joined = _steps(spans, by, F.col("weight")).join(positions.select(*by, "pos", "base"), [*by, "pos"], "full")
+    running = joined.withColumn("n", F.sum(F.coalesce("d", F.lit(0))).over(Window.partitionBy(*by).orderBy("pos")))
+    return running.where("base is not null").select(*by, "pos", "base", "n")
 
-def coverage(segments: DataFrame, positions: DataFrame) -> DataFrame:
-    """pos, base, n: reads that cover each position, overlapping mates once. A difference array: two
-    rows an island are summed per position before one running sum over the (few) positions."""
-    spans = islands(segments)
-    steps = spans.select(F.explode(F.array(F.struct(F.col("end5").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("end3") + 1).alias("pos"), F.lit(-1).alias("d")))).alias("s")).groupBy("s.pos").agg(F.sum("s.d").alias("d"))
-    joined = steps.join(positions.select("pos", "base"), "pos", "full")
-    running = joined.withColumn("n", F.sum(F.coalesce("d", F.lit(0))).over(Window.orderBy("pos")))
-    return running.where("base is not null").select("pos", "base", "n")
 
+def codes_per_position(segments: DataFrame, muts: DataFrame, positions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, pos, base, rel, n with matches (1) and uncovered reads (255) derived."""
+    covered = coverage(segments, positions, by)
+    explicit = muts.groupBy(*by, "pos", "base", "rel").agg(F.count("*").alias("n"))
+    rest = covered.join(explicit.groupBy(*by, "pos").agg(F.sum("n").alias("m")), [*by, "pos"], "left")
+    total = segments.groupBy(*by).agg(F.count_distinct("read").alias("reads"))
+    matches = rest.select(*by, "pos", "base", F.lit(1).alias("rel"), (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"))
+    joined = rest.join(total, list(by)) if by else rest.join(F.broadcast(total))  # one row
+    missing = joined.select(*by, "pos", "base", F.lit(255).alias("rel"), (F.col("reads") - F.col("n")).alias("n"))
+    return explicit.select(*by, "pos", "base", F.col("rel").cast("int").alias("rel"), "n").unionByName(matches).unionByName(missing).where("n > 0")
 
-def codes_per_position(segments: DataFrame, muts: DataFrame, positions: DataFrame) -> DataFrame:
-    """pos, base, rel, n with matches (1) and uncovered reads (255) derived."""
-    covered = coverage(segments, positions)
-    explicit = muts.groupBy("pos", "base", "rel").agg(F.count("*").alias("n"))
-    rest = covered.join(explicit.groupBy("pos").agg(F.sum("n").alias("m")), "pos", "left")
-    total = segments.agg(F.count_distinct("read").alias("reads"))
-    matches = rest.select("pos", "base", F.lit(1).alias("rel"), (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"))
-    missing = rest.join(F.broadcast(total)).select("pos", "base", F.lit(255).alias("rel"), (F.col("reads") - F.col("n")).alias("n"))
-    return explicit.select("pos", "base", F.col("rel").cast("int").alias("rel"), "n").unionByName(matches).unionByName(missing).where("n > 0")
 
+def _base_counts(positions: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, pos, cA ... cN: how many positions of each base there are up to this one, from one before the first to the
+    last, masked ones too."""
+    span = positions.groupBy(*by).agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
+    grid = span.select(*by, F.explode(F.sequence(F.col("_first") - 1, F.col("_last"))).alias("pos")).join(positions.select(*by, "pos", "base"), [*by, "pos"], "left")
+    w = Window.partitionBy(*by).orderBy("pos")
+    return grid.select(*by, "pos", *[F.sum(F.when(F.col("base") == b, 1).otherwise(0)).over(w).alias(f"c{b}") for b in codes.BASES])
 
-def codes_per_read(segments: DataFrame, muts: DataFrame, positions: DataFrame) -> DataFrame:
-    """read, base, rel, n with matches derived. Covered bases come from running counts per base at the
-    ends of each island, so rows are per island, not per position."""
-    bases = "ACGTN"
-    span = positions.agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
-    grid = span.select(F.explode(F.sequence(F.col("first") - 1, F.col("last"))).alias("pos")).join(positions, "pos", "left")  # masked positions too
-    cum = grid.select("pos", *[F.sum(F.when(F.col("base") == b, 1).otherwise(0)).over(Window.orderBy("pos")).alias(f"c{b}") for b in bases])
-    cut = islands(segments).join(F.broadcast(span)).select("read", F.greatest("end5", "first").alias("end5"), F.least("end3", "last").alias("end3")).where("end5 <= end3")
-    high = cut.join(F.broadcast(cum).withColumnRenamed("pos", "end3"), "end3")
-    low = F.broadcast(cum.select((F.col("pos") + 1).alias("end5"), *[F.col(f"c{b}").alias(f"l{b}") for b in bases]))
-    both = high.join(low, "end5", "left").groupBy("read").agg(*[F.sum(F.col(f"c{b}") - F.coalesce(f"l{b}", F.lit(0))).alias(b) for b in bases])
-    covered = both.select("read", F.explode(F.array(*[F.struct(F.lit(b).alias("base"), F.col(b).alias("cov")) for b in bases])).alias("x")).select("read", "x.*").where("cov > 0")
-    explicit = muts.groupBy("read", "base", "rel").agg(F.count("*").alias("n"))
-    matches = covered.join(explicit.groupBy("read", "base").agg(F.sum("n").alias("m")), ["read", "base"], "left").select("read", "base", F.lit(1).alias("rel"), (F.col("cov") - F.coalesce("m", F.lit(0))).alias("n"))
-    return explicit.select("read", "base", F.col("rel").cast("int").alias("rel"), "n").unionByName(matches).where("n > 0")
+
+def bases_per_read(segments: DataFrame, positions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, read, A ... N: covered positions of each base. Running counts per base at the ends of each island, so rows are
+    per island, not per position."""
+    span = positions.groupBy(*by).agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
+    cum = _base_counts(positions, by)
+    spans = islands(segments, [*by, "read"])
+    spans = spans.join(span, list(by)) if by else spans.join(F.broadcast(span))  # one row
+    cut = spans.select(*by, "read", F.greatest("end5", "_first").alias("end5"), F.least("end3", "_last").alias("end3")).where("end5 <= end3")
+    high = cut.join(cum.withColumnRenamed("pos", "end3"), [*by, "end3"])
+    low = cum.select(*by, (F.col("pos") + 1).alias("end5"), *[F.col(f"c{b}").alias(f"l{b}") for b in codes.BASES])
+    return high.join(low, [*by, "end5"], "left").groupBy(*by, "read").agg(*[F.sum(F.col(f"c{b}") - F.coalesce(f"l{b}", F.lit(0))).alias(b) for b in codes.BASES])
+
+
+def codes_per_read(segments: DataFrame, muts: DataFrame, positions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, read, base, rel, n with matches derived."""
+    covered = bases_per_read(segments, positions, by).select(*by, "read", F.explode(F.array(*[F.struct(F.lit(b).alias("base"), F.col(b).alias("cov")) for b in codes.BASES])).alias("x")).select(*by, "read", "x.*").where("cov > 0")
+    explicit = muts.groupBy(*by, "read", "base", "rel").agg(F.count("*").alias("n"))
+    some = explicit.groupBy(*by, "read", "base").agg(F.sum("n").alias("m"))
+    matches = covered.join(some, [*by, "read", "base"], "left").select(*by, "read", "base", F.lit(1).alias("rel"), (F.col("cov") - F.coalesce("m", F.lit(0))).alias("n"))
+    return explicit.select(*by, "read", "base", F.col("rel").cast("int").alias("rel"), "n").unionByName(matches).where("n > 0")
 
 
 def fit_counts(counted: DataFrame, patterns: dict, key: Sequence[str]) -> DataFrame:
@@ -84,24 +122,35 @@ def fit_counts(counted: DataFrame, patterns: dict, key: Sequence[str]) -> DataFr
     return counted.groupBy(*key).agg(*sums)
 
 
-def position_table(segments: DataFrame, muts: DataFrame, positions: DataFrame, patterns: dict | None = None) -> DataFrame:
+def _fitted(counted: DataFrame, every: DataFrame, patterns: dict | None, key: Sequence[str]) -> DataFrame:
+    patterns = patterns or codes.named()
+    out = every.join(fit_counts(counted, patterns, key), list(key), "left")
+    columns = [F.coalesce(F.col(f"{n}_fit"), F.lit(0)).cast("long").alias(n.replace("-", "_")) for n in patterns]
+    return out.select(*key, *columns).withColumn("Informative", F.col("Matched") + F.col("Mutated"))
+
+
+def position_table(segments: DataFrame, muts: DataFrame, positions: DataFrame, patterns: dict | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Counts of the ten relationships by position, with Informative = Matched + Mutated."""
-    counted = codes_per_position(segments, muts, positions)
-    fitted = fit_counts(counted, patterns or codes.named(), ["pos", "base"])
-    names = list(patterns or codes.named())
-    out = positions.select("pos", "base").join(fitted, ["pos", "base"], "left")
-    columns = [F.coalesce(F.col(f"{n}_fit"), F.lit(0)).cast("long").alias(n.replace("-", "_")) for n in names]
-    return out.select("pos", "base", *columns).withColumn("Informative", F.col("Matched") + F.col("Mutated"))
+    key = [*by, "pos", "base"]
+    return _fitted(codes_per_position(segments, muts, positions, by), positions.select(*key), patterns, key)
+
 
+def read_table(segments: DataFrame, muts: DataFrame, positions: DataFrame, patterns: dict | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Counts of the ten relationships by read that covers a position, with Informative = Matched + Mutated."""
+    key = [*by, "read"]
+    kept = muts.join(positions.select(*by, "pos"), [*by, "pos"], "left_semi")
+    counted = codes_per_read(segments, kept, positions, by)
+    return _fitted(counted, counted.select(*key).distinct(), patterns, key)
 
-def ratios(table: DataFrame, names: Sequence[str]) -> DataFrame:
+
+def ratios(table: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Counts as ratios: of Covered for Informative, of Informative for all others."""
-    return table.select("pos", "base", *[ratio(F.col(n), F.col("Covered" if n in ("Covered", "Informative") else "Informative")).alias(n) for n in names])
+    return table.select(*by, "pos", "base", *[ratio(F.col(n), F.col("Covered" if n in ("Covered", "Informative") else "Informative")).alias(n) for n in names])
 
 
-def covering(segments: DataFrame, positions: DataFrame) -> DataFrame:
-    """pos, read of every covered position."""
-    return islands(segments).select("read", F.explode(F.sequence("end5", "end3")).alias("pos")).join(F.broadcast(positions.select("pos")), "pos").select("pos", "read")
+def covering(segments: DataFrame, positions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, pos, read of every covered position."""
+    return islands(segments, [*by, "read"]).select(*by, "read", F.explode(F.sequence("end5", "end3")).alias("pos")).join(positions.select(*by, "pos"), [*by, "pos"]).select(*by, "pos", "read")
 
 
 def positive(muts: DataFrame, pat: tuple) -> DataFrame:
@@ -110,44 +159,64 @@ def positive(muts: DataFrame, pat: tuple) -> DataFrame:
     return muts.where(info & fit)
 
 
-def mutation_distance(muts: DataFrame) -> DataFrame:
-    """read, dist: least distance between two mutations of it, 0 with fewer than two."""
-    w = Window.partitionBy("read").orderBy("pos")
-    gaps = muts.select("read", (F.col("pos") - F.lag("pos").over(w)).alias("gap"))
-    return gaps.groupBy("read").agg(F.coalesce(F.min("gap"), F.lit(0)).alias("dist"))
+def mutation_distance(muts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, read, dist: least distance between two mutations of it, 0 with fewer than two."""
+    w = Window.partitionBy(*by, "read").orderBy("pos")
+    gaps = muts.select(*by, "read", (F.col("pos") - F.lag("pos").over(w)).alias("gap"))
+    return gaps.groupBy(*by, "read").agg(F.coalesce(F.min("gap"), F.lit(0)).alias("dist"))
 
 
-def distance_histogram(muts: DataFrame) -> DataFrame:
-    """dist, n for every distance from 0 to the largest."""
-    found = mutation_distance(muts).groupBy("dist").agg(F.count("*").alias("n"))
-    every = found.agg(F.max("dist").alias("m")).select(F.explode(F.sequence(F.lit(0), F.col("m"))).alias("dist"))
-    return every.join(found, "dist", "left").select("dist", F.coalesce("n", F.lit(0)).alias("n"))
+def distance_histogram(muts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, dist, n for every distance from 0 to the largest."""
+    found = mutation_distance(muts, by).groupBy(*by, "dist").agg(F.count("*").alias("n"))
+    every = found.groupBy(*by).agg(F.max("dist").alias("m")).select(*by, F.explode(F.sequence(F.lit(0), F.col("m"))).alias("dist"))
+    return every.join(found, [*by, "dist"], "left").select(*by, "dist", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def without_close(muts: DataFrame, min_gap: int) -> DataFrame:
+def without_close(muts: DataFrame, min_gap: int, by: Sequence[str] = ()) -> DataFrame:
     """Reads that have two mutations within ``min_gap``."""
-    return mutation_distance(muts).where((F.col("dist") > 0) & (F.col("dist") <= min_gap)).select("read")
+    return mutation_distance(muts, by).where((F.col("dist") > 0) & (F.col("dist") <= min_gap)).select(*by, "read")
 
 
-def merge_close(muts: DataFrame, min_gap: int) -> DataFrame:
-    """read, pos of the mutations kept when, from the 3' end, each one takes in those within ``min_gap``
+def merge_close(muts: DataFrame, min_gap: int, by: Sequence[str] = ()) -> DataFrame:
+    """by, read, pos of the mutations kept when, from the 3' end, each one takes in those within ``min_gap``
     of it. A fold over each read's sorted positions, as what was taken in takes in nothing."""
     if min_gap < 1:
-        return muts.select("read", "pos")
-    gathered = muts.groupBy("read").agg(F.reverse(F.array_sort(F.collect_set("pos"))).alias("p"))
+        return muts.select(*by, "read", "pos")
+    gathered = muts.groupBy(*by, "read").agg(F.reverse(F.array_sort(F.collect_set("pos"))).alias("p"))
     kept = F.aggregate("p", F.array().cast("array<int>"), lambda acc, x: F.when((F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1)) - x > min_gap), F.concat(acc, F.array(x.cast("int")))).otherwise(acc))
-    return gathered.select("read", F.explode(kept).alias("pos"))
+    return gathered.select(*by, "read", F.explode(kept).alias("pos"))
+
+
+def collide(segments: DataFrame, muts: DataFrame, pat: tuple, min_gap: int, merge: bool, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Segments and mutations without two mutations of a read within ``min_gap``: either such reads are dropped, or of
+    each cluster only the 3'-most mutation stays. Codes that do not decide or fit the pattern stay as they are."""
+    key = [*by, "read"]
+    hits = positive(muts, pat)
+    if min_gap < 1:
+        return segments, muts
+    if not merge:
+        close = without_close(hits, min_gap, by)
+        return segments.join(close, key, "left_anti"), muts.join(close, key, "left_anti")
+    gone = hits.select(*key, "pos").join(merge_close(hits, min_gap, by), [*key, "pos"], "left_anti")
+    return segments, muts.join(gone, [*key, "pos"], "left_anti")
 
 
-def unique_reads(segments: DataFrame, muts: DataFrame) -> DataFrame:
-    """segs, muts (sorted arrays), n: reads of the same ends and mutated positions counted once."""
-    ends = segments.groupBy("read").agg(F.array_sort(F.collect_list(F.struct("end5", "end3"))).alias("segs"))
-    found = muts.groupBy("read").agg(F.array_sort(F.collect_set("pos")).alias("muts"))
-    return ends.join(found, "read", "left").select("segs", F.coalesce("muts", F.array().cast("array<int>")).alias("muts")).groupBy("segs", "muts").agg(F.count("*").alias("n"))
+def unique_reads(segments: DataFrame, muts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, segs, muts (sorted arrays), n: reads of the same ends and mutated positions counted once."""
+    return with_content(segments, muts, by).groupBy(*by, "segs", "muts").agg(F.count("*").alias("n"))
+
+
+def with_content(segments: DataFrame, muts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, read, segs, muts: what makes reads equal, by read."""
+    key = [*by, "read"]
+    ends = segments.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("end5", "end3"))).alias("segs"))
+    found = muts.groupBy(*key).agg(F.array_sort(F.collect_set("pos")).alias("muts"))
+    return ends.join(found, key, "left").select(*key, "segs", F.coalesce("muts", F.array().cast("array<int>")).alias("muts"))
 
 
 def merge_mates(a: DataFrame, b: DataFrame, segments_a: DataFrame, segments_b: DataFrame) -> DataFrame:
-    """Relations of two mates as one read: read, pos, rel. Codes meet by bitwise AND; where a mate says
+    """Relations of two mates of one segment each as one read: read, pos, rel. Codes meet by bitwise AND; where a mate says
     nothing it is a match (1) if it covers the position, else not covered (255). Plain matches go."""
     at = a.select("read", "pos", F.col("rel").alias("rel_a")).join(b.select("read", "pos", F.col("rel").alias("rel_b")), ["read", "pos"], "full")
     ends = segments_a.select("read", F.col("end5").alias("a5"), F.col("end3").alias("a3")).join(segments_b.select("read", F.col("end5").alias("b5"), F.col("end3").alias("b3")), "read", "full")
@@ -165,11 +234,11 @@ def trim_overhangs(forward: DataFrame, reverse: DataFrame) -> DataFrame:
 # Filters.
 
 
-def mask_poly(positions: DataFrame, base: str = "A", least: int = 5) -> DataFrame:
+def mask_poly(positions: DataFrame, base: str = "A", least: int = 5, by: Sequence[str] = ()) -> DataFrame:
     """Positions in runs of ``least`` or more of a base."""
-    w = Window.orderBy("pos")
+    w = Window.partitionBy(*by).orderBy("pos")
     runs = positions.where(F.col("base") == base).withColumn("_run", F.col("pos") - F.row_number().over(w))
-    return runs.withColumn("_n", F.count("*").over(Window.partitionBy("_run"))).where(F.col("_n") >= least).select("pos", "base")
+    return runs.withColumn("_n", F.count("*").over(Window.partitionBy(*by, "_run"))).where(F.col("_n") >= least).select(*by, "pos", "base")
 
 
 def mask_bases(positions: DataFrame, bases: Sequence[str]) -> DataFrame:
@@ -177,24 +246,41 @@ def mask_bases(positions: DataFrame, bases: Sequence[str]) -> DataFrame:
     return positions.where(F.col("base").isin("N", *bases))
 
 
-def unmask(positions: DataFrame, *masks: DataFrame) -> DataFrame:
+def unmask(positions: DataFrame, *masks: DataFrame, by: Sequence[str] = (), complement: bool = False) -> DataFrame:
+    """The positions in none of the masks; with ``complement``, those in all of them."""
     for mask in masks:
-        positions = positions.join(F.broadcast(mask.select("pos").distinct()), "pos", "left_anti")
+        positions = positions.join(mask.select(*by, "pos").distinct(), [*by, "pos"], "left_semi" if complement else "left_anti")
     return positions
 
 
-def clip(segments: DataFrame, muts: DataFrame, end5: int, end3: int) -> tuple[DataFrame, DataFrame]:
+def drop_listed(segments: DataFrame, muts: DataFrame, listed: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Segments and mutations without the reads of a list."""
+    key = [*by, "read"]
+    gone = listed.select(*key).distinct()
+    return segments.join(gone, key, "left_anti"), muts.join(gone, key, "left_anti")
+
+
+def clip(segments: DataFrame, muts: DataFrame, end5: int, end3: int, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Segments and mutations within a region; what lies outside goes."""
-    cut = segments.select("read", "seg", F.greatest("end5", F.lit(end5)).alias("end5"), F.least("end3", F.lit(end3)).alias("end3")).where("end5 <= end3")
+    cut = segments.select(*by, "read", "seg", F.greatest("end5", F.lit(end5)).alias("end5"), F.least("end3", F.lit(end3)).alias("end3")).where("end5 <= end3")
     return cut, muts.where(F.col("pos").between(end5, end3))
 
 
-def read_counts(segments: DataFrame, muts: DataFrame, positions: DataFrame, pat: tuple) -> DataFrame:
-    """read, cov, info, fit over unmasked positions."""
-    kept = muts.join(F.broadcast(positions.select("pos")), "pos", "left_semi")
-    fitted = fit_counts(codes_per_read(segments, kept, positions), {"x": pat}, ["read"])
-    cov = codes_per_read(segments, muts.limit(0), positions).groupBy("read").agg(F.sum("n").alias("cov"))
-    return cov.join(fitted, "read", "left").select("read", "cov", F.coalesce("x_info", F.lit(0)).alias("info"), F.coalesce("x_fit", F.lit(0)).alias("fit"))
+def read_counts(segments: DataFrame, muts: DataFrame, positions: DataFrame, pat: tuple, by: Sequence[str] = ()) -> DataFrame:
+    """by, read, cov, info, fit over unmasked positions. Mutations that do not decide the pattern are few; all other covered
+    positions are informative, if the pattern tells a match."""
+    cov = bases_per_read(segments, positions, by)
+    info, fit = codes.informative(F.col("base"), F.col("rel"), pat)
+    kept = muts.join(positions.select(*by, "pos"), [*by, "pos"], "left_semi")
+    told = kept.groupBy(*by, "read").agg(F.count_if(info).alias("_info"), F.count_if(fit).alias("_fit"), *[F.count_if(F.col("base") == b).alias(f"_{b}") for b in codes.BASES])
+    joined = cov.join(told, [*by, "read"], "left").na.fill(0)
+    total = sum((F.col(b) for b in codes.BASES), F.lit(0))
+    plain, plain_fit = F.lit(0), F.lit(0)
+    for b in codes.BASES:  # matches of each base
+        i, f = codes.informative(F.lit(b), F.lit(codes.MATCH), pat)
+        n = F.col(b) - F.col(f"_{b}")
+        plain, plain_fit = plain + F.when(i, n).otherwise(0), plain_fit + F.when(f, n).otherwise(0)
+    return joined.select(*by, "read", total.cast("long").alias("cov"), (F.col("_info") + plain).cast("long").alias("info"), (F.col("_fit") + plain_fit).cast("long").alias("fit")).where("cov > 0")
 
 
 def reads_passing(counts: DataFrame, min_cov: int = 1, min_cov_share: float = 0.0, n_pos: int = 1, min_info: float = 0.0, max_mut: float = 1.0) -> DataFrame:
@@ -207,55 +293,100 @@ def reads_passing(counts: DataFrame, min_cov: int = 1, min_cov_share: float = 0.
     return counts.where(rule)
 
 
-def positions_passing(table: DataFrame, min_info: int, max_mut: float) -> DataFrame:
+def positions_passing(table: DataFrame, min_info: int, max_mut: float, by: Sequence[str] = ()) -> DataFrame:
     """Positions with enough informative reads and not too many mutated; 0 / 0 passes the latter."""
-    return table.where((F.col("Informative") >= min_info) & ~F.coalesce(ratio(F.col("Mutated"), F.col("Informative")) > max_mut, F.lit(False))).select("pos", "base")
+    return table.where((F.col("Informative") >= min_info) & ~F.coalesce(ratio(F.col("Mutated"), F.col("Informative")) > max_mut, F.lit(False))).select(*by, "pos", "base")
 
 
-def filter_pass(segments: DataFrame, muts: DataFrame, positions: DataFrame, pat: tuple, min_cov: int, min_info_share: float, max_mut_share: float, min_gap: int, min_info_pos: int, max_mut_pos: float) -> tuple[DataFrame, DataFrame]:
-    """One round of the read filters and then the position filters: reads, positions that are left."""
-    counts = read_counts(segments, muts, positions, pat)
-    kept = reads_passing(counts, min_cov, 0.0, 1, min_info_share, max_mut_share).select("read")
-    if min_gap > 0:
-        close = without_close(positive(muts, pat).join(F.broadcast(positions.select("pos")), "pos", "left_semi"), min_gap)
-        kept = kept.join(close, "read", "left_anti")
-    segs, some = segments.join(kept, "read", "left_semi"), muts.join(kept, "read", "left_semi")
-    table = position_table(segs, some, positions, {"Matched": codes.invert(pat), "Mutated": pat})
-    return kept, positions_passing(table, min_info_pos, max_mut_pos)
+def filter_pass(segments: DataFrame, muts: DataFrame, positions: DataFrame, pat: tuple, min_cov: int, min_info_share: float, max_mut_share: float, min_gap: int, min_info_pos: int, max_mut_pos: float, merge: bool = False, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round of the read filters and then the position filters: reads, their mutations and the positions that are
+    left. Mutations within the gap drop their read, or are merged (last, as that changes them)."""
+    key = [*by, "read"]
+    some = muts.join(positions.select(*by, "pos"), [*by, "pos"], "left_semi")
+    kept = reads_passing(read_counts(segments, some, positions, pat, by), min_cov, 0.0, 1, min_info_share, max_mut_share).select(*key)
+    if min_gap > 0 and not merge:
+        kept = kept.join(without_close(positive(some, pat), min_gap, by), key, "left_anti")
+    segs, some = segments.join(kept, key, "left_semi"), some.join(kept, key, "left_semi")
+    if merge:
+        _, some = collide(segs, some, pat, min_gap, True, by)
+    table = position_table(segs, some, positions, {"Matched": codes.invert(pat), "Mutated": pat}, by)
+    return kept, some, positions_passing(table, min_info_pos, max_mut_pos, by)
 
 
 # Pairs of positions.
 
 
-def confusion(segments: DataFrame, muts: DataFrame, positions: DataFrame, pat: tuple, min_gap: int, max_gap: int | None = None) -> DataFrame:
-    """pos_a, pos_b, n, a, b, ab: reads that cover both positions of a pair, and are mutated at either and at both.
+def position_pairs(positions: DataFrame, min_gap: int, max_gap: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """by, pos_a, pos_b: positions further apart than ``min_gap`` and no further than ``max_gap``. Each position is dealt to
+    those it may pair with, so no table meets itself whole."""
+    p = positions.select(*by, "pos")
+    last = p.groupBy(*by).agg(F.max("pos").alias("_last"))
+    held = p.join(last, list(by)) if by else p.join(F.broadcast(last))  # one row
+    end = F.col("_last") if max_gap is None else F.least("_last", F.col("pos") + max_gap)
+    dealt = held.withColumn("_end", end).where(F.col("pos") + min_gap + 1 <= F.col("_end")).select(*by, F.col("pos").alias("pos_a"), F.explode(F.sequence(F.col("pos") + min_gap + 1, F.col("_end"))).alias("pos_b"))
+    return dealt.join(p.withColumnRenamed("pos", "pos_b"), [*by, "pos_b"], "left_semi").select(*by, "pos_a", "pos_b")
 
-    Reads are first counted by their ends (n) or by one mutated position and ends (a, b), which are few, and
-    only those counts meet the pairs; ab is a self-join of the mutations within a read. Each read counts as
-    covering from its first to its last position.
-    """
-    ends = read_ends(segments)
-    hits = positive(muts, pat).join(F.broadcast(positions.select("pos")), "pos", "left_semi").select("read", "pos").distinct()
-    p = positions.select("pos")
-    gap = F.col("pos_b") - F.col("pos_a")
-    rule = (gap > min_gap) & (gap <= max_gap if max_gap is not None else F.lit(True))
-    pairs = p.select(F.col("pos").alias("pos_a")).join(F.broadcast(p.select(F.col("pos").alias("pos_b"))), rule)
-    counted = ends.groupBy("end5", "end3").agg(F.count("*").alias("c"))
-    n = pairs.join(F.broadcast(counted), (F.col("end5") <= F.col("pos_a")) & (F.col("end3") >= F.col("pos_b"))).groupBy("pos_a", "pos_b").agg(F.sum("c").alias("n"))
-    by_end = hits.join(ends, "read").groupBy("pos", "end5", "end3").agg(F.count("*").alias("c"))
-    a = pairs.join(by_end, (F.col("pos") == F.col("pos_a")) & (F.col("end3") >= F.col("pos_b"))).groupBy("pos_a", "pos_b").agg(F.sum("c").alias("a"))
-    b = pairs.join(by_end, (F.col("pos") == F.col("pos_b")) & (F.col("end5") <= F.col("pos_a"))).groupBy("pos_a", "pos_b").agg(F.sum("c").alias("b"))
-    own = hits.groupBy("read").agg(F.array_sort(F.collect_list("pos")).alias("ps"))
-    each = own.select(F.explode("ps").alias("pos_a"), "ps").select("pos_a", F.explode(F.filter("ps", lambda x: (x - F.col("pos_a") > min_gap) & ((x - F.col("pos_a") <= max_gap) if max_gap is not None else F.lit(True)))).alias("pos_b"))
-    ab = each.groupBy("pos_a", "pos_b").agg(F.count("*").alias("ab"))
-    key = ["pos_a", "pos_b"]
-    out = pairs.join(n, key, "left").join(a, key, "left").join(b, key, "left").join(ab, key, "left")
-    return out.select(*key, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n", "a", "b", "ab")])
 
+def confusion(segments: DataFrame, muts: DataFrame, positions: DataFrame, pat: tuple, min_gap: int, max_gap: int | None = None, weights: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """by, pos_a, pos_b, n, a, b, ab: reads that cover both positions of a pair, and are mutated at either and at both; or
+    the sums of their weights (by, read, weight).
 
-def benjamini_hochberg(pairs: DataFrame, p: str = "p", key: Sequence[str] = ("pos_a", "pos_b")) -> DataFrame:
-    """Adds q, the adjusted p-value, over all rows."""
-    total = pairs.agg(F.count("*").alias("m"))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.orderBy(p, *key))).join(F.broadcast(total))
-    up = Window.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("q", F.min(F.col(p) * F.col("m") / F.col("rank")).over(up)).drop("m", "rank")
+    Reads are first counted by their ends (n), or by a mutated position and one end (a, b). For a distance g, a read
+    covers the pairs that begin from its first position to g before its last one, which is a running sum over positions;
+    ab is a self-join of the mutations within a read. Nothing is joined but by equal keys. Each read counts as covering
+    from its first to its last position.
+    """
+    ends = read_ends(segments, by)
+    ends = ends.withColumn("weight", F.lit(1)) if weights is None else ends.join(weights, [*by, "read"])
+    hits = positive(muts, pat).join(positions.select(*by, "pos"), [*by, "pos"], "left_semi").select(*by, "read", "pos").distinct()
+    pairs = position_pairs(positions, min_gap, max_gap, by)
+
+    def gaps(room: Column) -> Column:
+        last = room if max_gap is None else F.least(room, F.lit(max_gap))
+        return F.explode(F.when(last > min_gap, F.sequence(F.lit(min_gap + 1), last)).otherwise(F.array().cast("array<int>")))
+
+    counted = ends.groupBy(*by, "end5", "end3").agg(F.sum("weight").alias("c")).select("*", gaps(F.col("end3") - F.col("end5")).alias("g"))
+    steps = _steps(counted, [*by, "g"], F.col("c"), "end5", F.col("end3") - F.col("g") + 1)
+    first, second = pairs.select(*by, F.col("pos_a").alias("pos"), (F.col("pos_b") - F.col("pos_a")).alias("g")), [*by, "g", "pos"]
+    running = steps.join(first.withColumn("_asked", F.lit(True)), second, "full").withColumn("n", F.sum(F.coalesce("d", F.lit(0))).over(Window.partitionBy(*by, "g").orderBy("pos")))
+    n = running.where("_asked").select(*by, F.col("pos").alias("pos_a"), (F.col("pos") + F.col("g")).alias("pos_b"), "n")
+    own = hits.join(ends, [*by, "read"])
+    a = own.groupBy(*by, "pos", "end3").agg(F.sum("weight").alias("c")).select(*by, "pos", "c", gaps(F.col("end3") - F.col("pos")).alias("g"))
+    a = a.groupBy(*by, F.col("pos").alias("pos_a"), (F.col("pos") + F.col("g")).alias("pos_b")).agg(F.sum("c").alias("a"))
+    b = own.groupBy(*by, "pos", "end5").agg(F.sum("weight").alias("c")).select(*by, "pos", "c", gaps(F.col("pos") - F.col("end5")).alias("g"))
+    b = b.groupBy(*by, (F.col("pos") - F.col("g")).alias("pos_a"), F.col("pos").alias("pos_b")).agg(F.sum("c").alias("b"))
+    listed = own.groupBy(*by, "read").agg(F.array_sort(F.collect_list("pos")).alias("ps"), F.first("weight").alias("w"))
+    near = lambda x: (x - F.col("pos_a") > min_gap) & ((x - F.col("pos_a") <= max_gap) if max_gap is not None else F.lit(True))
+    each = listed.select(*by, "w", F.explode("ps").alias("pos_a"), "ps").select(*by, "w", "pos_a", F.explode(F.filter("ps", near)).alias("pos_b"))
+    ab = each.groupBy(*by, "pos_a", "pos_b").agg(F.sum("w").alias("ab"))
+    key = [*by, "pos_a", "pos_b"]
+    out = pairs.join(n, key, "left").join(a, key, "left").join(b, key, "left").join(ab, key, "left")
+    kind = "long" if weights is None else "double"
+    return out.select(*key, *[F.coalesce(c, F.lit(0)).cast(kind).alias(c) for c in ("n", "a", "b", "ab")])
+
+
+def validate_confusion(pairs: DataFrame) -> DataFrame:
+    """The pairs, none of whose counts can be impossible: it raises when it runs if one is."""
+    bad = (F.col("ab") < 0) | (F.col("a") < F.col("ab")) | (F.col("b") < F.col("ab")) | (F.col("n") < F.col("a") + F.col("b") - F.col("ab"))
+    return pairs.withColumn("n", F.when(bad, F.raise_error(F.concat(F.lit("impossible counts of positions "), F.col("pos_a").cast("string"), F.lit(" and "), F.col("pos_b").cast("string")))).otherwise(F.col("n")))
+
+
+def benjamini_hochberg(pairs: DataFrame, p: str = "p", by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+    """Adds q, the adjusted p-value, over all rows (of each ``by``). Equal p-values are counted together; these counts are
+    dealt to buckets by quantiles, so running sums and minima are within buckets, and what goes between buckets is one
+    row for each."""
+    held = pairs.groupBy(*by, F.col(p).alias("_p")).agg(F.count("*").alias("_n")).where("_p is not null")
+    edges = held.agg(F.percentile_approx("_p", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    edges = sorted(set(edges))
+    counted = held.withColumn("_bucket", F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>"), lambda e: e < F.col("_p"))))
+    within = Window.partitionBy(*by, "_bucket").orderBy("_p")
+    counted = counted.withColumn("_rank", F.sum("_n").over(within))
+    sizes = counted.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_size"))
+    over = Window.partitionBy(*by).orderBy("_bucket")
+    sizes = sizes.select(*by, "_bucket", (F.sum("_size").over(over) - F.col("_size")).alias("_before"), F.sum("_size").over(Window.partitionBy(*by)).alias("_m"))
+    valued = counted.join(F.broadcast(sizes) if not by else sizes, [*by, "_bucket"]).withColumn("_q", F.col("_p") * F.col("_m") / (F.col("_rank") + F.col("_before")))
+    least = valued.groupBy(*by, "_bucket").agg(F.min("_q").alias("_least"))
+    least = least.select(*by, "_bucket", F.min("_least").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    up = within.rowsBetween(0, Window.unboundedFollowing)
+    q = valued.withColumn("_own", F.min("_q").over(up)).join(F.broadcast(least) if not by else least, [*by, "_bucket"]).select(*by, "_p", F.least("_own", F.coalesce("_later", F.lit(float("inf")))).alias("q"))
+    return pairs.join(q.withColumnRenamed("_p", p), [*by, p], "left").select(*pairs.columns, "q")

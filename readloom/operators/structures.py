@@ -43,13 +43,13 @@ def stems(pairs: DataFrame) -> DataFrame:
     return marked.groupBy("struct", "_sum", "_run").agg(F.min("end5").alias("end5"), F.max("end3").alias("end3"), F.count("*").alias("length")).drop("_sum", "_run")
 
 
-def wfmi(a: DataFrame, b: DataFrame, positions: DataFrame) -> DataFrame:
-    """Weighted Fowlkes-Mallows index of two structures over the positions: one row."""
-    j = positions.select("pos").join(a.select("pos", F.col("partner").alias("x")), "pos", "left").join(b.select("pos", F.col("partner").alias("y")), "pos", "left")
-    s = j.agg(F.count_if(F.expr("x is null and y is null")).alias("u"), F.count_if(F.expr("x is not null or y is not null")).alias("p"), F.count("x").alias("n1"), F.count("y").alias("n2"), F.count_if(F.expr("x = y")).alias("n12"))
+def wfmi(a: DataFrame, b: DataFrame, positions: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """key, wfmi: weighted Fowlkes-Mallows index of two structures over the positions (key, pos)."""
+    j = positions.select(*key, "pos").join(a.select(*key, "pos", F.col("partner").alias("x")), [*key, "pos"], "left").join(b.select(*key, "pos", F.col("partner").alias("y")), [*key, "pos"], "left")
+    s = j.groupBy(*key).agg(F.count_if(F.expr("x is null and y is null")).alias("u"), F.count_if(F.expr("x is not null or y is not null")).alias("p"), F.count("x").alias("n1"), F.count("y").alias("n2"), F.count_if(F.expr("x = y")).alias("n12"))
     fmi = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n12") / F.sqrt(F.col("n1") * F.col("n2"))).otherwise(0.0)
     share = ratio(F.col("u"), F.col("u") + F.col("p"))
-    return s.select((share + (1 - share) * fmi).alias("wfmi"))
+    return s.select(*key, (share + (1 - share) * fmi).alias("wfmi"))
 
 
 def renumber(pairs: DataFrame, offset: int) -> DataFrame:
@@ -74,24 +74,3 @@ def crossing(pairs: DataFrame, positions: DataFrame) -> DataFrame:
     """pos, n: pairs (pos_a, pos_b) that a cut right after each position would sever."""
     steps = pairs.select(F.explode(F.array(F.struct(F.col("pos_a").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("pos_b").alias("pos"), F.lit(-1).alias("d")))).alias("s")).groupBy("s.pos").agg(F.sum("s.d").alias("d"))
     return positions.select("pos").join(steps, "pos", "left").select("pos", F.sum(F.coalesce("d", F.lit(0))).over(Window.orderBy("pos")).alias("n"))
-
-
-def tiles(end5: int, end3: int, length: int, overlap: int) -> list[tuple[int, int]]:
-    """Tiles of a region of equal length, evenly spread, that overlap by at least ``overlap``."""
-    if not 0 <= overlap < length:
-        raise ValueError("the overlap has to be from 0 to less than the length")
-    total = end3 - end5 + 1
-    if total <= length:
-        return [(end5, end3)]
-    n = -(-(total - overlap) // (length - overlap))
-    starts = [end5 + round(i * (total - length) / (n - 1)) for i in range(n)]
-    return [(s, s + length - 1) for s in starts]
-
-
-def fill_gaps(domains: DataFrame, end5: int, end3: int) -> DataFrame:
-    """Domains and the gaps between and around them: end5, end3, kind."""
-    w = Window.orderBy("end5")
-    before = domains.select(F.coalesce(F.lag("end3").over(w) + 1, F.lit(end5)).alias("a"), (F.col("end5") - 1).alias("b"))
-    after = domains.agg((F.coalesce(F.max("end3"), F.lit(end5 - 1)) + 1).alias("a")).select("a", F.lit(end3).alias("b"))
-    gaps = before.unionByName(after).where("a <= b").select(F.col("a").alias("end5"), F.col("b").alias("end3"), F.lit("gap").alias("kind"))
-    return domains.select("end5", "end3", F.lit("domain").alias("kind")).unionByName(gaps)

@@ -52,17 +52,41 @@ def observed(p: np.ndarray, ends: np.ndarray, gap: int) -> np.ndarray:
     return out
 
 
-def unbias(seen: np.ndarray, ends: np.ndarray, gap: int, tolerance: float = 1e-7, rounds: int = 500) -> np.ndarray:
+def observed_merged(p: np.ndarray, ends: np.ndarray, gap: int) -> np.ndarray:
+    """Mutation rates where, from a read's 3' end, each mutation takes in those within ``gap`` of it: no read is lost, but
+    of close mutations one is left. A mutation stays unless one that stays lies in the ``gap`` positions after it, and of
+    these no two stay; so the chance that one stays follows from those after it, for reads of each 3' end."""
+    n = len(p)
+    if gap <= 0:
+        return p.copy()
+    by_end3 = np.cumsum(ends, axis=0)  # [a, b]: reads from a or before it to b
+    stays = np.zeros((n, n + gap + 1))  # [b, j]
+    out = np.zeros(n)
+    for j in range(n - 1, -1, -1):
+        b = np.arange(j, n)
+        stays[b, j] = p[j] * (1 - stays[b, j + 1 : j + gap + 1].sum(axis=1))
+        cover = by_end3[j, j:]
+        out[j] = stays[b, j] @ cover / cover.sum() if cover.sum() > 0 else 0.0
+    return out
+
+
+def unbias(seen: np.ndarray, ends: np.ndarray, gap: int, tolerance: float = 1e-7, rounds: int = 500, merged: bool = False) -> np.ndarray:
     """Underlying rates that give the rates seen, by multiplicative corrections; the last ones if no
     fixpoint is reached."""
+    return solve(seen, ends, gap, tolerance, rounds, merged)[0]
+
+
+def solve(seen: np.ndarray, ends: np.ndarray, gap: int, tolerance: float = 1e-7, rounds: int = 500, merged: bool = False) -> tuple[np.ndarray, bool]:
+    """The rates of unbias(), and whether a fixpoint was reached."""
+    model = observed_merged if merged else observed
     p = np.clip(seen, 0.0, 0.999)
     for _ in range(rounds):
-        made = observed(p, ends, gap)
+        made = model(p, ends, gap)
         new = np.clip(np.where(made > 0, p * seen / np.where(made > 0, made, 1), 0.0), 0.0, 0.999)
         if np.abs(new - p).max(initial=0.0) < tolerance:
-            return new
+            return new, True
         p = new
-    return p
+    return p, False
 
 
 def unbias_quick(seen: np.ndarray, ends: np.ndarray, gap: int, low: float = 1e-3) -> np.ndarray:
@@ -108,6 +132,53 @@ def true_shares(seen: np.ndarray, survive: np.ndarray) -> np.ndarray:
     return out / out.sum()
 
 
+def seen_shares(true: np.ndarray, survive: np.ndarray) -> np.ndarray:
+    """The reverse of true_shares()."""
+    out = true * survive
+    return out / out.sum()
+
+
+def survival(ends: np.ndarray, p: np.ndarray, gap: int) -> float:
+    """The chance of a read of these ends and rates to be seen."""
+    return float((ends * no_close(p, gap)[: len(p), 1:]).sum())
+
+
+def seen_ends(ends: np.ndarray, p: np.ndarray, gap: int) -> np.ndarray:
+    """Shares of end pairs among the reads that are seen: the reverse of true_ends()."""
+    out = ends * no_close(p, gap)[: len(p), 1:]
+    return out / max(out.sum(), 1e-300)
+
+
+def clusters_given_ends(shares: np.ndarray, ends: np.ndarray, rates: np.ndarray, gap: int) -> np.ndarray:
+    """[k, a, b]: the share of each cluster among the reads seen from a to b; equal ones where there are none."""
+    f = np.array([no_close(p, gap)[: len(p), 1:] for p in rates])
+    out = shares[:, None, None] * ends[None] * f
+    total = out.sum(axis=0)
+    return np.where(total > 0, out / np.where(total > 0, total, 1), 1 / len(shares))
+
+
+def unbias_all(rates: np.ndarray, ends: np.ndarray, shares: np.ndarray, gap: int, merged: bool = False, tolerance: float = 1e-7, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Underlying rates [k, n], end shares and cluster shares from what is seen, together: each is corrected in turn by what
+    the others now are, until none changes. Ends are those of all clusters."""
+    if gap <= 0:
+        return rates.copy(), ends.copy(), shares.copy()
+    if merged:  # nothing is lost, so ends and shares are as they are seen
+        return np.array([unbias(r, ends, gap, merged=True) for r in rates]), ends.copy(), shares.copy()
+    p, e, s = np.clip(rates, 0.0, 0.999), ends.copy(), shares.copy()
+    for _ in range(rounds):
+        before = p, e, s
+        made = np.array([observed(x, e, gap) for x in p])
+        p = np.clip(np.where(made > 0, p * rates / np.where(made > 0, made, 1), 0.0), 0.0, 0.999)
+        f = np.array([no_close(x, gap)[: p.shape[1], 1:] for x in p])
+        lost = np.tensordot(s, f, 1)
+        e = np.where(ends > 0, ends / np.maximum(lost, 1e-300), 0.0)
+        e /= max(e.sum(), 1e-300)
+        s = true_shares(shares, np.array([(e * x).sum() for x in f]))
+        if all(np.abs(x - y).max(initial=0.0) < tolerance for x, y in zip((p, e, s), before, strict=True)):
+            break
+    return p, e, s
+
+
 def adjust(table: DataFrame, rates: DataFrame, survive: float, subtypes: tuple[str, ...]) -> DataFrame:
     """A position table scaled to the reads before loss: Covered and Informative by 1 / ``survive``, Mutated
     from the underlying rate (pos, mu), its subtypes in proportion."""
@@ -116,3 +187,23 @@ def adjust(table: DataFrame, rates: DataFrame, survive: float, subtypes: tuple[s
     mutated = info * F.coalesce("_mu", F.lit(0.0))
     scale = F.when(F.col("Mutated") > 0, mutated / F.col("Mutated")).otherwise(0.0)
     return j.select("pos", "base", (F.col("Covered") / survive).alias("Covered"), info.alias("Informative"), (info - mutated).alias("Matched"), mutated.alias("Mutated"), *[(F.col(s) * scale).alias(s) for s in subtypes])
+
+
+def unbias_tables(table: DataFrame, ends: DataFrame, gap: int, by: list[str], merged: bool = False) -> DataFrame:
+    """by, pos, observed, mu, settled: the rates of position tables (by, pos, Mutated) as they are and as they underlie, from
+    the end counts (by, end5, end3, n). Each region is solved in a task of its own; what it holds is positions by positions."""
+    types = dict(table.dtypes)
+    schema = "".join(f"{c} {types[c]}, " for c in by) + "pos int, observed double, mu double, settled boolean"
+
+    def run(key, rates, counts):
+        rates = rates.sort_values("pos")
+        pos = rates["pos"].to_numpy()
+        square = np.zeros((len(pos), len(pos)))
+        a, b = np.searchsorted(pos, counts["end5"]), np.searchsorted(pos, counts["end3"], "right") - 1
+        inside = (a < len(pos)) & (b >= 0) & (a <= b)
+        np.add.at(square, (a[inside], b[inside]), counts["n"].to_numpy(float)[inside])
+        seen = rates["Mutated"].fillna(0).to_numpy(float)
+        mu, settled = solve(seen, square / max(square.sum(), 1e-300), gap, merged=merged)
+        return rates[by].assign(pos=pos, observed=seen, mu=mu, settled=settled)
+
+    return table.select(*by, F.col("pos").cast("int").alias("pos"), "Mutated").groupBy(*by).cogroup(ends.select(*by, "end5", "end3", "n").groupBy(*by)).applyInPandas(run, schema)

@@ -1,57 +1,435 @@
-"""Clustering of reads by expectation-maximisation. Reads stay in Spark; each iteration brings back positions
-by clusters, and sends them out again as a small table."""
+"""Clustering of reads by expectation-maximisation. Reads stay in Spark: an iteration is one pass over the unique reads that
+gives back sums by cluster and position, and the parameters made of these go along with the next pass."""
 
 from __future__ import annotations
 
-import itertools
+import dataclasses
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import clusters
 from . import bias
 
 
 def prepare(unique: DataFrame) -> DataFrame:
-    """Unique reads (segs, muts, n) with an id made of their content, and their ends."""
-    return unique.select(F.xxhash64(F.to_json(F.struct("segs", "muts"))).alias("uid"), F.array_min(F.transform("segs", lambda s: s["end5"])).alias("end5"), F.array_max(F.transform("segs", lambda s: s["end3"])).alias("end3"), "muts", "n")
-
-
-def expectation_maximization(uniq: DataFrame, positions: DataFrame, k: int, seed: int = 0, iterations: int = 10, threshold: float = 0.37, min_gap: int = 0) -> tuple[DataFrame, list[dict], float]:
-    """(responsibilities, rows clust, pos, mu and p, log likelihood). Starts from seeded random weights per
-    unique read; stops when the likelihood gains less than ``threshold``."""
-    spark = uniq.sparkSession
-    pick = F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(1000)) / 1000.0
-    raw = uniq.select("uid", "n", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("clust")).withColumn("weight", F.when(F.floor(pick * k) + 1 == F.col("clust"), 1.0 + k).otherwise(1.0) / (2.0 * k))
-    resps, before = raw, -np.inf
-    pos = [r["pos"] for r in positions.select("pos").orderBy("pos").collect()]
-    for _ in range(iterations):
-        rates, shares = clusters.maximize(uniq, resps, positions)
-        mu = {(r["clust"], r["pos"]): r["mu"] for r in rates.collect()}
-        p = np.array([r["p"] for r in shares.orderBy("clust").collect()])
-        found = np.clip(np.array([[mu[c, x] for x in pos] for c in range(1, k + 1)]), 1e-6, 1 - 1e-6)
-        if min_gap:
-            full = np.zeros((len(pos), len(pos)))
-            full[0, -1] = 1.0
-            found = np.array([np.clip(bias.unbias(row, full, min_gap), 1e-6, 1 - 1e-6) for row in found])
-            p = bias.true_shares(p, np.array([bias.no_close(row, min_gap)[0, len(pos)] for row in found]))
-        rate_rows = spark.createDataFrame([(c + 1, x, float(found[c, i])) for c in range(k) for i, x in enumerate(pos)], "clust int, pos int, mu double")
-        share_rows = spark.createDataFrame([(c + 1, float(p[c])) for c in range(k)], "clust int, p double")
-        resps = clusters.responsibilities(clusters.log_joint(uniq, rate_rows, share_rows))
-        now = clusters.log_likelihood(resps).first()["log_like"]
-        if now - before < threshold:
+    """Unique reads (segs, muts, n) with an id, which is their content, and their ends."""
+    return unique.select(F.to_json(F.struct("segs", "muts")).alias("uid"), F.array_min(F.transform("segs", lambda s: s["end5"])).alias("end5"), F.array_max(F.transform("segs", lambda s: s["end3"])).alias("end3"), "muts", "n")
+
+
+@dataclasses.dataclass(frozen=True)
+class Params:
+    """Positions of the region, underlying rates [k, position], cluster shares, end shares [position, position] and gap."""
+
+    pos: np.ndarray
+    rates: np.ndarray
+    shares: np.ndarray
+    ends: np.ndarray
+    gap: int = 0
+    merged: bool = False
+
+    @property
+    def k(self) -> int:
+        return len(self.shares)
+
+
+@dataclasses.dataclass(frozen=True)
+class Run:
+    """A run of EM: parameters, log likelihood after each iteration, and whether it settled."""
+
+    seed: int
+    params: Params
+    log_likes: tuple[float, ...]
+    settled: bool
+    n_reads: float
+
+    @property
+    def log_like(self) -> float:
+        return self.log_likes[-1]
+
+    @property
+    def n_params(self) -> int:
+        """Rates and cluster shares, and the end pairs that occur but for one, which all clusters share."""
+        return self.params.rates.size + int((self.params.ends > 0).sum()) - 1 + self.params.k - 1
+
+    @property
+    def bic(self) -> float:
+        return self.n_params * np.log(max(self.n_reads, 1.0)) - 2 * self.log_like
+
+
+class Reads:
+    """A batch of unique reads as arrays."""
+
+    def __init__(self, frame: pd.DataFrame, pos: np.ndarray):
+        at = {int(p): i for i, p in enumerate(pos)}
+        self.first = np.searchsorted(pos, frame["end5"].to_numpy())
+        self.last = np.searchsorted(pos, frame["end3"].to_numpy(), "right") - 1
+        self.n = frame["n"].to_numpy(float)
+        held = [[at[int(m)] for m in muts if int(m) in at] for muts in frame["muts"]]
+        self.row = np.repeat(np.arange(len(frame)), [len(h) for h in held])
+        self.mut = np.array([m for h in held for m in h], np.int64)
+
+
+def log_joint(reads: Reads, params: Params) -> np.ndarray:
+    """[read, cluster]: log probability of a read's ends and mutations and its cluster."""
+    run = np.array([bias.no_mutation(r) for r in params.rates])  # [k, position + 1]
+    p = np.clip(params.rates, 1e-12, 1 - 1e-12)
+    out = np.log(np.maximum(params.shares, 1e-300))[None] + (run[:, reads.last + 1] - run[:, reads.first]).T
+    odds = (np.log(p) - np.log1p(-p))[:, reads.mut]
+    if params.merged and params.gap:  # what a mutation may have taken in says nothing
+        low = np.maximum(reads.mut - params.gap, reads.first[reads.row])
+        odds = odds - (run[:, reads.mut] - run[:, low])
+    for k in range(params.k):
+        out[:, k] += np.bincount(reads.row, odds[k], len(out))
+    out += np.log(np.maximum(params.ends[reads.first, reads.last], 1e-300))[:, None]
+    if params.gap and not params.merged:
+        out -= np.log(max(sum(s * bias.survival(params.ends, r, params.gap) for s, r in zip(params.shares, params.rates, strict=True)), 1e-300))
+    return out
+
+
+def responsibilities(joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    top = joint.max(axis=1, keepdims=True)
+    marginal = top + np.log(np.exp(joint - top).sum(axis=1, keepdims=True))
+    return np.exp(joint - marginal), marginal[:, 0]
+
+
+def _sums(frames, pos: np.ndarray, weigh: Callable):
+    """Of each batch: weights, coverage steps and mutations by cluster, and the log likelihood."""
+    n = len(pos)
+    for frame in frames:
+        reads = Reads(frame, pos)
+        weights, marginal = weigh(frame, reads)
+        rows = [(0, 0, 0, float(reads.n @ marginal))]
+        for k in range(weights.shape[1]):
+            w = weights[:, k] * reads.n
+            steps = np.bincount(reads.first, w, n + 1)[: n + 1] - np.bincount(reads.last + 1, w, n + 1)[: n + 1]
+            hits = np.bincount(reads.mut, w[reads.row], n)
+            rows += [(1, k, 0, float(w.sum()))] + [(2, k, i, float(v)) for i, v in enumerate(steps) if v] + [(3, k, i, float(v)) for i, v in enumerate(hits) if v]
+        yield pd.DataFrame(rows, columns=["kind", "clust", "at", "value"])
+
+
+def _pass(uniq: DataFrame, pos: np.ndarray, k: int, weigh: Callable) -> tuple[np.ndarray, np.ndarray, float]:
+    """Observed rates and shares, and the log likelihood: one job, whose result is as large as clusters by positions."""
+    found = uniq.mapInPandas(lambda f: _sums(f, pos, weigh), "kind int, clust int, at int, value double").groupBy("kind", "clust", "at").agg(F.sum("value").alias("value")).collect()
+    sums = [np.zeros((max(k, 1), len(pos) + 1)) for _ in range(4)]
+    for r in found:
+        sums[r["kind"]][r["clust"], r["at"]] = r["value"]
+    cover = np.cumsum(sums[2], axis=1)[:, : len(pos)]
+    rates = np.where(cover > 1e-9, sums[3][:, : len(pos)] / np.maximum(cover, 1e-9), 0.0)
+    shares = sums[1][:, 0]
+    return rates, shares / max(shares.sum(), 1e-300), float(sums[0][0, 0])
+
+
+def end_shares(uniq: DataFrame, pos: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(pos), len(pos)))
+    for r in uniq.groupBy("end5", "end3").agg(F.sum("n").alias("n")).collect():
+        out[np.searchsorted(pos, r["end5"]), np.searchsorted(pos, r["end3"], "right") - 1] += r["n"]
+    return out / max(out.sum(), 1e-300)
+
+
+def first_weights(seed: int, k: int) -> Callable:
+    """Random weights of unique reads (Dirichlet, all parameters 1) that depend on seed and content alone."""
+
+    def weigh(frame, reads):
+        from zlib import crc32
+
+        draws = np.array([np.random.default_rng([seed, crc32(uid.encode())]).exponential(size=k) for uid in frame["uid"]]).reshape(-1, k)
+        return draws / draws.sum(axis=1, keepdims=True), np.zeros(len(draws))
+
+    return weigh
+
+
+def run_em(uniq: DataFrame, positions: DataFrame, k: int, seed: int = 0, min_iterations: int = 10, max_iterations: int = 500, threshold: float = 0.37, min_gap: int = 0, merged: bool = False) -> Run:
+    """One run: from random weights, until the log likelihood gains less than ``threshold`` (after ``min_iterations``).
+    With a gap, what is seen is corrected for reads that were lost (or mutations that were merged): rates, ends and shares
+    together. ``uniq``: uid, end5, end3, muts, n, best written once, as each iteration reads it."""
+    pos = np.array(sorted(r["pos"] for r in positions.select("pos").collect()), np.int64)
+    seen_ends = end_shares(uniq, pos)
+    n = float(uniq.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    weigh, likes, params = first_weights(seed, k), [], None
+    for i in range(max_iterations + 1):
+        rates, shares, like = _pass(uniq, pos, k, weigh)
+        if params is not None:
+            likes.append(like)
+            if i > min_iterations and len(likes) > 1 and likes[-1] - likes[-2] < threshold:
+                return Run(seed, params, tuple(likes), True, n)
+            if i == max_iterations:
+                break
+        rates, ends, shares = bias.unbias_all(rates, seen_ends, shares, min_gap, merged)
+        params = Params(pos, rates, shares, ends, min_gap, merged)
+
+        def weigh(frame, reads, params=params):
+            return responsibilities(log_joint(reads, params))
+
+    return Run(seed, params, tuple(likes), False, n)
+
+
+def weights(uniq: DataFrame, params: Params) -> DataFrame:
+    """uid, n, clust (from 1), weight, marginal of every unique read."""
+
+    def run(frames):
+        for frame in frames:
+            resp, marginal = responsibilities(log_joint(Reads(frame, params.pos), params))
+            k = params.k
+            yield pd.DataFrame({"uid": np.repeat(frame["uid"].to_numpy(), k), "n": np.repeat(frame["n"].to_numpy(), k), "clust": np.tile(np.arange(1, k + 1), len(frame)), "weight": resp.ravel(), "marginal": np.repeat(marginal, k)})
+
+    return uniq.mapInPandas(run, "uid string, n long, clust int, weight double, marginal double")
+
+
+def read_weights(reads: DataFrame, resps: DataFrame) -> DataFrame:
+    """read, clust, weight: what reads with the same content (segs, muts) have been given."""
+    return reads.withColumn("uid", F.to_json(F.struct("segs", "muts"))).select("read", "uid").join(resps.select("uid", "clust", "weight"), "uid").select("read", "clust", "weight")
+
+
+def expected_counts(uniq: DataFrame, params: Params) -> DataFrame:
+    """uid, n, log_exp: observed and log expected number of each unique read."""
+    total = uniq.agg(F.sum("n").alias("_t"))
+    per = weights(uniq, params).select("uid", "n", "marginal").dropDuplicates(["uid"])
+    return per.join(F.broadcast(total)).select("uid", "n", (F.col("marginal") + F.log("_t")).alias("log_exp"))
+
+
+# Comparison and choice of runs. Arrays are clusters by positions.
+
+
+def arcsine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.abs(np.arcsin(2 * np.clip(x, 0, 1) - 1) - np.arcsin(2 * np.clip(y, 0, 1) - 1)) / np.pi
+
+
+def correlation(x: np.ndarray, y: np.ndarray) -> float:
+    x, y = x - x.mean(), y - y.mean()
+    scale = np.sqrt((x @ x) * (y @ y))
+    return float(x @ y / scale) if scale > 0 else 0.0
+
+
+def gini(x: np.ndarray) -> float:
+    x = np.sort(x)
+    return float((2 * np.arange(1, len(x) + 1) - len(x) - 1) @ x / (len(x) * x.sum())) if x.sum() > 0 else 0.0
+
+
+def assign(cost: np.ndarray) -> list[int]:
+    """The column of each row in the assignment of least total cost, by shortest augmenting paths."""
+    n = len(cost)
+    u, v, owner = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, int)  # column 0 stands for the row to be placed
+    for row in range(1, n + 1):
+        owner[0], column = row, 0
+        least, came, used = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.zeros(n + 1, bool)
+        while owner[column]:
+            used[column] = True
+            free = np.flatnonzero(~used)
+            slack = cost[owner[column] - 1, free - 1] - u[owner[column]] - v[free]
+            better = slack < least[free]
+            least[free[better]], came[free[better]] = slack[better], column
+            nearest = free[least[free].argmin()]
+            step = least[nearest]
+            u[owner[used]] += step
+            v[used] -= step
+            least[~used] -= step
+            column = nearest
+        while column:
+            owner[column] = owner[came[column]]
+            column = came[column]
+    out = [0] * n
+    for column in range(1, n + 1):
+        out[owner[column] - 1] = column - 1
+    return out
+
+
+def match(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """For each cluster of a, the one of b it corresponds to: least total arcsine distance."""
+    return assign(np.array([[arcsine(x, y).sum() for y in b] for x in a]))
+
+
+def compare_runs(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+    """Mean arcsine distance and correlation of matched clusters of two runs, averaged."""
+    order = match(a, b)
+    return float(np.mean([arcsine(a[i], b[j]).mean() for i, j in enumerate(order)])), float(np.mean([correlation(a[i], b[j]) for i, j in enumerate(order)]))
+
+
+def correspond(regions: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, list[int]]:
+    """For clusters of several regions (positions, rates [k, position]), which belong together: the joined number (from 0) of
+    each region's clusters. From the first region on, that which shares most positions with those placed is matched with
+    their mean; then each in turn with the mean of all others, until nothing changes. A region that overlaps with none keeps
+    its order."""
+    names = list(regions)
+    out = {names[0]: list(range(len(regions[names[0]][1])))}
+
+    def matched(name: str, others: list[str]) -> list[int]:
+        pos, rates = regions[name]
+        held: dict[int, list[np.ndarray]] = {}
+        for other in others:
+            for i, p in enumerate(regions[other][0]):
+                held.setdefault(int(p), []).append(regions[other][1][np.argsort(out[other]), i])
+        at = [i for i, p in enumerate(pos) if int(p) in held]
+        if not at:
+            return out.get(name, list(range(len(rates))))
+        return match(rates[:, at], np.array([np.mean(held[int(pos[i])], axis=0) for i in at]).T)
+
+    while len(out) < len(names):
+        placed = np.unique(np.concatenate([regions[name][0] for name in out]))
+        nearest = max((name for name in names if name not in out), key=lambda name: len(np.intersect1d(regions[name][0], placed)))
+        out[nearest] = matched(nearest, list(out))
+    for _ in range(10 * len(names)):
+        new = {name: matched(name, [other for other in names if other != name]) for name in names[1:]}
+        if all(out[name] == order for name, order in new.items()):
             break
-        before = now
-    params = [{"clust": c + 1, "pos": x, "mu": float(found[c, i]), "p": float(p[c])} for c in range(k) for i, x in enumerate(pos)]
-    return resps, params, float(now)
+        out.update(new)
+    return out
+
+
+@dataclasses.dataclass(frozen=True)
+class Limits:
+    """What a run has to keep to. Fixed values are the defaults."""
+
+    max_pearson: float = 0.9
+    min_marcd: float = 0.016
+    max_arcd: float = 0.2
+    max_gini: float = 0.667
+    max_jackpot: float = 1.1
+    max_loglike_vs_best: float = 0.0
+    min_pearson_vs_best: float = 0.97
+    max_marcd_vs_best: float = 0.008
+
+
+def run_statistics(run: Run, ensemble: np.ndarray | None = None) -> dict[str, float]:
+    """How alike the clusters of a run are, and how far they lie from the average of all reads."""
+    r, k = run.params.rates, run.params.k
+    pairs = [(i, j) for i in range(k) for j in range(i)]
+    mean = run.params.shares @ r if ensemble is None else ensemble
+    return {
+        "min_marcd": min((float(arcsine(r[i], r[j]).mean()) for i, j in pairs), default=np.inf),
+        "max_pearson": max((correlation(r[i], r[j]) for i, j in pairs), default=-np.inf),
+        "max_arcd": max((float(arcsine(x, mean).max()) for x in r), default=0.0) if k > 1 else 0.0,
+        "max_gini": max(gini(x) for x in r),
+    }
+
+
+def passes(run: Run, limits: Limits, ensemble: np.ndarray | None = None, jackpot: float | None = None) -> bool:
+    """Whether a run settled and its clusters are distinct, even and no freaks."""
+    s = run_statistics(run, ensemble)
+    return run.settled and s["min_marcd"] >= limits.min_marcd and s["max_pearson"] <= limits.max_pearson and s["max_arcd"] <= limits.max_arcd and s["max_gini"] <= limits.max_gini and (jackpot is None or jackpot <= limits.max_jackpot)
 
 
-def match(cost: np.ndarray) -> tuple[int, ...]:
-    """The assignment of rows to columns of least total cost, for the few clusters there are."""
-    return min(itertools.permutations(range(len(cost))), key=lambda perm: sum(cost[i, j] for i, j in enumerate(perm)))
+def by_likelihood(runs: list[Run]) -> list[Run]:
+    return sorted(runs, key=lambda r: (-r.log_like, r.seed))
+
+
+def best_run(runs: list[Run], limits: Limits) -> Run | None:
+    """The most likely of the runs that pass."""
+    return next((r for r in by_likelihood(runs) if passes(r, limits)), None)
+
+
+def agrees(runs: list[Run], limits: Limits) -> bool:
+    """Whether another run of the same K found the same clusters as the best one."""
+    best, *rest = by_likelihood(runs)
+    for other in rest:
+        marcd, pearson = compare_runs(best.params.rates, other.params.rates)
+        if (not limits.max_loglike_vs_best or best.log_like - other.log_like <= limits.max_loglike_vs_best) and pearson >= limits.min_pearson_vs_best and marcd <= limits.max_marcd_vs_best:
+            return True
+    return best.params.k == 1
+
+
+def best_k(runs: dict[int, list[Run]], limits: Limits) -> int:
+    """The number of clusters of least BIC, of those with a run that passes; 0 if there is none."""
+    found = {k: best_run(rs, limits) for k, rs in runs.items()}
+    return min((k for k, r in found.items() if r is not None), key=lambda k: found[k].bic, default=0)
+
+
+def cluster(uniq: DataFrame, positions: DataFrame, max_k: int = 0, min_runs: int = 6, max_runs: int = 30, limits: Limits | None = None, **em) -> tuple[int, dict[int, list[Run]]]:
+    """The whole step: K from 1 on, each with runs until ``min_runs`` are done and another agrees with the best one (at most
+    ``max_runs``); it ends at the first K that is worse than the one before, or after ``max_k``. Returns the best K (0: none
+    passes) and all runs by K."""
+    limits = limits or Limits()
+    runs: dict[int, list[Run]] = {}
+    k = 1
+    while True:
+        runs[k] = []
+        for seed in range(max_runs if k > 1 else 1):  # a single cluster starts alike whatever the seed
+            runs[k].append(run_em(uniq, positions, k, seed, **em))
+            if len(runs[k]) >= min_runs and agrees(runs[k], limits):
+                break
+        chosen, before = best_run(runs[k], limits), best_run(runs[k - 1], limits) if k > 1 else None
+        if k == max_k or chosen is None or (before is not None and chosen.bic >= before.bic):
+            return best_k(runs, limits), runs
+        k += 1
+
+
+def summary(spark, runs: dict[int, list[Run]]) -> DataFrame:
+    """A row for each run: k, seed, log likelihood, BIC, iterations, whether it settled, and its statistics."""
+    rows = [(k, r.seed, r.log_like, float(r.bic), len(r.log_likes), r.settled, *run_statistics(r).values()) for k, rs in runs.items() for r in rs]
+    return spark.createDataFrame(rows, "k int, seed int, log_like double, bic double, iterations int, settled boolean, min_marcd double, max_pearson double, max_arcd double, max_gini double")
+
+
+def parameters(spark, run: Run) -> tuple[DataFrame, DataFrame]:
+    """clust, pos, mu and clust, share of a run."""
+    p = run.params
+    rates = spark.createDataFrame([(c + 1, int(x), float(p.rates[c, i])) for c in range(p.k) for i, x in enumerate(p.pos)], "clust int, pos int, mu double")
+    return rates, spark.createDataFrame([(c + 1, float(s)) for c, s in enumerate(p.shares)], "clust int, share double")
+
+
+# Gaps between neighbouring domains.
+
+
+def gap_test(uniq: DataFrame, left: Params, right: Params, min_assoc: float = 0.1, rounds: int = 500, tolerance: float = 1e-6) -> dict:
+    """Whether the clusters on both sides of a gap go independently. Each unique read that reaches into both domains has the
+    likelihoods of its mutations there; mixtures of independent and of free shares of cluster pairs are fitted to these,
+    one pass a round. The gap is spurious (``passed`` false) if the free mixture has the lower BIC and its shares
+    lie further than ``min_assoc`` from independent ones."""
+    ka, kb = left.k, right.k
+    if min(ka, kb) < 2:
+        return {"passed": True, "reason": "one cluster on a side"}
+    span = uniq.where((F.col("end5") <= int(left.pos[-1])) & (F.col("end3") >= int(right.pos[0])))
+    n = span.count()
+    if n < ka * kb:
+        return {"passed": True, "reason": "too few reads reach across", "n": n}
+
+    def side(frame: pd.DataFrame, params: Params) -> np.ndarray:
+        cut = frame.assign(end5=np.maximum(frame["end5"], params.pos[0]), end3=np.minimum(frame["end3"], params.pos[-1]))
+        reads = Reads(cut, params.pos)
+        run, p = np.array([bias.no_mutation(r) for r in params.rates]), np.clip(params.rates, 1e-9, 1 - 1e-9)
+        out = (run[:, reads.last + 1] - run[:, reads.first]).T.copy()
+        for k in range(params.k):
+            out[:, k] += np.bincount(reads.row, (np.log(p[k]) - np.log1p(-p[k]))[reads.mut], len(frame))
+        return out
+
+    def sums(frames, models: list[np.ndarray]):
+        for frame in frames:
+            both = side(frame, left)[:, :, None] + side(frame, right)[:, None, :]
+            rows = []
+            for m, pi in enumerate(models):
+                resp, marginal = responsibilities((both + np.log(np.maximum(pi, 1e-300))).reshape(len(frame), -1))
+                rows += [(m, -1, float(marginal.sum()))] + [(m, i, float(v)) for i, v in enumerate(resp.sum(axis=0))]
+            yield pd.DataFrame(rows, columns=["model", "cell", "value"])
+
+    product = free = np.full((ka, kb), 1 / (ka * kb))
+    before = [-np.inf, -np.inf]
+    for _ in range(rounds):
+        models = [product, free]
+        found = {(r["model"], r["cell"]): r["value"] for r in span.mapInPandas(lambda f, models=models: sums(f, models), "model int, cell int, value double").groupBy("model", "cell").agg(F.sum("value").alias("value")).collect()}
+        cells = [np.array([found[m, i] for i in range(ka * kb)]).reshape(ka, kb) / n for m in (0, 1)]
+        now = [found[0, -1], found[1, -1]]
+        product, free = np.outer(cells[0].sum(axis=1), cells[0].sum(axis=0)), cells[1]
+        if max(a - b for a, b in zip(now, before, strict=True)) < tolerance:
+            break
+        before = now
+    bic = [-2 * now[0] + (ka + kb - 2) * np.log(n), -2 * now[1] + (ka * kb - 1) * np.log(n)]
+    assoc = float(np.abs(free - product).max())
+    return {"passed": not (bic[1] < bic[0] and assoc > min_assoc), "n": n, "coupling": float(bic[0] - bic[1]), "assoc": assoc}
 
 
-def best_k(likelihoods: dict[int, float], n_params: dict[int, int], n_reads: float) -> int:
-    """The number of clusters of least BIC."""
-    return min(likelihoods, key=lambda k: n_params[k] * np.log(n_reads) - 2 * likelihoods[k])
+def validate_gaps(domains: list[tuple[int, int]], fit: Callable[[int, int], Params], test: Callable[[Params, Params], dict]) -> tuple[list[tuple[int, int]], list[dict]]:
+    """Domains whose gaps are all genuine: the most strongly coupled pair of neighbours that fails its test is merged and
+    fitted anew, until none fails. Fits of domains that stay are kept. Also what was merged, and why."""
+    domains, fits, log = sorted(domains), {}, []
+    while True:
+        for d in domains:
+            if d not in fits:
+                fits[d] = fit(*d)
+        tests = [test(fits[a], fits[b]) for a, b in zip(domains, domains[1:])]
+        failed = [(t["coupling"], i) for i, t in enumerate(tests) if not t["passed"]]
+        if not failed:
+            return domains, log
+        i = max(failed)[1]
+        log.append({"left": domains[i], "right": domains[i + 1], **tests[i]})
+        domains[i : i + 2] = [(domains[i][0], domains[i + 1][1])]

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from . import read_model as rm
 from .functions import codes, sequences as sq, stats
-from .operators import alignments, clusters, demult, profiles as pf, reads, structures as st
-from .plans import bias, clustering, domains, filtering, simulation
-from .sources import text
+from .operators import alignments, clusters, demult, profiles as pf, reads, regions, structures as st
+from .plans import bias, clustering, domains, filtering
+from .sources import tables, text
 from .streaming import counts as stream
 
 QUERIES: dict = {}
@@ -210,11 +210,9 @@ def mask_bases(spark, sf):
 RUNS = f"with {S}, chars as (select ref, i as pos, substr(seq, i, 1) as base from (select ref, seq, unnest(range(1, length(seq) + 1)) as i from seqs)), r as (select *, pos - row_number() over (partition by ref, base order by pos) as run from chars where base = 'A')"
 
 
-@query("mask_polya", RUNS + ", g as (select ref, run, min(pos) as end5, count(*) as n from r group by 1, 2) select ref, cast(count(*) as bigint) as runs, cast(sum(n) as bigint) as masked from g where n >= 3 group by 1")
+@query("mask_polya", RUNS + ", g as (select ref, run, min(pos) as end5, max(pos) as end3, count(*) as n from r group by 1, 2) select r.ref, r.pos from r join g using (ref, run) where n >= 3")
 def mask_polya(spark, sf):
-    refs = rm.sequences(spark, sf)
-    found = refs.select("ref", F.explode(F.regexp_extract_all("seq", F.lit("A{3,}"), F.lit(0))).alias("run"))
-    return found.groupBy("ref").agg(F.count("*").alias("runs"), F.sum(F.length("run")).alias("masked"))
+    return reads.mask_poly(sq.positions(rm.sequences(spark, sf)), "A", 3, ["ref"]).select("ref", "pos")
 
 
 @query("reads_by_coverage", f"with {R} select read, cast(end3 - end5 + 1 as bigint) as cov from segs where end3 - end5 + 1 >= 40 and (end3 - end5 + 1) / 120.0 >= 0.5")
@@ -244,10 +242,12 @@ def _round(i: int) -> str:
  p{i + 1} as (select t.pos, t.base from t{i} t left join u{i} u using (pos) where t.cov - coalesce(u.amb, 0) >= 5 and not coalesce(1.0 * u.mut / nullif(t.cov - coalesce(u.amb, 0), 0) > 0.065, false))"""
 
 
-CONFIG = filtering.FilterConfig(mask_poly=0, min_cov=10, max_mut_share=0.2, min_gap=3, min_info_pos=5, max_mut_pos=0.065, max_rounds=2)
+CONFIG = filtering.FilterConfig(mask_poly=0, min_cov=10, max_mut_share=0.2, min_gap=3, min_info_pos=5, max_mut_pos=0.065)
+#: Rounds of the SQL: once nothing changes, further ones do no harm.
+ROUNDS = 5
 
 
-@query("filter_rounds", f"with {R}, {FIT}, p0 as (select * from positions where base in ('A', 'C')),{_round(0)},{_round(1)} select p.pos, p.base, (select count(*) from k1) as reads from p2 p")
+@query("filter_rounds", f"with {R}, {FIT}, p0 as (select * from positions where base in ('A', 'C')),{','.join(map(_round, range(ROUNDS)))} select p.pos, p.base, (select count(*) from k{ROUNDS - 1}) as reads from p{ROUNDS} p")
 def filter_rounds(spark, sf):
     done = filtering.filter_reads(*model(spark, sf), CONFIG)
     return done.positions.join(F.broadcast(done.segments.agg(F.count("*").alias("reads"))))
@@ -261,10 +261,10 @@ def list_positions(spark, sf):
     return table.select("pos", "base").join(reads.positions_passing(table, 1000, 0.06), ["pos", "base"], "left_anti")
 
 
-@query("clip_region", f"with {R} select count(*) as segments, cast(sum(least(end3, 60) - greatest(end5, 21) + 1) as bigint) as covered, (select count(*) from muts where pos between 21 and 60) as muts from segs where greatest(end5, 21) <= least(end3, 60)")
+@query("clip_region", f"with {R} select s.read, greatest(end5, 21) as end5, least(end3, 60) as end3, m.pos, m.rel from segs s left join (select * from muts where pos between 21 and 60) m using (read) where greatest(end5, 21) <= least(end3, 60)")
 def clip_region(spark, sf):
     segs, muts = reads.clip(rm.segments(spark, sf), rm.muts(spark, sf), 21, 60)
-    return segs.agg(F.count("*").alias("segments"), F.sum(F.col("end3") - F.col("end5") + 1).alias("covered")).join(F.broadcast(muts.agg(F.count("*").alias("muts"))))
+    return segs.join(muts, "read", "left").select("read", "end5", "end3", "pos", "rel")
 
 
 # Pairs of positions.
@@ -297,7 +297,7 @@ def pair_correlations(spark, sf):
 @query("benjamini_hochberg", """with p as (select o_orderkey as pos_a, 0 as pos_b, (o_totalprice % 1000) / 1000.0 as p from orders), r as (select *, row_number() over (order by p, pos_a, pos_b) as rank, count(*) over () as m from p)
  select pos_a, round(min(p * m / rank) over (order by rank desc rows between unbounded preceding and current row), 9) as q from r""")
 def benjamini(spark, sf):
-    p = rm.table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos_a"), F.lit(0).alias("pos_b"), ((F.col("o_totalprice") % 1000) / 1000.0).alias("p"))
+    p = rm.table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos_a"), ((F.col("o_totalprice") % 1000) / 1000.0).alias("p"))
     return reads.benjamini_hochberg(p).select("pos_a", F.round("q", 9).alias("q"))
 
 
@@ -325,7 +325,10 @@ def block_scores(spark, sf):
 
 @query("domains")
 def call_domains(spark, sf):
-    return spark.createDataFrame(domains.call(_confusion(spark, sf), 40, 50, 0.2, 0.5).astype("int64"), "end5 long, end3 long")
+    """Pairs of all distances up to 40, tested, and segmented by region."""
+    pairs = reads.confusion(*model(spark, sf), MUT, 0, 40)
+    config = domains.ScanConfig(50, 0.2, 1.0, 0.5, 40, 3, "fill")
+    return domains.call(domains.bridges(pairs, config.min_cover, config.min_expected, config.fdr, config.fold), config, 1, rm.LENGTH)
 
 
 @query("cut_crossing", f"with {CONFUSION}, c as (select * from conf where ab > 0) select p.pos, count(c.pos_a) as n from positions p left join c on c.pos_a <= p.pos and c.pos_b > p.pos group by 1")
@@ -333,13 +336,6 @@ def cut_crossing(spark, sf):
     return st.crossing(_confusion(spark, sf).where("ab > 0"), rm.positions(spark))
 
 
-@query("banded_table", f"""with {CONFUSION}, tiles as (select unnest([1, 31, 61]) as t5), x as (select pos_a, pos_b, t5, count(*) as n from tiles join conf on pos_a >= t5 and pos_b <= t5 + 59 join segs s on s.end5 <= greatest(pos_a, t5) and s.end3 >= pos_b group by 1, 2, 3)
- select pos_a, pos_b, max(n) as n from x group by 1, 2""")
-def banded_table(spark, sf):
-    tiles = spark.createDataFrame([(1,), (31,), (61,)], "t5 int")
-    return _confusion(spark, sf).join(F.broadcast(tiles), (F.col("pos_a") >= F.col("t5")) & (F.col("pos_b") <= F.col("t5") + 59)).groupBy("pos_a", "pos_b").agg(F.max_by("n", "n").alias("n")).where("n > 0")
-
-
 # Profiles.
 
 
@@ -454,10 +450,11 @@ def pool_check(spark, sf):
     return pf.pool_check(mean, "sample", 0.2, 0.1).select("sample_a", "sample_b", F.round("pearson", 7).alias("pearson"), F.round("marcd", 9).alias("marcd"), "ok")
 
 
-@query("table_pairs", f"with {P}, t as (select distinct label as ref, vec_id as sample from profiles) select a.ref, a.sample as sample_a, b.sample as sample_b from t a join t b on a.ref = b.ref and a.sample < b.sample")
+@query("table_pairs", "with t as (select distinct vec_id % 7 as ref, label as sample from embeddings) select a.ref, a.sample as sample_a, b.sample as sample_b from t a join t b on a.ref = b.ref and a.sample < b.sample")
 def table_pairs(spark, sf):
-    t = rm.table(spark, sf, "embeddings").select(F.col("label").alias("ref"), F.col("vec_id").alias("sample")).distinct()
-    return t.withColumnRenamed("sample", "sample_a").join(t.withColumnRenamed("sample", "sample_b"), "ref").where("sample_a < sample_b")
+    """Pairs of samples, of which there are few, that have a table of the same reference."""
+    t = rm.table(spark, sf, "embeddings").select((F.col("vec_id") % 7).alias("ref"), F.col("label").alias("sample"))
+    return pf.table_pairs(t, ["ref"], "sample")
 
 
 @query("profile_histogram", f"with {P} select cast(b as int) as bin, count(p.mu) as n from range(0, 10) t(b) left join profiles p on least(cast(floor(mu / 0.1) as int), 9) = b group by 1")
@@ -488,12 +485,16 @@ def stems(spark, sf):
     return st.stems(rm.pairs(spark, sf))
 
 
-@query("wfmi", f"""with {R}, {B}, j as (select p.pos, a.partner as x, b.partner as y from positions p left join (select * from pairs where struct = 1) a using (pos) left join (select * from pairs where struct = 2) b using (pos)),
- s as (select count(*) filter (x is null and y is null) as u, count(*) filter (x is not null or y is not null) as p, count(x) as n1, count(y) as n2, count(*) filter (x = y) as n12 from j)
- select round(1.0 * u / (u + p) + (1 - 1.0 * u / (u + p)) * case when n1 > 0 and n2 > 0 then n12 / sqrt(n1 * n2) else 0 end, 9) as wfmi from s""")
+@query("wfmi", f"""with {R}, {B}, k as (select distinct a.struct as key from bp a join bp b on b.struct = a.struct + 1), j as (select k.key, p.pos, a.partner as x, b.partner as y from k cross join positions p left join pairs a on a.struct = k.key and a.pos = p.pos left join pairs b on b.struct = k.key + 1 and b.pos = p.pos),
+ s as (select key, count(*) filter (x is null and y is null) as u, count(*) filter (x is not null or y is not null) as p, count(x) as n1, count(y) as n2, count(*) filter (x = y) as n12 from j group by 1)
+ select key, round(1.0 * u / (u + p) + (1 - 1.0 * u / (u + p)) * case when n1 > 0 and n2 > 0 then n12 / sqrt(n1 * n2) else 0 end, 9) as wfmi from s""")
 def wfmi(spark, sf):
+    """Each structure against the next."""
     p = rm.pairs(spark, sf)
-    return st.wfmi(p.where("struct = 1"), p.where("struct = 2"), rm.positions(spark)).select(F.round("wfmi", 9).alias("wfmi"))
+    a, b = p.withColumnRenamed("struct", "key"), p.withColumn("key", F.col("struct") - 1).drop("struct")
+    keys = a.select("key").distinct().join(b.select("key").distinct(), "key")
+    every = keys.crossJoin(F.broadcast(rm.positions(spark)))  # as many rows as structures by positions
+    return st.wfmi(a, b, every, ["key"]).withColumn("wfmi", F.round("wfmi", 9))
 
 
 @query("renumber_pairs", f"with {B} select struct, pos + 10 as pos, partner + 10 as partner from pairs")
@@ -519,14 +520,13 @@ def region_unite(spark, sf):
     return hull.join(gaps.groupBy("ref").agg(F.count("*").alias("gaps")), "ref", "left").fillna(0, "gaps")
 
 
-@query("pool_samples", """select sample, count(*) as reads, max(batch) as last from (select l_orderkey as read, l_returnflag as sample, cast(l_orderkey % 4 as bigint) + case l_returnflag when 'A' then 0 when 'N' then 4 else 8 end as batch from lineitem) group by 1""")
+@query("pool_samples", """with r as (select l_orderkey as read, l_returnflag as sample, cast(l_orderkey % 4 as bigint) as batch from lineitem), s as (select sample, max(batch) + 1 as n from r group by 1), f as (select sample, sum(n) over (order by sample) - n as shift from s)
+ select r.sample, batch + shift as batch, count(*) as reads from r join f using (sample) group by 1, 2""")
 def pool_samples(spark, sf):
     li = rm.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("read"), (F.col("l_orderkey") % 4).alias("batch"), F.col("l_returnflag").alias("sample"))
-    out, first = None, 0
-    for sample in ("A", "N", "R"):  # batches of later samples are numbered on
-        part = li.where(F.col("sample") == sample).withColumn("batch", F.col("batch") + first)
-        out, first = part if out is None else out.unionByName(part), first + 4
-    return out.groupBy("sample").agg(F.count("*").alias("reads"), F.max("batch").alias("last"))
+    names = sorted(r["sample"] for r in li.select("sample").distinct().collect())
+    pooled = regions.pool({name: li.where(F.col("sample") == name).drop("sample") for name in names})
+    return pooled.groupBy("sample", "batch").agg(F.count("*").alias("reads"))
 
 
 # Clusters.
@@ -579,10 +579,28 @@ def m_step(spark, sf):
     return rates.withColumn("mu", F.round("mu", 9))
 
 
+def _written(spark, df, name):
+    path = tables.scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @query("em_cluster")
 def em_cluster(spark, sf):
-    _, params, _ = clustering.expectation_maximization(_uniq(spark, sf), rm.positions(spark), 2, iterations=3)
-    return spark.createDataFrame([(p["clust"], p["pos"], p["mu"], p["p"]) for p in params], "clust int, pos int, mu double, p double")
+    """Two clusters, from two starts, each until it settles; rates of the likelier run, and weights by position."""
+    uniq = _written(spark, _uniq(spark, sf), "uniq")
+    runs = [clustering.run_em(uniq, rm.positions(spark), 2, seed) for seed in (0, 1)]
+    best = clustering.by_likelihood(runs)[0]
+    weighted = clustering.weights(uniq, best.params).join(uniq.select("uid", "end5"), "uid")
+    return weighted.groupBy("clust", "end5").agg(F.sum(F.col("weight") * F.col("n")).alias("n"))
+
+
+@query("expected_reads")
+def expected_reads(spark, sf):
+    """Observed and expected counts of unique reads by one cluster, and the jackpot score."""
+    uniq = _written(spark, _uniq(spark, sf), "uniq")
+    run = clustering.run_em(uniq, rm.positions(spark), 1, min_iterations=1)
+    return stats.jackpot_score(clustering.expected_counts(uniq, run.params))
 
 
 @query("join_regions", f"with {R}, two as (select read, pos, rel from muts where pos <= 60 union select read, pos, rel from muts where pos between 41 and 120) select read, cast(count(*) as bigint) as n, cast(sum(rel) as bigint) as rels from two group by 1")
@@ -606,12 +624,12 @@ def join_clusters(spark, sf):
 
 @query("unbiased_rates")
 def unbiased_rates(spark, sf):
+    """Rates before reads with close mutations were lost; each region is solved where its counts are."""
     segs, muts, pos = model(spark, sf)
-    kept = reads.without_close(reads.positive(muts, MUT), 3)
-    segs, muts = segs.join(kept, "read", "left_anti"), muts.join(kept, "read", "left_anti")
-    table = reads.ratios(reads.position_table(segs, muts, pos), ["Mutated"]).orderBy("pos").toPandas()
-    made = bias.unbias(table["Mutated"].fillna(0).to_numpy(), bias.end_shares(reads.end_counts(segs), rm.LENGTH), 3)
-    return spark.createDataFrame([(int(p), float(o), float(m)) for p, o, m in zip(table["pos"], table["Mutated"].fillna(0), made, strict=True)], "pos int, observed double, mu double")
+    segs, muts = reads.collide(segs, muts, MUT, 3, merge=False)
+    table = reads.ratios(reads.position_table(segs, muts, pos), ["Mutated"]).withColumn("ref", F.lit("r"))
+    ends = reads.end_counts(segs).withColumn("ref", F.lit("r"))
+    return bias.unbias_tables(table, ends, 3, ["ref"]).select("pos", "observed", "mu")
 
 
 @query("adjusted_counts", f"""with {PER_POS}, y as (select *, case base when 'A' then 238 when 'C' then 222 when 'G' then 190 else 126 end as yes from per_pos where n > 0),
@@ -721,19 +739,50 @@ def rel_fits(spark, sf):
     return rm.muts(spark, sf).select("read", "pos", info.alias("info"), fit.alias("fit"))
 
 
-@query("identify_mutations")
-def identify_mutations(spark, sf):
+REFSEQ = "ACGTTGCAACGGTTCA" * 10
+
+
+def _aligned(spark, sf):
+    """An alignment for each line item: a part of the reference, then another part, with an indel between or none."""
     li = rm.table(spark, sf, "lineitem")
-    cut = lambda n: F.substring(F.lit("ACGTTGCAACGGTTCA" * 10), (F.col("l_partkey") % 90 + 1).cast("int"), n)
     a, b = (5 + F.col("l_orderkey") % 7).cast("int"), (6 + F.col("l_partkey") % 5).cast("int")
-    seq = F.concat(cut(a), F.substring(F.lit("ACGTTGCAACGGTTCA" * 10), ((F.col("l_suppkey")) % 90 + 1).cast("int"), b))
+    cut = lambda at, n: F.substring(F.lit(REFSEQ), (F.col(at) % 90 + 1).cast("int"), n)
     cigar = F.when(F.col("l_linenumber") % 3 == 0, F.concat(a.cast("string"), F.lit("M1D"), b.cast("string"), F.lit("M"))).when(F.col("l_linenumber") % 3 == 1, F.concat(a.cast("string"), F.lit("M2I"), (b - 2).cast("string"), F.lit("M"))).otherwise(F.concat((a + b).cast("string"), F.lit("M")))
-    sam = li.select(F.concat_ws(".", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("name"), F.lit(0).alias("flag"), F.lit("r").alias("ref"), (F.col("l_partkey") % 90 + 1).cast("int").alias("pos"), F.lit(40).alias("mapq"), cigar.alias("cigar"), seq.alias("seq"), F.repeat(F.lit("I"), a + b).alias("qual"))
-    refs = spark.createDataFrame([("r", "ACGTTGCAACGGTTCA" * 10)], "ref string, seq string")
-    segs, muts = alignments.tables(alignments.identify(sam, refs), refs)
+    return li.select(F.concat_ws(".", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")]).alias("name"), F.lit(0).alias("flag"), F.lit("r").alias("ref"), (F.col("l_partkey") % 90 + 1).cast("int").alias("pos"), F.lit(40).alias("mapq"), cigar.alias("cigar"), F.concat(cut("l_partkey", a), cut("l_suppkey", b)).alias("seq"), F.repeat(F.lit("I"), a + b).alias("qual"))
+
+
+def _reference(spark):
+    return spark.createDataFrame([("r", REFSEQ)], "ref string, seq string")
+
+
+@query("identify_mutations")
+def identify_mutations(spark, sf):
+    """All alignments; those with indels are walked one by one."""
+    refs = _reference(spark)
+    paired = alignments.pair(alignments.identify(_aligned(spark, sf), refs))
+    _, muts = alignments.tables(paired, refs)
+    return muts.groupBy("pos", "base", "rel").agg(F.count("*").alias("n"))
+
+
+@query("identify_plain", f"""with x as (select cast(l_partkey % 90 + 1 as int) as pos, cast(5 + l_orderkey % 7 as int) as a, cast(6 + l_partkey % 5 as int) as b, cast(l_suppkey % 90 + 1 as int) as s, '{REFSEQ}' as ref from lineitem where l_linenumber % 3 = 2),
+ y as (select pos, ref, substr(ref, pos, a) || substr(ref, s, b) as seq from x), z as (select pos, ref, seq, unnest(range(length(seq))) as i from y),
+ e as (select cast(pos + i as int) as pos, substr(ref, pos + i, 1) as base, substr(seq, i + 1, 1) as q from z) select pos, base, case q when 'A' then 16 when 'C' then 32 when 'G' then 64 else 128 end as rel, count(*) as n from e where q <> base group by 1, 2, 3""")
+def identify_plain(spark, sf):
+    """Alignments without indels, by expressions alone."""
+    refs = _reference(spark)
+    paired = alignments.pair(alignments.identify(_aligned(spark, sf).where(~F.col("cigar").rlike("[ID]")), refs))
+    _, muts = alignments.tables(paired, refs)
     return muts.groupBy("pos", "base", "rel").agg(F.count("*").alias("n"))
 
 
+@query("rejected_alignments", """select case when l_linenumber % 7 = 3 then 'a CIGAR operation comes twice in a row' when l_linenumber % 7 = 5 then 'the CIGAR string and the read differ in length' else 'the first operation is no aligned base' end as error, count(*) as n from lineitem where l_linenumber % 7 in (3, 5, 6) group by 1""")
+def rejected_alignments(spark, sf):
+    """Bad alignments are counted by reason, and all others go on."""
+    k = F.split("name", r"\.")[1].cast("int") % 7
+    bad = F.when(k == 3, F.regexp_replace("cigar", r"^(\d+)M", "$1M1M")).when(k == 5, F.concat("cigar", F.lit("1S"))).when(k == 6, F.concat(F.lit("1D"), "cigar")).otherwise(F.col("cigar"))
+    return alignments.rejected(alignments.pair(alignments.identify(_aligned(spark, sf).withColumn("cigar", bad), _reference(spark))))
+
+
 BAR = "bar as (select n_nationkey as k, n_name as name, substr('ACGT', n_nationkey % 4 + 1, 1) || substr('ACGT', n_nationkey // 4 % 4 + 1, 1) || substr('ACGT', n_nationkey // 16 + 1, 1) || substr('GATC', n_nationkey % 4 + 1, 1) || substr('TCGA', n_nationkey // 4 % 4 + 1, 1) as seq from nation)"
 NEAR = """one as (select distinct name, substr(seq, 1, i - 1) || c || substr(seq, i + 1) as seq from bar, (select unnest(range(1, 6)) as i), (select unnest(['A', 'C', 'G', 'T']) as c))"""
 BARREADS = "rd as (select o_orderkey as read, substr('ACGTACGGTCATTGCAGT', cast(o_orderkey % 9 + 1 as int), 4) || substr('TTACGCGATAGCCATGAC', cast(o_custkey % 9 + 1 as int), 6) as seq from orders)"
@@ -772,24 +821,14 @@ def kumaraswamy(spark, sf):
 @query("pattern_rates", f"with {PER_POS}, y as (select *, case base when 'A' then 238 when 'C' then 222 when 'G' then 190 else 126 end as yes from per_pos where n > 0 and rel <> 255) select pos, base, round(1.0 * sum(n) filter ((rel | yes) = yes) / sum(n) filter (rel = 1 or (rel | yes) = yes), 9) as mu from y group by 1, 2")
 def pattern_rates(spark, sf):
     rates = rels_per_pos(spark, sf).where("rel <> 255").withColumn("p", F.col("n").cast("double"))
-    return simulation.pattern_rate(rates, MUT).withColumn("mu", F.round("mu", 9))
+    return stats.pattern_rate(rates, MUT).withColumn("mu", F.round("mu", 9))
 
 
-@query("simulate_reads")
-def simulate_reads(spark, sf):
-    ends = end_counts(spark, sf)
-    total = ends.agg(F.sum("n").alias("t"))
-    shares = ends.join(F.broadcast(total)).select("end5", "end3", (F.col("n") / F.col("t")).alias("p"))
-    ids = rm.table(spark, sf, "lineitem").select(F.xxhash64("l_orderkey", "l_linenumber").alias("read"))
-    sim = simulation.ends(ids, shares, 1)
-    rates = position_ratios(spark, sf).select("pos", F.col("Mutated").alias("mu"))
-    return simulation.mutations(sim, rates, 2).groupBy("pos").agg(F.count("*").alias("n"))
-
-
-@query("web_export", f"with {P} select cast(label as varchar) as sample, count(distinct vec_id) as refs from profiles group by 1")
+@query("web_export", f"with {P} select cast(label as varchar) as sample, cast(vec_id as varchar) as ref, pos, round(mu, 3) as mu from profiles")
 def web_export(spark, sf):
     t = rm.profiles(spark, sf).select(F.col("label").cast("string").alias("sample"), F.col("vec_id").cast("string").alias("ref"), F.lit("full").alias("reg"), F.lit("average").alias("clust"), "pos", F.round("mu", 3).alias("mu"))
-    return text.export_json(t).select("sample", F.size(F.from_json("json", "map<string,string>")).cast("long").alias("refs"))
+    back = F.from_json("json", "map<string,map<string,array<double>>>")["full"]["average"]
+    return text.export_json(t).select("sample", "ref", F.posexplode(back).alias("i", "mu")).select("sample", "ref", (F.col("i") + 1).alias("pos"), "mu")
 
 
 # Streams.
@@ -800,11 +839,7 @@ def _stream(spark, sf, name):
 
 
 def _counted(spark, counts):
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="readloom-")
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = tables.scratch_path(spark, "stream")
     stream.run_available(counts, path)
     return spark.read.schema(counts.schema).parquet(f"{path}/table")
 

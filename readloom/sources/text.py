@@ -240,8 +240,35 @@ def read_joined_clusters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_json(table: DataFrame) -> DataFrame:
-    """One JSON document per sample: reference -> region -> cluster -> list of values by position."""
+    """sample, ref, json: a document for each sample and reference, region -> cluster -> list of values by position. Written
+    with partitionBy("sample"), these are one folder of lines for each sample."""
     by_clust = table.groupBy("sample", "ref", "reg", "clust").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mu"))), lambda x: x["mu"]).alias("mu"))
     by_reg = by_clust.groupBy("sample", "ref", "reg").agg(F.map_from_entries(F.collect_list(F.struct("clust", "mu"))).alias("c"))
-    by_ref = by_reg.groupBy("sample", "ref").agg(F.map_from_entries(F.collect_list(F.struct("reg", "c"))).alias("r"))
-    return by_ref.groupBy("sample").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("ref", "r")))).alias("json"))
+    return by_reg.groupBy("sample", "ref").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("reg", "c")))).alias("json"))
+
+
+def fastq_units(spark: SparkSession, path: str) -> DataFrame:
+    """name, kind (single or pair), first, second: FASTQ files below a path, plain or gzip, mates put together by their
+    names (_R1 and _R2, or _1 and _2). It raises when it runs if a name has two files of one mate."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.f*q*").option("recursiveFileLookup", True).load(path).select("path")
+    base = F.regexp_extract("path", r"([^/]+)\.(?:fq|fastq)(?:\.gz)?$", 1)
+    mate = F.regexp_extract(base, r"_R?([12])$", 1)
+    named = files.select("path", base.alias("base"), mate.alias("mate")).where("base <> ''").withColumn("name", F.regexp_replace("base", r"_R?[12]$", ""))
+    held = named.groupBy("name").agg(*[F.collect_list(F.when(F.col("mate") == m, F.col("path"))).alias(c) for m, c in (("1", "a"), ("2", "b"), ("", "s"))])
+    twice = (F.size("a") > 1) | (F.size("b") > 1) | (F.size("s") > 1)
+    first = F.when(twice, F.raise_error(F.concat(F.lit("two files of one mate: "), "name"))).otherwise(F.coalesce(F.get("a", F.lit(0)), F.get("s", F.lit(0)), F.get("b", F.lit(0))))
+    pair = (F.size("a") == 1) & (F.size("b") == 1)
+    return held.select("name", F.when(pair, "pair").otherwise("single").alias("kind"), first.alias("first"), F.when(pair, F.get("b", F.lit(0))).alias("second"))
+
+
+def fastq_slices(records: DataFrame, slices: list[tuple[int, int]], pad: str = "N", pad_quality: str = "!") -> DataFrame:
+    """name, slice, seq, qual: parts of each read (from 0, the end not included), padded where they leave it."""
+    from ..functions.sequences import slice_padded
+
+    parts = [F.struct(F.lit(i).alias("slice"), slice_padded(F.col("seq"), a, b, pad).alias("seq"), slice_padded(F.col("qual"), a, b, pad_quality).alias("qual")) for i, (a, b) in enumerate(slices)]
+    return records.select("name", F.explode(F.array(*parts)).alias("x")).select("name", "x.*")
+
+
+def count_reads(spark: SparkSession, path: str) -> int:
+    """Reads in FASTQ files: a quarter of their lines."""
+    return spark.read.text(path).count() // 4
