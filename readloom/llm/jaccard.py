@@ -35,6 +35,8 @@ from .components import components
 LEAD = 40
 #: Classes in a block of a neighbourhood, and shingles of these; pivots; entries in a bucket of lists.
 BLOCK, SHINGLES, PIVOTS, ENTRIES = 500, 1_000_000, 8, 1_000_000
+#: Into how many parts the members of a large neighbourhood are dealt for joins about it.
+SALT = 64
 #: Documents looked at to learn which lists are very long, and how many different ones of them make a list so.
 HOT_SAMPLE, HOT_LEAST = 10_000, 50
 #: The length given to very long lists: above any other.
@@ -288,6 +290,14 @@ def _block(blocks: str) -> Column:
     return F.pmod(F.xxhash64("class", F.lit("block")), F.col(blocks)).cast("int")
 
 
+def _told(members: DataFrame, about: DataFrame, on: list[str]) -> DataFrame:
+    """The members (left-)joined with what is known of their large neighbourhoods. One of these may hold a third of all
+    classes, so each row about it is there SALT times and its members are spread over these."""
+    spread = about.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = members.withColumn("_salt", F.pmod(F.xxhash64("class", F.lit("salt")), F.lit(SALT)).cast("int"))
+    return salted.join(spread, [*on, "_salt"], "left").drop("_salt")
+
+
 def link(docs: DataFrame, similarity: int = 75, k: int = 5, lead: int = LEAD, block: int = BLOCK) -> DataFrame:
     """Near-duplicate classes: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
@@ -297,6 +307,26 @@ def link(docs: DataFrame, similarity: int = 75, k: int = 5, lead: int = LEAD, bl
     one link all the same, and name no component (null if nothing in it has a doc_id). An empty table gives an empty
     table; other columns are ignored.
     """
+    sets, named = _linked(docs, similarity, k, lead, block)
+    found = sets.join(named, (F.col("class") == F.col("named")) & (F.col("n_shingles") > 0), "left")
+    return found.select("doc_id", "n_shingles", F.when(F.col("named").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The same columns, of one document of each class of near duplicates: that of the smallest doc_id (null last, then by
+    content). Documents without shingles all stay; rows that agree in id and text are one document. Columns may have any
+    names. ``options``: those of link()."""
+    sets, named = _linked(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), **options)
+    found = sets.where("n_shingles > 0").join(named, F.col("class") == F.col("named"))
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c"))).alias("best")).select(F.col("best.c").alias("row"))
+    row = common.fresh(docs, "_row")
+    kept = best.unionByName(sets.where("n_shingles = 0").select("row")).withColumnRenamed("row", row)
+    keyed = docs.withColumn(row, common.row_key(F.col(key).cast("long"), F.col(text)))
+    return keyed.join(kept, row, "left_semi").dropDuplicates([row]).select(*docs.columns)
+
+
+def _linked(docs: DataFrame, similarity: int = 75, k: int = 5, lead: int = LEAD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, doc_id, n_shingles, class), and the component of every class (named, component, component_id)."""
     docs = common.with_text(docs).withColumn("row", common.row_key(F.col("doc_id"), F.col("text")))
     sets = common.materialize(docs.mapInPandas(lambda f: _sets(f, k, lead), "row long, doc_id long, n_shingles long, class long, leading binary"), "sets")
     some = sets.where("n_shingles > 0")
@@ -317,7 +347,7 @@ def link(docs: DataFrame, similarity: int = 75, k: int = 5, lead: int = LEAD, bl
 
     first = some.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n_shingles").alias("n"))
     members = near.withColumnRenamed("node", "class").join(first.select("class", "row", "n"), "class")
-    members = members.join(_blocks(members, block), "root")
+    members = _told(members, _blocks(members, block).where("blocks > 1"), ["root"]).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     whole = docs.select("row", "text").join(members, "row").mapInPandas(lambda f: _whole(f, k), "class long, root long, n long, blocks int, shingles binary")
     whole = common.materialize(whole.dropDuplicates(["class"]), "whole")
 
@@ -330,25 +360,26 @@ def link(docs: DataFrame, similarity: int = 75, k: int = 5, lead: int = LEAD, bl
     started = common.materialize(dealt.repartition("root", "own").sortWithinPartitions("root", "own").mapInPandas(lambda f: _pivots(f, similarity), edges), "started")
     tags = components(started, "tags").select(F.col("node").alias("class"), F.col("root").alias("tag"))
     tagged = large.select("class", F.col("root")).join(tags, "class")
-    home = tagged.groupBy("root", "tag").agg(F.count("*").alias("size")).groupBy("root").agg(F.max_by("tag", F.struct("size", "tag")).alias("tag"))
-    homes = tagged.join(home, ["root", "tag"]).select("class", F.lit(True).alias("home"))
+    home = tagged.groupBy("root", "tag").agg(F.count("*").alias("size")).groupBy("root").agg(F.max_by("tag", F.struct("size", "tag")).alias("home"))
+    homes = _told(tagged, home, ["root"]).where("tag = home").select("class", F.lit(True).alias("home"))
 
     # the rest meets every block, the home meets the rest
     members = common.materialize(whole.join(homes, "class", "left").withColumn("home", F.coalesce("home", F.lit(False))), "members")
-    rests = _blocks(members.where("not home"), block).withColumnRenamed("blocks", "rest")
-    inside = _blocks(members.where("home"), block).withColumnRenamed("blocks", "inside")
-    sized = members.join(rests.join(inside, "root", "left"), "root").withColumn("inside", F.coalesce("inside", F.lit(0)))
+    large = members.where("blocks > 1")
+    rests = _blocks(large.where("not home"), block).withColumnRenamed("blocks", "rest")
+    inside = _blocks(large.where("home"), block).withColumnRenamed("blocks", "inside")
+    counts = rests.join(inside, "root", "full").na.fill(0)
+    sized = _told(members, counts, ["root"]).withColumn("rest", F.coalesce("rest", F.lit(1))).withColumn("inside", F.coalesce("inside", F.lit(0)))
     own = F.when(F.col("home"), F.col("rest") + _block("inside")).otherwise(_block("rest"))
-    last = F.when(F.col("home"), F.col("rest")).otherwise(F.col("rest") + F.col("inside")) - 1
-    dealt = sized.select("root", "class", "shingles", "home", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other")).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "shingles", "home")
+    last = F.when(F.col("home"), F.col("rest")).otherwise(F.col("rest") + F.col("inside")) - 1  # none for a home without a rest
+    dealt = sized.select("root", "class", "shingles", "home", own.alias("own"), F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("other")).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "shingles", "home")
     links = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(lambda f: _search(f, similarity), edges)
     roots = components(links.unionByName(started), "links")
 
     joined = first.join(roots, F.col("class") == F.col("node"), "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = joined.join(least, "root").select(F.col("class").alias("named"), "component_id")
-    found = sets.join(named, (F.col("class") == F.col("named")) & (F.col("n_shingles") > 0), "left")
-    return found.select("doc_id", "n_shingles", F.when(F.col("named").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = joined.join(least, "root").select(F.col("class").alias("named"), F.col("root").alias("component"), "component_id")
+    return sets, named
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -181,6 +181,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap
     columns are ignored. Nothing of the documents is shuffled; the items of one part, of a checked size, go to every
     task. Statistics are those of all items, so the number of parts changes no score.
     """
+    return _found(common.with_text(docs), benchmark, threshold, overlap)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same rows and columns, without the rows that hold a test item. Each row is judged by its own text, whatever its
+    doc_id, null included; columns may have any names."""
+    row = common.fresh(docs, "_row")
+    keyed = docs.withColumn(row, common.row_key(F.col(key).cast("long"), F.col(text)))
+    found = _found(keyed.select(F.col(row).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), benchmark, threshold, overlap)
+    return keyed.join(found.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").select(*docs.columns)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, threshold: float, overlap: float) -> DataFrame:
+    """What leaks() gives, of documents with a doc_id and a text that is not null."""
     schema = "doc_id long, item_id long, score double, passage_start long, question_overlap double, answer_overlap double"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = F.array_remove(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+"), "")
@@ -192,7 +206,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap
     counted = terms.groupBy("term").agg(F.count("*").alias("n"))
     if shards > 1:
         counted = common.materialize(counted, "frequencies")
-    docs = common.with_text(docs)
     out = None
     for k in range(shards):
         held = [(r["item_id"], r["text"]) for r in items.where(shard == k).orderBy("item_id", "text").collect()]

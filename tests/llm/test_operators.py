@@ -84,6 +84,23 @@ def test_jaccard(spark, rows, hot, monkeypatch):
     assert len({r[2] for r in got}) < len(got) - 5
 
 
+def test_jaccard_keep(spark, rows):
+    """One document of each class stays, with all its columns; null ids and equal rows included."""
+    table = [(None, rows[8][1]), *[r[:2] for r in rows], (7, "a text under an id that another has"), rows[6][:2], (None, None)]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in table], "doc_id long, text string, _row int, class string").repartition(3)
+    got = jaccard.keep(docs)
+    assert got.columns == docs.columns
+    distinct = sorted(set(table), key=lambda r: (r[0] is None, r[0] or 0, str(r[1])))
+    component = {}
+    for k, (i, t) in enumerate(distinct):
+        s = shingles(t)
+        linked = {component[j] for j, (_, u) in enumerate(distinct[:k]) if s and shingles(u) and 100 * len(s & shingles(u)) >= 75 * len(s | shingles(u))}
+        component[k] = min(linked, default=k)
+        component = {j: component[k] if c in linked else c for j, c in component.items()}
+    expected = [distinct[k] for k, c in component.items() if c == k]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(expected, key=str)
+
+
 def test_jaccard_large(spark):
     """A large group of near copies with a tail of texts that only some of them link to."""
     rng = random.Random(11)
@@ -430,6 +447,16 @@ def test_leaks(spark, shard, monkeypatch):
     assert len(expected) > 8 and any(d is None for d, *_ in expected)
 
 
+def test_leaks_clean(spark):
+    """Rows go by their own text, whatever their ids; names clash with nothing."""
+    items, docs = leaky(random.Random(2))
+    frame = spark.createDataFrame([(i, t, 5) for i, t in docs] + [(5, "not what the other five says", 5)], "doc_id long, text string, _row int")
+    got = leaks.clean(frame, spark.createDataFrame(items, "item_id long, text string"))
+    bad = {i for i, *_ in brute_leaks(items, docs)}
+    assert got.columns == frame.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(i, t) for i, t in docs if i not in bad] + [(5, "not what the other five says")], key=str)
+
+
 def test_block_max_wand():
     """The search gives what scoring everything gives, and leaves postings unread."""
     rng = random.Random(5)
