@@ -1,7 +1,10 @@
 """A corpus pipeline of five stages over ``documents``; part of the training-data subpackage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
-as the next one's docs. All but the last return the columns of documents.
+as the next one's docs. All but the last return the columns of documents. An empty table goes through all stages as an
+empty table. Rows are told apart by id and text: of rows that agree in both, one goes on from near_duplicates; a null or
+repeated doc_id with another text is another document, and is judged as such. Further columns, whatever their names, come
+along as far as the fourth stage.
 """
 
 from __future__ import annotations
@@ -26,15 +29,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each class of near duplicates goes on."""
     common.release()
-    linked = jaccard.link(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(linked, "doc_id", "left_semi").select(*docs.columns)
+    return jaccard.keep(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item go on."""
     common.release()
-    found = leaks.leaks(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return leaks.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
