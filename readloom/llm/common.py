@@ -43,7 +43,9 @@ def written(df: DataFrame, name: str, keep: bool = True) -> DataFrame:
     spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of what was written before
     df.write.parquet(path)
     (_KEPT if keep else _SCRATCH).append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -51,17 +53,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written(df, name, keep=False)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    except Exception:  # its session has ended; the folder is scratch
+        pass
+
+
 def release(paths: list | None = None) -> None:
     """Delete the scratch tables written so far. Call it only when no result still reads them;
     the pipeline does so once a stage's output is on disk."""
     paths = _SCRATCH if paths is None else paths
     while paths:
-        spark, path = paths.pop()
-        try:
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-        except Exception:  # its session has ended; the folder is scratch, and others may still go
-            continue
+        _delete(*paths.pop())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete these scratch tables, which nothing reads any more, and the shuffle files of what read them."""
+    for df in tables:
+        entry = (df.sparkSession, df._scratch)
+        _SCRATCH.remove(entry)
+        _delete(*entry)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 atexit.register(release)

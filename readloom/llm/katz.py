@@ -27,7 +27,7 @@ from . import common
 from .common import U64, mix
 
 #: Words of the longest n-grams; code points of text in a batch; n-grams that a range gets, about.
-ORDER, BATCH, ENTRIES = 3, 6_000_000, 1_500_000
+ORDER, BATCH, ENTRIES = 3, 5_000_000, 1_500_000
 #: Counts up to K have Turing's discount, if it can be used; the line is drawn through counts of counts up to FIT.
 K, FIT = 5, 20
 END = U64(0x5BD1E995A3C59AC3)
@@ -242,14 +242,42 @@ def _word_mass(frames, discount: Discount):
         yield pd.DataFrame({"mass": [total]})
 
 
-_SCORED = ["kind", "level", "range", "batch", "keys", "mass", "other", "rows", "times", "row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "plain"]
+_SCORED = ["kind", "level", "range", "batch", "keys", "left", "other", "rows", "times", "row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "plain"]
+#: Contexts whose sums a task holds before it gives them out.
+HELD = 1_000_000
+
+
+class Sums:
+    """Sums of contexts over the batches of a task: of each, what its followers' discounts leave, as a share of the context,
+    and the share that the followers have among shorter contexts. The former is a sum of small parts, so nothing cancels."""
+
+    def __init__(self, ranges: list[int]):
+        self.ranges, self.parts, self.size = ranges, {}, 0
+
+    def add(self, level: int, keys: np.ndarray, left: np.ndarray, other: np.ndarray) -> None:
+        self.parts.setdefault(level, []).append((keys, left, other))
+        self.size += len(keys)
+
+    def rows(self) -> list[tuple]:
+        out = []
+        for level, parts in self.parts.items():
+            keys, left, other = map(np.concatenate, zip(*parts, strict=True))
+            keys, inverse = np.unique(keys, return_inverse=True)
+            left, other = (np.bincount(inverse, x, len(keys)).astype(np.float32) for x in (left, other))
+            out += [(1, level, i, None, pack(keys[a:b]), pack(left[a:b]), pack(other[a:b]), *[None] * 9) for i, a, b in _segments(keys, self.ranges[level])]
+        self.parts, self.size = {}, 0
+        return out
 
 
 def _score(frames, model: Model, ranges: list[int]):
-    """Three kinds of rows. 1: of the n-grams that a batch owns, their contexts' discounted mass and that of their
-    shorter n-grams, by range of the context. 2: contexts whose weights documents need, by range. 0: documents, with
-    scores without the weights."""
+    """Three kinds of rows. 1: of the n-grams that a task's batches own, their contexts' sums, by range of the context.
+    2: contexts whose weights documents need, by range. 0: documents, with scores without the weights."""
     starts = _starts(ORDER)
+    sums = Sums(ranges)
+
+    def frame_of(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=_SCORED).astype({c: "Int64" for c in ("kind", "level", "range", "batch", "row", "doc_id", "n_tokens", "n_known")} | {"held_out": "boolean"})
+
     for frame in frames:
         out = []
         for row in frame.itertuples(index=False):
@@ -260,14 +288,13 @@ def _score(frames, model: Model, ranges: list[int]):
             for k in range(2, ORDER + 1):
                 counts, gram = batch.counts[k], batch.gram[k]
                 context, held, _, _ = batch.parts(k)
-                longer = model.discount[k](counts) / np.maximum(context, 1)
+                discounted = model.discount[k](counts)
+                longer = discounted / np.maximum(context, 1)
                 names = np.r_[batch.keys[k - 1], starts[k - 1]]
                 own = np.flatnonzero(batch.own[k] & (counts > 0) & held)
                 used, inverse = np.unique(batch.context[k][own] % len(names), return_inverse=True)
-                mass, other = np.bincount(inverse, longer[own], len(used)), np.bincount(inverse, shares[batch.shorter[k][own]], len(used))
-                order = np.argsort(names[used])
-                used, mass, other = used[order], mass[order], other[order]
-                out += [(1, k, i, row.batch, pack(names[used[a:b]]), pack(mass[a:b], False), pack(other[a:b], False), *[None] * 9) for i, a, b in _segments(names[used], ranges[k])]
+                left = np.bincount(inverse, (counts[own] - discounted[own]) / context[own], len(used))
+                sums.add(k, names[used], left, np.bincount(inverse, shares[batch.shorter[k][own]], len(used)))
                 seen = counts[gram] > 0
                 plain = np.where(seen, np.log10(np.where(seen, longer[gram], 1.0)), plain)
                 need = np.flatnonzero(~seen & (context[gram] > 0))  # only in texts outside of training
@@ -285,7 +312,10 @@ def _score(frames, model: Model, ranges: list[int]):
                 (0, None, None, row.batch, *[None] * 5, i, None if batch.null[i] else d, not batch.train[i], int(batch.lengths[i]), int(known[i]), float(base[i]), float(score[i]))
                 for i, d in enumerate(batch.docs.tolist())
             ]
-        yield pd.DataFrame(out, columns=_SCORED).astype({c: "Int64" for c in ("kind", "level", "range", "row", "doc_id", "n_tokens", "n_known")} | {"held_out": "boolean"})
+            if sums.size >= HELD:
+                out += sums.rows()
+        yield frame_of(out)
+    yield frame_of(sums.rows())
 
 
 def _weights(key, sums: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -293,10 +323,10 @@ def _weights(key, sums: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     if not len(asked):
         return pd.DataFrame(columns=["batch", "row", "backoff"]).astype({"batch": "int64", "row": "int64", "backoff": "float64"})
     value = np.concatenate([np.empty(0, U64), *[unpack(b, U64) for b in sums["keys"]]])
-    mass, other = (np.concatenate([np.empty(0), *[unpack(b, np.float64, False) for b in sums[c]]]) for c in ("mass", "other"))
+    left, other = (np.concatenate([np.empty(0, np.float32), *[unpack(b, np.float32) for b in sums[c]]]) for c in ("left", "other"))
     names, inverse = np.unique(value, return_inverse=True)
-    mass, other = np.bincount(inverse, mass, len(names)), np.bincount(inverse, other, len(names))
-    weight = np.log10(np.maximum(1 - mass, 1e-12) / np.maximum(1 - other, 1e-12))
+    left, other = np.bincount(inverse, left, len(names)), np.bincount(inverse, other, len(names))
+    weight = np.log10(np.maximum(left, 1e-12) / np.maximum(1 - other, 1e-12))
     parts = [unpack(b, U64) for b in asked["keys"]]
     keys, batch = np.concatenate(parts), np.repeat(asked["batch"].to_numpy("int64"), [len(p) for p in parts])
     row, times = (np.concatenate([unpack(b, np.int32) for b in asked[c]]) for c in ("rows", "times"))
@@ -312,7 +342,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     ``train`` picks the documents that counts come from; null is no. Null and empty texts are the end token alone. Every
     row is a document of its own, whatever its doc_id, null included, so rows that repeat count in training each. Without
     training documents all words are unknown. An empty table gives an empty table; other columns are ignored. N-grams
-    go by 64-bit hashes of their words.
+    go by 64-bit hashes of their words; sums of contexts are carried in single precision, so weights are exact to about 1e-7.
     """
     texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     fields = "batch long, docs binary, flags binary, lengths binary, tokens binary, words binary, n_tokens long, n_words long, n_train long"
@@ -323,7 +353,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
 
     answer = "level int, range long, batch long, told binary, held binary, own binary, stats array<long>"
     struct = F.struct("level", "range", "told", "held", "own")
-    answers, numbers = None, []
+    answers, numbers, tables = None, [], [batches]
     for k in range(1, ORDER + 1):
         if answers is None:
             known = batches.withColumn("answers", F.lit(None).cast("array<struct<level:int,range:bigint,told:binary,held:binary,own:binary>>"))
@@ -336,6 +366,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
         if k == 1:
             tokens, types = stats[0], stats[1]
         answers = made if answers is None else answers.unionByName(made)
+        tables.append(made)
     model = Model(tokens, types, n_docs, numbers)
     if tokens:
         mass = answers.where("level = 1 and batch >= 0").select("told", "own").mapInPandas(lambda f: _word_mass(f, model.discount[1]), "mass double").agg(F.sum("mass")).first()[0]
@@ -343,9 +374,11 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
 
     known = batches.join(answers.where("batch >= 0").groupBy("batch").agg(F.collect_list(struct).alias("answers")), "batch", "left")
     above = [0, 0, *ranges[1:]]  # contexts are dealt as the n-grams that they are
-    schema = "kind int, level int, range long, batch long, keys binary, mass binary, other binary, rows binary, times binary, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, plain double"
+    schema = "kind int, level int, range long, batch long, keys binary, left binary, other binary, rows binary, times binary, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, plain double"
     scored = common.materialize(known.mapInPandas(lambda f: _score(f, model, above), schema), "scored")
-    sums = scored.where("kind = 1").select("level", "range", "keys", "mass", "other")
+    del known, answers, asked, made
+    common.discard(*tables)  # all that follows reads the scores alone
+    sums = scored.where("kind = 1").select("level", "range", "keys", "left", "other")
     wanted = scored.where("kind = 2").select("level", "range", "batch", "keys", "rows", "times")
     backoff = sums.groupBy("level", "range").cogroup(wanted.groupBy("level", "range")).applyInPandas(_weights, "batch long, row long, backoff double").groupBy("batch", "row").agg(F.sum("backoff").alias("backoff"))
     done = scored.where("kind = 0").join(backoff, ["batch", "row"], "left")
