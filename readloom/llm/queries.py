@@ -20,4 +20,12 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+ORACLES: dict[str, str] = {
+    "op3_ngram_jaccard_join": f"""with recursive w as (select doc_id, {WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents),
+ s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as s from w),
+ g as (select doc_id, unnest(s) as g from s), o as (select a.doc_id as x, b.doc_id as y, count(*) as o from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+ l as (select x, y from o join s a on a.doc_id = x join s b on b.doc_id = y where 100 * o >= 75 * (len(a.s) + len(b.s) - o)), e as (select x, y from l union all select y, x from l),
+ r as (select doc_id, doc_id as root from s union select e.y, r.root from r join e on e.x = r.doc_id) select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.root) as component_id from s join r using (doc_id) group by 1, 2""",
+}
