@@ -328,3 +328,9 @@ def aligned_bases(sam: DataFrame) -> DataFrame:
     each = ops.select("name", "seq", "qual", "read_at", "ref_at", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
     at = F.col("read_at") + F.col("j")
     return each.select("name", (F.col("ref_at") + F.col("j")).alias("ref_pos"), F.substring("seq", at, F.lit(1)).alias("read_base"), (F.ascii(F.substring("qual", at, F.lit(1))) - 33).alias("qual"))
+
+
+def report(paired: DataFrame) -> DataFrame:
+    """One row: reads, those left out, segments and mutations."""
+    ok = F.col("error").isNull()
+    return paired.agg(F.count_if(ok).alias("reads"), F.count_if(~ok).alias("left_out"), F.sum(F.when(ok, F.size("segs")).otherwise(0)).alias("segments"), F.sum(F.when(ok, F.size("muts")).otherwise(0)).alias("mutations"))

@@ -26,14 +26,14 @@ def log_joint(uniq: DataFrame, rates: DataFrame, shares: DataFrame, ends: DataFr
     """
     w = Window.partitionBy("clust").orderBy("pos")
     cum = rates.select("clust", "pos", F.sum(F.log1p(-F.col("mu"))).over(w).alias("c"), F.log1p(-F.col("mu")).alias("no"), (F.log("mu") - F.log1p(-F.col("mu"))).alias("odds"))
-    high = F.broadcast(cum.select("clust", F.col("pos").alias("end3"), F.col("c").alias("high")))
-    low = F.broadcast(cum.select("clust", F.col("pos").alias("end5"), (F.col("c") - F.col("no")).alias("low")))
-    base = uniq.join(high, "end3").join(low, ["end5", "clust"]).join(F.broadcast(shares), "clust")
+    high = cum.select("clust", F.col("pos").alias("end3"), F.col("c").alias("high"))
+    low = cum.select("clust", F.col("pos").alias("end5"), (F.col("c") - F.col("no")).alias("low"))
+    base = uniq.join(high, "end3").join(low, ["end5", "clust"]).join(F.broadcast(shares), "clust")  # a row a cluster
     if ends is not None:
-        base = base.join(F.broadcast(ends.select("end5", "end3", F.col("p").alias("pe"))), ["end5", "end3"])
+        base = base.join(ends.select("end5", "end3", F.col("p").alias("pe")), ["end5", "end3"])
     else:
         base = base.withColumn("pe", F.lit(1.0))
-    odds = uniq.select("uid", F.explode("muts").alias("pos")).join(F.broadcast(cum.select("clust", "pos", "odds")), "pos").groupBy("uid", "clust").agg(F.sum("odds").alias("odds"))
+    odds = uniq.select("uid", F.explode("muts").alias("pos")).join(cum.select("clust", "pos", "odds"), "pos").groupBy("uid", "clust").agg(F.sum("odds").alias("odds"))
     return base.join(odds, ["uid", "clust"], "left").select("uid", "n", "clust", (F.log("p") + F.log("pe") + F.col("high") - F.col("low") + F.coalesce("odds", F.lit(0.0))).alias("logp"))
 
 
@@ -77,3 +77,12 @@ def join_regions(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame])
     segments = a[0].select("read", "seg", "end5", "end3").unionByName(b[0].select("read", F.col("seg") + 1000, "end5", "end3").toDF("read", "seg", "end5", "end3")).distinct()
     merged = a[1].unionByName(b[1]).groupBy("read", "pos", "base").agg(F.min("rel").alias("rel"), F.max("rel").alias("_high"))
     return segments, merged.withColumn("rel", F.when(F.col("rel") == F.col("_high"), F.col("rel")).otherwise(F.raise_error(F.lit("two codes for one read and position")))).drop("_high")
+
+
+def join_all(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Any number of regions of the same reads as one, each with the next."""
+    out = parts[0]
+    for i, part in enumerate(parts[1:], 1):
+        shifted = part[0].withColumn("seg", F.col("seg") + 1000 * (i - 1))
+        out = join_regions(out, (shifted, part[1]))
+    return out

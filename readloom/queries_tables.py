@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import read_model as rm
-from .functions import codes, sequences as sq, stats
-from .operators import profiles as pf, reads, regions, structures as st
+from .functions import sequences as sq, stats
+from .operators import alignments, clusters, profiles as pf, reads, regions
 from .plans import domains
-from .queries import B, CONFUSION, FIT, HITS, IS_MUT, MUT, P, PER_READ, R, S, SAM, _confusion, _mates, _regions, _sam, model, query
+from .queries import REFSEQ, B, CONFUSION, FIT, HITS, IS_MUT, MUT, P, PER_READ, R, S, SAM, _aligned, _confusion, _reference, _sam, model, query
 from .sources import tables, text
 
 # Several samples and references at once.
@@ -351,10 +351,10 @@ def jackpot_scores(spark, sf):
     return stats.jackpot_score(u, ("k",)).select("k", F.round("score", 6).alias("score"), F.round(stats.jackpot_quotient(F.col("score"), F.lit(1.5)), 6).alias("quotient"))
 
 
-@query("fold_inputs", f"with {P}, q as (select vec_id, quantile_cont(mu, 0.95) as q from profiles group by 1), n as (select vec_id, pos, least(greatest(mu / q, 0), 1) as mu from profiles join q using (vec_id)) select vec_id, count(*) as n, round(sum(round(mu, 6)), 4) as total from n group by 1")
+@query("fold_inputs", f"with {P}, q as (select vec_id, quantile_cont(mu, 0.95) as q from profiles group by 1), n as (select vec_id, pos, least(greatest(mu / q, 0), 1) as mu from profiles join q using (vec_id)) select vec_id, count(*) as n, cast(sum(cast(round(mu * 1000) as bigint)) as bigint) as total from n group by 1")
 def fold_inputs(spark, sf):
     lines = pf.fold_inputs(rm.profiles(spark, sf), ["vec_id"]).select("vec_id", F.explode(F.split("lines", "\n")).alias("l"))
-    return lines.groupBy("vec_id").agg(F.count("*").alias("n"), F.round(F.sum(F.split("l", "\t")[1].cast("double")), 4).alias("total"))
+    return lines.groupBy("vec_id").agg(F.count("*").alias("n"), F.sum(F.round(F.split("l", "\t")[1].cast("double") * 1000).cast("long")).alias("total"))
 
 
 @query("dirichlet_params_many", "with a as (select p_partkey, [1.0 + p_size, 2.0, 3.0 + p_partkey % 5] as al from part), m as (select p_partkey, list_sum(al) as t, al from a) select p_partkey, unnest([1, 2, 3]) as i, round(unnest(al), 6) as alpha from m")
@@ -390,3 +390,25 @@ def distance_test(spark, sf):
     h = reads.mutation_distance(rm.muts(spark, sf)).groupBy("dist").agg(F.count("*").alias("observed"))
     t = h.agg((F.sum("observed") / F.count("*")).alias("expected"))
     return pf.g_test(h.join(F.broadcast(t)), []).withColumn("g", F.round("g", 5))
+
+
+@query("alignment_report", f"""with x as (select cast(l_partkey % 90 + 1 as int) as pos, cast(5 + l_orderkey % 7 as int) as a, cast(6 + l_partkey % 5 as int) as b, cast(l_suppkey % 90 + 1 as int) as s, '{REFSEQ}' as ref from lineitem where l_linenumber % 3 = 2),
+ y as (select row_number() over () as k, pos, ref, substr(ref, pos, a) || substr(ref, s, b) as seq from x), z as (select k, pos, ref, seq, unnest(range(length(seq))) as i from y) select (select count(*) from y) as reads, 0 as left_out, (select count(*) from y) as segments, count(*) filter (substr(seq, i + 1, 1) <> substr(ref, pos + i, 1)) as mutations from z""")
+def alignment_report(spark, sf):
+    return alignments.report(alignments.pair(alignments.identify(_aligned(spark, sf).where(~F.col("cigar").rlike("[ID]")), _reference(spark))))
+
+
+@query("join_three_regions", f"with {R}, three as (select read, pos, rel from muts where pos <= 50 union select read, pos, rel from muts where pos between 41 and 90 union select read, pos, rel from muts where pos >= 81) select read, cast(count(*) as bigint) as n, cast(sum(rel) as bigint) as rels from three group by 1")
+def join_three_regions(spark, sf):
+    segs, muts, _ = model(spark, sf)
+    _, joined = clusters.join_all([reads.clip(segs, muts, a, b) for a, b in ((1, 50), (41, 90), (81, 120))])
+    return joined.groupBy("read").agg(F.count("*").alias("n"), F.sum("rel").alias("rels"))
+
+
+@query("ct_round_trip", f"with {B}, n as (select struct, max(partner) as n from pairs group by 1) select cast(p.struct as varchar) as struct, p.pos, p.partner from pairs p join n using (struct) where struct <= 200")
+def ct_round_trip(spark, sf):
+    """Structures as CT rows, as brackets, and back."""
+    pairs = rm.pairs(spark, sf).where("struct <= 200").withColumn("struct", F.col("struct").cast("string"))
+    n = pairs.groupBy("struct").agg(F.max("partner").alias("n")).select("struct", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("pos"))
+    ct = n.join(pairs, ["struct", "pos"], "left").select("struct", "pos", F.lit("A").alias("base"), F.coalesce("partner", F.lit(0)).alias("partner"))
+    return text.brackets_to_ct(text.ct_to_brackets(ct)).where("partner > 0").select("struct", "pos", "partner")

@@ -57,7 +57,7 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     lines = raw.mapInPandas(number, "file string, block long, value string, i long")
     w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = lines.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("offset"))
-    at = lines.join(F.broadcast(offsets), ["file", "block"]).withColumn("line", F.col("offset") + F.col("i"))
+    at = lines.join(offsets, ["file", "block"]).withColumn("line", F.col("offset") + F.col("i"))
     part = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value")))
     records = at.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(part(0).alias("head"), part(1).alias("seq"), part(2).alias("plus"), part(3).alias("qual"))
     sound = F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual"))
@@ -172,11 +172,12 @@ def brackets(strings: DataFrame) -> DataFrame:
     return strings.mapInPandas(run, "struct string, pos int, partner int")
 
 
-def bracket_strings(pairs: DataFrame, length: int) -> DataFrame:
-    """struct, pos, partner -> struct, db; pairs that cross others go to the next kind of bracket."""
+def bracket_strings(pairs: DataFrame, length: int | None = None) -> DataFrame:
+    """struct, pos, partner -> struct, db; pairs that cross others go to the next kind of bracket. Without a length,
+    structures end at their last position, for which rows with partner 0 count as well."""
 
     def run(key, frame):
-        out, levels = ["."] * length, []
+        out, levels = ["."] * (length or int(frame["pos"].max())), []
         for a, b in sorted(zip(frame["pos"], frame["partner"], strict=True)):
             if a > b:
                 continue
@@ -190,6 +191,19 @@ def bracket_strings(pairs: DataFrame, length: int) -> DataFrame:
     return pairs.groupBy("struct").applyInPandas(run, "struct string, db string")
 
 
+def ct_to_brackets(table: DataFrame) -> DataFrame:
+    """struct, seq, db of the rows of CT files."""
+    seq = table.groupBy("struct").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "").alias("seq"))
+    return seq.join(bracket_strings(table.select("struct", "pos", "partner")), "struct")
+
+
+def brackets_to_ct(records: DataFrame) -> DataFrame:
+    """struct, pos, base, partner (0: none) of structures (struct, seq, db), as a CT file has them."""
+    bases = records.select("struct", F.posexplode(F.split("seq", ""))).select("struct", (F.col("pos") + 1).alias("pos"), F.col("col").alias("base"))
+    paired = brackets(records.select("struct", "db"))
+    return bases.join(paired, ["struct", "pos"], "left").select("struct", "pos", "base", F.coalesce("partner", F.lit(0)).alias("partner"))
+
+
 def read_ct(spark: SparkSession, path: str) -> DataFrame:
     """struct (title), pos, base, partner (0: none) of CT files."""
 
