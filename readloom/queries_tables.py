@@ -351,10 +351,11 @@ def jackpot_scores(spark, sf):
     return stats.jackpot_score(u, ("k",)).select("k", F.round("score", 6).alias("score"), F.round(stats.jackpot_quotient(F.col("score"), F.lit(1.5)), 6).alias("quotient"))
 
 
-@query("fold_inputs", f"with {P}, q as (select vec_id, quantile_cont(mu, 0.95) as q from profiles group by 1), n as (select vec_id, pos, least(greatest(mu / q, 0), 1) as mu from profiles join q using (vec_id)) select vec_id, count(*) as n, cast(sum(cast(round(mu * 1000) as bigint)) as bigint) as total from n group by 1")
+@query("fold_inputs", f"with {P}, q as (select vec_id, quantile_cont(mu, 0.95) as q from profiles group by 1), n as (select vec_id, pos, least(greatest(mu / q, 0), 1) as mu from profiles join q using (vec_id)) select vec_id, count(*) as n, count(*) filter (mu > 0.3333) as high, cast(coalesce(sum(pos) filter (mu > 0.66667), 0) as bigint) as places from n group by 1")
 def fold_inputs(spark, sf):
     lines = pf.fold_inputs(rm.profiles(spark, sf), ["vec_id"]).select("vec_id", F.explode(F.split("lines", "\n")).alias("l"))
-    return lines.groupBy("vec_id").agg(F.count("*").alias("n"), F.sum(F.round(F.split("l", "\t")[1].cast("double") * 1000).cast("long")).alias("total"))
+    mu = F.split("l", "\t")[1].cast("double")
+    return lines.groupBy("vec_id").agg(F.count("*").alias("n"), F.count_if(mu > 0.3333).alias("high"), F.coalesce(F.sum(F.when(mu > 0.66667, F.split("l", "\t")[0].cast("long"))), F.lit(0)).alias("places"))
 
 
 @query("dirichlet_params_many", "with a as (select p_partkey, [1.0 + p_size, 2.0, 3.0 + p_partkey % 5] as al from part), m as (select p_partkey, list_sum(al) as t, al from a) select p_partkey, unnest([1, 2, 3]) as i, round(unnest(al), 6) as alpha from m")
