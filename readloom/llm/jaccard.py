@@ -20,7 +20,6 @@ hashes), the first ``lead`` of each set therefore have a stated number T of occu
 from __future__ import annotations
 
 import heapq
-import math
 
 import numpy as np
 import pandas as pd
