@@ -52,12 +52,25 @@ class _Pairing:
             out = (0 if out == codes.MATCH else out) | (codes.INSERT_3 if self.insert3 else codes.INSERT_5)
         return out
 
+    def begin(self) -> None:
+        """What the columns say at first: of matches nothing is noted, so only other places are looked at."""
+        columns, ref, seq, qual, least, rels = self.columns, self.ref, self.seq, self.qual, self.least, self.rels
+        for i, (r, q) in enumerate(columns):
+            if r is None:
+                flank = i + 1 if self.insert3 else i - 1
+                if columns[flank][0] is not None:
+                    rels[columns[flank][0]] = self.code(flank)
+            elif q is None:
+                rels[r] = codes.DELETION
+            elif r not in rels and (ref[r - 1] != seq[q] or qual[q] < least or seq[q] == "N"):
+                rels[r] = self.code(i)
+
     def mark(self, first: int, last: int) -> None:
         """Add what these columns say now to what they were said to be before."""
         for i in range(max(first, 0), min(last + 1, len(self.columns))):
             r = self.columns[i][0]
             if r is not None:
-                self.rels[r] = self.rels.get(r, 0) | self.code(i)
+                self.rels[r] = self.rels.get(r, codes.MATCH) | self.code(i)
 
     def step(self, i: int, direction: int) -> int | None:
         """Move the indel in column i past the next aligned base, through others of its kind; the column it is in then, or
@@ -107,16 +120,19 @@ class _Pairing:
         """Mark every place that each indel could have as well: all as far to the 5' side as they go, then one after
         the other all the way to the 3' side. Indels of one kind are alike, so one that has passed others is known by its
         rank among them."""
-        n = len(self.pods())
-        for direction, order in ((-1, range(n)), (1, range(n - 1, -1, -1))):
-            for p in order:
-                k = len(self.pods()[p]) - 1
+        pods = self.pods()
+        for direction in (-1, 1):
+            for pod in pods[::-direction]:
+                k = len(pod) - 1
                 while k >= 0:
-                    at = self.step(self.pods()[p][k], direction)
+                    at = self.step(pod[k], direction)
                     if at is None:
                         k -= 1
-                    elif direction > 0:
-                        k = self.pods()[p].index(at)
+                        continue
+                    pod[k] = at
+                    pod.sort()
+                    if direction > 0:
+                        k = pod.index(at)
 
 
 def walk(seq: str, qual: str, pos: int, cig: str, ref: str, min_phred: int, clip5: int = 0, clip3: int = 0, ambiguous: bool = True, insert3: bool = True) -> tuple[list[tuple[int, int]], dict[int, int]]:
@@ -128,7 +144,7 @@ def walk(seq: str, qual: str, pos: int, cig: str, ref: str, min_phred: int, clip
 
     def done() -> None:
         segments.append((start, r - 1))
-        pairing.mark(0, len(pairing.columns) - 1)
+        pairing.begin()
         if ambiguous and any(None in c for c in pairing.columns):
             pairing.slide()
         pairing.columns.clear()
