@@ -27,7 +27,7 @@ from . import common
 from .common import U64, mix
 
 #: Words of the longest n-grams; code points of text in a batch; n-grams that a range gets, about.
-ORDER, BATCH, ENTRIES = 3, 5_000_000, 1_500_000
+ORDER, BATCH, ENTRIES = 3, 4_000_000, 1_200_000
 #: Counts up to K have Turing's discount, if it can be used; the line is drawn through counts of counts up to FIT.
 K, FIT = 5, 20
 END = U64(0x5BD1E995A3C59AC3)
@@ -319,20 +319,28 @@ def _score(frames, model: Model, ranges: list[int]):
 
 
 def _weights(key, sums: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """Of one range: log weights of the contexts asked for, times how often each document needs them."""
+    """Of one range: log weights of the contexts asked for, times how often each document needs them; a row a batch."""
     if not len(asked):
-        return pd.DataFrame(columns=["batch", "row", "backoff"]).astype({"batch": "int64", "row": "int64", "backoff": "float64"})
+        return pd.DataFrame(columns=["batch", "rows", "values"]).astype({"batch": "int64"})
     value = np.concatenate([np.empty(0, U64), *[unpack(b, U64) for b in sums["keys"]]])
     left, other = (np.concatenate([np.empty(0, np.float32), *[unpack(b, np.float32) for b in sums[c]]]) for c in ("left", "other"))
     names, inverse = np.unique(value, return_inverse=True)
     left, other = np.bincount(inverse, left, len(names)), np.bincount(inverse, other, len(names))
     weight = np.log10(np.maximum(left, 1e-12) / np.maximum(1 - other, 1e-12))
-    parts = [unpack(b, U64) for b in asked["keys"]]
-    keys, batch = np.concatenate(parts), np.repeat(asked["batch"].to_numpy("int64"), [len(p) for p in parts])
-    row, times = (np.concatenate([unpack(b, np.int32) for b in asked[c]]) for c in ("rows", "times"))
-    at = np.searchsorted(names, keys)  # every context that training has is there, as texts outside of it have it too
-    pair, where = np.unique(np.stack([batch, row.astype(np.int64)]), axis=1, return_inverse=True)
-    return pd.DataFrame({"batch": pair[0], "row": pair[1], "backoff": np.bincount(where.ravel(), weight[at] * times, pair.shape[1])})
+    out = []
+    for batch, keys, rows, times in zip(*(asked[f"a_{c}"] for c in ("batch", "keys", "rows", "times")), strict=True):
+        at = np.searchsorted(names, unpack(keys, U64))  # every context that training has is there, as texts outside of it have it too
+        row, where = np.unique(unpack(rows, np.int32), return_inverse=True)
+        out.append((batch, row.tobytes(), np.bincount(where, weight[at] * unpack(times, np.int32), len(row)).tobytes()))
+    return pd.DataFrame(out, columns=["batch", "rows", "values"])
+
+
+def _backoff(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of one batch: the sum of all weights of each document."""
+    rows = np.concatenate([np.frombuffer(b, np.int32) for b in frame["rows"]])
+    values = np.concatenate([np.frombuffer(b, np.float64) for b in frame["values"]])
+    row, where = np.unique(rows, return_inverse=True)
+    return pd.DataFrame({"batch": frame["batch"].iloc[0], "row": row.astype(np.int64), "backoff": np.bincount(where, values, len(row))})
 
 
 def score(docs: DataFrame, train: Column) -> DataFrame:
@@ -379,8 +387,8 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     del known, answers, asked, made
     common.discard(*tables)  # all that follows reads the scores alone
     sums = scored.where("kind = 1").select("level", "range", "keys", "left", "other")
-    wanted = scored.where("kind = 2").select("level", "range", "batch", "keys", "rows", "times")
-    backoff = sums.groupBy("level", "range").cogroup(wanted.groupBy("level", "range")).applyInPandas(_weights, "batch long, row long, backoff double").groupBy("batch", "row").agg(F.sum("backoff").alias("backoff"))
+    wanted = scored.where("kind = 2").select(*[F.col(c).alias(f"a_{c}") for c in ("level", "range", "batch", "keys", "rows", "times")])
+    backoff = sums.groupBy("level", "range").cogroup(wanted.groupBy("a_level", "a_range")).applyInPandas(_weights, "batch long, rows binary, values binary").groupBy("batch").applyInPandas(_backoff, "batch long, row long, backoff double")
     done = scored.where("kind = 0").join(backoff, ["batch", "row"], "left")
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("plain") + F.coalesce("backoff", F.lit(0.0))).alias("score"))
 
