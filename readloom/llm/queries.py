@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, html, jaccard, katz, language, leaks, quality, secrets, substring, suffix
+from . import bpe, html, jaccard, katz, language, leaks, quality, secrets, simhash, spelling, substring, suffix, whitening
 
 QUERIES = {
     "op1_html_extraction": html.op1_html_extraction,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_benchmark_decontamination": leaks.op9_benchmark_decontamination,
     "op10_secret_scans": secrets.op10_secret_scans,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_simhash_near_dedup": simhash.op12_simhash_near_dedup,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
