@@ -1,5 +1,6 @@
 """Clustering of reads by expectation-maximisation. Reads stay in Spark: an iteration is one pass over the unique reads that
-gives back sums by cluster and position, and the parameters made of these go along with the next pass."""
+gives back sums by run, cluster and position, and the parameters made of these go along with the next pass. All runs, of
+whatever seeds, numbers of clusters and regions, share each pass; a run that has settled leaves it."""
 
 from __future__ import annotations
 
@@ -8,15 +9,24 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bias
 
+#: Positions of a region for which shares of end pairs are held on the driver (3.2 GB at this many).
+MOST_POSITIONS = 20_000
 
-def prepare(unique: DataFrame) -> DataFrame:
-    """Unique reads (segs, muts, n) with an id, which is their content, and their ends."""
-    return unique.select(F.to_json(F.struct("segs", "muts")).alias("uid"), F.array_min(F.transform("segs", lambda s: s["end5"])).alias("end5"), F.array_max(F.transform("segs", lambda s: s["end3"])).alias("end3"), "muts", "n")
+
+def read_id(*by: str) -> Column:
+    """The id of a read's content (segs, muts), 128 bits of hash as text."""
+    half = lambda salt: F.lpad(F.hex(F.xxhash64(F.lit(salt), *by, "segs", "muts")), 16, "0")
+    return F.concat(half("a"), half("b"))
+
+
+def prepare(unique: DataFrame, *by: str) -> DataFrame:
+    """Unique reads (by, segs, muts, n) with an id made of their content, and their ends."""
+    return unique.select(*by, read_id(*by).alias("uid"), F.array_min(F.transform("segs", lambda s: s["end5"])).alias("end5"), F.array_max(F.transform("segs", lambda s: s["end3"])).alias("end3"), "muts", "n")
 
 
 @dataclasses.dataclass(frozen=True)
@@ -60,16 +70,21 @@ class Run:
 
 
 class Reads:
-    """A batch of unique reads as arrays."""
+    """A batch of unique reads as arrays. Reads that cover none of the positions count nothing."""
 
     def __init__(self, frame: pd.DataFrame, pos: np.ndarray):
-        at = {int(p): i for i, p in enumerate(pos)}
         self.first = np.searchsorted(pos, frame["end5"].to_numpy())
         self.last = np.searchsorted(pos, frame["end3"].to_numpy(), "right") - 1
-        self.n = frame["n"].to_numpy(float)
-        held = [[at[int(m)] for m in muts if int(m) in at] for muts in frame["muts"]]
-        self.row = np.repeat(np.arange(len(frame)), [len(h) for h in held])
-        self.mut = np.array([m for h in held for m in h], np.int64)
+        covers = self.first <= self.last
+        self.n = np.where(covers, frame["n"].to_numpy(float), 0.0)
+        self.first, self.last = np.where(covers, self.first, 0), np.where(covers, self.last, 0)
+        held = frame["muts"].to_list()
+        row = np.repeat(np.arange(len(frame)), np.fromiter(map(len, held), np.int64, len(held)))
+        muts = np.concatenate([np.empty(0, np.int64), *held]).astype(np.int64)
+        at = np.searchsorted(pos, muts)
+        known = (at < len(pos)) & covers[row]
+        known[known] = pos[at[known]] == muts[known]
+        self.row, self.mut = row[known], at[known]
 
 
 def log_joint(reads: Reads, params: Params) -> np.ndarray:
@@ -95,75 +110,136 @@ def responsibilities(joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.exp(joint - marginal), marginal[:, 0]
 
 
-def _sums(frames, pos: np.ndarray, weigh: Callable):
-    """Of each batch: weights, coverage steps and mutations by cluster, and the log likelihood."""
-    n = len(pos)
+@dataclasses.dataclass(frozen=True)
+class Start:
+    """What tells runs apart: clusters, seed, and the region where several are fitted together."""
+
+    k: int
+    seed: int = 0
+    group: int | None = None
+
+
+def _parts(frame: pd.DataFrame, column: str | None):
+    return [(None, frame)] if column is None else frame.groupby(column, sort=False)
+
+
+def _sums(frames, pos: dict, weighers: dict[int, tuple], column: str | None):
+    """Of a task's reads, for each run: log likelihood, weights, coverage steps and mutations by cluster."""
+    total: dict[int, list] = {}
     for frame in frames:
-        reads = Reads(frame, pos)
-        weights, marginal = weigh(frame, reads)
-        rows = [(0, 0, 0, float(reads.n @ marginal))]
-        for k in range(weights.shape[1]):
-            w = weights[:, k] * reads.n
-            steps = np.bincount(reads.first, w, n + 1)[: n + 1] - np.bincount(reads.last + 1, w, n + 1)[: n + 1]
-            hits = np.bincount(reads.mut, w[reads.row], n)
-            rows += [(1, k, 0, float(w.sum()))] + [(2, k, i, float(v)) for i, v in enumerate(steps) if v] + [(3, k, i, float(v)) for i, v in enumerate(hits) if v]
-        yield pd.DataFrame(rows, columns=["kind", "clust", "at", "value"])
-
-
-def _pass(uniq: DataFrame, pos: np.ndarray, k: int, weigh: Callable) -> tuple[np.ndarray, np.ndarray, float]:
-    """Observed rates and shares, and the log likelihood: one job, whose result is as large as clusters by positions."""
-    found = uniq.mapInPandas(lambda f: _sums(f, pos, weigh), "kind int, clust int, at int, value double").groupBy("kind", "clust", "at").agg(F.sum("value").alias("value")).collect()
-    sums = [np.zeros((max(k, 1), len(pos) + 1)) for _ in range(4)]
+        for group, part in _parts(frame, column):
+            runs = [(i, k, weigh) for i, (g, k, weigh) in weighers.items() if g == group]
+            if not runs:
+                continue
+            reads, n = Reads(part, pos[group]), len(pos[group])
+            for i, k, weigh in runs:
+                weights, marginal = weigh(part, reads)
+                if i not in total:
+                    total[i] = [0.0, np.zeros(k), np.zeros((k, n + 1)), np.zeros((k, n))]
+                sums = total[i]
+                sums[0] += float(reads.n @ marginal)
+                for c in range(k):
+                    w = weights[:, c] * reads.n
+                    sums[1][c] += w.sum()
+                    sums[2][c] += np.bincount(reads.first, w, n + 1) - np.bincount(reads.last + 1, w, n + 1)
+                    sums[3][c] += np.bincount(reads.mut, w[reads.row], n)
+    for i, (like, shares, steps, hits) in total.items():
+        rows = [(i, 0, 0, 0, like)] + [(i, 1, c, 0, float(v)) for c, v in enumerate(shares)]
+        rows += [(i, kind, c, at, float(v)) for kind, x in ((2, steps), (3, hits)) for c in range(len(x)) for at, v in enumerate(x[c]) if v]
+        yield pd.DataFrame(rows, columns=["run", "kind", "clust", "at", "value"])
+
+
+def _pass(uniq: DataFrame, pos: dict, weighers: dict[int, tuple], column: str | None) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """For each run, observed rates and shares, and the log likelihood: one job for all, whose result is as large as
+    runs by clusters by positions."""
+    found = uniq.mapInPandas(lambda f: _sums(f, pos, weighers, column), "run int, kind int, clust int, at int, value double").groupBy("run", "kind", "clust", "at").agg(F.sum("value").alias("value")).collect()
+    sums = {i: [np.zeros((k, len(pos[g]) + 1)) for _ in range(4)] for i, (g, k, _) in weighers.items()}
     for r in found:
-        sums[r["kind"]][r["clust"], r["at"]] = r["value"]
-    cover = np.cumsum(sums[2], axis=1)[:, : len(pos)]
-    rates = np.where(cover > 1e-9, sums[3][:, : len(pos)] / np.maximum(cover, 1e-9), 0.0)
-    shares = sums[1][:, 0]
-    return rates, shares / max(shares.sum(), 1e-300), float(sums[0][0, 0])
+        sums[r["run"]][r["kind"]][r["clust"], r["at"]] = r["value"]
+    out = {}
+    for i, (like, shares, steps, hits) in sums.items():
+        cover = np.cumsum(steps, axis=1)[:, :-1]
+        rates = np.where(cover > 1e-9, hits[:, :-1] / np.maximum(cover, 1e-9), 0.0)
+        out[i] = rates, shares[:, 0] / max(shares[:, 0].sum(), 1e-300), float(like[0, 0])
+    return out
+
+
+def end_shares(uniq: DataFrame, pos: dict, column: str | None = None) -> dict[object, tuple[np.ndarray, float]]:
+    """For each region, shares of its reads by their first and last positions, and the number of reads."""
+    out = {}
+    for group, places in pos.items():
+        if len(places) > MOST_POSITIONS:
+            raise ValueError(f"a region of {len(places)} positions is too long to be clustered; {MOST_POSITIONS} is the most")
+        out[group] = np.zeros((len(places), len(places)))
+    key = [] if column is None else [column]
+    for r in uniq.groupBy(*key, "end5", "end3").agg(F.sum("n").alias("n")).collect():
+        places = pos[r[column] if column else None]
+        a, b = np.searchsorted(places, r["end5"]), np.searchsorted(places, r["end3"], "right") - 1
+        if a <= b:
+            out[r[column] if column else None][a, b] += r["n"]
+    return {group: (x / max(x.sum(), 1e-300), float(x.sum())) for group, x in out.items()}
 
 
-def end_shares(uniq: DataFrame, pos: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(pos), len(pos)))
-    for r in uniq.groupBy("end5", "end3").agg(F.sum("n").alias("n")).collect():
-        out[np.searchsorted(pos, r["end5"]), np.searchsorted(pos, r["end3"], "right") - 1] += r["n"]
-    return out / max(out.sum(), 1e-300)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Bits of unsigned integers spread over all bits."""
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+    return x ^ (x >> np.uint64(31))
 
 
 def first_weights(seed: int, k: int) -> Callable:
     """Random weights of unique reads (Dirichlet, all parameters 1) that depend on seed and content alone."""
 
     def weigh(frame, reads):
-        from zlib import crc32
-
-        draws = np.array([np.random.default_rng([seed, crc32(uid.encode())]).exponential(size=k) for uid in frame["uid"]]).reshape(-1, k)
+        content = pd.util.hash_array(frame["uid"].to_numpy(object))
+        keys = _mixed(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(seed + 1))
+        uniform = ((_mixed(content[:, None] ^ keys[None]) >> np.uint64(11)).astype(float) + 0.5) / 2**53
+        draws = -np.log(uniform)
         return draws / draws.sum(axis=1, keepdims=True), np.zeros(len(draws))
 
     return weigh
 
 
-def run_em(uniq: DataFrame, positions: DataFrame, k: int, seed: int = 0, min_iterations: int = 10, max_iterations: int = 500, threshold: float = 0.37, min_gap: int = 0, merged: bool = False) -> Run:
-    """One run: from random weights, until the log likelihood gains less than ``threshold`` (after ``min_iterations``).
-    With a gap, what is seen is corrected for reads that were lost (or mutations that were merged): rates, ends and shares
-    together. ``uniq``: uid, end5, end3, muts, n, best written once, as each iteration reads it."""
-    pos = np.array(sorted(r["pos"] for r in positions.select("pos").collect()), np.int64)
-    seen_ends = end_shares(uniq, pos)
-    n = float(uniq.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    weigh, likes, params = first_weights(seed, k), [], None
-    for i in range(max_iterations + 1):
-        rates, shares, like = _pass(uniq, pos, k, weigh)
-        if params is not None:
-            likes.append(like)
-            if i > min_iterations and len(likes) > 1 and likes[-1] - likes[-2] < threshold:
-                return Run(seed, params, tuple(likes), True, n)
-            if i == max_iterations:
-                break
-        rates, ends, shares = bias.unbias_all(rates, seen_ends, shares, min_gap, merged)
-        params = Params(pos, rates, shares, ends, min_gap, merged)
-
-        def weigh(frame, reads, params=params):
-            return responsibilities(log_joint(reads, params))
-
-    return Run(seed, params, tuple(likes), False, n)
+def fit(uniq: DataFrame, positions: dict, starts: list[Start], column: str | None = None, min_iterations: int = 10, max_iterations: int = 500, threshold: float = 0.37, min_gap: int = 0, merged: bool = False) -> list[Run]:
+    """Runs from random weights, each until its log likelihood gains less than ``threshold`` (after ``min_iterations``). One
+    job an iteration serves all that have not settled. ``positions``: sorted positions of each region by its number in
+    ``column`` (None: one region, under None). With a gap, what is seen is corrected for reads that were lost (or
+    mutations that were merged): rates, ends and shares together. ``uniq``: column, uid, end5, end3, muts, n, best written
+    once, as each iteration reads it."""
+    seen = end_shares(uniq, positions, column)
+    weighers = {i: (s.group, s.k, first_weights(s.seed, s.k)) for i, s in enumerate(starts)}
+    likes, params, out = {i: [] for i in weighers}, {}, {}
+    iteration = 0
+    while weighers:
+        for i, (rates, shares, like) in _pass(uniq, positions, weighers, column).items():
+            s = starts[i]
+            ends, n = seen[s.group]
+            if i in params:
+                likes[i].append(like)
+                settled = iteration > min_iterations and len(likes[i]) > 1 and likes[i][-1] - likes[i][-2] < threshold
+                if settled or iteration == max_iterations:
+                    out[i] = Run(s.seed, params[i], tuple(likes[i]), settled, n)
+                    del weighers[i]
+                    continue
+            params[i] = Params(positions[s.group], *_corrected(rates, ends, shares, min_gap, merged), min_gap, merged)
+            weighers[i] = (s.group, s.k, lambda frame, reads, p=params[i]: responsibilities(log_joint(reads, p)))
+        iteration += 1
+    return [out[i] for i in range(len(starts))]
+
+
+def _corrected(rates: np.ndarray, ends: np.ndarray, shares: np.ndarray, min_gap: int, merged: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rates, ends, shares = bias.unbias_all(rates, ends, shares, min_gap, merged)
+    return rates, shares, ends
+
+
+def places(positions: DataFrame) -> np.ndarray:
+    """Positions of a region, sorted."""
+    return np.array(sorted(r["pos"] for r in positions.select("pos").collect()), np.int64)
+
+
+def run_em(uniq: DataFrame, positions: DataFrame, k: int, seed: int = 0, **options) -> Run:
+    """One run by itself; options are those of fit()."""
+    return fit(uniq, {None: places(positions)}, [Start(k, seed)], **options)[0]
 
 
 def weights(uniq: DataFrame, params: Params) -> DataFrame:
@@ -178,9 +254,21 @@ def weights(uniq: DataFrame, params: Params) -> DataFrame:
     return uniq.mapInPandas(run, "uid string, n long, clust int, weight double, marginal double")
 
 
+def weights_by_k(uniq: DataFrame, runs: dict[int, Run]) -> DataFrame:
+    """uid, n, k, clust (from 1), weight of every unique read by one run of each number of clusters, in one pass."""
+
+    def run(frames):
+        for frame in frames:
+            for k, found in sorted(runs.items()):
+                resp, _ = responsibilities(log_joint(Reads(frame, found.params.pos), found.params))
+                yield pd.DataFrame({"uid": np.repeat(frame["uid"].to_numpy(), k), "n": np.repeat(frame["n"].to_numpy(), k), "k": k, "clust": np.tile(np.arange(1, k + 1), len(frame)), "weight": resp.ravel()})
+
+    return uniq.mapInPandas(run, "uid string, n long, k int, clust int, weight double")
+
+
 def read_weights(reads: DataFrame, resps: DataFrame) -> DataFrame:
     """read, clust, weight: what reads with the same content (segs, muts) have been given."""
-    return reads.withColumn("uid", F.to_json(F.struct("segs", "muts"))).select("read", "uid").join(resps.select("uid", "clust", "weight"), "uid").select("read", "clust", "weight")
+    return reads.withColumn("uid", read_id()).select("read", "uid").join(resps.select("uid", "clust", "weight"), "uid").select("read", "clust", "weight")
 
 
 def expected_counts(uniq: DataFrame, params: Params) -> DataFrame:
@@ -336,23 +424,59 @@ def best_k(runs: dict[int, list[Run]], limits: Limits) -> int:
     return min((k for k, r in found.items() if r is not None), key=lambda k: found[k].bic, default=0)
 
 
-def cluster(uniq: DataFrame, positions: DataFrame, max_k: int = 0, min_runs: int = 6, max_runs: int = 30, limits: Limits | None = None, **em) -> tuple[int, dict[int, list[Run]]]:
-    """The whole step: K from 1 on, each with runs until ``min_runs`` are done and another agrees with the best one (at most
-    ``max_runs``); it ends at the first K that is worse than the one before, or after ``max_k``. Returns the best K (0: none
-    passes) and all runs by K."""
-    limits = limits or Limits()
-    runs: dict[int, list[Run]] = {}
-    k = 1
-    while True:
-        runs[k] = []
-        for seed in range(max_runs if k > 1 else 1):  # a single cluster starts alike whatever the seed
-            runs[k].append(run_em(uniq, positions, k, seed, **em))
-            if len(runs[k]) >= min_runs and agrees(runs[k], limits):
-                break
-        chosen, before = best_run(runs[k], limits), best_run(runs[k - 1], limits) if k > 1 else None
-        if k == max_k or chosen is None or (before is not None and chosen.bic >= before.bic):
-            return best_k(runs, limits), runs
-        k += 1
+class _Schedule:
+    """Which runs a region needs: K from 1 on, each with runs until ``min_runs`` are done and another agrees with the best one
+    (at most ``max_runs``); it ends at the first K that is worse than the one before, or after ``max_k``. As that one is
+    needed in any case, K + 1 starts along with K."""
+
+    def __init__(self, group: int | None, max_k: int, min_runs: int, max_runs: int, limits: Limits):
+        self.group, self.max_k, self.min_runs, self.max_runs, self.limits = group, max_k, min_runs, max_runs, limits
+        self.runs: dict[int, list[Run]] = {}
+        self.k, self.done = 1, False
+
+    def _most(self, k: int) -> int:
+        return 1 if k == 1 else self.max_runs  # a single cluster starts alike whatever the seed
+
+    def _enough(self, k: int) -> int:
+        """After how many runs K was through; 0 if it is not."""
+        runs, most = self.runs.get(k, []), self._most(k)
+        return next((n for n in range(min(self.min_runs, most), len(runs) + 1) if agrees(runs[:n], self.limits)), most if len(runs) >= most else 0)
+
+    def wanted(self) -> list[Start]:
+        out = []
+        for k in (self.k, self.k + 1):
+            have = len(self.runs.get(k, []))
+            if not self.done and not (self.max_k and k > self.max_k) and not self._enough(k):
+                out += [Start(k, seed, self.group) for seed in range(have, min(self._most(k), have + self.min_runs))]
+        return out
+
+    def take(self, found: list[tuple[Start, Run]]) -> None:
+        for start, run in found:
+            self.runs.setdefault(start.k, []).append(run)
+        while not self.done and (n := self._enough(self.k)):
+            k = self.k
+            self.runs[k] = self.runs[k][:n]
+            chosen, before = best_run(self.runs[k], self.limits), best_run(self.runs[k - 1], self.limits) if k > 1 else None
+            self.done = k == self.max_k or chosen is None or (before is not None and chosen.bic >= before.bic)
+            self.k += not self.done
+        if self.done:
+            self.runs = {k: runs for k, runs in self.runs.items() if k <= self.k}
+
+
+def cluster_all(uniq: DataFrame, positions: dict, column: str | None = None, max_k: int = 0, min_runs: int = 6, max_runs: int = 30, limits: Limits | None = None, **em) -> dict[object, tuple[int, dict[int, list[Run]]]]:
+    """The whole step for several regions at once, whose runs share every pass: for each, the best K (0: none passes) and all
+    runs by K. ``positions`` and ``column`` as in fit()."""
+    plans = {group: _Schedule(group, max_k, min_runs, max_runs, limits or Limits()) for group in positions}
+    while starts := [s for plan in plans.values() for s in plan.wanted()]:
+        found = list(zip(starts, fit(uniq, positions, starts, column, **em)))
+        for group, plan in plans.items():
+            plan.take([x for x in found if x[0].group == group])
+    return {group: (best_k(plan.runs, plan.limits), plan.runs) for group, plan in plans.items()}
+
+
+def cluster(uniq: DataFrame, positions: DataFrame, **options) -> tuple[int, dict[int, list[Run]]]:
+    """The whole step for one region: the best K (0: none passes) and all runs by K; options are those of cluster_all()."""
+    return cluster_all(uniq, {None: places(positions)}, **options)[None]
 
 
 def summary(spark, runs: dict[int, list[Run]]) -> DataFrame:
@@ -371,65 +495,102 @@ def parameters(spark, run: Run) -> tuple[DataFrame, DataFrame]:
 # Gaps between neighbouring domains.
 
 
-def gap_test(uniq: DataFrame, left: Params, right: Params, min_assoc: float = 0.1, rounds: int = 500, tolerance: float = 1e-6) -> dict:
-    """Whether the clusters on both sides of a gap go independently. Each unique read that reaches into both domains has the
-    likelihoods of its mutations there; mixtures of independent and of free shares of cluster pairs are fitted to these,
-    one pass a round. The gap is spurious (``passed`` false) if the free mixture has the lower BIC and its shares
-    lie further than ``min_assoc`` from independent ones."""
-    ka, kb = left.k, right.k
-    if min(ka, kb) < 2:
-        return {"passed": True, "reason": "one cluster on a side"}
-    span = uniq.where((F.col("end5") <= int(left.pos[-1])) & (F.col("end3") >= int(right.pos[0])))
-    n = span.count()
-    if n < ka * kb:
-        return {"passed": True, "reason": "too few reads reach across", "n": n}
-
-    def side(frame: pd.DataFrame, params: Params) -> np.ndarray:
-        cut = frame.assign(end5=np.maximum(frame["end5"], params.pos[0]), end3=np.minimum(frame["end3"], params.pos[-1]))
-        reads = Reads(cut, params.pos)
-        run, p = np.array([bias.no_mutation(r) for r in params.rates]), np.clip(params.rates, 1e-9, 1 - 1e-9)
-        out = (run[:, reads.last + 1] - run[:, reads.first]).T.copy()
-        for k in range(params.k):
-            out[:, k] += np.bincount(reads.row, (np.log(p[k]) - np.log1p(-p[k]))[reads.mut], len(frame))
-        return out
+def _side(frame: pd.DataFrame, params: Params) -> np.ndarray:
+    """[read, cluster]: log likelihood of a read's mutations within one domain."""
+    cut = frame.assign(end5=np.maximum(frame["end5"], params.pos[0]), end3=np.minimum(frame["end3"], params.pos[-1]))
+    reads = Reads(cut, params.pos)
+    run, p = np.array([bias.no_mutation(r) for r in params.rates]), np.clip(params.rates, 1e-9, 1 - 1e-9)
+    out = (run[:, reads.last + 1] - run[:, reads.first]).T.copy()
+    for k in range(params.k):
+        out[:, k] += np.bincount(reads.row, (np.log(p[k]) - np.log1p(-p[k]))[reads.mut], len(frame))
+    return out
+
 
-    def sums(frames, models: list[np.ndarray]):
+def gap_tests(uniq: DataFrame, gaps: list[tuple[Params, Params]], min_assoc: float = 0.1, rounds: int = 500, tolerance: float = 1e-4, column: str | None = None, groups: list | None = None) -> list[dict]:
+    """Whether the clusters on both sides of each gap go independently. Each unique read that reaches into both domains has the
+    likelihoods of its mutations there; mixtures of independent and of free shares of cluster pairs are fitted to these,
+    one pass a round for all gaps. A gap is spurious (``passed`` false) if the free mixture has the lower BIC and its shares
+    lie further than ``min_assoc`` from independent ones. ``uniq``: unique reads over everything; with several regions,
+    ``groups`` names each gap's one in ``column``."""
+    groups = groups or [None] * len(gaps)
+    out: list[dict] = [{"passed": True, "reason": "one cluster on a side"} for _ in gaps]
+    tested = [i for i, (left, right) in enumerate(gaps) if min(left.k, right.k) > 1]
+    own = lambda i: F.lit(True) if column is None else F.col(column) == groups[i]
+    across = lambda i: own(i) & (F.col("end5") <= int(gaps[i][0].pos[-1])) & (F.col("end3") >= int(gaps[i][1].pos[0]))
+    if tested:
+        n = uniq.agg(*(F.count_if(across(i)).alias(f"n{i}") for i in tested)).first()
+        for i in tested:
+            out[i] = {"passed": True, "reason": "too few reads reach across", "n": n[f"n{i}"]}
+        tested = [i for i in tested if n[f"n{i}"] >= gaps[i][0].k * gaps[i][1].k]
+
+    def sums(frames, models: dict[int, list[np.ndarray]]):
+        total: dict[tuple[int, int], np.ndarray] = {}
         for frame in frames:
-            both = side(frame, left)[:, :, None] + side(frame, right)[:, None, :]
-            rows = []
-            for m, pi in enumerate(models):
-                resp, marginal = responsibilities((both + np.log(np.maximum(pi, 1e-300))).reshape(len(frame), -1))
-                rows += [(m, -1, float(marginal.sum()))] + [(m, i, float(v)) for i, v in enumerate(resp.sum(axis=0))]
-            yield pd.DataFrame(rows, columns=["model", "cell", "value"])
-
-    product = free = np.full((ka, kb), 1 / (ka * kb))
-    before = [-np.inf, -np.inf]
+            for i, both in models.items():
+                left, right = gaps[i]
+                mask = (frame["end5"] <= left.pos[-1]) & (frame["end3"] >= right.pos[0])
+                part = frame[mask if column is None else mask & (frame[column] == groups[i])]
+                if not len(part):
+                    continue
+                joint = _side(part, left)[:, :, None] + _side(part, right)[:, None, :]
+                for m, pi in enumerate(both):
+                    resp, marginal = responsibilities((joint + np.log(np.maximum(pi, 1e-300))).reshape(len(part), -1))
+                    total[i, m] = total.get((i, m), 0) + np.r_[marginal.sum(), resp.sum(axis=0)]
+        yield pd.DataFrame([(i, m, cell, float(v)) for (i, m), x in total.items() for cell, v in enumerate(x)], columns=["gap", "model", "cell", "value"]).astype({"gap": "int32", "model": "int32", "cell": "int32", "value": "float64"})
+
+    models = {i: [np.full((gaps[i][0].k, gaps[i][1].k), 1 / (gaps[i][0].k * gaps[i][1].k))] * 2 for i in tested}
+    before: dict[int, list[float]] = {}
     for _ in range(rounds):
-        models = [product, free]
-        found = {(r["model"], r["cell"]): r["value"] for r in span.mapInPandas(lambda f, models=models: sums(f, models), "model int, cell int, value double").groupBy("model", "cell").agg(F.sum("value").alias("value")).collect()}
-        cells = [np.array([found[m, i] for i in range(ka * kb)]).reshape(ka, kb) / n for m in (0, 1)]
-        now = [found[0, -1], found[1, -1]]
-        product, free = np.outer(cells[0].sum(axis=1), cells[0].sum(axis=0)), cells[1]
-        if max(a - b for a, b in zip(now, before, strict=True)) < tolerance:
+        if not models:
             break
-        before = now
-    bic = [-2 * now[0] + (ka + kb - 2) * np.log(n), -2 * now[1] + (ka * kb - 1) * np.log(n)]
-    assoc = float(np.abs(free - product).max())
-    return {"passed": not (bic[1] < bic[0] and assoc > min_assoc), "n": n, "coupling": float(bic[0] - bic[1]), "assoc": assoc}
+        found = {(r["gap"], r["model"], r["cell"]): r["value"] for r in uniq.mapInPandas(lambda f, now=dict(models): sums(f, now), "gap int, model int, cell int, value double").groupBy("gap", "model", "cell").agg(F.sum("value").alias("value")).collect()}
+        for i in list(models):
+            (left, right), n = gaps[i], out[i]["n"]
+            cells = [np.array([found[i, m, c + 1] for c in range(left.k * right.k)]).reshape(left.k, right.k) / n for m in (0, 1)]
+            now = [found[i, 0, 0], found[i, 1, 0]]
+            product, free = np.outer(cells[0].sum(axis=1), cells[0].sum(axis=0)), cells[1]
+            bic = [-2 * now[0] + (left.k + right.k - 2) * np.log(n), -2 * now[1] + (left.k * right.k - 1) * np.log(n)]
+            assoc = float(np.abs(free - product).max())
+            out[i] = {"passed": not (bic[1] < bic[0] and assoc > min_assoc), "n": n, "coupling": float(bic[0] - bic[1]), "assoc": assoc}
+            if i in before and max(a - b for a, b in zip(now, before[i], strict=True)) < tolerance:
+                del models[i]
+            else:
+                models[i], before[i] = [product, free], now
+    return out
 
 
-def validate_gaps(domains: list[tuple[int, int]], fit: Callable[[int, int], Params], test: Callable[[Params, Params], dict]) -> tuple[list[tuple[int, int]], list[dict]]:
-    """Domains whose gaps are all genuine: the most strongly coupled pair of neighbours that fails its test is merged and
-    fitted anew, until none fails. Fits of domains that stay are kept. Also what was merged, and why."""
-    domains, fits, log = sorted(domains), {}, []
+def gap_test(uniq: DataFrame, left: Params, right: Params, **options) -> dict:
+    """gap_tests() of one gap."""
+    return gap_tests(uniq, [(left, right)], **options)[0]
+
+
+def settle(domains: list[tuple], fit_all: Callable[[list[tuple]], list], test_all: Callable[[list[tuple]], list[dict]], region: Callable[[tuple], object] = lambda d: None) -> tuple[list[tuple], dict, list[dict]]:
+    """Domains, (first, last, ...), whose gaps are all genuine. Of each region, the most strongly coupled pair of neighbours that
+    fails its test is merged, until none fails. What is new is fitted in one call and tested in one call a round, for all
+    regions; fits and tests of what stays are kept. Returns the domains, their fits, and what was merged and why."""
+    found: dict = {}
+    for d in sorted(domains):
+        found.setdefault(region(d), []).append(d)
+    fits, tests, log = {}, {}, []
     while True:
-        for d in domains:
-            if d not in fits:
-                fits[d] = fit(*d)
-        tests = [test(fits[a], fits[b]) for a, b in zip(domains, domains[1:])]
-        failed = [(t["coupling"], i) for i, t in enumerate(tests) if not t["passed"]]
-        if not failed:
-            return domains, log
-        i = max(failed)[1]
-        log.append({"left": domains[i], "right": domains[i + 1], **tests[i]})
-        domains[i : i + 2] = [(domains[i][0], domains[i + 1][1])]
+        new = [d for ds in found.values() for d in ds if d not in fits]
+        fits.update(zip(new, fit_all(new) if new else [], strict=True))
+        pairs = [p for ds in found.values() for p in zip(ds, ds[1:])]
+        fresh = [p for p in pairs if p not in tests]
+        tests.update(zip(fresh, test_all([(fits[a], fits[b]) for a, b in fresh]) if fresh else [], strict=True))
+        merged = False
+        for ds in found.values():
+            failed = [(tests[p]["coupling"], i) for i, p in enumerate(zip(ds, ds[1:])) if not tests[p]["passed"]]
+            if failed:
+                i, merged = max(failed)[1], True
+                left, right = ds[i : i + 2]
+                log.append({"left": left, "right": right, **tests[left, right]})
+                ds[i : i + 2] = [(left[0], right[1], *left[2:])]
+        if not merged:
+            return [d for ds in found.values() for d in ds], fits, log
+
+
+def validate_gaps(domains: list[tuple[int, int]], fit: Callable[[int, int], Params], test: Callable[[Params, Params], dict]) -> tuple[list[tuple[int, int]], list[dict]]:
+    """settle() of one region, domain by domain: the domains, and what was merged."""
+    settled, _, log = settle(domains, lambda ds: [fit(*d) for d in ds], lambda pairs: [test(*p) for p in pairs])
+    return settled, log

@@ -586,9 +586,9 @@ def _written(spark, df, name):
 
 @query("em_cluster")
 def em_cluster(spark, sf):
-    """Two clusters, from two starts, each until it settles; rates of the likelier run, and weights by position."""
+    """Two clusters, from two starts that share each pass, until both settle; weights by first position of the likelier run."""
     uniq = _written(spark, _uniq(spark, sf), "uniq")
-    runs = [clustering.run_em(uniq, rm.positions(spark), 2, seed) for seed in (0, 1)]
+    runs = clustering.fit(uniq, {None: clustering.places(rm.positions(spark))}, [clustering.Start(2, seed) for seed in (0, 1)])
     best = clustering.by_likelihood(runs)[0]
     weighted = clustering.weights(uniq, best.params).join(uniq.select("uid", "end5"), "uid")
     return weighted.groupBy("clust", "end5").agg(F.sum(F.col("weight") * F.col("n")).alias("n"))
@@ -598,7 +598,7 @@ def em_cluster(spark, sf):
 def expected_reads(spark, sf):
     """Observed and expected counts of unique reads by one cluster, and the jackpot score."""
     uniq = _written(spark, _uniq(spark, sf), "uniq")
-    run = clustering.run_em(uniq, rm.positions(spark), 1, min_iterations=1)
+    run = clustering.run_em(uniq, rm.positions(spark), 1)
     return stats.jackpot_score(clustering.expected_counts(uniq, run.params))
 
 

@@ -67,7 +67,27 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("struct", F.explode(F.array(F.struct(F.col("a").alias("pos"), F.col("b").alias("partner")), F.struct(F.col("b").alias("pos"), F.col("a").alias("partner")))).alias("p")).select("struct", "p.*")
 
 
+def planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """sample, read, pos reads of one segment over all positions, with two kinds of molecules: one has most of its mutations
+    where pos % 4 = 0, the other where pos % 4 = 2. In sample 0 the positions up to 80 follow one kind and the others another
+    one that is independent of it; in sample 1 those up to 40, those up to 80 and the rest all go independently."""
+    draw = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 6), 16, 10).cast("int") % 1000
+    kind = lambda salt: (draw(F.col("o_orderkey").cast("string"), F.lit(salt)) < 350).cast("int")
+    own = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 2).cast("int").alias("sample"), F.col("o_orderkey").alias("read"), kind("a").alias("a"), kind("b").alias("b"), kind("c").alias("c"))
+    at = own.select("*", F.explode(F.sequence(F.lit(1), F.lit(LENGTH))).alias("pos"))
+    side = F.when(F.col("pos") <= 40, F.col("a")).when(F.col("pos") <= 80, F.when(F.col("sample") == 0, F.col("a")).otherwise(F.col("b"))).otherwise(F.col("c"))
+    hit = draw(F.col("read").cast("string"), F.col("pos").cast("string")) < F.when(F.col("pos") % 4 == 2 * side, 300).otherwise(20)
+    muts = at.where(hit).select("sample", "read", "pos", base_at(F.col("pos")).alias("base"), F.lit(2).alias("rel"))
+    segs = own.select("sample", "read", F.lit(0).alias("seg"), F.lit(1).alias("end5"), F.lit(LENGTH).alias("end3"))
+    return segs, muts, positions(spark).withColumn("sample", F.explode(F.array(F.lit(0), F.lit(1))))
+
+
 #: The same read model for DuckDB.
+SQL_PLANTED = """own as (select cast(o_custkey % 2 as int) as sample, o_orderkey as read, cast(('0x' || substr(md5(o_orderkey || ':a'), 1, 6))::int % 1000 < 350 as int) as a,
+  cast(('0x' || substr(md5(o_orderkey || ':b'), 1, 6))::int % 1000 < 350 as int) as b, cast(('0x' || substr(md5(o_orderkey || ':c'), 1, 6))::int % 1000 < 350 as int) as c from orders),
+spots as (select own.*, cast(i as int) as pos, case when i <= 40 then a when i <= 80 then case sample when 0 then a else b end else c end as kind from own, range(1, 121) t(i)),
+planted as (select *, cast(('0x' || substr(md5(read || ':' || pos), 1, 6))::int % 1000 < case when pos % 4 = 2 * kind then 300 else 20 end as int) as hit from spots)"""
+
 SQL_RAW = """raw as (
   select l_orderkey as read, cast(l_partkey % 120 + 1 as int) as pos,
          case when l_returnflag = 'R' and l_linestatus = 'O' then 16 when l_returnflag = 'R' then 32
