@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from urllib.parse import unquote, urlsplit
 
 import numpy as np
@@ -25,7 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</?[a-zA-Z!?/][^>]*\Z|</[^a-zA-Z>][^>]*>", re.S | re.I)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_RAW = re.compile(r"(script|style|textarea|title|iframe)\b", re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "textarea", "title", "iframe")}
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
 _NONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
@@ -63,6 +66,74 @@ def _furniture(name: str, attrs: str, inside: bool) -> bool:
     return False
 
 
+class Tags:
+    """What in a page is markup, from its start on: (start, end, kind, name, attributes), kind being "" for an opening tag, "/" for
+    a closing one, "raw" for an element whose content is no text, and None for comments, declarations and the like.
+
+    A ">" in quotes ends no tag. Where a quote is not closed, its tag is text, and so are all that lead to the same quote:
+    these are remembered, and the next ">" or quote is found by binary search, so the time grows with the page alone."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.ends = [m.start() for m in re.finditer(r"[>\"']", page)]
+        self.marks = {c: [i for i in self.ends if page[i] == c] for c in ">\"'"}
+        self.futile: set[int] = set()
+
+    def _next(self, c: str, at: int) -> int:
+        """Where the character comes next; -1 if it doesn't."""
+        places = self.marks[c]
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def _close(self, at: int) -> int:
+        """The ">" that ends a tag whose attributes begin here; -1 if there is none."""
+        seen = []
+        k = bisect_left(self.ends, at)
+        while k < len(self.ends):
+            i = self.ends[k]
+            if self.page[i] == ">":
+                return i
+            if i in self.futile:
+                break
+            seen.append(i)
+            closed = self._next(self.page[i], i + 1)
+            if closed < 0:
+                break
+            k = bisect_left(self.ends, closed + 1)
+        self.futile.update(seen)
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str | None, str, str]]:
+        page, at, n = self.page, 0, len(self.page)
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            if page.startswith("!--", at):
+                end = page.find("-->", start + 4)
+                at = n if end < 0 else end + 3
+                yield start, at, None, "", ""
+                continue
+            gt = self._next(">", at)
+            raw = _RAW.match(page, at) if gt >= 0 else None
+            if raw:
+                end = _RAW_END[raw[1].lower()].search(page, gt + 1)
+                at = end.end() if end else n
+                yield start, at, "raw", raw[1].lower(), ""
+                continue
+            named = _NAME.match(page, at)
+            if named and (end := self._close(named.end())) >= 0:
+                at = end + 1
+                yield start, at, named[1], named[2].lower(), page[named.end() : end]
+                continue
+            mark = page[at : at + 1]
+            if gt < 0 and (named or mark in ("!", "?", "/")):
+                yield start, n, None, "", ""
+                return
+            odd = mark == "/" and gt > at + 1 and not ("a" <= page[at + 1].lower() <= "z")
+            if gt >= 0 and (odd or mark in ("!", "?")):
+                at = gt + 1
+                yield start, at, None, "", ""
+
+
 def lines(page: str) -> list[tuple[str, bool, bool]]:
     """Blocks in page order: text, inside a content element, inside furniture. White space within a
     block is one space; empty blocks are left out. Character references are decoded within a piece of text, never
@@ -91,31 +162,27 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         return top
 
     at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            held.append(html.unescape(page[at : m.start()]))
-        at = m.end()
-        name = m[3]
-        if name is None:
-            if m[1]:
-                held.append(" ")
+    for start, end, kind, name, attributes in Tags(page):
+        if start > at:
+            held.append(html.unescape(page[at:start]))
+        at = end
+        if kind is None:
             continue
-        name = name.lower()
-        if name == "br":
+        if kind == "raw" or name == "br":
             held.append(" ")
             continue
         if name not in INLINE:
             flush()
-        if m[2]:
+        if kind:
             if opened[name]:
                 while close() != name:
                     pass
-        elif name not in VOID and not m[4].endswith("/"):
+        elif name not in VOID and not attributes.endswith("/"):
             if name == "p" or name == "li":  # these close one another without an end tag
                 while stack and (stack[-1][0] == name or stack[-1][0] in INLINE):
                     close()
             content = name in ("article", "main")
-            furniture = _furniture(name, m[4], inside > 0)
+            furniture = _furniture(name, attributes, inside > 0)
             if furniture and name in INLINE:
                 flush()
             stack.append((name, content, furniture))

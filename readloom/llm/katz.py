@@ -249,7 +249,8 @@ HELD = 1_000_000
 
 class Sums:
     """Sums of contexts over the batches of a task: of each, what its followers' discounts leave, as a share of the context,
-    and the share that the followers have among shorter contexts. The former is a sum of small parts, so nothing cancels."""
+    and the share that the followers have among shorter contexts. The former is a sum of small parts, so nothing cancels; the
+    latter is subtracted from one, so it is carried in double precision."""
 
     def __init__(self, ranges: list[int]):
         self.ranges, self.parts, self.size = ranges, {}, 0
@@ -263,7 +264,7 @@ class Sums:
         for level, parts in self.parts.items():
             keys, left, other = map(np.concatenate, zip(*parts, strict=True))
             keys, inverse = np.unique(keys, return_inverse=True)
-            left, other = (np.bincount(inverse, x, len(keys)).astype(np.float32) for x in (left, other))
+            left, other = np.bincount(inverse, left, len(keys)).astype(np.float32), np.bincount(inverse, other, len(keys))
             out += [(1, level, i, None, pack(keys[a:b]), pack(left[a:b]), pack(other[a:b]), *[None] * 9) for i, a, b in _segments(keys, self.ranges[level])]
         self.parts, self.size = {}, 0
         return out
@@ -323,7 +324,7 @@ def _weights(key, sums: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     if not len(asked):
         return pd.DataFrame(columns=["batch", "rows", "values"]).astype({"batch": "int64"})
     value = np.concatenate([np.empty(0, U64), *[unpack(b, U64) for b in sums["keys"]]])
-    left, other = (np.concatenate([np.empty(0, np.float32), *[unpack(b, np.float32) for b in sums[c]]]) for c in ("left", "other"))
+    left, other = (np.concatenate([np.empty(0, kind), *[unpack(b, kind) for b in sums[c]]]) for c, kind in (("left", np.float32), ("other", np.float64)))
     names, inverse = np.unique(value, return_inverse=True)
     left, other = np.bincount(inverse, left, len(names)), np.bincount(inverse, other, len(names))
     weight = np.log10(np.maximum(left, 1e-12) / np.maximum(1 - other, 1e-12))
@@ -350,7 +351,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     ``train`` picks the documents that counts come from; null is no. Null and empty texts are the end token alone. Every
     row is a document of its own, whatever its doc_id, null included, so rows that repeat count in training each. Without
     training documents all words are unknown. An empty table gives an empty table; other columns are ignored. N-grams
-    go by 64-bit hashes of their words; sums of contexts are carried in single precision, so weights are exact to about 1e-7.
+    go by 64-bit hashes of their words; what contexts leave is carried in single precision, so weights are exact to about 1e-7.
     """
     texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     fields = "batch long, docs binary, flags binary, lengths binary, tokens binary, words binary, n_tokens long, n_words long, n_train long"

@@ -25,7 +25,7 @@ BITS, ORDERS, SAMPLE = 16, (1, 2, 3), 600
 EPOCHS, TOLERANCE = 40, 0.001
 #: Code points of a long text are read in pieces of this size, so memory is bounded.
 PIECE = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
 
@@ -116,7 +116,8 @@ class Model:
         self.langs, self.weights, self.idf, self.t, self.bits, self.orders = langs, weights.astype(np.float32), idf.astype(np.float32), t, bits, orders
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.langs or not _LETTER.search(text):
+        # such runs also hold numerals and the like, as ½ or ②, which are no letters
+        if text is None or not self.langs or not any(c.isalpha() for m in _LETTER.finditer(text) for c in m[0]):
             return UNDETERMINED, 0.0
         at, x = weighted(features(text, self.bits, self.orders), self.idf)
         p = softmax((x @ self.weights[at]).astype(np.float64) / self.t)

@@ -20,13 +20,33 @@ from pyspark.sql import functions as F
 from . import common
 
 _LINE = re.compile(r"[^\n]+")
-_SENTENCE = re.compile(r"\S.*?(?:[.!?…]+[\"')\]]*(?=\s|\Z)|\Z)", re.S)
+#: A run of marks and what closes with them, before white space. Each run is looked at once, from its first mark on.
+_END = re.compile(r"(?<![.!?…])([.!?…]++)[\"')\]]*+(?=\s|\Z)")
+_SOLID = re.compile(r"\S")
 #: Entries in a bucket; documents in the sample that shows very common units, and how many of a unit there make it so.
 ENTRIES, HOT_SAMPLE, HOT_LEAST = 1_000_000, 10_000, 40
 #: The rank of documents without a doc_id: after all others, by content.
 LAST = np.iinfo(np.int64).max
 
 
+def sentences(line: str) -> list[tuple[int, int]]:
+    """Start and end of each sentence of a line: from what is no white space to the next run of marks before white space. A
+    single mark at the start ends nothing."""
+    out, first = [], _SOLID.search(line)
+    if not first:
+        return out
+    start = first.start()
+    for m in _END.finditer(line):
+        if m.start() == start and len(m[1]) == 1:
+            continue
+        out.append((start, m.end()))
+        following = _SOLID.search(line, m.end())
+        if not following:
+            return out
+        start = following.start()
+    return [*out, (start, len(line.rstrip()))]
+
+
 def units(text: str, min_words: int = 6) -> list[tuple[int, int, int, bytes]]:
     """(start, end, end of the unit before, digest), in code points, of lines and sentences.
 
@@ -38,7 +58,7 @@ def units(text: str, min_words: int = 6) -> list[tuple[int, int, int, bytes]]:
     before = -1
     for line in _LINE.finditer(text):
         raw = line[0]
-        found = [(m.start(), m.start() + len(m[0].rstrip()), len(m[0].split()) >= min_words) for m in _SENTENCE.finditer(raw)]
+        found = [(a, b, len(raw[a:b].split()) >= min_words) for a, b in sentences(raw)]
         if not found:
             continue
         first, last = found[0][0], found[-1][1]
@@ -209,12 +229,9 @@ def remove(docs: DataFrame, min_words: int = 6, key: str = "doc_id", text: str =
     row, spans = common.fresh(docs, "_row"), common.fresh(docs, "_spans")
     held = _gone(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), min_words).select(F.col("row").alias(row), F.col("spans").alias(spans))
     keyed = docs.withColumn(row, common.row_key(F.col(key).cast("long"), F.col(text)))
-    step = F.aggregate(
-        F.col(spans),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"])).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))),
-    )
+    before = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+    kept = F.transform(spans, lambda s, i: F.substring(F.col(text), before(i) + 1, s["start"] - before(i)))
+    step = F.concat(F.array_join(kept, ""), F.substring(F.col(text), F.get(spans, F.size(spans) - 1)["end"] + 1, F.length(F.col(text))))
     return keyed.join(held, row, "left").withColumn(text, F.when(F.size(spans) > 0, step).otherwise(F.col(text))).select(*docs.columns)
 
 
