@@ -332,10 +332,26 @@ def rejected(paired: DataFrame) -> DataFrame:
     return paired.where("error is not null").groupBy("error").agg(F.count("*").alias("n"))
 
 
-def batches(segments: DataFrame, size: int = 65_536) -> DataFrame:
-    """read, batch: reads numbered on by reference and then dealt to batches of a size, where outputs need them."""
-    w = Window.partitionBy("ref").orderBy("read")
-    return segments.select("ref", "read").distinct().select("ref", "read", F.floor((F.row_number().over(w) - 1) / size).cast("int").alias("batch"))
+def numbered(rows: DataFrame, by: list[str], order: list[str], path: str) -> DataFrame:
+    """The rows (distinct in ``by`` and ``order``) with ``number``, from 0 on in each group of ``by`` in the given order, however
+    large a group is: rows are dealt by ranges and numbered where they are, and each range begins where those of its group
+    before it end. What is summed up over ranges has a row for each range and each group. Ranges are written to ``path``, so
+    both passes see the same ones."""
+    ranged = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_id", F.monotonically_increasing_id())
+    ranged.write.mode("overwrite").parquet(path)
+    held = rows.sparkSession.read.schema(ranged.schema).parquet(path)
+    part, at = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    held = held.withColumn("_part", part).withColumn("_at", at).drop("_id")
+    counts = held.groupBy("_part", *by).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", *by, (before - F.col("_first")).alias("_shift"))
+    return held.join(starts, ["_part", *by]).withColumn("number", F.col("_shift") + F.col("_at")).drop("_part", "_at", "_shift")
+
+
+def batches(segments: DataFrame, path: str, size: int = 65_536) -> DataFrame:
+    """ref, read, batch: reads numbered on by reference and then dealt to batches of a size, where outputs need them."""
+    reads = segments.select("ref", "read").distinct()
+    return numbered(reads, ["ref"], ["read"], path).select("ref", "read", F.floor(F.col("number") / size).cast("int").alias("batch"))
 
 
 def aligned_bases(sam: DataFrame) -> DataFrame:

@@ -10,6 +10,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .solvers import Solution, newton_krylov
+
+#: Rates are searched for between zero and this.
+HIGHEST = 1 - 1e-11
+
 
 def no_mutation(p: np.ndarray) -> np.ndarray:
     """Running log probability of no mutation up to, not including, each position (one longer than p)."""
@@ -70,23 +75,33 @@ def observed_merged(p: np.ndarray, ends: np.ndarray, gap: int) -> np.ndarray:
     return out
 
 
-def unbias(seen: np.ndarray, ends: np.ndarray, gap: int, tolerance: float = 1e-7, rounds: int = 500, merged: bool = False) -> np.ndarray:
-    """Underlying rates that give the rates seen, by multiplicative corrections; the last ones if no
-    fixpoint is reached."""
-    return solve(seen, ends, gap, tolerance, rounds, merged)[0]
+def unbias(seen: np.ndarray, ends: np.ndarray, gap: int, tolerance: float = 1e-10, merged: bool = False) -> np.ndarray:
+    """Underlying rates that give the rates seen; the best found if none do."""
+    return solve(seen, ends, gap, tolerance, merged).x
+
 
+def solve(seen: np.ndarray, ends: np.ndarray, gap: int, tolerance: float = 1e-10, merged: bool = False) -> Solution:
+    """The rates of unbias(), what they leave of the rates seen, and whether that is within the tolerance.
 
-def solve(seen: np.ndarray, ends: np.ndarray, gap: int, tolerance: float = 1e-7, rounds: int = 500, merged: bool = False) -> tuple[np.ndarray, bool]:
-    """The rates of unbias(), and whether a fixpoint was reached."""
+    A few multiplicative corrections lead near the solution, Newton-Krylov steps to it. Where these do not arrive (no
+    rates may give what is seen), corrections go on from the better of both."""
     model = observed_merged if merged else observed
-    p = np.clip(seen, 0.0, 0.999)
-    for _ in range(rounds):
-        made = model(p, ends, gap)
-        new = np.clip(np.where(made > 0, p * seen / np.where(made > 0, made, 1), 0.0), 0.0, 0.999)
-        if np.abs(new - p).max(initial=0.0) < tolerance:
-            return new, True
-        p = new
-    return p, False
+    left = lambda p: model(p, ends, gap) - seen
+
+    def corrected(p: np.ndarray, rounds: int) -> np.ndarray:
+        for _ in range(rounds):
+            made = model(p, ends, gap)
+            p, before = np.clip(np.where(made > 0, p * seen / np.where(made > 0, made, 1), 0.0), 0.0, HIGHEST), p
+            if np.abs(p - before).max(initial=0.0) < tolerance / 10:
+                break
+        return p
+
+    found = newton_krylov(left, corrected(np.clip(seen, 0.0, HIGHEST), 5), 0.0, HIGHEST, tolerance)
+    if found.settled:
+        return found
+    p = corrected(found.x, 500)
+    worst = float(np.abs(left(p)).max(initial=0.0))
+    return Solution(p, worst, worst <= tolerance, found.steps) if worst < found.residual else found
 
 
 def unbias_quick(seen: np.ndarray, ends: np.ndarray, gap: int, low: float = 1e-3) -> np.ndarray:
@@ -190,20 +205,24 @@ def adjust(table: DataFrame, rates: DataFrame, survive: float, subtypes: tuple[s
 
 
 def unbias_tables(table: DataFrame, ends: DataFrame, gap: int, by: list[str], merged: bool = False) -> DataFrame:
-    """by, pos, observed, mu, settled: the rates of position tables (by, pos, Mutated) as they are and as they underlie, from
-    the end counts (by, end5, end3, n). Each region is solved in a task of its own; what it holds is positions by positions."""
+    """by, pos, observed, mu, remade, residual, settled: the rates of position tables (by, pos, Mutated) as they are, as they
+    underlie, and as the latter would be seen; the region's largest difference of first and last, and whether it is within
+    the tolerance. From the end counts (by, end5, end3, n). Each region is solved in a task of its own; what it holds is
+    positions by positions."""
     types = dict(table.dtypes)
-    schema = "".join(f"{c} {types[c]}, " for c in by) + "pos int, observed double, mu double, settled boolean"
+    schema = "".join(f"{c} {types[c]}, " for c in by) + "pos int, observed double, mu double, remade double, residual double, settled boolean"
 
     def run(key, rates, counts):
         rates = rates.sort_values("pos")
         pos = rates["pos"].to_numpy()
         square = np.zeros((len(pos), len(pos)))
         a, b = np.searchsorted(pos, counts["end5"]), np.searchsorted(pos, counts["end3"], "right") - 1
-        inside = (a < len(pos)) & (b >= 0) & (a <= b)
+        inside = (a < len(pos)) & (b >= 0) & (a <= b)  # reads that cover a position
         np.add.at(square, (a[inside], b[inside]), counts["n"].to_numpy(float)[inside])
         seen = rates["Mutated"].fillna(0).to_numpy(float)
-        mu, settled = solve(seen, square / max(square.sum(), 1e-300), gap, merged=merged)
-        return rates[by].assign(pos=pos, observed=seen, mu=mu, settled=settled)
+        square /= max(square.sum(), 1e-300)
+        found = solve(seen, square, gap, merged=merged)
+        remade = (observed_merged if merged else observed)(found.x, square, gap)
+        return rates[by].assign(pos=pos, observed=seen, mu=found.x, remade=remade, residual=found.residual, settled=found.settled)
 
-    return table.select(*by, F.col("pos").cast("int").alias("pos"), "Mutated").groupBy(*by).cogroup(ends.select(*by, "end5", "end3", "n").groupBy(*by)).applyInPandas(run, schema)
+    return table.select(*by, F.col("pos").cast("int").alias("pos"), "Mutated").groupBy(*by).cogroup(ends.select(*[F.col(c).alias(f"_{c}") for c in by], "end5", "end3", "n").groupBy(*[f"_{c}" for c in by])).applyInPandas(run, schema)

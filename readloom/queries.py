@@ -322,14 +322,6 @@ def block_scores(spark, sf):
     return k.select("pos_a", F.round(stats.block_score(F.col("e"), F.col("z"), 0.1), 7).alias("score"))
 
 
-@query("domains")
-def call_domains(spark, sf):
-    """Pairs of all distances up to 40, tested, and segmented by region."""
-    pairs = reads.confusion(*model(spark, sf), MUT, 0, 40)
-    config = domains.ScanConfig(50, 0.2, 1.0, 0.5, 40, 3, "fill")
-    return domains.call(domains.bridges(pairs, config.min_cover, config.min_expected, config.fdr, config.fold), config, 1, rm.LENGTH)
-
-
 @query("cut_crossing", f"with {CONFUSION}, c as (select * from conf where ab > 0) select p.pos, count(c.pos_a) as n from positions p left join c on c.pos_a <= p.pos and c.pos_b > p.pos group by 1")
 def cut_crossing(spark, sf):
     return st.crossing(_confusion(spark, sf).where("ab > 0"), rm.positions(spark))
@@ -621,16 +613,6 @@ def join_clusters(spark, sf):
 # Bias.
 
 
-@query("unbiased_rates")
-def unbiased_rates(spark, sf):
-    """Rates before reads with close mutations were lost; each region is solved where its counts are."""
-    segs, muts, pos = model(spark, sf)
-    segs, muts = reads.collide(segs, muts, MUT, 3, merge=False)
-    table = reads.ratios(reads.position_table(segs, muts, pos), ["Mutated"]).withColumn("ref", F.lit("r"))
-    ends = reads.end_counts(segs).withColumn("ref", F.lit("r"))
-    return bias.unbias_tables(table, ends, 3, ["ref"]).select("pos", "observed", "mu")
-
-
 @query("adjusted_counts", f"""with {PER_POS}, y as (select *, case base when 'A' then 238 when 'C' then 222 when 'G' then 190 else 126 end as yes from per_pos where n > 0),
  t as (select pos, base, sum(n) filter ((rel | yes | 1) = (yes | 1)) as cov, coalesce(sum(n) filter (rel = 1), 0) as mat, coalesce(sum(n) filter ((rel | yes) = yes and rel <> 1), 0) as mut, coalesce(sum(n) filter (rel = 2), 0) as del from y group by 1, 2)
  select pos, base, round(cov / 0.8, 6) as Covered, round((mat + mut) / 0.8, 6) as Informative, round((mat + mut) / 0.8 * (1 - 0.05), 6) as Matched, round((mat + mut) / 0.8 * 0.05, 6) as Mutated, round(case when mut > 0 then del * ((mat + mut) / 0.8 * 0.05) / mut else 0 end, 6) as Deleted from t""")

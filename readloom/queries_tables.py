@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import read_model as rm
 from .functions import sequences as sq, stats
 from .operators import alignments, clusters, profiles as pf, reads, regions
-from .plans import domains
+from .plans import bias, domains
 from .queries import REFSEQ, B, CONFUSION, FIT, HITS, IS_MUT, MUT, P, PER_READ, R, S, SAM, _aligned, _confusion, _reference, _sam, model, query
 from .sources import tables, text
 
@@ -68,6 +68,37 @@ def substitution_histogram(spark, sf):
     return pf.substitution_histogram(reads.read_table(*model(spark, sf)))
 
 
+@query("domains")
+def call_domains(spark, sf):
+    """Pairs of all distances up to 40, tested and segmented by sample and reference."""
+    pairs = reads.confusion(*_by(spark, sf), MUT, 0, 40, by=BY)
+    config = domains.ScanConfig(50, 0.2, 1.0, 0.5, 40, 3, "fill")
+    return domains.call(domains.bridges(pairs, config.min_cover, config.min_expected, config.fdr, config.fold, BY), config, 1, rm.LENGTH, BY)
+
+
+def _unbiased(spark, sf):
+    """Rates before reads with close mutations were lost, by sample and reference."""
+    segs, muts, pos = _by(spark, sf)
+    segs, muts = reads.collide(segs, muts, MUT, 3, merge=False, by=BY)
+    table = reads.ratios(reads.position_table(segs, muts, pos, by=BY), ["Mutated"], BY)
+    return bias.unbias_tables(table, reads.end_counts(segs, by=BY), 3, BY)
+
+
+@query("unbiased_rates")
+def unbiased_rates(spark, sf):
+    return _unbiased(spark, sf).select(*BY, "pos", "observed", "mu")
+
+
+@query("unbias_round_trip", f"""with {RBY}, hits as (select sample, ref, read, pos from fitb where {IS_MUT}), g as (select *, pos - lag(pos) over (partition by sample, ref, read order by pos) as gap from hits), gone as (select distinct sample, ref, read from g where gap <= 3),
+ s as (select * from segsb anti join gone using (sample, ref, read)), f as (select * from fitb anti join gone using (sample, ref, read)),
+ c as (select p.sample, p.ref, p.pos, count(s.read) as n from posb p left join s on s.sample = p.sample and s.ref = p.ref and p.pos between s.end5 and s.end3 group by all),
+ m as (select sample, ref, pos, count(*) as told, count(*) filter ({IS_MUT}) as hit, count(*) filter (not {IS_MUT}) as unsure from f group by all)
+ select c.sample, c.ref, c.pos, round(coalesce(1.0 * coalesce(hit, 0) / nullif(n - coalesce(unsure, 0), 0), 0), 7) as seen, true as settled from c left join m using (sample, ref, pos)""")
+def unbias_round_trip(spark, sf):
+    """The rates that the underlying ones would be seen as are those that are seen."""
+    return _unbiased(spark, sf).select(*BY, "pos", F.round("remade", 7).alias("seen"), "settled")
+
+
 # Weights.
 
 WEIGHTS = "w as (select read, 0.5 + read % 3 as weight from segs)"
@@ -140,6 +171,14 @@ def median_read_length(spark, sf):
     return reads.median_length(rm.segments(spark, sf))
 
 
+@query("read_batches", f"with {R} select 'all' as ref, read, cast((row_number() over (order by read) - 1) // 1000 as int) as batch from segs union all select cast(end5 % 3 as varchar), read, cast((row_number() over (partition by end5 % 3 order by read) - 1) // 1000 as int) from segs")
+def read_batches(spark, sf):
+    """Reads of one reference that has them all, and of three others, in batches of 1000."""
+    segs = rm.segments(spark, sf)
+    every = segs.select("read", F.explode(F.array(F.lit("all"), (F.col("end5") % 3).cast("string"))).alias("ref"))
+    return alignments.batches(every, tables.scratch_path(spark, "batches"), 1000)
+
+
 @query("tile_reads", f"with {R}, t as (select * from (values (0, 1, 50), (1, 36, 85), (2, 71, 120)) v(tile, a, b)) select tile, a as end5, b as end3, count(*) as n from t join segs s on s.end5 <= b and s.end3 >= a group by 1, 2, 3")
 def tile_reads(spark, sf):
     return domains.tile_reads(rm.segments(spark, sf), domains.tiles(1, rm.LENGTH, 50, 0.25))
