@@ -1,6 +1,7 @@
 """Text formats: FASTA, FASTQ, SAM, CT, dot-bracket and the tables of regions, barcodes and clusters.
 
-Large files (FASTA, FASTQ, SAM) are split as Spark splits them; CT files, which are small, are read whole.
+Files are read in parts, however large: SAM, FASTQ and tables as Spark splits them, FASTA, CT, dot-bracket and MM by the
+byte ranges of ``ranges``.
 """
 
 from __future__ import annotations
@@ -12,18 +13,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 SAM = "name string, flag int, ref string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string"
 
 
-def read_fasta(spark: SparkSession, path: str, only: list[str] | None = None) -> DataFrame:
-    """ref, seq. Repeated names raise when the table is used."""
-    raw = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    parts = F.split("value", "\n", 2)
-    out = raw.select(F.trim(parts[0]).alias("ref"), F.upper(F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), r"\s", "")).alias("seq"))
+def read_fasta(spark: SparkSession, path: str, only: list[str] | None = None, **options) -> DataFrame:
+    """ref, seq. Repeated names raise when the table is used. Files are read in byte ranges (ranges.fasta_pieces(), which also
+    takes the options); a sequence is a row here, so where these are long use ranges.fasta_positions()."""
+    pieces = ranges.fasta_pieces(spark, path, **options)
     if only is not None:
-        return out.where(F.col("ref").isin(*only))
-    counted = out.groupBy("ref").agg(F.count("*").alias("n"), F.first("seq").alias("seq"))
-    return counted.select("ref", F.when(F.col("n") == 1, F.col("seq")).otherwise(F.raise_error(F.concat(F.lit("sequence occurs twice: "), "ref"))).alias("seq"))
+        pieces = pieces.where(F.col("ref").isin(*only))
+    gathered = pieces.groupBy("ref").agg(F.count_if("head").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "bases"))), lambda x: x["bases"]), "").alias("seq"))
+    return gathered.select("ref", F.when(F.col("n") == 1, F.col("seq")).otherwise(F.raise_error(F.concat(F.lit("sequence occurs twice: "), "ref"))).alias("seq"))
 
 
 def fasta_text(refs: DataFrame, width: int = 60) -> DataFrame:
@@ -140,11 +142,9 @@ def mm_code(base: Column) -> Column:
     return F.lit(codes.DELETION | codes.INSERTION | (codes.ANY_N ^ codes.MATCH)).bitwiseXOR(codes.mask_of(base, codes.SUBS))
 
 
-def read_dot_bracket(spark: SparkSession, path: str) -> DataFrame:
-    """struct, pos, partner of ">name / sequence / structure" records (optionally several structures)."""
-    raw = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
-    return brackets(raw.select(F.trim(lines[0]).alias("struct"), F.split(lines[2], " ")[0].alias("db")))
+def read_dot_bracket(spark: SparkSession, path: str, **options) -> DataFrame:
+    """struct, pos, partner of ">name / sequence / structure" records (optionally several structures), read in byte ranges."""
+    return brackets(ranges.load(spark, ranges.DotBracketSource, path, **options).select("struct", "db"))
 
 
 def brackets(strings: DataFrame) -> DataFrame:
@@ -204,26 +204,9 @@ def brackets_to_ct(records: DataFrame) -> DataFrame:
     return bases.join(paired, ["struct", "pos"], "left").select("struct", "pos", "base", F.coalesce("partner", F.lit(0)).alias("partner"))
 
 
-def read_ct(spark: SparkSession, path: str) -> DataFrame:
-    """struct (title), pos, base, partner (0: none) of CT files."""
-
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for content in frame["value"]:
-                title, left = "", 0
-                for line in content.split("\n"):
-                    f = line.split()
-                    if not f:
-                        continue
-                    if not left:
-                        left, title = int(f[0]), " ".join(f[1:])
-                    else:
-                        rows.append((title, int(f[0]), f[1], int(f[4])))
-                        left -= 1
-            yield pd.DataFrame(rows, columns=["struct", "pos", "base", "partner"])
-
-    return spark.read.text(path, wholetext=True).mapInPandas(run, "struct string, pos int, base string, partner int")
+def read_ct(spark: SparkSession, path: str, **options) -> DataFrame:
+    """struct (title), pos, base, partner (0: none) of CT files, read in byte ranges."""
+    return ranges.load(spark, ranges.CtSource, path, **options)
 
 
 def ct_text(table: DataFrame) -> DataFrame:
