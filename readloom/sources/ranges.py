@@ -187,6 +187,112 @@ def _ct(file: File, part: Range) -> Iterator[tuple]:
         raise ValueError(f"{part.path}: {left} more lines of {title} should follow")
 
 
+# The mark at the end of a Mutation Map, and the letters of its packed sequences.
+MM_END, MM_LETTERS = b"[mmeof]", "ACGTN"
+#: Records in a row that make a place in a Mutation Map a record's beginning; the longest name and read that are taken for such.
+MM_CHAIN, MM_NAME, MM_READ = 32, 1024, 1 << 24
+
+
+class _Map:
+    """Records of a Mutation Map by offset: a transcript is its header, then its reads. Each method returns what it finds and
+    the offset after it, or None where there is no such record."""
+
+    def __init__(self, file: File):
+        self.file, self.base, self.data = file, 0, b""
+
+    def bytes(self, at: int, n: int) -> bytes:
+        if not self.base <= at <= at + n <= self.base + len(self.data):
+            self.base, self.data = at, self.file.at(at, max(n, self.file.block))
+        return self.data[at - self.base : at - self.base + n]
+
+    def ended(self, at: int) -> bool:
+        return at >= self.file.size or self.bytes(at, len(MM_END)) == MM_END
+
+    def read(self, at: int) -> tuple[tuple, int] | None:
+        head = self.bytes(at, 12)
+        if len(head) < 12:
+            return None
+        start, end, n = struct.unpack("<III", head)
+        if not start <= end < start + MM_READ or n > end - start + 1:
+            return None
+        body = self.bytes(at + 12, 4 * n)
+        if len(body) < 4 * n:
+            return None
+        muts = struct.unpack(f"<{n}I", body)
+        return ((start + 1, end + 1, [m + 1 for m in muts]), at + 12 + 4 * n) if all(start <= m <= end for m in muts) else None
+
+    def header(self, at: int) -> tuple[tuple, int] | None:
+        head = self.bytes(at, 2)
+        n = struct.unpack("<H", head)[0] if len(head) == 2 else 0
+        name = self.bytes(at + 2, n).rstrip(b"\0")
+        if not 0 < n <= MM_NAME or not name.isascii() or not name.decode().isprintable() or not name:
+            return None
+        at += 2 + n
+        length = self.bytes(at, 4)
+        if len(length) < 4:
+            return None
+        (length,) = struct.unpack("<I", length)
+        packed = self.bytes(at + 4, (length + 1) // 2)
+        at += 4 + len(packed)
+        count, digits = self.bytes(at, 4), packed.hex()[:length]
+        if len(digits) < length or len(count) < 4 or digits.strip("01234"):
+            return None
+        seq = digits.translate(str.maketrans("01234", MM_LETTERS))
+        return (name.decode(), seq, struct.unpack("<I", count)[0]), at + 4
+
+    def begins(self, at: int) -> bool:
+        """Whether a chain of records begins here."""
+        left = -1  # reads that are left of a transcript; unknown at first
+        for _ in range(MM_CHAIN):
+            if left <= 0 and self.ended(at):
+                return True
+            found = self.read(at) if left else None
+            if found:
+                left -= left > 0
+            elif left > 0 or not (found := self.header(at)):
+                return False
+            else:
+                left = found[0][2]
+            at = found[1]
+        return True
+
+
+def _mutation_map(file: File, part: Range) -> Iterator[tuple]:
+    """Transcripts and reads that begin in the range; reads before its first transcript belong to one that began before. One
+    row, i = -1, says where the range's records begin and where the next range's do."""
+    records = _Map(file)
+    at = next((at for at in range(part.start, file.size) if records.begins(at)), file.size) if part.start else 0
+    starts, left, i, n = at, -1 if part.start else 0, 0, 0
+    while at < part.end and not (left <= 0 and records.ended(at)):
+        found = records.read(at) if left else None
+        if found:
+            yield part.path, part.start, i, None, n, *found[0], None, None
+            left -= left > 0
+            n += 1
+        elif left <= 0 and (found := records.header(at)):
+            name, seq, left = found[0]
+            yield part.path, part.start, i, (name, seq), 0, None, None, None, None, None
+            n = 0
+        else:
+            raise ValueError(f"{part.path}: no record at {at}")
+        i, at = i + 1, found[1]
+    yield part.path, part.start, -1, None, None, None, None, None, starts, at
+
+
+class MutationMapSource(DataSource):
+    """Rows of Mutation Map files: file, split, i, tx (a transcript that begins here), n, end5, end3, muts, starts, stops."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "readloom_mutation_map"
+
+    def schema(self) -> str:
+        return "file string, split long, i long, tx struct<ref:string,seq:string>, n long, end5 int, end3 int, muts array<int>, starts long, stops long"
+
+    def reader(self, schema) -> RangeReader:
+        return RangeReader(self.options, _mutation_map)
+
+
 class FastaSource(DataSource):
     """Pieces of FASTA records: file, split, i, ref, first, head, bases."""
 
@@ -259,3 +365,18 @@ def fasta_positions(spark: SparkSession, path: str, **options) -> DataFrame:
     """ref, pos, base of FASTA files; no row holds a sequence."""
     pieces = fasta_pieces(spark, path, **options).where("not head")
     return pieces.select("ref", "first", F.posexplode(F.split("bases", ""))).where("col <> ''").select("ref", (F.col("first") + F.col("pos")).alias("pos"), F.col("col").alias("base"))
+
+
+def mutation_map(spark: SparkSession, path: str, **options) -> DataFrame:
+    """ref, seq, read (from 0 in each transcript), end5, end3, muts (1-based) of Mutation Map files. Their records have no marks, so
+    a range looks for a place from which a chain of records follows; that each range's records end where the next one's begin
+    is checked, and where they don't it raises (larger ranges have fewer such places)."""
+    rows = load(spark, MutationMapSource, path, **options)
+    told = rows.withColumn("tx", F.last("tx", ignorenulls=True).over(Window.partitionBy("file", "split").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    starts = carried(told, "tx", F.coalesce(F.when(F.col("end5").isNotNull(), F.col("n") + 1), F.lit(0)))
+    order = Window.partitionBy("file").orderBy("split")
+    chain = rows.where("i = -1").select("file", "split", (F.col("starts") == F.coalesce(F.lag("stops").over(order), F.lit(0))).alias("_joined"))
+    held = told.where("end5 is not null").join(starts.join(chain, ["file", "split"]), ["file", "split"])
+    at = F.when(F.col("_joined"), F.when(F.col("tx").isNull(), F.col("_offset") + F.col("n")).otherwise(F.col("n"))).otherwise(F.raise_error(F.concat(F.lit("ranges do not meet: "), "file")))
+    tx = F.coalesce("tx", "_ref")
+    return held.select(tx["ref"].alias("ref"), tx["seq"].alias("seq"), at.alias("read"), "end5", "end3", "muts")

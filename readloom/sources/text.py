@@ -6,9 +6,6 @@ byte ranges of ``ranges``.
 
 from __future__ import annotations
 
-import struct
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -106,33 +103,9 @@ def min_reads(sam: DataFrame, least: int) -> DataFrame:
     return sam.join(enough, "ref", "left_semi")
 
 
-def read_mm(spark: SparkSession, path: str) -> DataFrame:
-    """ref, seq, read, end5, end3, muts (1-based) of mutation-map files: per transcript a name, a packed
-    sequence and its reads, little-endian and 0-based."""
-
-    def run(frames):
-        for frame in frames:
-            for data in frame["content"]:
-                rows, at = [], 0
-                while at < len(data):
-                    (n,) = struct.unpack_from("<I", data, at)
-                    name = data[at + 4 : at + 4 + n].rstrip(b"\0").decode()
-                    at += 4 + n
-                    (length,) = struct.unpack_from("<I", data, at)
-                    packed = np.frombuffer(data, np.uint8, (length + 1) // 2, at + 4)
-                    digits = np.stack([packed >> 4, packed & 15], 1).ravel()[:length]
-                    seq = "".join("ACGTN"[min(d, 4)] for d in digits)
-                    at += 4 + (length + 1) // 2
-                    (reads,) = struct.unpack_from("<I", data, at)
-                    at += 4
-                    for i in range(reads):
-                        start, end, count = struct.unpack_from("<III", data, at)
-                        muts = struct.unpack_from(f"<{count}I", data, at + 12)
-                        rows.append((name, seq, i, start + 1, end + 1, [m + 1 for m in muts]))
-                        at += 12 + 4 * count
-                yield pd.DataFrame(rows, columns=["ref", "seq", "read", "end5", "end3", "muts"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "ref string, seq string, read long, end5 int, end3 int, muts array<int>")
+def read_mm(spark: SparkSession, path: str, **options) -> DataFrame:
+    """ref, seq, read, end5, end3, muts (1-based) of Mutation Map files, read in byte ranges (ranges.mutation_map())."""
+    return ranges.mutation_map(spark, path, **options)
 
 
 def mm_code(base: Column) -> Column:

@@ -1,6 +1,7 @@
 """Files read in ranges of any size give the rows of one range."""
 
 import random
+import struct
 
 import pytest
 
@@ -89,3 +90,39 @@ def test_dot_bracket(spark, tmp_path, split):
     assert sorted(tuple(r) for r in got.collect()) == sorted((title, i, j) for title, _, pairs in made for i, j in pairs.items())
     rows = ranges.load(spark, ranges.DotBracketSource, str(tmp_path / "x.db"), split=split).collect()
     assert len(rows) == 30 and {(r["struct"], r["seq"]) for r in rows} == {(title, seq) for title, seq, _ in made}
+
+
+def mutation_map(rng, transcripts):
+    out, rows = b"", []
+    for k in range(transcripts):
+        name, n = f"tx{k}", rng.randint(1, 90)
+        seq = "".join(rng.choice("ACGTN") for _ in range(n))
+        packed = "".join(str("ACGTN".index(c)) for c in seq) + "0" * (n % 2)
+        out += struct.pack("<H", len(name) + 1) + name.encode() + b"\0" + struct.pack("<I", n) + bytes.fromhex(packed)
+        reads = []
+        for _ in range(rng.choice([0, 1, 30, 200])):
+            a = rng.randrange(n)
+            b = rng.randint(a, n - 1)
+            reads.append((a, b, sorted(rng.sample(range(a, b + 1), rng.randint(0, min(4, b - a + 1))))))
+        out += struct.pack("<I", len(reads)) + b"".join(struct.pack(f"<III{len(m)}I", a, b, len(m), *m) for a, b, m in reads)
+        rows += [(name, seq, i, a + 1, b + 1, [x + 1 for x in m]) for i, (a, b, m) in enumerate(reads)]
+    return out, rows
+
+
+@pytest.mark.parametrize("split", [300, 3000, 1_000_000])
+@pytest.mark.parametrize("end", [b"", b"[mmeof]"])
+def test_mutation_map(spark, tmp_path, split, end):
+    rng = random.Random(split)
+    data, rows = mutation_map(rng, 12)
+    other, more = mutation_map(rng, 2)
+    (tmp_path / "a.mm").write_bytes(data + end)
+    (tmp_path / "b.mm").write_bytes(other.replace(b"tx", b"ty") + end)
+    got = text.read_mm(spark, str(tmp_path), split=split, block=64).collect()
+    assert sorted(tuple(r) for r in got) == sorted([*rows, *[(r[0].replace("tx", "ty"), *r[1:]) for r in more]])
+
+
+def test_bad_mutation_map(spark, tmp_path):
+    data, _ = mutation_map(random.Random(1), 3)
+    (tmp_path / "a.mm").write_bytes(data[:-3] + b"\xff" * 40)
+    with pytest.raises(Exception, match="no record at|ranges do not meet"):
+        text.read_mm(spark, str(tmp_path / "a.mm")).collect()
