@@ -10,7 +10,7 @@ from .functions import sequences as sq, stats
 from .operators import alignments, clusters, profiles as pf, reads, regions
 from .plans import bias, domains
 from .queries import REFSEQ, B, CONFUSION, FIT, HITS, IS_MUT, MUT, P, PER_READ, R, S, SAM, _aligned, _confusion, _reference, _sam, model, query
-from .sources import tables, text
+from .sources import ranges, tables, text
 
 # Several samples and references at once.
 
@@ -257,12 +257,12 @@ def barcodes(spark, sf):
     return regions.barcodes(refs, wanted)
 
 
-MASKED = "mk as (select o_custkey as ref, o_orderpriority as sample, cast(o_orderkey % 20 + 1 as int) as pos, substr('ACGT', cast(o_orderkey % 20 + 1 as int) % 4 + 1, 1) as base from orders where o_custkey % 50 = 0)"
+MASKED = "mk as (select o_custkey as ref, o_orderpriority as sample, cast(o_orderkey % 20 + 1 as int) as pos, substr('ACGT', cast(o_orderkey % 20 + 1 as int) % 4 + 1, 1) as base from orders)"
 
 
 def _masked(spark, sf):
     pos = (F.col("o_orderkey") % 20 + 1).cast("int")
-    return rm.table(spark, sf, "orders").where("o_custkey % 50 = 0").select(F.col("o_custkey").alias("ref"), F.col("o_orderpriority").alias("sample"), pos.alias("pos"), rm.base_at(pos).alias("base"))
+    return rm.table(spark, sf, "orders").select(F.col("o_custkey").alias("ref"), F.col("o_orderpriority").alias("sample"), pos.alias("pos"), rm.base_at(pos).alias("base"))
 
 
 @query("intersect_masked", f"with {MASKED}, n as (select ref, count(distinct sample) as n from mk group by 1), h as (select ref, pos, base, count(distinct sample) as m from mk group by 1, 2, 3) select ref, pos, base from h join n using (ref) where m = n")
@@ -320,17 +320,19 @@ def resampled_table(spark, sf):
 # Profiles and structures.
 
 
-@query("complete_positions", f"with {P}, h as (select vec_id, pos, case when mu < 0.9 then mu end as mu from profiles where label = 1), g as (select pos from h group by 1 having count(mu) = (select count(distinct vec_id) from h)) select vec_id, pos, mu from h semi join g using (pos)")
+@query("complete_positions", f"with {P}, h as (select vec_id, pos, case when mu < 0.45 then mu end as mu from profiles), g as (select pos from h group by 1 having count(mu) = (select count(distinct vec_id) from h)) select vec_id, pos, mu from h semi join g using (pos)")
 def complete_positions(spark, sf):
-    p = rm.profiles(spark, sf).where("label = 1").select("vec_id", "pos", F.when(F.col("mu") < 0.9, F.col("mu")).alias("mu"))
+    p = rm.profiles(spark, sf).select("vec_id", "pos", F.when(F.col("mu") < 0.45, F.col("mu")).alias("mu"))
     return pf.complete(p, ["pos"], "vec_id")
 
 
-STRUCTS = f"with {P}, {B}, pr as (select vec_id, pos, base, mu from profiles where vec_id <= 20), sx as (select distinct struct from pairs where struct <= 15), j as (select pr.vec_id, sx.struct, pr.pos, pr.base, pr.mu, p.pos is not null as paired from pr cross join sx left join pairs p on p.struct = sx.struct and p.pos = pr.pos)"
+STRUCTS = f"with {P}, {B}, pr as (select vec_id, pos, base, mu from profiles), sx as (select distinct struct, struct // 3 as vec_id from pairs), j as (select pr.vec_id, sx.struct, pr.pos, pr.base, pr.mu, p.pos is not null as paired from pr join sx using (vec_id) left join pairs p on p.struct = sx.struct and p.pos = pr.pos)"
 
 
 def _structured(spark, sf):
-    return pf.with_structure(rm.profiles(spark, sf).where("vec_id <= 20").select("vec_id", "pos", "base", "mu"), rm.pairs(spark, sf).where("struct <= 15"))
+    """Each profile with the three structures that are its own."""
+    own = rm.pairs(spark, sf).withColumn("vec_id", F.floor(F.col("struct") / 3))
+    return pf.with_structure(rm.profiles(spark, sf).select("vec_id", "pos", "base", "mu"), own, ["vec_id"])
 
 
 @query("structure_profiles", f"{STRUCTS} select vec_id, struct, pos, base, mu, paired from j")
@@ -445,10 +447,50 @@ def join_three_regions(spark, sf):
     return joined.groupBy("read").agg(F.count("*").alias("n"), F.sum("rel").alias("rels"))
 
 
-@query("ct_round_trip", f"with {B}, n as (select struct, max(partner) as n from pairs group by 1) select cast(p.struct as varchar) as struct, p.pos, p.partner from pairs p join n using (struct) where struct <= 200")
+def _ct(spark, sf):
+    pairs = rm.pairs(spark, sf).withColumn("struct", F.col("struct").cast("string"))
+    n = pairs.groupBy("struct").agg(F.max("partner").alias("n")).select("struct", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("pos"))
+    return n.join(pairs, ["struct", "pos"], "left").select("struct", "pos", F.lit("A").alias("base"), F.coalesce("partner", F.lit(0)).alias("partner"))
+
+
+PAIRED = f"with {B}, n as (select struct, max(partner) as n from pairs group by 1) select cast(p.struct as varchar) as struct, p.pos, p.partner from pairs p join n using (struct)"
+
+
+@query("ct_round_trip", PAIRED)
 def ct_round_trip(spark, sf):
     """Structures as CT rows, as brackets, and back."""
-    pairs = rm.pairs(spark, sf).where("struct <= 200").withColumn("struct", F.col("struct").cast("string"))
-    n = pairs.groupBy("struct").agg(F.max("partner").alias("n")).select("struct", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("pos"))
-    ct = n.join(pairs, ["struct", "pos"], "left").select("struct", "pos", F.lit("A").alias("base"), F.coalesce("partner", F.lit(0)).alias("partner"))
-    return text.brackets_to_ct(text.ct_to_brackets(ct)).where("partner > 0").select("struct", "pos", "partner")
+    return text.brackets_to_ct(text.ct_to_brackets(_ct(spark, sf))).where("partner > 0").select("struct", "pos", "partner")
+
+
+@query("ct_files", PAIRED)
+def ct_files(spark, sf):
+    """Structures written as CT files and read in byte ranges."""
+    path = tables.scratch_path(spark, "ct")
+    text.ct_text(_ct(spark, sf)).repartition("struct").sortWithinPartitions("struct", "i").select("value").write.text(path)
+    return text.read_ct(spark, path, split=1 << 18).where("partner > 0").select("struct", "pos", "partner")
+
+
+@query("dot_bracket_files", PAIRED)
+def dot_bracket_files(spark, sf):
+    """Structures written as dot-bracket files and read in byte ranges."""
+    path = tables.scratch_path(spark, "db")
+    strings = text.ct_to_brackets(_ct(spark, sf))
+    strings.select(F.concat(F.lit(">"), "struct", F.lit("\n"), "seq", F.lit("\n"), "db").alias("value")).write.text(path)
+    return text.read_dot_bracket(spark, path, split=1 << 18)
+
+
+@query("fasta_files", f"with {S} select cast(ref as varchar) as ref, md5(seq) as seq, length(seq) as n from seqs")
+def fasta_files(spark, sf):
+    """Sequences written as FASTA files and read in byte ranges."""
+    path = tables.scratch_path(spark, "fasta")
+    text.fasta_text(rm.sequences(spark, sf), 60).write.text(path)
+    return text.read_fasta(spark, path, split=1 << 20).select("ref", F.md5("seq").alias("seq"), F.length("seq").cast("long").alias("n"))
+
+
+@query("fasta_composition", f"with {S}, c as (select substr(seq, unnest(range(1, length(seq) + 1)), 1) as base, unnest(range(1, length(seq) + 1)) % 3 as frame from seqs) select base, cast(frame as int) as frame, count(*) as n from c group by 1, 2")
+def fasta_composition(spark, sf):
+    """Bases by reading frame, from pieces of sequences: no row holds a whole one."""
+    path = tables.scratch_path(spark, "fasta")
+    text.fasta_text(rm.sequences(spark, sf), 60).write.text(path)
+    at = ranges.fasta_positions(spark, path, split=1 << 20, block=1 << 16)
+    return at.groupBy("base", (F.col("pos") % 3).cast("int").alias("frame")).agg(F.count("*").alias("n"))
