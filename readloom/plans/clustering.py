@@ -335,35 +335,70 @@ def compare_runs(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     return float(np.mean([arcsine(a[i], b[j]).mean() for i, j in enumerate(order)])), float(np.mean([correlation(a[i], b[j]) for i, j in enumerate(order)]))
 
 
-def correspond(regions: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict[str, list[int]]:
-    """For clusters of several regions (positions, rates [k, position]), which belong together: the joined number (from 0) of
-    each region's clusters. From the first region on, that which shares most positions with those placed is matched with
-    their mean; then each in turn with the mean of all others, until nothing changes. A region that overlaps with none keeps
-    its order."""
+def _least(cost: np.ndarray) -> float:
+    return float(cost[np.arange(len(cost)), assign(cost)].sum())
+
+
+def _orders(cost: np.ndarray, room: Callable[[], float]):
+    """Assignments (columns of the rows) that cost less than ``room`` says when they are found, with their costs: depth first, cheap
+    columns first, each branch as long as the least assignment of the rest leaves room."""
+
+    def go(row: int, free: list[int], spent: float, chosen: list[int]):
+        if row == len(cost):
+            yield spent, chosen
+            return
+        for column in sorted(free, key=lambda c: cost[row, c]):
+            rest = [c for c in free if c != column]
+            now = spent + cost[row, column]
+            if now + (_least(cost[row + 1 :][:, rest]) if rest else 0.0) < room():
+                yield from go(row + 1, rest, now, [*chosen, column])
+
+    yield from go(0, list(range(len(cost))), 0.0, [])
+
+
+def correspond(regions: dict[str, tuple]) -> dict[str, list[int]]:
+    """For clusters of several regions, (positions, rates [k, position]) and perhaps shares [k], which belong together: the joined
+    number (from 0) of each region's clusters; those of the first region keep theirs.
+
+    The cost of a joint numbering is the arcsine distance, over positions that two regions share (and their shares), of
+    all clusters of one number, summed over all pairs of regions. The numbering of least cost is found by branch and
+    bound: regions are numbered one after the other, and a branch goes on as long as what it has cost, the least
+    assignment of each further region to those that are numbered, and the least one of each pair of further regions are
+    less together than the best numbering so far. Every numbering is looked at or ruled out so; ties go to the first found."""
     names = list(regions)
-    out = {names[0]: list(range(len(regions[names[0]][1])))}
-
-    def matched(name: str, others: list[str]) -> list[int]:
-        pos, rates = regions[name]
-        held: dict[int, list[np.ndarray]] = {}
-        for other in others:
-            for i, p in enumerate(regions[other][0]):
-                held.setdefault(int(p), []).append(regions[other][1][np.argsort(out[other]), i])
-        at = [i for i, p in enumerate(pos) if int(p) in held]
-        if not at:
-            return out.get(name, list(range(len(rates))))
-        return match(rates[:, at], np.array([np.mean(held[int(pos[i])], axis=0) for i in at]).T)
-
-    while len(out) < len(names):
-        placed = np.unique(np.concatenate([regions[name][0] for name in out]))
-        nearest = max((name for name in names if name not in out), key=lambda name: len(np.intersect1d(regions[name][0], placed)))
-        out[nearest] = matched(nearest, list(out))
-    for _ in range(10 * len(names)):
-        new = {name: matched(name, [other for other in names if other != name]) for name in names[1:]}
-        if all(out[name] == order for name, order in new.items()):
-            break
-        out.update(new)
-    return out
+    k = len(regions[names[0]][1]) if names else 0
+    if any(len(r[1]) != k for r in regions.values()):
+        raise ValueError("regions to be joined have the same number of clusters")
+
+    def distance(one: tuple, two: tuple) -> np.ndarray:
+        _, i, j = np.intersect1d(one[0], two[0], return_indices=True)
+        x, y = one[1][:, i], two[1][:, j]
+        if len(one) > 2 and len(two) > 2:
+            x, y = np.column_stack([one[2], x]), np.column_stack([two[2], y])
+        return np.array([[arcsine(u, v).sum() for v in y] for u in x]).reshape(k, k)
+
+    cost = {(p, q): distance(regions[p], regions[q]) for p in names for q in names if p != q}
+    apart = {pair: _least(c) for pair, c in cost.items()}
+    best: dict = {"cost": np.inf, "orders": {}}
+
+    def go(orders: dict[str, list[int]], spent: float) -> None:
+        """orders[name][joined number]: the region's cluster."""
+        left = [name for name in names if name not in orders]
+        if not left:
+            if spent < best["cost"] - 1e-12:
+                best.update(cost=spent, orders=dict(orders))
+            return
+        to_placed = {name: sum(cost[p, name][order] for p, order in orders.items()) for name in left}
+        least = {name: _least(c) for name, c in to_placed.items()}
+        among = sum(apart[p, q] for i, p in enumerate(left) for q in left[i + 1 :])
+        following = max(left, key=lambda name: least[name])  # the dearest one rules out most
+        rest = spent + sum(least.values()) - least[following] + among
+        for c, order in _orders(to_placed[following], lambda: best["cost"] - 1e-12 - rest):
+            go({**orders, following: order}, spent + c)
+
+    if names:
+        go({names[0]: list(range(k))}, 0.0)
+    return {name: [int(i) for i in np.argsort(best["orders"][name])] for name in names}
 
 
 @dataclasses.dataclass(frozen=True)

@@ -9,8 +9,9 @@ from . import read_model as rm
 from .functions import sequences as sq, stats
 from .operators import alignments, clusters, profiles as pf, reads, regions
 from .plans import bias, domains
-from .queries import REFSEQ, B, CONFUSION, FIT, HITS, IS_MUT, MUT, P, PER_READ, R, S, SAM, _aligned, _confusion, _reference, _sam, model, query
-from .sources import ranges, tables, text
+from .queries import REFSEQ, B, CONFUSION, FIT, HITS, IS_MUT, MUT, P, PER_READ, R, S, SAM, _aligned, _confusion, _reference, _sam, model, query, ORACLES
+from .sources import catalog, ranges, tables, text
+from .streaming import tables as running_tables
 
 # Several samples and references at once.
 
@@ -494,3 +495,65 @@ def fasta_composition(spark, sf):
     text.fasta_text(rm.sequences(spark, sf), 60).write.text(path)
     at = ranges.fasta_positions(spark, path, split=1 << 20, block=1 << 16)
     return at.groupBy("base", (F.col("pos") % 3).cast("int").alias("frame")).agg(F.count("*").alias("n"))
+
+
+# Steps and batches.
+
+
+def _filtered(spark, sf):
+    """A catalogue with mutations of two samples, filtered, and pooled: the three entries' ids."""
+    store = catalog.Catalog(spark, tables.scratch_path(spark, "catalog"))
+    segs, muts, pos = model(spark, sf)
+    ids = []
+    for sample, rest in (("even", 0), ("odd", 1)):
+        own = {"segments": segs.where(F.col("read") % 2 == rest), "muts": muts.where(F.col("read") % 2 == rest), "positions": pos}
+        first = store.add("identify", own, {"sample": sample})
+        long = own["segments"].where("end3 - end5 >= 20").select("read")
+        ids.append(store.add("filter", {"reads": long, "positions": pos.where("base in ('A', 'C')")}, {"sample": sample}, [first], {"min_length": 21}))
+    return store, ids, store.add("pool", {}, {"sample": "both"}, ids)
+
+
+@query("catalog_filter", f"with {R} select m.read, m.pos, m.rel from muts m join segs s using (read) where s.end3 - s.end5 >= 20 and m.base in ('A', 'C') and read % 2 = 0")
+def catalog_filter(spark, sf):
+    """Mutations of a filter step: those of the step before, of the reads and positions that passed."""
+    store, _, _ = _filtered(spark, sf)
+    return store.dataset(store.latest("filter", sample="even"))["muts"].select("read", "pos", "rel")
+
+
+@query("catalog_pool", f"with {R} select case read % 2 when 0 then '0/' else '1/' end || read as read, m.pos, m.rel from muts m join segs s using (read) where s.end3 - s.end5 >= 20 and m.base in ('A', 'C')")
+def catalog_pool(spark, sf):
+    """Mutations of a pool of two filtered samples: three steps joined when they are read."""
+    store, _, pool = _filtered(spark, sf)
+    return store.dataset(pool)["muts"].select("read", "pos", "rel")
+
+
+def _running(spark, sf, kept):
+    """Running tables over reads that come in four files; all are merged, and the last batch comes again."""
+    segs, muts, pos = model(spark, sf)
+    path = tables.scratch_path(spark, "running")
+    packed = segs.groupBy("read").agg(F.collect_list(F.struct("end5", "end3")).alias("segs")).join(muts.groupBy("read").agg(F.collect_list(F.struct("pos", "base", "rel")).alias("muts")), "read", "left")
+    reads_ = packed.withColumn("muts", F.coalesce("muts", F.array().cast(packed.schema["muts"].dataType)))
+    reads_.repartition(4, "read").write.parquet(f"{path}/in")
+    running = running_tables.Tables(f"{path}/out", pos, MUT, 4, 20, (kept,))
+    running.run(spark.readStream.schema(reads_.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"))
+    last = max(running._folders("reads"))
+    running.merge()
+    spark.read.schema(reads_.schema).parquet(running._folders("reads")[last]).write.parquet(f"{path}/again")
+    running.add(spark.read.schema(reads_.schema).parquet(f"{path}/again"), last)
+    return running
+
+
+@query("streaming_pair_table", f"with {CONFUSION} select pos_a, pos_b, n, a, b, ab from conf")
+def streaming_pair_table(spark, sf):
+    return _running(spark, sf, "pair").table("pair").where("n > 0")
+
+
+@query("streaming_read_table", ORACLES["read_table"])
+def streaming_read_table(spark, sf):
+    found = _running(spark, sf, "read").table("read")
+    return found.select("read", "Covered", "Matched", "Mutated", "Subbed", "Deleted", "Inserted").withColumn("Covered", F.when(F.col("Covered") > 0, F.col("Covered")))
+
+
+@query("streaming_position_table", ORACLES["position_table"])
+def streaming_position_table(spark, sf):
+    return _running(spark, sf, "position").position_table()
