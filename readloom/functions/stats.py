@@ -27,6 +27,91 @@ def hypergeometric_tails(n, a, b, ab) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
+# Tails and quantiles as column expressions. A tail is a sum of terms that fall from its first on, each made from the one
+# before it; ten standard deviations of them, and some for skewed cases, hold all that double precision can tell.
+
+#: ln k! is listed up to here; beyond, Stirling's series is exact to double precision.
+LISTED = 16
+
+
+def log_factorials(n: Column) -> Column:
+    """ln n! of a whole number."""
+    x = n.cast("double")
+    series = 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    listed = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(LISTED)])
+    return F.when(n < LISTED, F.get(listed, n.cast("int"))).otherwise((x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + series)
+
+
+def log_choose(n: Column, k: Column) -> Column:
+    return log_factorials(n) - log_factorials(k) - log_factorials(n - k)
+
+
+def _terms(sd: Column) -> Column:
+    return F.ceil(10 * sd).cast("int") + 60
+
+
+def _falling(steps: Column, ratio_at) -> Column:
+    """1 + r(0) + r(0) r(1) + ... of so many ratios."""
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def add(acc: Column, j: Column) -> Column:
+        term = acc["term"] * ratio_at(j)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    return F.when(steps > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(steps, F.lit(1)) - 1), start, add, lambda acc: acc["sum"])).otherwise(1.0)
+
+
+def hypergeometric(table, n: str = "n", a: str = "a", b: str = "b", ab: str = "ab", low: str = "low", high: str = "high"):
+    """The table with P(X <= ab) and P(X >= ab) for the overlap of a and b drawn from n. Counts that cannot be have null."""
+    N, A, B, x = (F.col(c).cast("double") for c in (n, a, b, ab))
+    least, most = F.greatest(F.lit(0.0), A + B - N), F.least(A, B)
+    mode = F.floor((A + 1) * (B + 1) / (N + 2)).cast("double")
+    sd = F.sqrt(F.greatest(A * B / N * (1 - A / N) * (N - B) / F.greatest(N - 1, F.lit(1.0)), F.lit(0.0)))
+    below = x <= mode
+    steps = F.least(F.when(below, x - least).otherwise(most - x).cast("int"), _terms(F.coalesce(sd, F.lit(0.0))))
+    fact = {c: F.col(c) for c in (n, a, b, ab)}
+    at = F.exp(log_choose(fact[a], fact[ab]) + log_choose(fact[n] - fact[a], fact[b] - fact[ab]) - log_choose(fact[n], fact[b]))
+    held = table.withColumns({"_x": x, "_at": at, "_below": below, "_steps": steps, "_sound": (x >= least) & (x <= most) & (A <= N) & (B <= N)})
+
+    def further(j: Column) -> Column:
+        down, up = F.col("_x") - j, F.col("_x") + j
+        return F.when(F.col("_below"), down * (N - A - B + down) / ((A - down + 1) * (B - down + 1))).otherwise((A - up) * (B - up) / ((up + 1) * (N - A - B + up + 1)))
+
+    held = held.withColumn("_tail", F.least(F.lit(1.0), F.when(F.col("_sound"), F.col("_at") * _falling(F.col("_steps"), further))))
+    rest = F.least(F.lit(1.0), F.greatest(1 - F.col("_tail") + F.col("_at"), F.lit(0.0)))
+    tails = {low: F.when(F.col("_below"), F.col("_tail")).otherwise(rest), high: F.when(F.col("_below"), rest).otherwise(F.col("_tail"))}
+    return held.withColumns({c: F.when(F.col("_sound"), v) for c, v in tails.items()}).drop("_x", "_at", "_below", "_steps", "_sound", "_tail")
+
+
+def binomial_quantiles(k: Column, n: Column, *shares: Column) -> Column:
+    """Array of the least numbers, for each share, of which a binomial with the rate k / n has that share at or below: its
+    distribution is summed up once, from ten standard deviations below its mean to ten above. k where k is 0 or n."""
+    size, hits = n.cast("double"), k.cast("double")
+    p = hits / size
+    reach = _terms(F.sqrt(size * p * (1 - p)))
+    first = F.greatest(F.floor(size * p).cast("long") - reach, F.lit(0).cast("long"))
+    last = F.least(F.ceil(size * p).cast("long") + reach, n.cast("long"))
+    start = F.exp(log_choose(n, first) + first * F.log(p) + (size - first) * F.log1p(-p))
+    none = F.lit(None).cast("long")
+    zero = F.struct(start.alias("term"), F.lit(0.0).alias("sum"), F.array(*[none for _ in shares]).alias("found"))
+
+    def add(acc: Column, i: Column) -> Column:
+        total = acc["sum"] + acc["term"]
+        found = [F.coalesce(F.get(acc["found"], F.lit(j)), F.when(total >= share, i)) for j, share in enumerate(shares)]
+        return F.struct((acc["term"] * (size - i) / (i + 1) * p / (1 - p)).alias("term"), total.alias("sum"), F.array(*found).alias("found"))
+
+    found = F.aggregate(F.sequence(first, last), zero, add, lambda acc: acc["found"])
+    # what rounding leaves of the last share belongs to the last number
+    inner = F.array(*[F.coalesce(F.get(found, F.lit(j)), last) for j in range(len(shares))])
+    return F.when((hits <= 0) | (hits >= size) | (size <= 0), F.array(*[k.cast("long") for _ in shares])).otherwise(inner)
+
+
+def chance(*keys: Column | str) -> Column:
+    """A number in [0, 1) that depends on the keys alone: 48 bits of the MD5 digest of their texts, joined by colons."""
+    text = F.concat_ws(":", *[(F.col(x) if isinstance(x, str) else x).cast("string") for x in keys])
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
 def log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     gamma = np.vectorize(math.lgamma, otypes=[float])
     return gamma(a) + gamma(b) - gamma(a + b)
@@ -136,29 +221,20 @@ def binomial_intervals(k: np.ndarray, n: np.ndarray, confidence: float) -> tuple
 
 
 def with_intervals(table, count: str, total: str, confidence: float = 0.95):
-    """A table with <count>_low and <count>_high: the interval of a count, of which there were ``total`` trials. In batches
-    of rows; nothing is shuffled."""
-
-    def run(frames):
-        for frame in frames:
-            low, high = binomial_intervals(frame[count].fillna(0).to_numpy(), frame[total].fillna(0).to_numpy(), confidence)
-            yield frame.assign(**{f"{count}_low": low, f"{count}_high": high})
-
-    return table.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in table.dtypes) + f", {count}_low double, {count}_high double")
+    """A table with <count>_low and <count>_high: the interval of a count, of which there were ``total`` trials, as column
+    expressions."""
+    tail = (1 - confidence) / 2
+    k, n = F.coalesce(F.col(count), F.lit(0)), F.coalesce(F.col(total), F.lit(0))
+    held = table.withColumn("_ends", binomial_quantiles(k, n, F.lit(tail), F.lit(1 - tail)))
+    return held.withColumns({f"{count}_low": F.col("_ends")[0].cast("double"), f"{count}_high": F.col("_ends")[1].cast("double")}).drop("_ends")
 
 
 def resample(table, count: str, total: str, key: list[str], seed: int):
-    """A table whose counts are drawn anew, each from a binomial with the observed rate. The draw depends on the seed and
-    the row's key alone, so it is the same whatever the partitions."""
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for s, k, n in zip(frame["_seed"], frame[count], frame[total], strict=True):
-                out.append(int(np.random.default_rng(int(s) & ((1 << 63) - 1)).binomial(int(n), k / n)) if n else 0)
-            yield frame.assign(**{count: out}).drop(columns=["_seed"])
-
-    return table.withColumn("_seed", F.xxhash64(*key, F.lit(seed))).mapInPandas(run, ", ".join(f"{n} {t}" for n, t in table.dtypes))
+    """A table whose counts are drawn anew, each from a binomial with the observed rate: the number at a share that depends
+    on the row's key and the seed alone, so it is the same whatever the partitions."""
+    k, n = F.coalesce(F.col(count), F.lit(0)), F.coalesce(F.col(total), F.lit(0))
+    kind = dict(table.dtypes)[count]
+    return table.withColumn(count, binomial_quantiles(k, n, chance(*key, F.lit(seed)))[0].cast(kind)).select(*table.columns)
 
 
 def phi(n: Column, a: Column, b: Column, ab: Column, least: int = 1) -> Column:

@@ -300,9 +300,14 @@ def benjamini(spark, sf):
     return reads.benjamini_hochberg(p).select("pos_a", F.round("q", 9).alias("q"))
 
 
-@query("fisher_tests")
+LF = "(lgamma({a} + 1) - lgamma({b} + 1) - lgamma({a} - {b} + 1))"
+HYPER = f"""hy as (select pos_a, pos_b, n, a, b, ab, unnest(range(greatest(0, a + b - n), least(a, b) + 1)) as k from {{source}}),
+ tails as (select pos_a, pos_b, n, a, b, ab, least(1, sum(case when k <= ab then exp(l) else 0 end)) as low, least(1, sum(case when k >= ab then exp(l) else 0 end)) as high from (select *, {LF.format(a="a", b="k")} + {LF.format(a="(n - a)", b="(b - k)")} - {LF.format(a="n", b="b")} as l from hy) group by all)"""
+
+
+@query("fisher_tests", f"with {CONFUSION}, {HYPER.format(source='conf')} select pos_a, pos_b, n, a, b, ab, round(low, 6) as low, round(high, 6) as high, round(least(1, 2 * least(low, high)), 6) as p from tails")
 def fisher_tests(spark, sf):
-    return domains.fisher(_confusion(spark, sf))
+    return domains.fisher(_confusion(spark, sf)).withColumns({c: F.round(c, 6) for c in ("low", "high", "p")})
 
 
 @query("eligible_pairs", f"with {CONFUSION} select pos_a, pos_b, n, a, b, ab from conf where n >= 100 and 1.0 * a * b / n >= 0.5")
@@ -310,9 +315,12 @@ def eligible_pairs(spark, sf):
     return domains.eligible(_confusion(spark, sf), 100, 0.5)
 
 
-@query("bridges")
+@query("bridges", f"""with {CONFUSION}, e as (select * from conf where n >= 50 and 1.0 * a * b / n >= 0.2), {HYPER.format(source='e')}, o as (select *, row_number() over (order by low, pos_a, pos_b) as i, count(*) over () as m from tails),
+ q as (select *, least(1, min(low * m / i) over (order by i desc rows between unbounded preceding and current row)) as q from o)
+ select pos_a, pos_b, n, a, b, ab, round(q, 6) as q, q < 0.5 and ab <= 1.0 * a * b / n / 1.2 as bridge from q""")
 def bridges(spark, sf):
-    return domains.bridges(_confusion(spark, sf), 50, 0.2, fdr=0.5, fold=1.2)
+    found = domains.bridges(_confusion(spark, sf), 50, 0.2, fdr=0.5, fold=1.2)
+    return found.select("pos_a", "pos_b", "n", "a", "b", "ab", F.round("q", 6).alias("q"), "bridge")
 
 
 @query("block_scores", f"""with {CONFUSION}, k as (select pos_a, count(*) as e, count(*) filter (ab = 0) as z from conf where n >= 50 group by 1)

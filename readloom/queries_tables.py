@@ -9,7 +9,7 @@ from . import read_model as rm
 from .functions import sequences as sq, stats
 from .operators import alignments, clusters, profiles as pf, reads, regions
 from .plans import bias, domains
-from .queries import REFSEQ, B, CONFUSION, FIT, HITS, IS_MUT, MUT, P, PER_READ, R, S, SAM, _aligned, _confusion, _reference, _sam, model, query, ORACLES
+from .queries import REFSEQ, B, CONFUSION, FIT, HITS, IS_MUT, MUT, P, PER_POS, PER_READ, R, S, SAM, _aligned, _confusion, _reference, _sam, model, query, ORACLES
 from .sources import catalog, ranges, tables, text
 from .streaming import tables as running_tables
 
@@ -307,13 +307,18 @@ def wide_table(spark, sf):
     return tables.widen(long_table(spark, sf), ["pos_a", "pos_b"], ["a", "b", "ab"])
 
 
-@query("position_intervals")
+MUTATED = f"""{PER_POS}, yx as (select *, case base when 'A' then 238 when 'C' then 222 when 'G' then 190 else 126 end as yes from per_pos where n > 0),
+ tx as (select pos, cast(coalesce(sum(n) filter ((rel | yes) = yes and rel <> 1), 0) as bigint) as k, cast(coalesce(sum(n) filter (rel = 1), 0) + coalesce(sum(n) filter ((rel | yes) = yes and rel <> 1), 0) as bigint) as n from yx group by 1),
+ bx as (select pos, k, n, unnest(range(0, n + 1)) as i from tx where k > 0 and k < n), cx as (select pos, k, n, i, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(1.0 * k / n) + (n - i) * ln(1 - 1.0 * k / n))) over (partition by pos order by i) as c from bx)"""
+
+
+@query("position_intervals", f"with {MUTATED}, e as (select pos, min(i) filter (c >= 0.025) as low, min(i) filter (c >= 0.975) as high from cx group by 1) select pos, k as Mutated, n as Informative, cast(coalesce(low, k) as double) as Mutated_low, cast(coalesce(high, k) as double) as Mutated_high from tx left join e using (pos)")
 def position_intervals(spark, sf):
     """Mutated reads of each position with the interval of their number."""
     return stats.with_intervals(reads.position_table(*model(spark, sf)).select("pos", "Mutated", "Informative"), "Mutated", "Informative")
 
 
-@query("resampled_table")
+@query("resampled_table", f"with {MUTATED}, e as (select pos, min(i) filter (c >= ('0x' || substr(md5(pos || ':1'), 1, 12))::bigint / 281474976710656.0) as drawn from cx group by 1) select pos, coalesce(drawn, k) as Mutated, n as Informative from tx left join e using (pos)")
 def resampled_table(spark, sf):
     return stats.resample(reads.position_table(*model(spark, sf)).select("pos", "Mutated", "Informative"), "Mutated", "Informative", ["pos"], 1)
 
