@@ -562,3 +562,33 @@ def streaming_read_table(spark, sf):
 @query("streaming_position_table", ORACLES["position_table"])
 def streaming_position_table(spark, sf):
     return _running(spark, sf, "position").position_table()
+
+
+# Reads with one indel.
+
+
+def _one_indel(spark, sf):
+    """Reads that are the reference but for one deleted or one inserted base."""
+    li = rm.table(spark, sf, "lineitem")
+    start, n, k = (F.col("l_partkey") % 90 + 1).cast("int"), (20 + F.col("l_orderkey") % 7).cast("int"), (3 + F.col("l_suppkey") % 12).cast("int")
+    cut = lambda at, size: F.substring(F.lit(REFSEQ), at, size)
+    base = F.substring(F.lit("ACGT"), (F.col("l_orderkey") % 4 + 1).cast("int"), F.lit(1))
+    deleted = F.col("l_linenumber") % 2 == 0
+    seq = F.when(deleted, F.concat(cut(start, k), cut(start + k + 1, n - k - 1))).otherwise(F.concat(cut(start, k), base, cut(start + k, n - k)))
+    cigar = F.when(deleted, F.concat(k.cast("string"), F.lit("M1D"), (n - k - 1).cast("string"), F.lit("M"))).otherwise(F.concat(k.cast("string"), F.lit("M1I"), (n - k).cast("string"), F.lit("M")))
+    name = F.concat_ws(".", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")])
+    return li.select(name.alias("name"), F.lit(0).alias("flag"), F.lit("r").alias("ref"), start.alias("pos"), F.lit(40).alias("mapq"), cigar.alias("cigar"), seq.alias("seq"), F.repeat(F.lit("I"), F.length(seq)).alias("qual"))
+
+
+@query("identify_one_indel", f"""with p as (select cast(i as int) as i, substr('{REFSEQ}', cast(i as int), 1) as b from range(1, {len(REFSEQ) + 1}) t(i)), g as (select *, i - row_number() over (partition by b order by i) as run from p),
+ runs as (select i, b, min(i) over (partition by b, run) as rs, max(i) over (partition by b, run) as re from g),
+ x as (select cast(l_partkey % 90 + 1 as int) as pos, cast(20 + l_orderkey % 7 as int) as n, cast(3 + l_suppkey % 12 as int) as k, substr('ACGT', cast(l_orderkey % 4 + 1 as int), 1) as ins, l_linenumber % 2 = 0 as del from lineitem),
+ d as (select greatest(r.rs, pos + 1) as a, least(r.re, pos + n - 2) as z, 2 as code from x join runs r on r.i = pos + k where del),
+ n as (select greatest(case when l.b = ins then l.rs else pos + k end, pos + 1) as a, least(case when r.b = ins then r.re + 1 else pos + k end, pos + n - 1) as z, 8 as code from x join runs l on l.i = pos + k - 1 join runs r on r.i = pos + k where not del),
+ m as (select unnest(range(a, z + 1)) as pos, case when z > a then code + 1 else code end as rel from (select * from d union all select * from n))
+ select cast(m.pos as int) as pos, p.b as base, cast(rel as int) as rel, count(*) as n from m join p on p.i = m.pos group by 1, 2, 3""")
+def identify_one_indel(spark, sf):
+    """Each position that the base could be missing from, or be inserted beside, has both codes."""
+    refs = _reference(spark)
+    _, muts = alignments.tables(alignments.pair(alignments.identify(_one_indel(spark, sf), refs)), refs)
+    return muts.groupBy("pos", "base", "rel").agg(F.count("*").alias("n"))
