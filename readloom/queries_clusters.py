@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import read_model as rm
 from .operators import reads
-from .plans import clustering, clusterscan
+from .plans import clustering, clusterscan, domains
 from .queries import MUT, _written, query
 
 #: Pass more readily: the planted kinds are far apart.
@@ -61,7 +61,15 @@ def weights_by_k(spark, sf):
 def scan_clusters(spark, sf):
     """Domains of 40 positions in both samples, clustered together; the gap at 40 is spurious in sample 0 alone."""
     segs, muts, pos = rm.planted(spark, sf)
-    domains = spark.createDataFrame([(s, a, a + 39) for s in (0, 1) for a in (1, 41, 81)], "sample int, end5 int, end3 int")
-    scan = clusterscan.clusterscan(segs, muts, pos, MUT, domains, ["sample"], limits=LIMITS, min_runs=2, max_runs=4)
+    tiles = spark.createDataFrame([(s, a, a + 39) for s in (0, 1) for a in (1, 41, 81)], "sample int, end5 int, end3 int")
+    scan = clusterscan.clusterscan(segs, muts, pos, MUT, tiles, ["sample"], limits=LIMITS, min_runs=2, max_runs=4)
     table = scan.report(spark, "sample int").select("sample", "end5", "end3", "k", F.size("members").alias("parts"))
     return table.join(segs.groupBy("sample").agg(F.count("*").alias("reads")), "sample")
+
+
+@query("planted_domains", f"""with {rm.SQL_PLANTED}, s as (select *, case when pos > 80 then 3 when pos > 40 and sample = 1 then 2 else 1 end as stretch from planted where hit = 1 and pos % 2 = 0) select sample, cast(min(pos) as int) as end5, cast(max(pos) as int) as end3, 'domain' as kind from s group by sample, stretch""")
+def planted_domains(spark, sf):
+    """Domains of both samples, from reads to pairs to blocks: positions whose mutations exclude each other."""
+    segs, muts, pos = rm.planted(spark, sf)
+    config = domains.ScanConfig(max_length=100)
+    return domains.scan(segs, muts, pos, MUT, 0, config, ["sample"]).select("sample", "end5", "end3", "kind")
