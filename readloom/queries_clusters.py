@@ -32,7 +32,7 @@ def _ranked(rates):
 def best_clusters(spark, sf):
     """K is chosen from 1 on, all runs of K and K + 1 in the same passes; rates of the best run of the best K."""
     uniq, pos = _one_domain(spark, sf)
-    k, runs = clustering.cluster(uniq, pos, min_runs=2, max_runs=4, limits=LIMITS)
+    k, runs = clustering.cluster(uniq, pos, min_runs=2, max_runs=2, limits=LIMITS, threshold=5.0)
     rates, shares = clustering.parameters(spark, clustering.best_run(runs[k], LIMITS))
     found = rates.join(shares, "clust").withColumn("k", F.lit(k))
     return found.join(_ranked(found), ["k", "clust"]).select("k", F.col("kind").alias("clust"), "pos", F.round("mu", 1).alias("mu"))
@@ -62,7 +62,7 @@ def scan_clusters(spark, sf):
     """Domains of 40 positions in both samples, clustered together; the gap at 40 is spurious in sample 0 alone."""
     segs, muts, pos = rm.planted(spark, sf)
     tiles = spark.createDataFrame([(s, a, a + 39) for s in (0, 1) for a in (1, 41, 81)], "sample int, end5 int, end3 int")
-    scan = clusterscan.clusterscan(segs, muts, pos, MUT, tiles, ["sample"], limits=LIMITS, min_runs=2, max_runs=4)
+    scan = clusterscan.clusterscan(segs, muts, pos, MUT, tiles, ["sample"], limits=LIMITS, min_runs=2, max_runs=2, threshold=5.0)
     table = scan.report(spark, "sample int").select("sample", "end5", "end3", "k", F.size("members").alias("parts"))
     return table.join(segs.groupBy("sample").agg(F.count("*").alias("reads")), "sample")
 
