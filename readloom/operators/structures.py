@@ -16,10 +16,10 @@ def opening(pairs: DataFrame) -> DataFrame:
 
 
 def root_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs that no other pair encloses."""
-    p = opening(pairs)
-    o = p.select(F.col("struct").alias("s"), F.col("end5").alias("o5"), F.col("end3").alias("o3"))
-    return p.join(o, (F.col("struct") == F.col("s")) & (F.col("o5") < F.col("end5")) & (F.col("o3") > F.col("end3")), "left_anti")
+    """Pairs that no other pair encloses: none that opens before reaches further."""
+    before = Window.partitionBy("struct").orderBy("end5").rangeBetween(Window.unboundedPreceding, -1)
+    reach = opening(pairs).withColumn("_reach", F.max("end3").over(before))
+    return reach.where("struct is null or _reach is null or _reach <= end3").drop("_reach")
 
 
 def enclosing(positions: DataFrame, pairs: DataFrame) -> DataFrame:
