@@ -65,9 +65,12 @@ def intersect(regions: DataFrame, key: Sequence[str]) -> DataFrame:
 def unite(regions: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """key, end5, end3 over all, and the positions in between that none has: key, pos."""
     hull = regions.groupBy(*key).agg(F.min("end5").alias("end5"), F.max("end3").alias("end3"))
-    every = hull.select(*key, F.explode(F.sequence("end5", "end3")).alias("pos"))
-    held = regions.select(*key, F.explode(F.sequence("end5", "end3")).alias("pos"))
-    return hull, every.join(held, [*key, "pos"], "left_anti")
+    outer = F.array(F.col("end5") - 1, F.col("end3") + 1)  # the places beside the hull close its first and last gap
+    marks = hull.where("end5 <= end3").select(*key, F.explode(outer).alias("end5")).select(*key, "end5", F.col("end5").alias("end3"))
+    before = Window.partitionBy(*key).orderBy("end5").rowsBetween(Window.unboundedPreceding, -1)
+    reach = regions.where("end5 <= end3").select(*key, "end5", "end3").unionByName(marks).withColumn("_reach", F.max("end3").over(before))
+    gaps = reach.where("_reach + 1 < end5").select(*key, F.explode(F.sequence(F.col("_reach") + 1, F.col("end5") - 1)).alias("pos"))
+    return hull, gaps
 
 
 def crossing(pairs: DataFrame, positions: DataFrame) -> DataFrame:

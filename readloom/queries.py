@@ -516,7 +516,7 @@ def region_intersect(spark, sf):
 @query("region_unite", f"with {REGS}, h as (select ref, min(end5) as end5, max(end3) as end3 from regs group by 1), e as (select ref, unnest(range(end5, end3 + 1)) as pos from h), g as (select e.ref, count(*) as gaps from e where not exists (select 1 from regs r where r.ref = e.ref and e.pos between r.end5 and r.end3) group by 1) select h.ref, h.end5, h.end3, coalesce(g.gaps, 0) as gaps from h left join g using (ref)")
 def region_unite(spark, sf):
     hull, gaps = st.unite(_regions(spark, sf), ["ref"])
-    return hull.join(gaps.groupBy("ref").agg(F.count("*").alias("gaps")), "ref", "left").fillna(0, "gaps")
+    return hull.join(gaps.groupBy("ref").agg(F.count("*").alias("gaps")).hint("merge"), "ref", "left").fillna(0, "gaps")
 
 
 @query("pool_samples", """with r as (select l_orderkey as read, l_returnflag as sample, cast(l_orderkey % 4 as bigint) as batch from lineitem), s as (select sample, max(batch) + 1 as n from r group by 1), f as (select sample, sum(n) over (order by sample) - n as shift from s)

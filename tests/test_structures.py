@@ -34,3 +34,15 @@ def test_root_pairs(spark):
     found = st.root_pairs(pairs)
     assert rows(found, "struct", "end5", "end3") == want
     assert "Join" not in plan(found)
+
+
+def test_unite(spark):
+    """Gaps by position, also of empty regions, without a row for each position that is held."""
+    rng = random.Random(2)
+    held = [(k, a, a + rng.randint(-1, 5)) for k in range(20) for a in (rng.randint(1, 30) for _ in range(rng.randint(1, 5)))]
+    hull, gaps = st.unite(spark.createDataFrame(held, "ref long, end5 int, end3 int"), ["ref"])
+    ends = {k: (min(a for x, a, _ in held if x == k), max(b for x, _, b in held if x == k)) for k, _, _ in held}
+    assert rows(hull, "ref", "end5", "end3") == sorted((k, *v) for k, v in ends.items())
+    want = [(k, p) for k, (a, b) in ends.items() for p in range(a, b + 1) if not any(x == k and c <= p <= d for x, c, d in held)]
+    assert rows(gaps, "ref", "pos") == sorted(want)
+    assert "Join" not in plan(gaps)
