@@ -24,9 +24,11 @@ def root_pairs(pairs: DataFrame) -> DataFrame:
 
 def enclosing(positions: DataFrame, pairs: DataFrame) -> DataFrame:
     """struct, pos, end5, end3 of the innermost pair strictly around each position."""
-    p = opening(pairs)
-    inside = positions.join(p, (positions["pos"] > p["end5"]) & (positions["pos"] < p["end3"])).select("struct", "pos", "end5", "end3")
-    return inside.groupBy("struct", "pos").agg(F.min_by(F.struct("end5", "end3"), F.struct(F.col("end3") - F.col("end5"), F.col("end5"))).alias("p")).select("struct", "pos", "p.*")
+    listed = F.array_sort(F.collect_list(F.struct((F.col("end3") - F.col("end5")).alias("width"), "end5", "end3")))
+    p = opening(pairs).groupBy("struct").agg(listed.alias("_pairs"), F.min("end5").alias("_low"), F.max("end3").alias("_high"))
+    met = p.join(F.broadcast(positions.select("pos").distinct()), (F.col("pos") > F.col("_low")) & (F.col("pos") < F.col("_high")))
+    around = F.filter("_pairs", lambda b: (b["end5"] < F.col("pos")) & (b["end3"] > F.col("pos")))
+    return met.select("struct", "pos", F.explode(F.slice(around, 1, 1)).alias("p")).select("struct", "pos", "p.end5", "p.end3")
 
 
 def internal(pairs: DataFrame) -> DataFrame:

@@ -46,3 +46,17 @@ def test_unite(spark):
     want = [(k, p) for k, (a, b) in ends.items() for p in range(a, b + 1) if not any(x == k and c <= p <= d for x, c, d in held)]
     assert rows(gaps, "ref", "pos") == sorted(want)
     assert "Join" not in plan(gaps)
+
+
+def test_enclosing(spark):
+    """The narrowest pair around each position; positions by pairs are not joined."""
+    held, pairs = made(spark, 3)
+    pos = [(p,) for p in range(1, 31)] * 2
+    want = []
+    for s in {s for s, _, _ in held}:
+        for p in range(1, 31):
+            around = [(b - a, a, b) for t, a, b in held if t == s and a < p < b]
+            want += [(s, p, *min(around)[1:])] if around else []
+    found = st.enclosing(spark.createDataFrame(pos, "pos int"), pairs)
+    assert rows(found, "struct", "pos", "end5", "end3") == sorted(want)
+    assert "min_by" not in plan(found)
