@@ -47,7 +47,7 @@ def stems(pairs: DataFrame) -> DataFrame:
 
 def wfmi(a: DataFrame, b: DataFrame, positions: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     """key, wfmi: weighted Fowlkes-Mallows index of two structures over the positions (key, pos)."""
-    j = positions.select(*key, "pos").join(a.select(*key, "pos", F.col("partner").alias("x")), [*key, "pos"], "left").join(b.select(*key, "pos", F.col("partner").alias("y")), [*key, "pos"], "left")
+    j = positions.select(*key, "pos").join(a.select(*key, "pos", F.col("partner").alias("x")).hint("merge"), [*key, "pos"], "left").join(b.select(*key, "pos", F.col("partner").alias("y")).hint("merge"), [*key, "pos"], "left")
     s = j.groupBy(*key).agg(F.count_if(F.expr("x is null and y is null")).alias("u"), F.count_if(F.expr("x is not null or y is not null")).alias("p"), F.count("x").alias("n1"), F.count("y").alias("n2"), F.count_if(F.expr("x = y")).alias("n12"))
     fmi = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.col("n12") / F.sqrt(F.col("n1") * F.col("n2"))).otherwise(0.0)
     share = ratio(F.col("u"), F.col("u") + F.col("p"))

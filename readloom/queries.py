@@ -491,7 +491,7 @@ def wfmi(spark, sf):
     """Each structure against the next."""
     p = rm.pairs(spark, sf)
     a, b = p.withColumnRenamed("struct", "key"), p.withColumn("key", F.col("struct") - 1).drop("struct")
-    keys = a.select("key").distinct().join(b.select("key").distinct(), "key")
+    keys = a.select("key").distinct().join(b.select("key").distinct().hint("merge"), "key")
     every = keys.crossJoin(F.broadcast(rm.positions(spark)))  # as many rows as structures by positions
     return st.wfmi(a, b, every, ["key"]).withColumn("wfmi", F.round("wfmi", 9))
 

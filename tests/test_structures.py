@@ -60,3 +60,17 @@ def test_enclosing(spark):
     found = st.enclosing(spark.createDataFrame(pos, "pos int"), pairs)
     assert rows(found, "struct", "pos", "end5", "end3") == sorted(want)
     assert "min_by" not in plan(found)
+
+
+def test_wfmi_without_broadcast(spark):
+    """Tables of pairs are merged by key and position, however small Spark takes them for."""
+    held, pairs = made(spark, 4)
+    a, b = pairs.withColumnRenamed("struct", "key"), pairs.select((F.col("struct") - 1).alias("key"), "pos", "partner")
+    every = spark.range(12).crossJoin(spark.range(1, 31).toDF("pos")).select(F.col("id").alias("key"), F.col("pos").cast("int").alias("pos"))
+    found = st.wfmi(a, b, every, ["key"])
+    assert "BroadcastHashJoin" not in plan(found)
+    own = {s: {(p, q) for t, p, q in held if t == s} for s in range(14)}
+    for key, x in rows(found, "key", "wfmi"):
+        m, n = own[key], own[key + 1]
+        share = 1 - len({p for p, _ in m | n}) / 30
+        assert abs(x - (share + (1 - share) * (len(m & n) / (len(m) * len(n)) ** 0.5 if m and n else 0))) < 1e-12
