@@ -10,6 +10,9 @@ IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG"
 #: CIGAR operations that use up the reference, the read, and those that are mutations.
 REF_OPS, READ_OPS, MUT_OPS = "MDN=X", "MIS=X", "IDX"
 
+#: Letters of a piece that k-mers are taken from.
+PIECE = 64
+
 
 def revcomp(seq: Column) -> Column:
     """Reverse complement; N stays."""
@@ -36,9 +39,11 @@ def clean(seq: Column) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    """Array of all k-mers in order; empty if the sequence is shorter."""
-    n = F.length(seq) - (k - 1)
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """Array of all k-mers in order; empty if the sequence is shorter. Substrings are counted off from a string's beginning, so
+    they are taken from short pieces, each of which reaches k - 1 letters into the next."""
+    pieces = F.filter(F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{1,{PIECE + k - 1}}})).{{1,{PIECE}}}"), F.lit(1)), lambda p: F.length(p) >= k)
+    within = lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (k - 1)), lambda i: F.substring(p, i, F.lit(k)))
+    return F.coalesce(F.flatten(F.transform(pieces, within)), F.array().cast("array<string>"))
 
 
 def positions(refs: DataFrame, first: int = 1) -> DataFrame:
