@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch_path
 from . import bias
 
 #: Positions of a region for which shares of end pairs are held on the driver (3.2 GB at this many).
@@ -541,12 +542,65 @@ def _side(frame: pd.DataFrame, params: Params) -> np.ndarray:
     return out
 
 
+class _Mixture:
+    """The search for the shares of cluster pairs, free ones or products of both sides', that make the likelihoods given likeliest. A
+    round of EM is a pass over the reads; after every second one the shares go on as far as the last two rounds say (SQUAREM), and back
+    to the best ones if that was too far. It has settled when a plain round gains less than the tolerance."""
+
+    def __init__(self, k: int, other: int, free: bool, tolerance: float):
+        self.free, self.tolerance = free, tolerance
+        self.pi = self.best = np.full((k, other), 1 / (k * other))
+        self.like, self.settled = -np.inf, False
+        self._steps, self._ahead = [self.pi], False
+
+    def take(self, like: float, resp: np.ndarray) -> None:
+        """The log likelihood of the shares that were tried, and the reads' mean weights by them."""
+        if self.settled:
+            return
+        if like < self.like and self._ahead:  # gone too far
+            self.pi, self._ahead = self._after, False
+            self._steps = [self.pi]
+            return
+        self.settled = not self._ahead and like - self.like < self.tolerance
+        shares = resp if self.free else np.outer(resp.sum(axis=1), resp.sum(axis=0))
+        self.like, self.best = like, shares
+        self.pi, self._after, self._ahead = shares, shares, False
+        self._steps.append(shares)
+        if len(self._steps) == 3:
+            a, b, c = self._steps
+            r, v = b - a, (c - b) - (b - a)
+            far = np.linalg.norm(r) / max(np.linalg.norm(v), 1e-300)
+            if 1 < far < 1e6 and not self.settled:
+                ahead = np.maximum(a + 2 * far * r + far**2 * v, 1e-12)
+                ahead /= ahead.sum()
+                self.pi = ahead if self.free else np.outer(ahead.sum(axis=1), ahead.sum(axis=0))
+                self._ahead = True
+            self._steps = [self.pi]
+
+
+def _written_sides(uniq: DataFrame, gaps: list[tuple[Params, Params]], tested: list[int], across: Callable[[int], Column]) -> DataFrame:
+    """gap, joint: for each gap and each unique read that reaches across it, the log likelihoods of its mutations by the pair of
+    clusters. They are the same in every round, so they are written once."""
+
+    def run(frames):
+        for frame in frames:
+            for i, part in frame.groupby("gap", sort=False):
+                left, right = gaps[i]
+                joint = _side(part, left)[:, :, None] + _side(part, right)[:, None, :]
+                yield pd.DataFrame({"gap": part["gap"].to_numpy(), "joint": list(joint.reshape(len(part), -1))})
+
+    met = uniq.select("end5", "end3", "muts", "n", F.explode(F.array_compact(F.array(*[F.when(across(i), F.lit(i)) for i in tested]))).alias("gap"))
+    path = scratch_path(uniq.sparkSession, "sides")
+    met.mapInPandas(run, "gap int, joint array<double>").write.parquet(path)
+    return uniq.sparkSession.read.schema("gap int, joint array<double>").parquet(path)
+
+
 def gap_tests(uniq: DataFrame, gaps: list[tuple[Params, Params]], min_assoc: float = 0.1, rounds: int = 500, tolerance: float = 1e-4, column: str | None = None, groups: list | None = None) -> list[dict]:
     """Whether the clusters on both sides of each gap go independently. Each unique read that reaches into both domains has the
     likelihoods of its mutations there; mixtures of independent and of free shares of cluster pairs are fitted to these,
-    one pass a round for all gaps. A gap is spurious (``passed`` false) if the free mixture has the lower BIC and its shares
-    lie further than ``min_assoc`` from independent ones. ``uniq``: unique reads over everything; with several regions,
-    ``groups`` names each gap's one in ``column``."""
+    one pass a round for all gaps over the likelihoods, which are written once. A gap is spurious (``passed`` false) if the
+    free mixture has the lower BIC and its shares lie further than ``min_assoc`` from independent ones. ``uniq``: unique
+    reads over everything; with several regions, ``groups`` names each gap's one in ``column``."""
     groups = groups or [None] * len(gaps)
     out: list[dict] = [{"passed": True, "reason": "one cluster on a side"} for _ in gaps]
     tested = [i for i, (left, right) in enumerate(gaps) if min(left.k, right.k) > 1]
@@ -557,40 +611,37 @@ def gap_tests(uniq: DataFrame, gaps: list[tuple[Params, Params]], min_assoc: flo
         for i in tested:
             out[i] = {"passed": True, "reason": "too few reads reach across", "n": n[f"n{i}"]}
         tested = [i for i in tested if n[f"n{i}"] >= gaps[i][0].k * gaps[i][1].k]
+    if not tested:
+        return out
+    sides = _written_sides(uniq, gaps, tested, across)
 
     def sums(frames, models: dict[int, list[np.ndarray]]):
         total: dict[tuple[int, int], np.ndarray] = {}
         for frame in frames:
-            for i, both in models.items():
-                left, right = gaps[i]
-                mask = (frame["end5"] <= left.pos[-1]) & (frame["end3"] >= right.pos[0])
-                part = frame[mask if column is None else mask & (frame[column] == groups[i])]
-                if not len(part):
-                    continue
-                joint = _side(part, left)[:, :, None] + _side(part, right)[:, None, :]
-                for m, pi in enumerate(both):
-                    resp, marginal = responsibilities((joint + np.log(np.maximum(pi, 1e-300))).reshape(len(part), -1))
-                    total[i, m] = total.get((i, m), 0) + np.r_[marginal.sum(), resp.sum(axis=0)]
+            for i, part in frame.groupby("gap", sort=False):
+                if i in models:
+                    joint = np.concatenate(part["joint"].to_list()).reshape(len(part), -1)
+                    for m, pi in enumerate(models[i]):
+                        resp, marginal = responsibilities(joint + np.log(np.maximum(pi, 1e-300)).ravel())
+                        total[i, m] = total.get((i, m), 0) + np.r_[marginal.sum(), resp.sum(axis=0)]
         yield pd.DataFrame([(i, m, cell, float(v)) for (i, m), x in total.items() for cell, v in enumerate(x)], columns=["gap", "model", "cell", "value"]).astype({"gap": "int32", "model": "int32", "cell": "int32", "value": "float64"})
 
-    models = {i: [np.full((gaps[i][0].k, gaps[i][1].k), 1 / (gaps[i][0].k * gaps[i][1].k))] * 2 for i in tested}
-    before: dict[int, list[float]] = {}
+    searches = {i: [_Mixture(gaps[i][0].k, gaps[i][1].k, free, tolerance) for free in (False, True)] for i in tested}
     for _ in range(rounds):
-        if not models:
+        if not searches:
             break
-        found = {(r["gap"], r["model"], r["cell"]): r["value"] for r in uniq.mapInPandas(lambda f, now=dict(models): sums(f, now), "gap int, model int, cell int, value double").groupBy("gap", "model", "cell").agg(F.sum("value").alias("value")).collect()}
-        for i in list(models):
+        models = {i: [x.pi for x in both] for i, both in searches.items()}
+        found = {(r["gap"], r["model"], r["cell"]): r["value"] for r in sides.mapInPandas(lambda f, now=models: sums(f, now), "gap int, model int, cell int, value double").groupBy("gap", "model", "cell").agg(F.sum("value").alias("value")).collect()}
+        for i, both in list(searches.items()):
             (left, right), n = gaps[i], out[i]["n"]
-            cells = [np.array([found[i, m, c + 1] for c in range(left.k * right.k)]).reshape(left.k, right.k) / n for m in (0, 1)]
-            now = [found[i, 0, 0], found[i, 1, 0]]
-            product, free = np.outer(cells[0].sum(axis=1), cells[0].sum(axis=0)), cells[1]
-            bic = [-2 * now[0] + (left.k + right.k - 2) * np.log(n), -2 * now[1] + (left.k * right.k - 1) * np.log(n)]
+            for m, search in enumerate(both):
+                search.take(found[i, m, 0], np.array([found[i, m, c + 1] for c in range(left.k * right.k)]).reshape(left.k, right.k) / n)
+            product, free = both[0].best, both[1].best
+            bic = [-2 * both[0].like + (left.k + right.k - 2) * np.log(n), -2 * both[1].like + (left.k * right.k - 1) * np.log(n)]
             assoc = float(np.abs(free - product).max())
             out[i] = {"passed": not (bic[1] < bic[0] and assoc > min_assoc), "n": n, "coupling": float(bic[0] - bic[1]), "assoc": assoc}
-            if i in before and max(a - b for a, b in zip(now, before[i], strict=True)) < tolerance:
-                del models[i]
-            else:
-                models[i], before[i] = [product, free], now
+            if all(x.settled for x in both):
+                del searches[i]
     return out
 
 

@@ -56,8 +56,9 @@ class Scan:
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
+    """Written once, for the many passes to come, in files for all cores."""
     path = tables.scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    tables.dealt(df, "uid").write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -579,8 +579,9 @@ def m_step(spark, sf):
 
 
 def _written(spark, df, name):
+    """Unique reads written once, for the many passes to come, in files for all cores."""
     path = tables.scratch_path(spark, name)
-    df.write.parquet(path)
+    tables.dealt(df, "uid").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

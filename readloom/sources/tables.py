@@ -20,6 +20,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt anew, by keys or in turn, to all cores and in no fewer parts than a shuffle has: where few rows mean much work each,
+    one block of a file or what adaptive execution has put together would be a single task."""
+    n = max(2 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def write_table(table: DataFrame, path: str, digits: int = 6, by: tuple[str, ...] = ()) -> None:
     """CSV with a header, fractions rounded, in folders by key columns if there are any."""
     rounded = table.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in table.dtypes])
