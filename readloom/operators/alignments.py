@@ -7,14 +7,15 @@ of the job: it keeps its reason in the column ``error``, and all others go on.
 
 from __future__ import annotations
 
+import functools
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codes
-from ..functions.sequences import cigar
+from ..functions.sequences import REF_OPS, cigar
 
 _OPS = re.compile(r"(\d+)([MIDNSHP=X])")
 SEGS, MUTS = "array<struct<end5:int,end3:int>>", "array<struct<pos:int,rel:int>>"
@@ -172,6 +173,49 @@ def walk(seq: str, qual: str, pos: int, cig: str, ref: str, min_phred: int, clip
     return [(a, b) for a, b in cut if a <= b], {p: c for p, c in rels.items() if first <= p <= last}
 
 
+#: Walks that a Python worker remembers.
+WALKS = 1 << 17
+WALKED = f"struct<segs:{SEGS},muts:{MUTS}>"
+
+
+@functools.lru_cache(WALKS)
+def _span(cig: str) -> int:
+    return sum(int(n) for n, op in _OPS.findall(cig) if op in REF_OPS)
+
+
+@functools.lru_cache(WALKS)
+def _walked(seq: str, cig: str, ref: str, clip5: int, clip3: int, ambiguous: bool, insert3: bool) -> tuple[tuple, tuple, tuple, tuple]:
+    """walk() of a read whose unsure bases are N along that part of the reference it lies on, as columns: first and last positions of
+    segments, positions and codes, from 1. Reads of an amplicon differ in few places, and those that are alike are walked once."""
+    segs, rels = walk(seq, "I" * len(seq), 1, cig, ref, 0, clip5, clip3, ambiguous, insert3)
+    first, last = zip(*segs) if segs else ((), ())
+    places, said = zip(*sorted(rels.items())) if rels else ((), ())
+    return first, last, places, said
+
+
+def _walker(min_phred: int, *options):
+    """walk() as an expression of seq, qual, pos, cigar and refseq; null where seq is null. A base of low quality says what N says."""
+    least = chr(33 + min_phred)
+
+    def sure(seq: str, qual: str) -> str:
+        return seq if min(qual) >= least else "".join(b if q >= least else "N" for b, q in zip(seq, qual, strict=True))
+
+    def lists(kept: list[tuple[int, tuple]], a: int, b: int, names: tuple[str, str]) -> pa.Array:
+        offsets = [0]
+        for _, x in kept:
+            offsets.append(offsets[-1] + len(x[a]))
+        placed = lambda c: [v + before for before, x in kept for v in x[c]]
+        fields = [pa.array(placed(a), pa.int32()), pa.array(placed(b) if b != 3 else [v for _, x in kept for v in x[3]], pa.int32())]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, list(names)))
+
+    def run(seq: pa.Array, qual: pa.Array, pos: pa.Array, cig: pa.Array, ref: pa.Array) -> pa.Array:
+        none = ((), (), (), ())
+        found = [(0, none) if s is None else (p - 1, _walked(sure(s, q), c, r[p - 1 : p - 1 + _span(c)], *options)) for s, q, p, c, r in zip(*(x.to_pylist() for x in (seq, qual, pos, cig, ref)), strict=True)]
+        return pa.StructArray.from_arrays([lists(found, 0, 1, ("end5", "end3")), lists(found, 2, 3, ("pos", "rel"))], ["segs", "muts"])
+
+    return F.arrow_udf(run, WALKED)
+
+
 def _total(ops: str) -> Column:
     return F.aggregate(F.regexp_extract_all("cigar", F.lit(rf"(\d+)[{ops}]"), F.lit(1)), F.lit(0), lambda acc, n: acc + n.cast("int"))
 
@@ -196,8 +240,9 @@ def problem() -> Column:
     )
 
 
-def _plain(sound: DataFrame, min_phred: int, clip5: int, clip3: int) -> DataFrame:
-    """segs and muts of alignments without indels, by expressions alone: nothing is shuffled, and no Python runs."""
+def _plain(held: DataFrame, where: Column, min_phred: int, clip5: int, clip3: int) -> tuple[DataFrame, Column, Column]:
+    """The alignments, and segs and muts of those of them ``where`` there is no indel, by expressions alone: nothing is
+    shuffled, and no Python runs."""
     ops = F.regexp_extract_all("cigar", F.lit(r"\d+[MNS=X]"), F.lit(0))
     kind, n = lambda t: F.substring(t, -1, 1), lambda t: F.regexp_extract(t, r"\d+", 0).cast("int")
     block = "struct<ref:int,read:int,n:int>"
@@ -212,17 +257,17 @@ def _plain(sound: DataFrame, min_phred: int, clip5: int, clip3: int) -> DataFram
         lambda acc: acc["out"],
     )
     low = "[" + "".join(re.escape(chr(c)) for c in range(33, 33 + min_phred)) + "]"
-    row = sound.withColumn("_blocks", walked)
+    row = held.withColumn("_blocks", F.when(where, walked))
 
     def mutated(b: Column) -> Column:
         refs, bases, quals = (F.substring(F.col(c), b[k], b["n"]) for c, k in (("refseq", "ref"), ("seq", "read"), ("qual", "read")))
         even = (refs == bases) & ~refs.contains("N")
         even = even & ~quals.rlike(low) if min_phred > 0 else even
-        each = F.transform(
-            F.arrays_zip(F.split(refs, "").alias("r"), F.split(bases, "").alias("b"), F.split(quals, "").alias("q")),
-            lambda x, i: F.struct((b["ref"] + i).cast("int").alias("pos"), codes.encode(x["r"], x["b"], F.ascii(x["q"]) - 33, min_phred).cast("int").alias("rel")),
-        )
-        return F.when(even, F.array().cast(MUTS)).otherwise(F.filter(each, lambda m: m["rel"] != codes.MATCH))
+        each = F.arrays_zip(F.sequence(F.lit(0), b["n"] - 1).alias("i"), F.split(refs, "").alias("r"), F.split(bases, "").alias("b"), F.split(quals, "").alias("q"))
+        phred = lambda x: F.ascii(x["q"]) - 33
+        other = F.filter(each, lambda x: (x["r"] != x["b"]) | ~x["r"].isin(*codes.SUBS) | (phred(x) < min_phred))  # all else are matches, and most are
+        said = F.transform(other, lambda x: F.struct((b["ref"] + x["i"]).cast("int").alias("pos"), codes.encode(x["r"], x["b"], phred(x), min_phred).cast("int").alias("rel")))
+        return F.when(even, F.array().cast(MUTS)).otherwise(said)
 
     # neighbouring blocks (runs of =, X and M) are one segment; introns part them
     def join(acc: Column, b: Column) -> Column:
@@ -236,30 +281,21 @@ def _plain(sound: DataFrame, min_phred: int, clip5: int, clip3: int) -> DataFram
     row = row.withColumn("_segs", segs).withColumn("_muts", muts)
     first, last = F.get("_segs", F.lit(0))["end5"] + clip5, F.get("_segs", F.size("_segs") - 1)["end3"] - clip3
     cut = F.filter(F.transform("_segs", lambda s: F.struct(F.greatest(s["end5"], first).alias("end5"), F.least(s["end3"], last).alias("end3"))), lambda s: s["end5"] <= s["end3"])
-    return row.select("name", "ref", "flag", cut.cast(SEGS).alias("segs"), F.filter("_muts", lambda m: m["pos"].between(first, last)).cast(MUTS).alias("muts"), F.lit(None).cast("string").alias("error"))
+    return row, cut.cast(SEGS), F.filter("_muts", lambda m: m["pos"].between(first, last)).cast(MUTS)
 
 
 def identify(sam: DataFrame, refs: DataFrame, min_mapq: int = 25, min_phred: int = 25, clip5: int = 0, clip3: int = 0, ambiguous: bool = True, insert3: bool = True) -> DataFrame:
     """name, ref, flag, segs (array of end5, end3), muts (array of pos, rel), error of every alignment that is mapped well
     enough. Those with an error have neither segments nor mutations. The references, one row each, meet the alignments
-    by name."""
-
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for name, ref, flag, pos, cig, seq, qual, refseq in zip(*(frame[c] for c in ("name", "ref", "flag", "pos", "cigar", "seq", "qual", "refseq")), strict=True):
-                segs, rels = walk(seq, qual, pos, cig, refseq, min_phred, clip5, clip3, ambiguous, insert3)
-                rows.append((name, ref, flag, [{"end5": a, "end3": b} for a, b in segs], [{"pos": p, "rel": c} for p, c in sorted(rels.items())], None))
-            yield pd.DataFrame(rows, columns=["name", "ref", "flag", "segs", "muts", "error"])
-
+    by name. All is one pass, and what of it is not asked for is not done."""
     mapped = sam.where((F.col("mapq") >= min_mapq) & (F.col("flag").bitwiseAND(F.lit(4)) == 0)).select(F.col("name").cast("string").alias("name"), "ref", "flag", "pos", "cigar", "seq", "qual")
     held = mapped.join(refs.select("ref", F.col("seq").alias("refseq")), "ref", "left").withColumn("error", problem())
-    bad = held.where("error is not null").select("name", "ref", "flag", F.array().cast(SEGS).alias("segs"), F.array().cast(MUTS).alias("muts"), "error")
-    indel = F.col("cigar").rlike("[ID]")
-    sound = held.where("error is null").drop("error")
-    ref_type = dict(refs.dtypes)["ref"]
-    walked = sound.where(indel).mapInPandas(run, f"name string, ref {ref_type}, flag int, segs {SEGS}, muts {MUTS}, error string")
-    return _plain(sound.where(~indel), min_phred, clip5, clip3).unionByName(walked).unionByName(bad)
+    sound, indel = F.col("error").isNull(), F.col("cigar").rlike("[ID]")
+    row, segs, muts = _plain(held, sound & ~indel, min_phred, clip5, clip3)
+    walker = _walker(min_phred, clip5, clip3, ambiguous, insert3)
+    row = row.withColumn("_walked", walker(*[F.when(sound & indel, F.col(c)) for c in ("seq", "qual", "pos", "cigar", "refseq")]))
+    walked = sound & indel
+    return row.select("name", "ref", "flag", *[F.when(~sound, F.array().cast(t)).when(walked, F.col(f"_walked.{c}")).otherwise(x).alias(c) for c, t, x in (("segs", SEGS, segs), ("muts", MUTS, muts))], "error")
 
 
 def pair(identified: DataFrame, overhangs: bool = True) -> DataFrame:
@@ -271,8 +307,10 @@ def pair(identified: DataFrame, overhangs: bool = True) -> DataFrame:
     proper = bit(1) & bit(2)
     mate = F.when(bit(1) & bit(128), 2).otherwise(1)
     read = F.concat_ws("/", F.col("ref").cast("string"), "name", F.when(bit(1) & ~bit(2), mate.cast("string")))
-    row = F.struct(mate.alias("mate"), bit(64).alias("first"), bit(128).alias("second"), bit(16).alias("reverse"), "segs", "muts", "error")
-    grouped = identified.select(read.alias("read"), "ref", proper.alias("proper"), row.alias("x")).groupBy("read", "ref", "proper").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    # a read's flags, and apart from them its content: where reasons alone are asked for, no content is made or moved
+    flags = F.struct(mate.alias("mate"), bit(64).alias("first"), bit(128).alias("second"), bit(16).alias("reverse"), F.col("error").isNull().alias("sound"), "error")
+    each = identified.select(read.alias("read"), "ref", proper.alias("proper"), flags.alias("x"), F.struct(mate.alias("mate"), "segs", "muts").alias("c"))
+    grouped = each.groupBy("read", "ref", "proper").agg(F.array_sort(F.collect_list("x")).alias("xs"), F.array_sort(F.collect_list("c")).alias("cs"))
     a, b, n = F.col("xs")[0], F.col("xs")[F.size("xs") - 1], F.size("xs")
     reason = (
         F.when(F.coalesce(a["error"], b["error"]).isNotNull(), F.coalesce(a["error"], b["error"]))
@@ -281,7 +319,8 @@ def pair(identified: DataFrame, overhangs: bool = True) -> DataFrame:
         .when(F.col("proper") & ~(a["first"] & ~a["second"] & b["second"] & ~b["first"]), "the mates are not a first and a second one")
         .when(F.col("proper") & (a["reverse"] == b["reverse"]), "the mates have the same direction")
     )
-    out = grouped.select("read", "ref", "proper", reason.alias("error"), F.when(a["reverse"] & F.col("proper"), b).otherwise(a).alias("f"), F.when(a["reverse"] & F.col("proper"), a).otherwise(b).alias("r"))
+    one, two, turned = F.col("cs")[0], F.col("cs")[F.size("cs") - 1], a["reverse"] & F.col("proper")
+    out = grouped.select("read", "ref", "proper", reason.alias("error"), F.when(turned, two).otherwise(one).alias("f"), F.when(turned, one).otherwise(two).alias("r"))
     f_segs, r_segs = F.col("f.segs"), F.col("r.segs")
     if not overhangs:
         end3, end5 = F.array_max(F.transform(r_segs, lambda s: s["end3"])), F.array_min(F.transform(f_segs, lambda s: s["end5"]))

@@ -735,7 +735,7 @@ REFSEQ = "ACGTTGCAACGGTTCA" * 10
 def _aligned(spark, sf):
     """An alignment for each line item: a part of the reference, then another part, with an indel between or none. The given
     table is one block of a file; alignments come in many, so they are dealt to all cores."""
-    li = rm.table(spark, sf, "lineitem").repartition(2 * spark.sparkContext.defaultParallelism, "l_orderkey", "l_linenumber")
+    li = tables.dealt(rm.table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
     a, b = (5 + F.col("l_orderkey") % 7).cast("int"), (6 + F.col("l_partkey") % 5).cast("int")
     cut = lambda at, n: F.substring(F.lit(REFSEQ), (F.col(at) % 90 + 1).cast("int"), n)
     cigar = F.when(F.col("l_linenumber") % 3 == 0, F.concat(a.cast("string"), F.lit("M1D"), b.cast("string"), F.lit("M"))).when(F.col("l_linenumber") % 3 == 1, F.concat(a.cast("string"), F.lit("M2I"), (b - 2).cast("string"), F.lit("M"))).otherwise(F.concat((a + b).cast("string"), F.lit("M")))

@@ -1,8 +1,10 @@
 """Queries that were too slow or too large at size: what a task holds, and how often reads are passed over."""
 
 import numpy as np
+import pyarrow as pa
 
-from readloom import queries_clusters
+from readloom import queries, queries_clusters
+from readloom.operators import alignments
 from readloom.plans import clustering
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +40,23 @@ def test_shares_of_cluster_pairs_settle_in_few_passes():
             passes += 1
         assert passes < plain / 2 and search.like >= now - 1e-6
         assert np.abs(search.best - pi).max() < 1e-3
+
+
+def test_reasons_alone_walk_no_read(spark):
+    refs = queries._reference(spark)
+    identified = alignments.identify(queries._aligned(spark, SF), refs)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan(alignments.pair(identified))
+    assert "ArrowEvalPython" not in plan(alignments.rejected(alignments.pair(identified)))
+
+
+def test_reads_that_are_alike_are_walked_once(monkeypatch):
+    seen = []
+    monkeypatch.setattr(alignments, "walk", lambda *a: seen.append(a) or ([(1, 4)], {2: 2}))
+    alignments._walked.cache_clear()
+    run = alignments._walker(25, 0, 0, True, True).func
+    columns = [pa.array(x) for x in (["ACG", "ACG", "ACG", None], ["III", "III", "I!I", None], [5, 9, 5, None], ["1M1D2M", "1M1D2M", "1M1D2M", None], ["TTTTATCGATCG"] * 3 + [None])]
+    got = run(*columns).to_pylist()
+    alignments._walked.cache_clear()
+    assert [x[0] for x in seen] == ["ACG", "ANG"]  # a base of low quality is N; the third has one
+    assert got[:2] == [{"segs": [{"end5": p, "end3": p + 3}], "muts": [{"pos": p + 1, "rel": 2}]} for p in (5, 9)] and got[3] == {"segs": [], "muts": []}
