@@ -93,14 +93,15 @@ def _base_counts(positions: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def bases_per_read(segments: DataFrame, positions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """by, read, A ... N: covered positions of each base. Running counts per base at the ends of each island, so rows are
-    per island, not per position."""
-    span = positions.groupBy(*by).agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
-    cum = _base_counts(positions, by)
+    per island, not per position. These counts are as many as positions, however many reads there are, and go to the reads: few
+    ends that many reads have would else gather in few tasks."""
+    span = F.broadcast(positions.groupBy(*by).agg(F.min("pos").alias("_first"), F.max("pos").alias("_last")))
+    cum = F.broadcast(_base_counts(positions, by))
     spans = islands(segments, [*by, "read"])
-    spans = spans.join(span, list(by)) if by else spans.join(F.broadcast(span))  # one row
+    spans = spans.join(span, list(by)) if by else spans.join(span)
     cut = spans.select(*by, "read", F.greatest("end5", "_first").alias("end5"), F.least("end3", "_last").alias("end3")).where("end5 <= end3")
     high = cut.join(cum.withColumnRenamed("pos", "end3"), [*by, "end3"])
-    low = cum.select(*by, (F.col("pos") + 1).alias("end5"), *[F.col(f"c{b}").alias(f"l{b}") for b in codes.BASES])
+    low = F.broadcast(cum.select(*by, (F.col("pos") + 1).alias("end5"), *[F.col(f"c{b}").alias(f"l{b}") for b in codes.BASES]))
     return high.join(low, [*by, "end5"], "left").groupBy(*by, "read").agg(*[F.sum(F.col(f"c{b}") - F.coalesce(f"l{b}", F.lit(0))).alias(b) for b in codes.BASES])
 
 

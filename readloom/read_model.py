@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sources.tables import dealt
+from .sources.tables import by_key, dealt
 
 LENGTH = 120
 
@@ -23,7 +23,8 @@ def positions(spark: SparkSession) -> DataFrame:
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coded(table(spark, sf_dir, "lineitem"))
+    lineitem = table(spark, sf_dir, "lineitem")
+    return by_key(coded(lineitem), lineitem, "read")
 
 
 def coded(lineitem: DataFrame) -> DataFrame:

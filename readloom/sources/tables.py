@@ -27,6 +27,16 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+#: Rows of a part of by_key().
+ROWS = 1 << 20
+
+
+def by_key(df: DataFrame, size: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys to as many parts as ``size``, the table they come from, has millions of rows (and no fewer than a
+    shuffle has), so what a task sorts or holds does not grow with the table. What is grouped and joined by these keys stays in its part."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size.count() // ROWS)), *keys)
+
+
 def write_table(table: DataFrame, path: str, digits: int = 6, by: tuple[str, ...] = ()) -> None:
     """CSV with a header, fractions rounded, in folders by key columns if there are any."""
     rounded = table.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in table.dtypes])

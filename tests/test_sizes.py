@@ -3,9 +3,10 @@
 import numpy as np
 import pyarrow as pa
 
-from readloom import queries, queries_clusters
+from readloom import queries, queries_clusters, read_model
 from readloom.operators import alignments, profiles
 from readloom.plans import clustering
+from readloom.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,3 +68,9 @@ def test_rolling_gini_deals_no_row_to_other_centres(spark):
     found = profiles.rolling_gini(rows, ["key"], 3)
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["pos"], r["gini"] and round(r["gini"], 9)) for r in found.collect()) == [(1, 0.0), (2, 0.333333333), (3, 0.0), (20, None)]
+
+
+def test_parts_of_reads_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS", 500)
+    rows = read_model.table(spark, SF, "lineitem").count()
+    assert read_model.raw(spark, SF).rdd.getNumPartitions() == -(-rows // 500)
