@@ -123,9 +123,11 @@ def fit_counts(counted: DataFrame, patterns: dict, key: Sequence[str]) -> DataFr
     return counted.groupBy(*key).agg(*sums)
 
 
-def _fitted(counted: DataFrame, every: DataFrame, patterns: dict | None, key: Sequence[str]) -> DataFrame:
+def _fitted(counted: DataFrame, every: DataFrame | None, patterns: dict | None, key: Sequence[str]) -> DataFrame:
+    """By each key of ``every``, or of what is counted."""
     patterns = patterns or codes.named()
-    out = every.join(fit_counts(counted, patterns, key), list(key), "left")
+    out = fit_counts(counted, patterns, key)
+    out = out if every is None else every.join(out, list(key), "left")
     columns = [F.coalesce(F.col(f"{n}_fit"), F.lit(0)).cast("long").alias(n.replace("-", "_")) for n in patterns]
     return out.select(*key, *columns).withColumn("Informative", F.col("Matched") + F.col("Mutated"))
 
@@ -141,7 +143,7 @@ def read_table(segments: DataFrame, muts: DataFrame, positions: DataFrame, patte
     key = [*by, "read"]
     kept = muts.join(positions.select(*by, "pos"), [*by, "pos"], "left_semi")
     counted = codes_per_read(segments, kept, positions, by)
-    return _fitted(counted, counted.select(*key).distinct(), patterns, key)
+    return _fitted(counted, None, patterns, key)
 
 
 def ratios(table: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

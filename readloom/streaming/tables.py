@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..operators import reads
+from ..sources.tables import by_key
 
 #: Keys of each table; all other columns are counts, which add up. Reads are each in one batch, whole.
 KEYS = {"position": ["pos", "base", "rel"], "pair": ["pos_a", "pos_b"], "read": ["read"], "ends": ["end5", "end3"]}
@@ -51,6 +52,7 @@ class Tables:
         held = f"{self.path}/reads/batch={number}"
         batch.write.mode("overwrite").parquet(held)  # four tables read it
         batch = self._spark().read.schema(batch.schema).parquet(held)
+        batch = by_key(batch, batch, "read")  # what is grouped by reads stays in its part
         for name, part in self._of(batch).items():
             part.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={number}")
 

@@ -3,8 +3,8 @@
 import numpy as np
 import pyarrow as pa
 
-from readloom import queries, queries_clusters, read_model
-from readloom.operators import alignments, profiles
+from readloom import queries, queries_clusters, queries_tables, read_model
+from readloom.operators import alignments, profiles, reads
 from readloom.plans import clustering
 from readloom.sources import tables
 
@@ -74,3 +74,18 @@ def test_parts_of_reads_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(tables, "ROWS", 500)
     rows = read_model.table(spark, SF, "lineitem").count()
     assert read_model.raw(spark, SF).rdd.getNumPartitions() == -(-rows // 500)
+
+
+def test_read_table_passes_over_reads_once(spark):
+    table = reads.read_table(*queries.model(spark, SF))
+    assert table._jdf.queryExecution().optimizedPlan().toString().count("Union") == 1
+
+
+def test_stream_has_four_batches_of_files_that_grow_with_the_table(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(tables, "scratch_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    monkeypatch.setattr(tables, "ROWS", 500)
+    queries_tables._running(spark, SF, "position")
+    batches = sorted(tmp_path.glob("running/out/reads/batch=*"))
+    files = len(list(tmp_path.glob("running/in/*.parquet")))
+    assert len(batches) == 4 and files == -(-read_model.table(spark, SF, "lineitem").count() // 500)
+    assert sum(spark.read.parquet(f"file://{b}").count() for b in batches) == spark.read.parquet(f"file://{tmp_path}/running/in").count()
