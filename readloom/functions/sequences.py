@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ IUPAC = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG"
 #: CIGAR operations that use up the reference, the read, and those that are mutations.
 REF_OPS, READ_OPS, MUT_OPS = "MDN=X", "MIS=X", "IDX"
 
-#: Letters of a piece that k-mers are taken from.
-PIECE = 64
+#: Letters of a piece that k-mers are taken from, and of one whose letters become rows.
+PIECE, ROWS_PIECE = 64, 4096
+#: Stands for the letters that are looked for.
+MARK = "\x01"
 
 
 def revcomp(seq: Column) -> Column:
@@ -51,6 +55,17 @@ def positions(refs: DataFrame, first: int = 1) -> DataFrame:
     return refs.select("ref", F.posexplode(F.split("seq", ""))).where("col <> ''").select("ref", (F.col("pos") + first).alias("pos"), F.col("col").alias("base"))
 
 
+def runs(refs: DataFrame, base: str, least: int, first: int = 1) -> DataFrame:
+    """ref, seq -> ref, pos, base of the letters in runs of ``least`` or more of a base, as reads.mask_poly() finds them by position. Runs
+    are marked in the sequence itself: a letter that ``least`` - 1 more follow, or right after a marked one. So nothing is
+    shuffled or sorted, and only pieces with a mark become rows."""
+    letter = re.escape(base)
+    marked = F.regexp_replace("seq", f"{letter}(?={letter}{{{max(least, 1) - 1}}})|(?!^)\\G{letter}", MARK)
+    pieces = refs.where(F.contains("seq", F.lit(base * max(least, 1)))).select("ref", F.posexplode(F.regexp_extract_all(marked, F.lit(f"(?s).{{1,{ROWS_PIECE}}}"), F.lit(0))).alias("_i", "_piece"))
+    letters = pieces.where(F.contains("_piece", F.lit(MARK))).select("ref", "_i", F.posexplode(F.split("_piece", "")).alias("_j", "_letter")).where(F.col("_letter") == MARK)
+    return letters.select("ref", (F.col("_i") * ROWS_PIECE + F.col("_j") + first).alias("pos"), F.lit(base).alias("base"))
+
+
 def sequence_of(index: DataFrame) -> DataFrame:
     """ref, pos, base -> ref, seq; null where positions have gaps or repeats."""
     gathered = index.groupBy("ref").agg(F.array_sort(F.collect_list(F.struct("pos", "base"))).alias("p"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.count_distinct("pos").alias("n"))

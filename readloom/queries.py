@@ -211,7 +211,7 @@ RUNS = f"with {S}, chars as (select ref, i as pos, substr(seq, i, 1) as base fro
 
 @query("mask_polya", RUNS + ", g as (select ref, run, min(pos) as end5, max(pos) as end3, count(*) as n from r group by 1, 2) select r.ref, r.pos from r join g using (ref, run) where n >= 3")
 def mask_polya(spark, sf):
-    return reads.mask_poly(sq.positions(rm.sequences(spark, sf)), "A", 3, ["ref"]).select("ref", "pos")
+    return sq.runs(rm.sequences(spark, sf), "A", 3).select("ref", "pos")
 
 
 @query("reads_by_coverage", f"with {R} select read, cast(end3 - end5 + 1 as bigint) as cov from segs where end3 - end5 + 1 >= 40 and (end3 - end5 + 1) / 120.0 >= 0.5")

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from readloom import queries, queries_clusters, queries_tables, read_model
+from readloom.functions import sequences
 from readloom.operators import alignments, profiles, reads
 from readloom.plans import clustering
 from readloom.sources import tables
@@ -89,3 +90,20 @@ def test_stream_has_four_batches_of_files_that_grow_with_the_table(spark, monkey
     files = len(list(tmp_path.glob("running/in/*.parquet")))
     assert len(batches) == 4 and files == -(-read_model.table(spark, SF, "lineitem").count() // 500)
     assert sum(spark.read.parquet(f"file://{b}").count() for b in batches) == spark.read.parquet(f"file://{tmp_path}/running/in").count()
+
+
+def test_runs_of_a_base_are_found_without_a_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    seqs = ["", "AA", "AAA", "AAATAAAACA", "CAAAAA", None, *("".join(rng.choice(list("AAACGTN"), n)) for n in (50, 200, 999))]
+    refs = spark.createDataFrame(list(enumerate(seqs)), "ref long, seq string")
+    for piece, least in ((4096, 3), (7, 3), (7, 1), (7, 5)):
+        monkeypatch.setattr(sequences, "ROWS_PIECE", piece)
+        found = sequences.runs(refs, "A", least)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        want = reads.mask_poly(sequences.positions(refs), "A", least, ["ref"])
+        rows = lambda df: sorted(tuple(r) for r in df.select("ref", "pos", "base").collect())
+        assert rows(found) == rows(want) and rows(want)
+
+
+def test_mask_polya_shuffles_nothing(spark):
+    assert "Exchange" not in queries.mask_polya(spark, SF)._jdf.queryExecution().executedPlan().toString()
