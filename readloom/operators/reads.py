@@ -65,17 +65,28 @@ def coverage(segments: DataFrame, positions: DataFrame, by: Sequence[str] = (),
     array: two rows an island are summed per position before one running sum over the (few) positions."""
     spans = islands(segments, [*by, "read"])
     spans = spans.withColumn("weight", F.lit(1)) if weights is None else spans.join(weights, [*by, "read"])
-    joined = _steps(spans, by, F.col("weight")).join(positions.select(*by, "pos", "base"), [*by, "pos"], "full")
+    return _covered(spans, F.col("weight"), positions, by)
+
+
+def _covered(spans: DataFrame, weight: Column, positions: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, pos, base, n: the sum of the weights of the spans around each position."""
+    joined = _steps(spans, by, weight).join(positions.select(*by, "pos", "base"), [*by, "pos"], "full")
     running = joined.withColumn("n", F.sum(F.coalesce("d", F.lit(0))).over(Window.partitionBy(*by).orderBy("pos")))
     return running.where("base is not null").select(*by, "pos", "base", "n")
 
 
 def codes_per_position(segments: DataFrame, muts: DataFrame, positions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """by, pos, base, rel, n with matches (1) and uncovered reads (255) derived."""
-    covered = coverage(segments, positions, by)
-    explicit = muts.groupBy(*by, "pos", "base", "rel").agg(F.count("*").alias("n"))
+    return _with_derived(coverage(segments, positions, by), segments.groupBy(*by).agg(F.count_distinct("read").alias("reads")), code_counts(muts, by), by)
+
+
+def code_counts(muts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, pos, base, rel, n: mutations by what they are."""
+    return muts.groupBy(*by, "pos", "base", "rel").agg(F.count("*").alias("n"))
+
+
+def _with_derived(covered: DataFrame, total: DataFrame, explicit: DataFrame, by: Sequence[str]) -> DataFrame:
     rest = covered.join(explicit.groupBy(*by, "pos").agg(F.sum("n").alias("m")), [*by, "pos"], "left")
-    total = segments.groupBy(*by).agg(F.count_distinct("read").alias("reads"))
     matches = rest.select(*by, "pos", "base", F.lit(1).alias("rel"), (F.col("n") - F.coalesce("m", F.lit(0))).alias("n"))
     joined = rest.join(total, list(by)) if by else rest.join(F.broadcast(total))  # one row
     missing = joined.select(*by, "pos", "base", F.lit(255).alias("rel"), (F.col("reads") - F.col("n")).alias("n"))
@@ -138,6 +149,13 @@ def position_table(segments: DataFrame, muts: DataFrame, positions: DataFrame, p
     return _fitted(codes_per_position(segments, muts, positions, by), positions.select(*key), patterns, key)
 
 
+def position_table_of_counts(ends: DataFrame, explicit: DataFrame, positions: DataFrame, patterns: dict | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """position_table() of reads of one segment each, which end_counts() and code_counts() have counted; so they are not passed over again."""
+    key = [*by, "pos", "base"]
+    counted = _with_derived(_covered(ends, F.col("n"), positions, by), ends.groupBy(*by).agg(F.sum("n").alias("reads")), explicit, by)
+    return _fitted(counted, positions.select(*key), patterns, key)
+
+
 def read_table(segments: DataFrame, muts: DataFrame, positions: DataFrame, patterns: dict | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Counts of the ten relationships by read that covers a position, with Informative = Matched + Mutated."""
     key = [*by, "read"]

@@ -37,7 +37,13 @@ def coded(lineitem: DataFrame) -> DataFrame:
 
 
 def muts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw(spark, sf_dir).groupBy("read", "pos").agg(F.min("base").alias("base"), F.bit_or("c").cast("int").alias("rel")).where("rel <> 1")
+    return merged_codes(raw(spark, sf_dir), "read").where("rel <> 1")
+
+
+def merged_codes(raw: DataFrame, *key: str) -> DataFrame:
+    """key, pos, base, rel: the codes of each position of a read as one. The base follows from the position; as a key it leaves numbers
+    alone to be summed, which is done by hashing, while the least of strings is found by sorting all rows."""
+    return raw.groupBy(*key, "pos", "base").agg(F.bit_or("c").cast("int").alias("rel"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:

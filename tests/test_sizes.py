@@ -6,7 +6,7 @@ import pyarrow as pa
 from readloom import queries, queries_clusters, queries_tables, read_model
 from readloom.functions import sequences
 from readloom.operators import alignments, profiles, reads
-from readloom.plans import clustering
+from readloom.plans import bias, clustering
 from readloom.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -107,3 +107,21 @@ def test_runs_of_a_base_are_found_without_a_shuffle(spark, monkeypatch):
 
 def test_mask_polya_shuffles_nothing(spark):
     assert "Exchange" not in queries.mask_polya(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bias_of_reads_is_solved_from_counts(spark, monkeypatch):
+    held = {}
+    monkeypatch.setattr(bias, "unbias_tables", lambda table, ends, gap, by: held.update(table=table, ends=ends))
+    queries_tables._unbiased(spark, SF)
+    segs, muts, pos = queries_tables._by(spark, SF)
+    segs, muts = reads.collide(segs, muts, queries.MUT, 3, merge=False, by=queries_tables.BY)
+    want = reads.ratios(reads.position_table(segs, muts, pos, by=queries_tables.BY), ["Mutated"], queries_tables.BY)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(held["table"]) == rows(want) and rows(held["ends"]) == rows(reads.end_counts(segs, by=queries_tables.BY))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(pos" not in plan(held["table"]) and "lag(pos" in plan(want)  # gaps within reads are not looked for again
+
+
+def test_codes_of_reads_are_merged_without_sorting(spark):
+    assert "SortAggregate" not in read_model.muts(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in queries_tables._by(spark, SF)[1]._jdf.queryExecution().executedPlan().toString()
