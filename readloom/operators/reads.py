@@ -352,38 +352,38 @@ def confusion(segments: DataFrame, muts: DataFrame, positions: DataFrame, pat: t
     """by, pos_a, pos_b, n, a, b, ab: reads that cover both positions of a pair, and are mutated at either and at both; or
     the sums of their weights (by, read, weight).
 
-    Reads are first counted by their ends (n), or by a mutated position and one end (a, b). For a distance g, a read
-    covers the pairs that begin from its first position to g before its last one, which is a running sum over positions;
-    ab is a self-join of the mutations within a read. Nothing is joined but by equal keys. Each read counts as covering
-    from its first to its last position.
+    Reads are passed over once: each one's ends meet its mutated positions, and what it adds is counted by its ends (n), by a
+    mutated position and one end (a, b) and by two mutated positions (ab). For a distance g, a read covers the pairs that
+    begin from its first position to g before its last one, which is a running sum over positions. Positions that are not listed go
+    at the end, when the few counts meet the pairs. Each read counts as covering from its first to its last position.
     """
     ends = read_ends(segments, by)
     ends = ends.withColumn("weight", F.lit(1)) if weights is None else ends.join(weights, [*by, "read"])
-    hits = positive(muts, pat).join(positions.select(*by, "pos"), [*by, "pos"], "left_semi").select(*by, "read", "pos").distinct()
-    pairs = position_pairs(positions, min_gap, max_gap, by)
-
-    def gaps(room: Column) -> Column:
-        last = room if max_gap is None else F.least(room, F.lit(max_gap))
-        return F.explode(F.when(last > min_gap, F.sequence(F.lit(min_gap + 1), last)).otherwise(F.array().cast("array<int>")))
-
-    counted = ends.groupBy(*by, "end5", "end3").agg(F.sum("weight").alias("c")).select("*", gaps(F.col("end3") - F.col("end5")).alias("g"))
-    steps = _steps(counted, [*by, "g"], F.col("c"), "end5", F.col("end3") - F.col("g") + 1)
-    first, second = pairs.select(*by, F.col("pos_a").alias("pos"), (F.col("pos_b") - F.col("pos_a")).alias("g")), [*by, "g", "pos"]
-    running = steps.join(first.withColumn("_asked", F.lit(True)), second, "full").withColumn("n", F.sum(F.coalesce("d", F.lit(0))).over(Window.partitionBy(*by, "g").orderBy("pos")))
-    n = running.where("_asked").select(*by, F.col("pos").alias("pos_a"), (F.col("pos") + F.col("g")).alias("pos_b"), "n")
-    own = hits.join(ends, [*by, "read"])
-    a = own.groupBy(*by, "pos", "end3").agg(F.sum("weight").alias("c")).select(*by, "pos", "c", gaps(F.col("end3") - F.col("pos")).alias("g"))
-    a = a.groupBy(*by, F.col("pos").alias("pos_a"), (F.col("pos") + F.col("g")).alias("pos_b")).agg(F.sum("c").alias("a"))
-    b = own.groupBy(*by, "pos", "end5").agg(F.sum("weight").alias("c")).select(*by, "pos", "c", gaps(F.col("pos") - F.col("end5")).alias("g"))
-    b = b.groupBy(*by, (F.col("pos") - F.col("g")).alias("pos_a"), F.col("pos").alias("pos_b")).agg(F.sum("c").alias("b"))
-    listed = own.groupBy(*by, "read").agg(F.array_sort(F.collect_list("pos")).alias("ps"), F.first("weight").alias("w"))
-    near = lambda x: (x - F.col("pos_a") > min_gap) & ((x - F.col("pos_a") <= max_gap) if max_gap is not None else F.lit(True))
-    each = listed.select(*by, "w", F.explode("ps").alias("pos_a"), "ps").select(*by, "w", "pos_a", F.explode(F.filter("ps", near)).alias("pos_b"))
-    ab = each.groupBy(*by, "pos_a", "pos_b").agg(F.sum("w").alias("ab"))
-    key = [*by, "pos_a", "pos_b"]
-    out = pairs.join(n, key, "left").join(a, key, "left").join(b, key, "left").join(ab, key, "left")
+    found = positive(muts, pat).groupBy(*by, "read").agg(F.collect_set(F.col("pos").cast("int")).alias("ps"))
+    hits = F.coalesce("ps", F.array().cast("array<int>")).alias("ps")
+    held = ends.join(found, [*by, "read"], "left").select(*by, F.col("end5").cast("int").alias("end5"), F.col("end3").cast("int").alias("end3"), hits, "weight")
+    kinds = {"n": 0, "a": 1, "b": 2, "ab": 3}
+    within = lambda g: (g > min_gap) & ((g <= max_gap) if max_gap is not None else F.lit(True))
+    cell = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    of_ends = F.array(cell(kinds["n"], F.col("end5"), F.col("end3")))
+    of_hits = F.flatten(F.transform("ps", lambda p: F.array(cell(kinds["a"], p, F.col("end3")), cell(kinds["b"], F.col("end5"), p))))
+    of_both = F.flatten(F.transform("ps", lambda p: F.transform(F.filter("ps", lambda q: within(q - p)), lambda q: cell(kinds["ab"], p, q))))
+    counted = held.select(*by, "weight", F.explode(F.flatten(F.array(of_ends, of_hits, of_both))).alias("t")).groupBy(*by, "t.kind", "t.x", "t.y").agg(F.sum("weight").alias("c"))
+
+    room = F.col("y") - F.col("x")
+    last = room if max_gap is None else F.least(room, F.lit(max_gap))
+    gaps = F.when(F.col("kind") == kinds["ab"], F.array(room)).when(last > min_gap, F.sequence(F.lit(min_gap + 1), last))
+    step = lambda pos, d: F.struct(pos.alias("pos"), d.alias("d"))
+    x, y, g, c = (F.col(i) for i in ("x", "y", "g", "c"))
+    steps = F.when(F.col("kind") == kinds["n"], F.array(step(x, c), step(y - g + 1, -c))).otherwise(F.array(step(F.when(F.col("kind") == kinds["b"], y - g).otherwise(x), c)))
+    dealt = counted.select(*by, "kind", "x", "y", "c", F.explode(gaps).alias("g")).select(*by, "g", "kind", F.explode(steps).alias("s"))
+    place = [*by, "g", "pos"]
+    sums = dealt.groupBy(*by, "g", "s.pos").agg(*[F.sum(F.when(F.col("kind") == i, F.col("s.d"))).alias(name) for name, i in kinds.items()])
+    pairs = position_pairs(positions, min_gap, max_gap, by).select(*by, (F.col("pos_b") - F.col("pos_a")).alias("g"), F.col("pos_a").alias("pos"), F.lit(True).alias("_asked"))
+    over = Window.partitionBy(*by, "g").orderBy("pos")
+    asked = sums.join(pairs, place, "full").withColumn("n", F.sum(F.coalesce("n", F.lit(0))).over(over)).where("_asked")
     kind = "long" if weights is None else "double"
-    return out.select(*key, *[F.coalesce(c, F.lit(0)).cast(kind).alias(c) for c in ("n", "a", "b", "ab")])
+    return asked.select(*by, F.col("pos").alias("pos_a"), (F.col("pos") + F.col("g")).alias("pos_b"), *[F.coalesce(i, F.lit(0)).cast(kind).alias(i) for i in kinds])
 
 
 def validate_confusion(pairs: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from readloom import queries, queries_clusters, queries_tables, read_model
 from readloom.functions import sequences
 from readloom.operators import alignments, profiles, reads
-from readloom.plans import bias, clustering
+from readloom.plans import bias, clustering, domains
 from readloom.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -125,3 +126,40 @@ def test_bias_of_reads_is_solved_from_counts(spark, monkeypatch):
 def test_codes_of_reads_are_merged_without_sorting(spark):
     assert "SortAggregate" not in read_model.muts(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in queries_tables._by(spark, SF)[1]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_are_counted_in_one_pass_over_reads(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    held = plan(reads.confusion(*queries.model(spark, SF), queries.MUT, 4, 20))
+    assert held.count("parquet") == 2  # segments and mutations
+    segs, muts, pos = queries_tables._by(spark, SF)
+    assert "RepartitionByExpression" not in plan(pos)  # which samples and references there are is known before reads are dealt
+
+
+def test_pairs_of_listed_positions_with_repeated_and_masked_mutations(spark):
+    rng = np.random.default_rng(5)
+    ends = {("a" if i % 2 else "b", i): (int(lo), int(lo + n)) for i, (lo, n) in enumerate(zip(rng.integers(1, 9, 40), rng.integers(0, 9, 40)))}
+    hits = {k: set(rng.integers(lo, hi + 1, 4).tolist()) for k, (lo, hi) in ends.items() if k[1] % 3}
+    segs = spark.createDataFrame([(*k, 0, lo, hi) for k, (lo, hi) in ends.items()], "ref string, read long, seg int, end5 int, end3 int")
+    rows = [(*k, p, "A", 128) for k, v in hits.items() for p in v]
+    muts = spark.createDataFrame(rows + rows[::5] + [("a", 999, 3, "A", 128)], "ref string, read long, pos int, base string, rel int")
+    listed = [p for p in range(1, 18) if p not in (4, 9)]
+    pos = spark.createDataFrame([(r, p, "A") for r in "abc" for p in listed], "ref string, pos int, base string")
+    weights = spark.createDataFrame([(*k, 0.5 + k[1]) for k in ends if k[1] != 7], "ref string, read long, weight double")
+    for given, weight in ((None, lambda k: 1), (weights, lambda k: 0.5 + k[1] if k[1] != 7 else 0)):
+        got = {tuple(r)[:3]: tuple(r)[3:] for r in reads.confusion(segs, muts, pos, queries.MUT, 1, 6, given, ["ref"]).collect()}
+        want = {}
+        for ref in "abc":
+            for a in listed:
+                for b in (b for b in listed if 1 < b - a <= 6):
+                    over = [k for k, (lo, hi) in ends.items() if k[0] == ref and lo <= a and b <= hi]
+                    kinds = [over, *([k for k in over if s <= hits.get(k, set())] for s in ({a}, {b}, {a, b}))]
+                    want[ref, a, b] = tuple(sum(map(weight, ks)) for ks in kinds)
+        assert got == want
+
+
+def test_tails_of_few_pairs_are_dealt_to_all_cores(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(domains, "scratch_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    pairs = spark.createDataFrame([(i, i + 5, 1000 + i, 90, 80, i % 20) for i in range(1, 200)], "pos_a int, pos_b int, n long, a long, b long, ab long").groupBy("pos_a", "pos_b").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "ab")])
+    assert domains.bridges(pairs, 100, 0.5).count() == 199
+    assert len(list(tmp_path.glob("tests/*.parquet"))) >= spark.sparkContext.defaultParallelism
