@@ -11,15 +11,23 @@ hashes), the first ``lead`` of each set therefore have a stated number T of occu
 4. The short lists, each as a star around its smallest member, join classes into *neighbourhoods*:
    connected sets that hold both ends of any link. These are searched in blocks of bounded size: short lists are
    merged with a heap, long ones probed by binary search, and what reaches the overlap is checked on the whole sets.
-5. A neighbourhood of several blocks is first compared with a few *pivots* of its own. Those that link to pivots, mostly
+5. In a neighbourhood of several blocks, steps 2 to 4 are done again with the whole sets in the lists: T is then the whole
+   overlap, and short are the rarest quarter of a set's lists. Short texts around a common passage, which are more the larger
+   the table is, fall apart so.
+6. One that still has several blocks is first compared with a few *pivots* of its own. Those that link to pivots, mostly
    nearly all of a large group of copies, need no links among themselves any more. So only the rest meets every
-   block, and the others meet only the rest's blocks: the work is that of the rest, not the square of the group.
-6. Links give components.
+   block, and the others meet only the rest's blocks: the work is that of the rest, not the square of the group. What is dealt out
+   for that at once is as much as all neighbourhoods hold; if it is more, it is dealt in several turns.
+7. Links give components.
+
+Lists of a large table go through the shuffle in a few turns, of texts only those of neighbourhoods do, and scratch tables are deleted
+when they have been read, so the disk in use stays under twice the table's files.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -34,6 +42,10 @@ from .components import components
 LEAD = 40
 #: Classes in a block of a neighbourhood, and shingles of these; pivots; entries in a bucket of lists.
 BLOCK, SHINGLES, PIVOTS, ENTRIES = 500, 1_000_000, 8, 1_000_000
+#: Turns, at most, in which lists are shuffled, and buckets of lists in one at least.
+TURNS, TURN_BUCKETS = 4, 16
+#: Bits of a filter for each row that it lets through, and in all.
+FILTER, FILTER_MOST = 16, 1 << 26
 #: Into how many parts the members of a large neighbourhood are dealt for joins about it.
 SALT = 64
 #: Documents looked at to learn which lists are very long, and how many different ones of them make a list so.
@@ -94,14 +106,14 @@ def _entries(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([*leading, np.empty(0, np.uint64)]), np.repeat(frame["class"].to_numpy("int64"), sizes), np.repeat(frame["n_shingles"].to_numpy("int64"), sizes)
 
 
-def _postings(frames, buckets: int, hot: np.ndarray):
+def _postings(frames, buckets: int, hot: np.ndarray, turns: int, turn: int):
     """Lists' entries, packed by bucket of the shingle's hash: one row a bucket and batch. Entries of
-    very long lists stay out."""
+    very long lists stay out, and those of the buckets of other turns."""
     for frame in frames:
         shingle, cls, n = _entries(frame)
-        cold = ~np.isin(shingle, hot)
-        shingle, cls, n = shingle[cold], cls[cold], n[cold]
         bucket = (common.mix(shingle) % np.uint64(buckets)).astype(np.int64)
+        own = (bucket % turns == turn) & ~np.isin(shingle, hot)
+        shingle, cls, n, bucket = shingle[own], cls[own], n[own], bucket[own]
         order = np.argsort(bucket, kind="stable")
         shingle, cls, n, bucket = shingle[order], cls[order], n[order].astype(np.int32), bucket[order]
         yield pd.DataFrame([(bucket[a], shingle[a:b].tobytes(), cls[a:b].tobytes(), n[a:b].tobytes()) for a, b in _cuts(bucket)], columns=["bucket", "shingles", "classes", "ns"])
@@ -289,6 +301,23 @@ def _block(blocks: str) -> Column:
     return F.pmod(F.xxhash64("class", F.lit("block")), F.col(blocks)).cast("int")
 
 
+def _may_be(members: DataFrame, n: int) -> Callable[[str], Column]:
+    """A test of row keys, true for those of the n members and, by chance, for some others: a bit for what a key leaves when divided. Its
+    size is bounded; where members are very many it only lets more others through."""
+    size = 1 << min(FILTER_MOST.bit_length() - 1, max(10, (FILTER * n).bit_length()))
+    at = F.pmod(F.col("row"), F.lit(size))
+    found = members.groupBy((at / 64).cast("long").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(row, {size}) % 64 as int))")).alias("bits")).collect()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[[r["word"] for r in found]] = np.array([r["bits"] for r in found], np.int64).view(np.uint64)
+
+    @F.pandas_udf("boolean")
+    def test(row: pd.Series) -> pd.Series:
+        at = row.to_numpy() & (size - 1)
+        return pd.Series((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return test
+
+
 def _told(members: DataFrame, about: DataFrame, on: list[str]) -> DataFrame:
     """The members (left-)joined with what is known of their large neighbourhoods. One of these may hold a third of all
     classes, so each row about it is there SALT times and its members are spread over these."""
@@ -324,56 +353,93 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) ->
     return keyed.join(kept, row, "left_semi").dropDuplicates([row]).select(*docs.columns)
 
 
-def _linked(docs: DataFrame, similarity: int = 75, k: int = 5, lead: int = LEAD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Rows (row, doc_id, n_shingles, class), and the component of every class (named, component, component_id)."""
-    docs = common.with_text(docs).withColumn("row", common.row_key(F.col("doc_id"), F.col("text")))
-    sets = common.materialize(docs.mapInPandas(lambda f: _sets(f, k, lead), "row long, doc_id long, n_shingles long, class long, leading binary"), "sets")
-    some = sets.where("n_shingles > 0")
-    size = some.agg(F.sum("n_shingles").alias("n"), F.count("*").alias("docs")).first()
-    buckets = 16 + int((size["n"] or 0) * lead / 100 / ENTRIES)
-    sample = some.where(F.pmod(F.col("class"), F.lit(common.every(size["docs"], HOT_SAMPLE))) == 0).select("class", "n_shingles", "leading").dropDuplicates(["class"])
+def _neighbours(lists: DataFrame, similarity: int, lead: int, name: str) -> DataFrame:
+    """node, root: the neighbourhoods of classes (class, n_shingles, leading) that the first ``lead`` of their shingles leave."""
+    size = lists.agg(F.sum("n_shingles").alias("n"), F.count("*").alias("docs")).first()
+    buckets = TURN_BUCKETS + int((size["n"] or 0) * lead / 100 / ENTRIES)
+    sample = lists.where(F.pmod(F.col("class"), F.lit(common.every(size["docs"], HOT_SAMPLE))) == 0).dropDuplicates(["class"])
     seen = sample.mapInPandas(_frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST)
     hot = np.sort(np.array([r["shingle"] for r in seen.collect()], np.int64).view(np.uint64))
 
-    lists = some.select("class", "n_shingles", "leading")
-    entry = "class long, n long, shingles binary, lengths binary"
-    cold = lists.mapInPandas(lambda f: _postings(f, buckets, hot), "bucket long, shingles binary, classes binary, ns binary").groupBy("bucket").applyInPandas(_shared, entry)
-    warm = lists.mapInPandas(lambda f: _very_long(f, hot), entry).distinct()
-    gathered = cold.unionByName(warm).groupBy("class").agg(F.first("n").alias("n"), F.collect_list("shingles").alias("shingles"), F.collect_list("lengths").alias("lengths"))
+    entry, turns = "class long, n long, shingles binary, lengths binary", min(TURNS, buckets // TURN_BUCKETS)
+    cold = [lists.mapInPandas(lambda f, turn=turn: _postings(f, buckets, hot, turns, turn), "bucket long, shingles binary, classes binary, ns binary").groupBy("bucket").applyInPandas(_shared, entry) for turn in range(turns)]
+    cold = [common.materialize(x, "lists") for x in cold] if turns > 1 else cold
+    gathered = lists.mapInPandas(lambda f: _very_long(f, hot), entry).distinct()
+    for part in cold:
+        gathered = gathered.unionByName(part)
+    gathered = gathered.groupBy("class").agg(F.first("n").alias("n"), F.collect_list("shingles").alias("shingles"), F.collect_list("lengths").alias("lengths"))
     short = common.materialize(gathered.mapInPandas(lambda f: _short(f, similarity, lead), "shingle long, class long"), "short")
+    if turns > 1:
+        common.discard(*cold)
     stars = short.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    near = components(short.join(stars, "shingle").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct(), "near")
+    near = components(short.join(stars, "shingle").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct(), name)
+    common.discard(short)
+    return near
+
 
-    first = some.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n_shingles").alias("n"))
+def _linked(docs: DataFrame, similarity: int = 75, k: int = 5, lead: int = LEAD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, doc_id, n_shingles, class), and the component of every class (named, component, component_id)."""
+    docs = common.with_text(docs).withColumn("row", common.row_key(F.col("doc_id"), F.col("text")))
+    lists = common.materialize(docs.mapInPandas(lambda f: _sets(f, k, lead), "row long, doc_id long, n_shingles long, class long, leading binary"), "sets")
+    sets = common.materialize(lists.drop("leading"), "rows")
+    near = _neighbours(lists.where("n_shingles > 0").select("class", "n_shingles", "leading"), similarity, lead, "near")
+    common.discard(lists)
+
+    first = sets.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n_shingles").alias("n"))
     members = near.withColumnRenamed("node", "class").join(first.select("class", "row", "n"), "class")
-    members = _told(members, _blocks(members, block).where("blocks > 1"), ["root"]).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    whole = docs.select("row", "text").join(members, "row").mapInPandas(lambda f: _whole(f, k), "class long, root long, n long, blocks int, shingles binary")
-    whole = common.materialize(whole.dropDuplicates(["class"]), "whole")
-
-    # large neighbourhoods: pivots, dealt to every block of their own
-    large = whole.where("blocks > 1")
-    chosen = large.groupBy("root").agg(F.max("blocks").alias("blocks"), F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("class"), F.col("blocks")) == 0, F.col("class")))), 1, PIVOTS).alias("classes"))
-    pivots = large.join(chosen.select(F.explode("classes").alias("class")), "class").select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), "class", "shingles", F.lit(True).alias("pivot"))
-    dealt = large.select("root", _block("blocks").alias("own"), "class", "shingles", F.lit(False).alias("pivot")).unionByName(pivots)
+    members = common.materialize(_told(members, _blocks(members, block).where("blocks > 1"), ["root"]).withColumn("blocks", F.coalesce("blocks", F.lit(1))), "near")
+    held = members.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("classes"), F.count_if(F.col("blocks") > 1).alias("large")).first()
+    # a row that comes twice is one: its texts meet in a part of the join
+    texts = docs.select("row", "text").where(_may_be(members, held["classes"])("row")).join(members, "row").distinct()
+    whole = common.materialize(texts.mapInPandas(lambda f: _whole(f, k), "class long, root long, n long, blocks int, shingles binary"), "whole")
+    scratch, started = [members, whole], None
+
     edges = "a long, b long"
-    started = common.materialize(dealt.repartition("root", "own").sortWithinPartitions("root", "own").mapInPandas(lambda f: _pivots(f, similarity), edges), "started")
-    tags = components(started, "tags").select(F.col("node").alias("class"), F.col("root").alias("tag"))
-    tagged = large.select("class", F.col("root")).join(tags, "class")
-    home = tagged.groupBy("root", "tag").agg(F.count("*").alias("size")).groupBy("root").agg(F.max_by("tag", F.struct("size", "tag")).alias("home"))
-    homes = _told(tagged, home, ["root"]).where("tag = home").select("class", F.lit(True).alias("home"))
-
-    # the rest meets every block, the home meets the rest
-    members = common.materialize(whole.join(homes, "class", "left").withColumn("home", F.coalesce("home", F.lit(False))), "members")
-    large = members.where("blocks > 1")
-    rests = _blocks(large.where("not home"), block).withColumnRenamed("blocks", "rest")
-    inside = _blocks(large.where("home"), block).withColumnRenamed("blocks", "inside")
-    counts = rests.join(inside, "root", "full").na.fill(0)
-    sized = _told(members, counts, ["root"]).withColumn("rest", F.coalesce("rest", F.lit(1))).withColumn("inside", F.coalesce("inside", F.lit(0)))
-    own = F.when(F.col("home"), F.col("rest") + _block("inside")).otherwise(_block("rest"))
-    last = F.when(F.col("home"), F.col("rest")).otherwise(F.col("rest") + F.col("inside")) - 1  # none for a home without a rest
-    dealt = sized.select("root", "class", "shingles", "home", own.alias("own"), F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("other")).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "shingles", "home")
-    links = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(lambda f: _search(f, similarity), edges)
-    roots = components(links.unionByName(started), "links")
+    cell = lambda df, i, j, home: df.select("root", i.alias("i"), j.alias("j"), "class", "shingles", home.alias("home"))
+    search = lambda dealt: dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(lambda f: _search(f, similarity), edges)
+    small, links = whole.where("blocks = 1"), []
+    if held["large"]:
+        # large neighbourhoods anew, by whole sets
+        wide = whole.where("blocks > 1")
+        finer = _neighbours(wide.select("class", F.col("n").alias("n_shingles"), F.col("shingles").alias("leading")), similarity, 100, "finer")
+        again = wide.drop("root", "blocks").join(finer.withColumnRenamed("node", "class"), "class")
+        again = common.materialize(_told(again, _blocks(again, block).where("blocks > 1"), ["root"]).withColumn("blocks", F.coalesce("blocks", F.lit(1))).select(*whole.columns), "finer")
+        scratch.append(again)
+        small = small.unionByName(again.where("blocks = 1"))
+
+        # of what is left, pivots, dealt to every block of their own
+        large = again.where("blocks > 1")
+        chosen = large.groupBy("root").agg(F.max("blocks").alias("blocks"), F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("class"), F.col("blocks")) == 0, F.col("class")))), 1, PIVOTS).alias("classes"))
+        pivots = large.join(chosen.select(F.explode("classes").alias("class")), "class").select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), "class", "shingles", F.lit(True).alias("pivot"))
+        dealt = large.select("root", _block("blocks").alias("own"), "class", "shingles", F.lit(False).alias("pivot")).unionByName(pivots)
+        started = common.materialize(dealt.repartition("root", "own").sortWithinPartitions("root", "own").mapInPandas(lambda f: _pivots(f, similarity), edges), "started")
+        tags = components(started, "tags").select(F.col("node").alias("class"), F.col("root").alias("tag"))
+        tagged = large.select("class", F.col("root")).join(tags, "class")
+        home = tagged.groupBy("root", "tag").agg(F.count("*").alias("size")).groupBy("root").agg(F.max_by("tag", F.struct("size", "tag")).alias("home"))
+        homes = _told(tagged, home, ["root"]).where("tag = home").select("class", F.lit(True).alias("home")).distinct()
+
+        # the rest meets every block, the home meets the rest
+        large = common.materialize(large.join(homes, "class", "left").withColumn("home", F.coalesce("home", F.lit(False))), "members")
+        scratch += [started, large]
+        rests = _blocks(large.where("not home"), block).withColumnRenamed("blocks", "rest")
+        inside = _blocks(large.where("home"), block).withColumnRenamed("blocks", "inside")
+        counts = rests.join(inside, "root", "full").na.fill(0)
+        sized = _told(large, counts, ["root"])
+        last = F.when(F.col("home"), F.col("rest")).otherwise(F.col("rest") + F.col("inside")) - 1  # none for a home without a rest
+        sized = sized.select("root", "class", "n", "shingles", "home", F.when(F.col("home"), F.col("rest") + _block("inside")).otherwise(_block("rest")).alias("own"), last.alias("last"))
+        met = sized.agg(F.sum(F.col("n") * (F.col("last") + 1)).alias("n")).first()["n"] or 0
+        dealt = cell(sized.where("last >= 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))), F.least("own", "other"), F.greatest("own", "other"), F.col("home"))
+        parts = max(1, -(-met // held["n"]))
+        links = [common.materialize(search(dealt.where(F.pmod(F.xxhash64("root", "i", "j"), F.lit(parts)) == part)), "found") for part in range(parts)]
+    scratch += links
+    links.append(search(cell(small, F.lit(0), F.lit(0), F.lit(False))))
+    if started is not None:
+        links.append(started)
+    found = links[0]
+    for part in links[1:]:
+        found = found.unionByName(part)
+    roots = components(found, "links")
+    common.discard(*scratch)
 
     joined = first.join(roots, F.col("class") == F.col("node"), "left").select("class", "doc_id", F.coalesce("root", "class").alias("root"))
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))

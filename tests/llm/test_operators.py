@@ -119,6 +119,25 @@ def test_jaccard_large(spark):
     assert got == brute_links(rows) and len({r[2] for r in got}) > 3
 
 
+def test_jaccard_common_passage(spark):
+    """Short texts around one passage are no large neighbourhood: what is shuffled for them does not grow with their square."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(2000)]
+    passage = [rng.choice(words) for _ in range(20)]
+    rows = [(i, " ".join([*passage, *(rng.choice(words) for _ in range(12))])) for i in range(240)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 240, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    before = {x.stageId() for x in (stages().apply(i) for i in range(stages().size()))}
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link(docs, block=10).collect()), key=str)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    after = stages()
+    most = max(x.shuffleWriteRecords() for x in (after.apply(i) for i in range(after.size())) if x.stageId() not in before)
+    assert got == brute_links(rows) and len({r[2] for r in got}) == 240
+    assert most < 15 * len(rows)
+
+
 def test_links_between_components():
     """Windows of one text, searched in any order: chains of links stay whole."""
     rng = random.Random(3)
