@@ -9,6 +9,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,23 +73,33 @@ class Run:
 
 
 class Reads:
-    """A batch of unique reads as arrays. Reads that cover none of the positions count nothing."""
-
-    def __init__(self, frame: pd.DataFrame, pos: np.ndarray):
-        self.first = np.searchsorted(pos, frame["end5"].to_numpy())
-        self.last = np.searchsorted(pos, frame["end3"].to_numpy(), "right") - 1
+    """A batch of unique reads as arrays. Reads that cover none of the positions count nothing. ``frame``: of pandas or, as every
+    pass has it, of Arrow, whose lists are one array already and are not taken apart into one for each read."""
+
+    def __init__(self, frame: pd.DataFrame | pa.RecordBatch, pos: np.ndarray):
+        batch = frame if isinstance(frame, pa.RecordBatch) else pa.RecordBatch.from_pandas(frame[["end5", "end3", "muts", "n"]], preserve_index=False)
+        end5, end3, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("end5", "end3", "n"))
+        self.first = np.searchsorted(pos, end5)
+        self.last = np.searchsorted(pos, end3, "right") - 1
         covers = self.first <= self.last
-        self.n = np.where(covers, frame["n"].to_numpy(float), 0.0)
+        self.n = np.where(covers, n.astype(float), 0.0)
         self.first, self.last = np.where(covers, self.first, 0), np.where(covers, self.last, 0)
-        held = frame["muts"].to_list()
-        row = np.repeat(np.arange(len(frame)), np.fromiter(map(len, held), np.int64, len(held)))
-        muts = np.concatenate([np.empty(0, np.int64), *held]).astype(np.int64)
+        row, muts = _flat(batch.column("muts"))
         at = np.searchsorted(pos, muts)
         known = (at < len(pos)) & covers[row]
         known[known] = pos[at[known]] == muts[known]
         self.row, self.mut = row[known], at[known]
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of a column of lists, the row of each entry, and the entries."""
+    if not pa.types.is_list(lists.type) and not pa.types.is_large_list(lists.type):  # no frame's list has an entry
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    entries = lists.flatten()
+    return np.repeat(np.arange(len(lists)), sizes), entries.to_numpy(zero_copy_only=False) if len(entries) else np.empty(0, np.int64)
+
+
 def log_joint(reads: Reads, params: Params) -> np.ndarray:
     """[read, cluster]: log probability of a read's ends and mutations and its cluster."""
     run = np.array([bias.no_mutation(r) for r in params.rates])  # [k, position + 1]
@@ -120,15 +132,25 @@ class Start:
     group: int | None = None
 
 
-def _parts(frame: pd.DataFrame, column: str | None):
-    return [(None, frame)] if column is None else frame.groupby(column, sort=False)
+def _parts(batch: pa.RecordBatch, column: str | None):
+    """The batch's rows by the value of a column (rows without one stay out)."""
+    values = [None] if column is None else [v for v in batch.column(column).unique().to_pylist() if v is not None]
+    return [(v, batch if column is None or len(values) == 1 and not batch.column(column).null_count else batch.filter(pc.equal(batch.column(column), v))) for v in values]
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], field.type) for i, field in enumerate(schema)], schema=schema)
+
 
+#: What a pass gives back.
+_SUMS = pa.schema([("run", pa.int32()), ("kind", pa.int32()), ("clust", pa.int32()), ("at", pa.int32()), ("value", pa.float64())])
 
-def _sums(frames, pos: dict, weighers: dict[int, tuple], column: str | None):
+
+def _sums(batches, pos: dict, weighers: dict[int, tuple], column: str | None):
     """Of a task's reads, for each run: log likelihood, weights, coverage steps and mutations by cluster."""
     total: dict[int, list] = {}
-    for frame in frames:
-        for group, part in _parts(frame, column):
+    for batch in batches:
+        for group, part in _parts(batch, column):
             runs = [(i, k, weigh) for i, (g, k, weigh) in weighers.items() if g == group]
             if not runs:
                 continue
@@ -147,13 +169,13 @@ def _sums(frames, pos: dict, weighers: dict[int, tuple], column: str | None):
     for i, (like, shares, steps, hits) in total.items():
         rows = [(i, 0, 0, 0, like)] + [(i, 1, c, 0, float(v)) for c, v in enumerate(shares)]
         rows += [(i, kind, c, at, float(v)) for kind, x in ((2, steps), (3, hits)) for c in range(len(x)) for at, v in enumerate(x[c]) if v]
-        yield pd.DataFrame(rows, columns=["run", "kind", "clust", "at", "value"])
+        yield _table(rows, _SUMS)
 
 
 def _pass(uniq: DataFrame, pos: dict, weighers: dict[int, tuple], column: str | None) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
     """For each run, observed rates and shares, and the log likelihood: one job for all, whose result is as large as
     runs by clusters by positions."""
-    found = uniq.mapInPandas(lambda f: _sums(f, pos, weighers, column), "run int, kind int, clust int, at int, value double").groupBy("run", "kind", "clust", "at").agg(F.sum("value").alias("value")).collect()
+    found = uniq.mapInArrow(lambda b: _sums(b, pos, weighers, column), "run int, kind int, clust int, at int, value double").groupBy("run", "kind", "clust", "at").agg(F.sum("value").alias("value")).collect()
     sums = {i: [np.zeros((k, len(pos[g]) + 1)) for _ in range(4)] for i, (g, k, _) in weighers.items()}
     for r in found:
         sums[r["run"]][r["kind"]][r["clust"], r["at"]] = r["value"]
@@ -191,8 +213,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def first_weights(seed: int, k: int) -> Callable:
     """Random weights of unique reads (Dirichlet, all parameters 1) that depend on seed and content alone."""
 
-    def weigh(frame, reads):
-        content = pd.util.hash_array(frame["uid"].to_numpy(object))
+    def weigh(batch, reads):
+        content = pd.util.hash_array(batch.column("uid").to_numpy(zero_copy_only=False))
         keys = _mixed(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(seed + 1))
         uniform = ((_mixed(content[:, None] ^ keys[None]) >> np.uint64(11)).astype(float) + 0.5) / 2**53
         draws = -np.log(uniform)
@@ -209,10 +231,11 @@ def fit(uniq: DataFrame, positions: dict, starts: list[Start], column: str | Non
     once, as each iteration reads it."""
     seen = end_shares(uniq, positions, column)
     weighers = {i: (s.group, s.k, first_weights(s.seed, s.k)) for i, s in enumerate(starts)}
+    held = uniq.select(*([] if column is None else [column]), "end5", "end3", "muts", "n")  # ids are for first weights alone
     likes, params, out = {i: [] for i in weighers}, {}, {}
     iteration = 0
     while weighers:
-        for i, (rates, shares, like) in _pass(uniq, positions, weighers, column).items():
+        for i, (rates, shares, like) in _pass(uniq if iteration == 0 else held, positions, weighers, column).items():
             s = starts[i]
             ends, n = seen[s.group]
             if i in params:
@@ -223,7 +246,7 @@ def fit(uniq: DataFrame, positions: dict, starts: list[Start], column: str | Non
                     del weighers[i]
                     continue
             params[i] = Params(positions[s.group], *_corrected(rates, ends, shares, min_gap, merged), min_gap, merged)
-            weighers[i] = (s.group, s.k, lambda frame, reads, p=params[i]: responsibilities(log_joint(reads, p)))
+            weighers[i] = (s.group, s.k, lambda batch, reads, p=params[i]: responsibilities(log_joint(reads, p)))
         iteration += 1
     return [out[i] for i in range(len(starts))]
 
@@ -531,14 +554,13 @@ def parameters(spark, run: Run) -> tuple[DataFrame, DataFrame]:
 # Gaps between neighbouring domains.
 
 
-def _side(frame: pd.DataFrame, params: Params) -> np.ndarray:
+def _side(batch: pa.RecordBatch, params: Params) -> np.ndarray:
     """[read, cluster]: log likelihood of a read's mutations within one domain."""
-    cut = frame.assign(end5=np.maximum(frame["end5"], params.pos[0]), end3=np.minimum(frame["end3"], params.pos[-1]))
-    reads = Reads(cut, params.pos)
+    reads = Reads(batch, params.pos)
     run, p = np.array([bias.no_mutation(r) for r in params.rates]), np.clip(params.rates, 1e-9, 1 - 1e-9)
     out = (run[:, reads.last + 1] - run[:, reads.first]).T.copy()
     for k in range(params.k):
-        out[:, k] += np.bincount(reads.row, (np.log(p[k]) - np.log1p(-p[k]))[reads.mut], len(frame))
+        out[:, k] += np.bincount(reads.row, (np.log(p[k]) - np.log1p(-p[k]))[reads.mut], len(out))
     return out
 
 
@@ -582,19 +604,24 @@ def _written_sides(uniq: DataFrame, gaps: list[tuple[Params, Params]], tested: l
     """gap, joint: for each gap and each unique read that reaches across it, the log likelihoods of its mutations by the pair of
     clusters. They are the same in every round, so they are written once."""
 
-    def run(frames):
-        for frame in frames:
-            for i, part in frame.groupby("gap", sort=False):
+    def run(batches):
+        for batch in batches:
+            for i, part in _parts(batch, "gap"):
                 left, right = gaps[i]
                 joint = _side(part, left)[:, :, None] + _side(part, right)[:, None, :]
-                yield pd.DataFrame({"gap": part["gap"].to_numpy(), "joint": list(joint.reshape(len(part), -1))})
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * (left.k * right.k)), pa.array(joint.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("gap"), cells], names=["gap", "joint"])
 
     met = uniq.select("end5", "end3", "muts", "n", F.explode(F.array_compact(F.array(*[F.when(across(i), F.lit(i)) for i in tested]))).alias("gap"))
     path = scratch_path(uniq.sparkSession, "sides")
-    met.mapInPandas(run, "gap int, joint array<double>").write.parquet(path)
+    met.mapInArrow(run, "gap int, joint array<double>").write.parquet(path)
     return uniq.sparkSession.read.schema("gap int, joint array<double>").parquet(path)
 
 
+#: What a round of gap_tests() gives back.
+_CELLS = pa.schema([("gap", pa.int32()), ("model", pa.int32()), ("cell", pa.int32()), ("value", pa.float64())])
+
+
 def gap_tests(uniq: DataFrame, gaps: list[tuple[Params, Params]], min_assoc: float = 0.1, rounds: int = 500, tolerance: float = 1e-4, column: str | None = None, groups: list | None = None) -> list[dict]:
     """Whether the clusters on both sides of each gap go independently. Each unique read that reaches into both domains has the
     likelihoods of its mutations there; mixtures of independent and of free shares of cluster pairs are fitted to these,
@@ -615,23 +642,23 @@ def gap_tests(uniq: DataFrame, gaps: list[tuple[Params, Params]], min_assoc: flo
         return out
     sides = _written_sides(uniq, gaps, tested, across)
 
-    def sums(frames, models: dict[int, list[np.ndarray]]):
+    def sums(batches, models: dict[int, list[np.ndarray]]):
         total: dict[tuple[int, int], np.ndarray] = {}
-        for frame in frames:
-            for i, part in frame.groupby("gap", sort=False):
+        for batch in batches:
+            for i, part in _parts(batch, "gap"):
                 if i in models:
-                    joint = np.concatenate(part["joint"].to_list()).reshape(len(part), -1)
+                    joint = part.column("joint").flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
                     for m, pi in enumerate(models[i]):
                         resp, marginal = responsibilities(joint + np.log(np.maximum(pi, 1e-300)).ravel())
                         total[i, m] = total.get((i, m), 0) + np.r_[marginal.sum(), resp.sum(axis=0)]
-        yield pd.DataFrame([(i, m, cell, float(v)) for (i, m), x in total.items() for cell, v in enumerate(x)], columns=["gap", "model", "cell", "value"]).astype({"gap": "int32", "model": "int32", "cell": "int32", "value": "float64"})
+        yield _table([(i, m, cell, float(v)) for (i, m), x in total.items() for cell, v in enumerate(x)], _CELLS)
 
     searches = {i: [_Mixture(gaps[i][0].k, gaps[i][1].k, free, tolerance) for free in (False, True)] for i in tested}
     for _ in range(rounds):
         if not searches:
             break
         models = {i: [x.pi for x in both] for i, both in searches.items()}
-        found = {(r["gap"], r["model"], r["cell"]): r["value"] for r in sides.mapInPandas(lambda f, now=models: sums(f, now), "gap int, model int, cell int, value double").groupBy("gap", "model", "cell").agg(F.sum("value").alias("value")).collect()}
+        found = {(r["gap"], r["model"], r["cell"]): r["value"] for r in sides.mapInArrow(lambda b, now=models: sums(b, now), "gap int, model int, cell int, value double").groupBy("gap", "model", "cell").agg(F.sum("value").alias("value")).collect()}
         for i, both in list(searches.items()):
             (left, right), n = gaps[i], out[i]["n"]
             for m, search in enumerate(both):

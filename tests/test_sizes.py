@@ -163,3 +163,32 @@ def test_tails_of_few_pairs_are_dealt_to_all_cores(spark, monkeypatch, tmp_path)
     pairs = spark.createDataFrame([(i, i + 5, 1000 + i, 90, 80, i % 20) for i in range(1, 200)], "pos_a int, pos_b int, n long, a long, b long, ab long").groupBy("pos_a", "pos_b").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "ab")])
     assert domains.bridges(pairs, 100, 0.5).count() == 199
     assert len(list(tmp_path.glob("tests/*.parquet"))) >= spark.sparkContext.defaultParallelism
+
+
+def test_passes_take_batches_whole():
+    """A pass sums up Arrow batches of several regions as they come, their lists as one array; slices, empty lists and reads of no
+    region included."""
+    rng = np.random.default_rng(4)
+    pos = {0: np.arange(1, 9), 1: np.arange(3, 15, 2)}
+    rows = [(None if i % 11 == 0 else i % 2, int(a), int(a) + 7, sorted(rng.choice(16, i % 4, replace=False).tolist()), i % 3 + 1) for i, a in enumerate(rng.integers(0, 8, 60))]
+    names = ["dom", "end5", "end3", "muts", "n"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], pa.schema([("dom", pa.int32()), ("end5", pa.int32()), ("end3", pa.int32()), ("muts", pa.list_(pa.int32())), ("n", pa.int64())]))
+    even = lambda part, reads: (np.full((len(reads.n), 1), 1.0), np.full(len(reads.n), 2.0))
+    found = {}
+    for out in clustering._sums([batch.slice(0, 23), batch.slice(23)], pos, {g: (g, 1, even) for g in pos}, "dom"):
+        found |= {(r["run"], r["kind"], r["at"]): r["value"] for r in out.to_pylist()}
+    for g, places in pos.items():
+        held = [(a, b, muts, n) for d, a, b, muts, n in rows if d == g and any(a <= p <= b for p in places)]
+        assert found[g, 0, 0] == 2 * sum(n for *_, n in held) and found[g, 1, 0] == sum(n for *_, n in held)
+        hits = {i: sum(n for _, _, muts, n in held if p in muts) for i, p in enumerate(places.tolist())}
+        assert {i: found.get((g, 3, i), 0) for i in hits} == hits
+
+
+def test_later_passes_read_no_ids(spark, monkeypatch):
+    """Ids are texts as long as the rest of a read; only first weights need them."""
+    rows = [(f"{i:032x}", 1, 8, [p for p in range(1, 9) if (i * p) % 5 == 0], 1) for i in range(40)]
+    uniq = spark.createDataFrame(rows, "uid string, end5 int, end3 int, muts array<int>, n long")
+    seen, own = [], clustering._pass
+    monkeypatch.setattr(clustering, "_pass", lambda reads, *rest: seen.append("uid" in reads.columns) or own(reads, *rest))
+    clustering.fit(uniq, {None: np.arange(1, 9)}, [clustering.Start(2)], max_iterations=3)
+    assert seen[0] and len(seen) > 2 and not any(seen[1:])
