@@ -46,6 +46,8 @@ BLOCK, SHINGLES, PIVOTS, ENTRIES = 500, 1_000_000, 8, 1_000_000
 TURNS, TURN_BUCKETS = 4, 16
 #: Bits of a filter for each row that it lets through, and in all.
 FILTER, FILTER_MOST = 16, 1 << 26
+#: Shingles in neighbourhoods from which on texts are filtered: a further Python worker a task costs memory, which less text is not worth.
+FILTER_LEAST = 8_000_000
 #: Into how many parts the members of a large neighbourhood are dealt for joins about it.
 SALT = 64
 #: Documents looked at to learn which lists are very long, and how many different ones of them make a list so.
@@ -390,7 +392,8 @@ def _linked(docs: DataFrame, similarity: int = 75, k: int = 5, lead: int = LEAD,
     members = common.materialize(_told(members, _blocks(members, block).where("blocks > 1"), ["root"]).withColumn("blocks", F.coalesce("blocks", F.lit(1))), "near")
     held = members.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("classes"), F.count_if(F.col("blocks") > 1).alias("large")).first()
     # a row that comes twice is one: its texts meet in a part of the join
-    texts = docs.select("row", "text").where(_may_be(members, held["classes"])("row")).join(members, "row").distinct()
+    texts = docs.select("row", "text")
+    texts = (texts.where(_may_be(members, held["classes"])("row")) if held["n"] >= FILTER_LEAST else texts).join(members, "row").distinct()
     whole = common.materialize(texts.mapInPandas(lambda f: _whole(f, k), "class long, root long, n long, blocks int, shingles binary"), "whole")
     scratch, started = [members, whole], None
 
